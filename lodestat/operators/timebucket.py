@@ -84,4 +84,6 @@ def bucket_join_counted(left: DataFrame, right: DataFrame, left_time: str, right
                                                 + [(f"__k_{left_bucket}", right_bucket)], null_safe), "left")
     right_rows = right_rows.drop(*[f"__r_{k}" for k in on])
     cond = _key_cond(left, right_rows, [(k, f"__k_{k}") for k in keys_l], null_safe)
-    return left.join(right_rows, cond, "left").drop(*[f"__k_{k}" for k in keys_l])
+    out = left.join(right_rows, cond, "left").drop(*[f"__k_{k}" for k in keys_l])
+    ordered = [c for c in out.columns if c != count_col] + [count_col]
+    return out.select(*ordered)

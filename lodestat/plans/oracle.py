@@ -63,12 +63,12 @@ LANDING = f"""landing AS (
          CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS risk,
          CAST(((user_id % 2) + 2) % 2 AS INTEGER) AS reward,
          CAST(((minute(ts) % 30) + 30) % 30 AS DOUBLE) AS min_after_arrival,
-         month(ts) AS month
+         CAST(month(ts) AS INTEGER) AS month
   FROM events WHERE event_type IN ('view', 'click'))"""
 
 OBSERVATION = f"""observation AS (
   SELECT time, strftime(time, '%Y-%m-%d') AS date, arrival_number, landing_number,
-         food_availability, arrival_minutes, month(time) AS month
+         food_availability, arrival_minutes, CAST(month(time) AS INTEGER) AS month
   FROM (SELECT {bucket_sql('ts')} AS time,
                count(*) FILTER (WHERE event_type = 'error') AS arrival_number,
                count(*) FILTER (WHERE event_type = 'signup') AS landing_number,
@@ -97,7 +97,7 @@ FEATURES = f"""feat AS (
   SELECT *,
          CASE WHEN coalesce(arrival_number, 0) > 0 THEN 1 ELSE 0 END AS arrival_present,
          round_even(food_availability / {C.FOOD_SCALE}, {C.FOOD_DECIMALS}) AS food_fraction,
-         month(CAST(date AS DATE)) AS month_num,
+         CAST(month(CAST(date AS DATE)) AS INTEGER) AS month_num,
          {season_sql('month(CAST(date AS DATE))')} AS season,
          CASE WHEN coalesce(arrival_number > bucket_count, false) THEN 1 ELSE 0 END AS arrivals_exceed
   FROM joined),
@@ -228,3 +228,16 @@ def metric_select(y: str, yhat: str) -> list[str]:
         f"{r(f'CASE WHEN max({y}) - min({y}) > 0 THEN sqrt(avg({e} * {e})) / (max({y}) - min({y})) END')} AS nrmse",
         f"{r(f'CASE WHEN {n} < 2 THEN NULL WHEN {sst} > 0 THEN 1 - {sse} / {sst} WHEN {sse} = 0 THEN 1.0 ELSE 0.0 END')} AS r2",
     ]
+
+
+DUCK_TO_SPARK_TYPE = """CASE {t} WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+ WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower({t}) END"""
+
+
+def profile_sql(ctes: str, src: str, cols: Sequence[str]) -> str:
+    parts = []
+    for i, c in enumerate(cols):
+        t = DUCK_TO_SPARK_TYPE.format(t=f"max(typeof({c}))")
+        parts.append(f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column_name, {t} AS dtype, "
+                     f"count({c}) AS non_null, count(*) AS n_rows FROM {src}")
+    return f"WITH {ctes}\n" + "\nUNION ALL\n".join(parts)

@@ -63,3 +63,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
+
+
+# query modules register themselves on import (kept last: they import ``register``)
+from . import prep_queries  # noqa: E402,F401
