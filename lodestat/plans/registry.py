@@ -68,3 +68,4 @@ def oracle_sql() -> dict[str, str]:
 # query modules register themselves on import (kept last: they import ``register``)
 from . import prep_queries  # noqa: E402,F401
 from . import model_queries  # noqa: E402,F401
+from . import diag_queries  # noqa: E402,F401
