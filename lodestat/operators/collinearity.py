@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from typing import Sequence
 
 import numpy as np
@@ -13,39 +12,25 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions import columns as X
 from .linalg import vif_from_moments
-from .moments import collect_moments
+from .gram import pairwise_correlation
+from .moments import MAX_COLUMNS, collect_moments
 
 
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AGG9: Pearson correlation of every ordered pair, pairwise complete.
 
-    One aggregation pass.  A column that is constant on the rows it shares with
-    its partner gives null (``corr`` would divide by zero under ANSI mode).
-    Output: (col_i, col_j, corr) for all i, j including the diagonal.
+    One pass of per-partition partial Gram sums (see ``gram``); the k x k
+    result becomes a small frame.  A column that is constant on the rows it
+    shares with its partner gives null (``corr`` would divide by zero under
+    ANSI mode).  Output: (col_i, col_j, corr) for all i, j including the diagonal.
     """
     cols = list(cols)
-    clean = df.select(*[X.nan_to_null(c).alias(c) for c in cols])
-    aggs = []
-    for i, a in enumerate(cols):
-        aggs.append(F.var_pop(a).alias(f"v{i}"))
-    for i, j in combinations(range(len(cols)), 2):
-        a, b = F.col(cols[i]), F.col(cols[j])
-        aggs += [F.covar_pop(a, b).alias(f"c{i}_{j}"),
-                 F.var_pop(F.when(b.isNotNull(), a)).alias(f"va{i}_{j}"),
-                 F.var_pop(F.when(a.isNotNull(), b)).alias(f"vb{i}_{j}")]
-    stats = clean.agg(*aggs)
-    entries = []
-    for i, a in enumerate(cols):
-        v = F.col(f"v{i}")
-        entries.append((a, a, F.when(v > 0, F.lit(1.0))))
-    for i, j in combinations(range(len(cols)), 2):
-        den = F.sqrt(F.col(f"va{i}_{j}") * F.col(f"vb{i}_{j}"))
-        r = F.when(den > 0, F.col(f"c{i}_{j}") / den)
-        entries.append((cols[i], cols[j], r))
-        entries.append((cols[j], cols[i], r))
-    packed = F.array(*[F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), r.cast("double").alias("corr"))
-                       for a, b, r in entries])
-    return stats.select(F.inline(packed))
+    if len(cols) > MAX_COLUMNS:
+        raise ValueError(f"at most {MAX_COLUMNS} columns")
+    corr = pairwise_correlation(df, cols)
+    rows = [(a, b, _finite(corr[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    schema = "col_i string, col_j string, corr double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def high_corr_pairs(corr: DataFrame, threshold: float = C.CORR_THRESHOLD, absolute: bool = False) -> DataFrame:

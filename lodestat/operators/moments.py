@@ -103,8 +103,18 @@ class Moments:
         return np.diag(self.cp) / self.n if self.n else np.full(len(self.names), np.nan)
 
 
+WIDE_FROM = 10  # from this many columns on, use per-partition numpy partials
+
+
 def collect_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> dict[tuple, Moments]:
-    """Run ``grouped_moments`` and bring the (small) result to the driver."""
+    """Run ``grouped_moments`` and bring the (small) result to the driver.
+
+    Up to ``WIDE_FROM - 1`` columns this is one SQL aggregation (``covar_pop``
+    per pair, all inside codegen); wider sets use ``gram.collect_moments_wide``.
+    """
+    if len(cols) >= WIDE_FROM:
+        from .gram import collect_moments_wide
+        return collect_moments_wide(df, cols, by)
     rows = grouped_moments(df, cols, by).collect()
     return {tuple(r[b] for b in by): Moments.from_row(r, cols) for r in rows}
 
