@@ -56,7 +56,11 @@ def ols_with_intercept(m: Moments, features: list[str], target: str, standardise
     scale = _scale(std, mean) if standardise else np.ones(k)
     s = cxx / np.outer(scale, scale)
     g = cxy / scale
-    b_scaled, rank = _pinv_solve(s, g)
+    # a column constant in the training rows carries no information: exact 0
+    active = np.flatnonzero(np.diag(cxx) > 0)
+    b_scaled = np.zeros(k)
+    b_act, rank = _pinv_solve(s[np.ix_(active, active)], g[active])
+    b_scaled[active] = b_act
     coef = b_scaled / scale
     intercept = float(m.mean[ti] - coef @ mean)
     return LinearFit(features, intercept, coef, True, b_scaled, mean, scale, m.n, rank)

@@ -91,9 +91,13 @@ def _refine(clean: DataFrame, open_: dict[str, list[_Bracket]], bins: int) -> di
     for ci, c in enumerate(names):
         brackets = open_[c]
         bid = _bracket_id(c, brackets)
-        lo = F.element_at(F.array(*[F.lit(b.lo) for b in brackets]), bid + 1)
-        hi = F.element_at(F.array(*[F.lit(b.hi) for b in brackets]), bid + 1)
-        bucket = F.least(F.floor((F.col(c) - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
+        x = F.col(c)
+        bucket = None
+        for b in brackets:
+            inside = (x >= F.lit(b.lo)) & (x <= F.lit(b.hi))
+            value = F.least(F.floor((x - F.lit(b.lo)) / F.lit(b.hi - b.lo) * F.lit(bins)), F.lit(bins - 1))
+            bucket = F.when(inside, value) if bucket is None else bucket.when(inside, value)
+        bucket = bucket.cast("int")
         parts.append(F.struct(F.lit(ci).alias("ci"), bid.alias("bid"), bucket.alias("bk"), F.col(c).alias("v")))
     hist = (
         clean.select(F.explode(F.array(*parts)).alias("p"))
