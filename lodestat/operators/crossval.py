@@ -15,50 +15,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as MET
-from .linalg import ols_no_intercept, ols_with_intercept
-from .moments import collect_moments, merge_all
-from .regression import predict
+from .regression import predict, segment_fold_models
 
 
 def fold_models(df: DataFrame, features: dict[str, list[str]], target: str, segments: dict[str, list[str]],
                 atom_col: str, fold_col: str, k: int, intercept: bool = True, standardise: bool = True) -> dict:
-    out = {}
-    groups: dict[tuple, list[str]] = {}
-    for seg, feats in features.items():
-        groups.setdefault(tuple(feats), []).append(seg)
-    for feats, segs in groups.items():
-        cols = list(feats) + [target]
-        parts = collect_moments(df, cols, [atom_col, fold_col])
-        for seg in segs:
-            for f in range(k):
-                m = merge_all([parts[(a, g)] for a in segments[seg] for g in range(k)
-                               if g != f and (a, g) in parts], cols)
-                if intercept:
-                    out[(seg, f)] = ols_with_intercept(m, list(feats), target, standardise)
-                else:
-                    out[(seg, f)] = ols_no_intercept(m, list(feats), target)
-    return out
+    _, cv = segment_fold_models(df, features, target, segments, atom_col, fold_col, None, k,
+                                intercept, standardise)
+    return cv
 
 
-def cross_validate(df: DataFrame, features: dict[str, list[str]], target: str, segments: dict[str, list[str]],
-                   atom_col: str, fold_col: str = "fold", k: int = 5, intercept: bool = True,
-                   standardise: bool = True) -> DataFrame:
-    """CVA1: (segment, fold, n, mse, rmse, r2) on the validation fold."""
-    fits = fold_models(df, features, target, segments, atom_col, fold_col, k, intercept, standardise)
+def score_folds(df: DataFrame, fits: dict, target: str, segments: dict[str, list[str]], atom_col: str,
+                fold_col: str, k: int) -> DataFrame:
+    """Each row scored by the model that did not see its fold; metrics per
+    (segment, fold) in one aggregation."""
     fold = F.col(fold_col)
-    parts = []
+    models = {}
     for seg, atoms in segments.items():
         pred = F.lit(None).cast("double")
         for f in range(k):
             pred = F.when(fold == f, predict(fits[(seg, f)])).otherwise(pred)
-        member = F.col(atom_col).isin(*atoms)
-        parts.append((seg, member, pred))
-    models = {seg: (member, pred) for seg, member, pred in parts}
+        models[seg] = (F.col(atom_col).isin(*atoms), pred)
     res = MET.evaluate(df, target, models, by=[fold_col])
     return res.select(F.col("model").alias("segment"), F.col(fold_col).cast("bigint").alias("fold"),
                       "n", "mse", "rmse", "r2")
 
 
+def cross_validate(df: DataFrame, features: dict[str, list[str]], target: str, segments: dict[str, list[str]],
+                   atom_col: str, fold_col: str = "fold", k: int = 5, intercept: bool = True,
+                   standardise: bool = True) -> DataFrame:
+    """CVA1: (segment, fold, n, mse, rmse, r2) on the validation fold."""
+    fits = fold_models(df, features, target, segments, atom_col, fold_col, k, intercept, standardise)
+    return score_folds(df, fits, target, segments, atom_col, fold_col, k)
+
+
 def cv_average(scores: DataFrame) -> DataFrame:
     """CVA2: mean MSE, mean of the fold RMSEs (not sqrt of mean MSE), mean R^2."""
     return scores.groupBy("segment").agg(

@@ -124,3 +124,40 @@ def merge_all(parts: Iterable[Moments], names: Sequence[str]) -> Moments:
     for p in parts:
         out = out.merge(p)
     return out
+
+
+def collect_moments_multi(df: DataFrame, lists: dict[str, Sequence[str]],
+                          by: Sequence[str] = ()) -> dict[str, dict[tuple, Moments]]:
+    """Moments for several column lists in ONE aggregation pass.
+
+    Each list keeps its own listwise deletion through conditional inputs
+    (``covar_pop`` and ``avg`` skip nulls), so models with different feature
+    lists -- and their train, test and fold groups via ``by`` -- cost a single
+    scan and a single small shuffle.
+    """
+    by = list(by)
+    exprs, plan = [], {}
+    for li, (name, cols) in enumerate(lists.items()):
+        cols = list(cols)
+        ok = X.all_not_null([X.nan_to_null(c) for c in cols])
+        v = {c: F.when(ok, X.nan_to_null(c)) for c in cols}
+        exprs.append(F.count_if(ok).alias(f"__n_{li}"))
+        exprs += [F.avg(v[c]).alias(f"__m_{li}_{i}") for i, c in enumerate(cols)]
+        exprs += [F.covar_pop(v[a], v[b]).alias(f"__c_{li}_{i}_{j}")
+                  for (i, a), (j, b) in combinations_with_replacement(list(enumerate(cols)), 2)]
+        plan[name] = (li, cols)
+    rows = df.groupBy(*by).agg(*exprs).collect()
+    out: dict[str, dict[tuple, Moments]] = {name: {} for name in lists}
+    for r in rows:
+        key = tuple(r[b] for b in by)
+        for name, (li, cols) in plan.items():
+            n = float(r[f"__n_{li}"] or 0)
+            if n == 0:
+                continue
+            k = len(cols)
+            mean = np.array([r[f"__m_{li}_{i}"] for i in range(k)], dtype=float)
+            cp = np.zeros((k, k))
+            for i, j in combinations_with_replacement(range(k), 2):
+                cp[i, j] = cp[j, i] = (r[f"__c_{li}_{i}_{j}"] or 0.0) * n
+            out[name][key] = Moments(cols, n, mean, cp)
+    return out

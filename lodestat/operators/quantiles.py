@@ -40,16 +40,26 @@ class _Bracket:
     ranks: list[int] = field(default_factory=list)   # wanted 0-based ranks inside
 
 
+def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
+    """count, min, max per column (NaN counted as missing) in one aggregation."""
+    clean = df.select(*[X.nan_to_null(c).alias(c) for c in cols])
+    row = clean.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"s{i}")
+                      for i, c in enumerate(cols)]).first()
+    return {c: row[f"s{i}"].asDict() for i, c in enumerate(cols)}
+
+
 def order_statistics(df: DataFrame, cols: Sequence[str], ranks_by_col: dict[str, list[int]],
-                     bins: int = 1024, collect_limit: int = 20_000, max_passes: int = 64) -> dict[str, dict[int, float]]:
-    """Exact values at the given 0-based ranks (ascending, nulls and NaN skipped)."""
+                     bins: int = 1024, collect_limit: int = 100_000, max_passes: int = 64,
+                     stats: dict[str, dict] | None = None) -> dict[str, dict[int, float]]:
+    """Exact values at the given 0-based ranks (ascending, nulls and NaN skipped).
+
+    ``collect_limit`` bounds what reaches the driver (values of one bracket)."""
     clean = df.select(*[X.nan_to_null(c).alias(c) for c in cols])
-    stats = clean.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"s{i}")
-                        for i, c in enumerate(cols)]).first()
+    stats = stats or column_stats(df, cols)
     result: dict[str, dict[int, float]] = {c: {} for c in cols}
     open_: dict[str, list[_Bracket]] = {}
     for i, c in enumerate(cols):
-        s = stats[f"s{i}"]
+        s = stats[c]
         ranks = sorted(set(r for r in ranks_by_col.get(c, []) if 0 <= r < (s["n"] or 0)))
         if ranks:
             open_[c] = [_Bracket(float(s["lo"]), float(s["hi"]), 0, int(s["n"]), ranks)]
@@ -149,11 +159,11 @@ def _settle_small(clean: DataFrame, small: dict[str, list[_Bracket]], result) ->
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[str, dict[float, float | None]]:
     """Linear-interpolation quantiles (pandas ``quantile``, SQL ``quantile_cont``)."""
-    counts = df.agg(*[F.count(X.nan_to_null(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    stats = column_stats(df, cols)
     plan: dict[str, list[tuple[float, int, int, float]]] = {}
     ranks: dict[str, list[int]] = {}
-    for i, c in enumerate(cols):
-        n = counts[f"n{i}"]
+    for c in cols:
+        n = stats[c]["n"]
         plan[c] = []
         if not n:
             continue
@@ -163,11 +173,11 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw)
             hi = min(lo + 1, n - 1)
             plan[c].append((p, lo, hi, h - lo))
             ranks.setdefault(c, []).extend([lo, hi])
-    stats = order_statistics(df, cols, ranks, **kw) if ranks else {}
+    found = order_statistics(df, cols, ranks, stats=stats, **kw) if ranks else {}
     out: dict[str, dict[float, float | None]] = {}
     for c in cols:
         out[c] = {p: None for p in probs}
         for p, lo, hi, frac in plan[c]:
-            a, b = stats[c][lo], stats[c][hi]
+            a, b = found[c][lo], found[c][hi]
             out[c][p] = a + (b - a) * frac
     return out

@@ -37,33 +37,72 @@ def fit_segments(df: DataFrame, features: dict[str, list[str]], target: str,
 
     ``segments`` maps a segment name to the atoms (values of ``atom_col``) it
     unions; ``features`` maps a segment to its feature list.  Listwise deletion
-    is per model (rows complete on that model's columns).  One aggregation job
-    per distinct feature list; segment moments are merged on the driver, so a
-    segment that contains others (the whole year) costs no extra pass.
-    Keys of the result are the segment name, or (segment, *extra) tuples.
+    is per model (rows complete on that model's columns).  ONE aggregation pass
+    whatever the number of segments and feature lists; segment moments are
+    merged on the driver, so a segment that contains others (the whole year)
+    costs nothing extra.  Keys of the result are the segment name, or
+    (segment, *extra) tuples.
     """
     if atom_col is None:
         segments = {seg: [None] for seg in features}
     data = df.where(train) if train is not None else df
-    groups: dict[tuple, list[str]] = {}
-    for seg, feats in features.items():
-        groups.setdefault(tuple(feats), []).append(seg)
+    lists, list_of = _feature_lists(features, target)
+    by = ([atom_col] if atom_col else []) + list(extra_by)
+    parts = _collect(data, lists, by)
+    if atom_col is None:
+        parts = {lid: {(None, *k): v for k, v in p.items()} for lid, p in parts.items()}
     out: dict = {}
-    for feats, segs in groups.items():
-        cols = list(feats) + [target]
-        by = ([atom_col] if atom_col else []) + list(extra_by)
-        parts = collect_moments(data, cols, by)
-        if atom_col is None:
-            parts = {(None, *k): v for k, v in parts.items()}
-        extras = sorted({k[1:] for k in parts}) if extra_by else [()]
-        for seg in segs:
-            for ex in extras:
-                m = merge_all([parts[(a, *ex)] for a in segments[seg] if (a, *ex) in parts], cols)
-                fit = _solve(m, list(feats), target, intercept, standardise)
-                out[(seg, *ex) if extra_by else seg] = fit
+    for seg, feats in features.items():
+        lp = parts[list_of[seg]]
+        extras = sorted({k[1:] for k in lp}) if extra_by else [()]
+        for ex in extras:
+            fit = fit_from_parts(lp, feats, target, segments[seg], keep=lambda key, ex=ex: key[1:] == ex,
+                                 intercept=intercept, standardise=standardise)
+            out[(seg, *ex) if extra_by else seg] = fit
     return out
 
 
+def _feature_lists(features: dict[str, list[str]], target: str) -> tuple[dict[str, list[str]], dict[str, str]]:
+    lists: dict[str, list[str]] = {}
+    list_of: dict[str, str] = {}
+    seen: dict[tuple, str] = {}
+    for seg, feats in features.items():
+        key = tuple(feats)
+        if key not in seen:
+            seen[key] = f"l{len(seen)}"
+            lists[seen[key]] = list(feats) + [target]
+        list_of[seg] = seen[key]
+    return lists, list_of
+
+
+def _collect(df: DataFrame, lists: dict[str, list[str]], by: list[str]) -> dict[str, dict[tuple, Moments]]:
+    from .moments import WIDE_FROM, collect_moments_multi
+    if max(len(c) for c in lists.values()) >= WIDE_FROM:
+        return {lid: collect_moments(df, cols, by) for lid, cols in lists.items()}
+    return collect_moments_multi(df, lists, by)
+
+
+def segment_fold_models(df: DataFrame, features: dict[str, list[str]], target: str,
+                        segments: dict[str, list[str]], atom_col: str, fold_col: str, split_col: str | None,
+                        k: int, intercept: bool = True, standardise: bool = True) -> tuple[dict, dict]:
+    """Training-split models per segment AND k cross-validation models per
+    segment from one aggregation grouped by (atom, fold, split)."""
+    lists, list_of = _feature_lists(features, target)
+    by = [atom_col, fold_col] + ([split_col] if split_col else [])
+    parts = _collect(df, lists, by)
+    fits, cv = {}, {}
+    for seg, feats in features.items():
+        lp = parts[list_of[seg]]
+        atoms = segments[seg]
+        if split_col:
+            fits[seg] = fit_from_parts(lp, feats, target, atoms, keep=lambda key: key[2] is False,
+                                       intercept=intercept, standardise=standardise)
+        for f in range(k):
+            cv[(seg, f)] = fit_from_parts(lp, feats, target, atoms, keep=lambda key, f=f: key[1] != f,
+                                          intercept=intercept, standardise=standardise)
+    return fits, cv
+
+
 def _solve(m: Moments, feats: list[str], target: str, intercept: bool, standardise: bool) -> LinearFit:
     if intercept:
         return ols_with_intercept(m, feats, target, standardise)
@@ -176,3 +215,12 @@ def label_segments(df: DataFrame, segments: dict[str, list[str]], atom_col: str,
         return out
 
     return df.withColumn(col, F.explode(F.filter(names, holds)))
+
+
+def fit_from_parts(parts: dict[tuple, Moments], feats: list[str], target: str, atoms: Sequence[str],
+                   keep=lambda key: True, intercept: bool = True, standardise: bool = True) -> LinearFit:
+    """Solve one model from pre-aggregated moment parts keyed (atom, *rest);
+    ``keep`` selects the parts (e.g. training rows, or every fold but one)."""
+    cols = list(feats) + [target]
+    m = merge_all([p.sub(cols) for key, p in parts.items() if key[0] in atoms and keep(key)], cols)
+    return _solve(m, list(feats), target, intercept, standardise)

@@ -27,9 +27,10 @@ def v1_frame(spark, sf):
 
 def pipeline_report(df, features, target, segments, atom_col="atom"):
     """(segment, stage, n, mse, rmse, r2): train, test and 5-fold CV average.
-    Three passes over the rows: moments for the fit, moments per fold, and one
-    scoring pass for train/test plus one for the folds."""
-    fits = RG.fit_segments(df, features, target, segments, atom_col, train=~F.col("is_test"))
+    One moments pass grouped by (atom, fold, split) serves the split models and
+    all fold models; one final job scores train/test and the folds."""
+    fits, cv_fits = RG.segment_fold_models(df, features, target, segments, atom_col, "fold", "is_test",
+                                           C.N_FOLDS)
     models = {}
     for seg, atoms in segments.items():
         member = F.col(atom_col).isin(*atoms)
@@ -38,7 +39,7 @@ def pipeline_report(df, features, target, segments, atom_col="atom"):
     tt = MET.evaluate(df, target, models)
     parts = F.split(F.col("model"), "\\|")
     tt = tt.select(parts[0].alias("segment"), parts[1].alias("stage"), "n", "mse", "rmse", "r2")
-    cv = CV.cross_validate(df, features, target, segments, atom_col, "fold", C.N_FOLDS)
+    cv = CV.score_folds(df, cv_fits, target, segments, atom_col, "fold", C.N_FOLDS)
     cva = cv.where(F.col("n") > 0).groupBy("segment").agg(
         F.sum("n").alias("n"), F.avg("mse").alias("mse"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"))
     cva = cva.select("segment", F.lit("cv").alias("stage"), F.col("n").cast("bigint").alias("n"), "mse", "rmse", "r2")
