@@ -136,17 +136,22 @@ def collect_moments_multi(df: DataFrame, lists: dict[str, Sequence[str]],
     scan and a single small shuffle.
     """
     by = list(by)
-    exprs, plan = [], {}
+    exprs, plan, proj = [], {}, []
+    base = sorted({c for cols in lists.values() for c in cols})
+    clean = df.select(*by, *[X.nan_to_null(c).alias(c) for c in base])
     for li, (name, cols) in enumerate(lists.items()):
         cols = list(cols)
-        ok = X.all_not_null([X.nan_to_null(c) for c in cols])
-        v = {c: F.when(ok, X.nan_to_null(c)) for c in cols}
-        exprs.append(F.count_if(ok).alias(f"__n_{li}"))
+        ok = X.all_not_null(cols)
+        # conditional inputs projected once, so the aggregate reads plain columns
+        proj.append(ok.alias(f"__ok_{li}"))
+        proj += [F.when(ok, F.col(c)).alias(f"__v_{li}_{i}") for i, c in enumerate(cols)]
+        v = {c: F.col(f"__v_{li}_{i}") for i, c in enumerate(cols)}
+        exprs.append(F.count_if(F.col(f"__ok_{li}")).alias(f"__n_{li}"))
         exprs += [F.avg(v[c]).alias(f"__m_{li}_{i}") for i, c in enumerate(cols)]
         exprs += [F.covar_pop(v[a], v[b]).alias(f"__c_{li}_{i}_{j}")
                   for (i, a), (j, b) in combinations_with_replacement(list(enumerate(cols)), 2)]
         plan[name] = (li, cols)
-    rows = df.groupBy(*by).agg(*exprs).collect()
+    rows = clean.select(*by, *proj).groupBy(*by).agg(*exprs).collect()
     out: dict[str, dict[tuple, Moments]] = {name: {} for name in lists}
     for r in rows:
         key = tuple(r[b] for b in by)

@@ -10,18 +10,20 @@
    31 bits and the position in the lower 33);
 3. the frame is checkpointed to the session's checkpoint folder, so ids are
    fixed once and survive lost executors;
-4. per-partition counts (one row per partition) give cumulative offsets,
-   joined back by broadcast (its size is the partition count).
+4. one tiny job counts rows per (partition, group); the driver turns that
+   into partition offsets and group starts (bounded by partitions x groups),
+   which enter the rank as literals -- a projection, no join.
 
 ``within`` ranks inside groups: the group columns lead the order key and the
-group's first global rank is subtracted (one row per group).
+group's first global rank is subtracted.  Groups must be a bounded set
+(model segments); their rows may still span many partitions.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -42,16 +44,31 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], within: Sequence[s
         .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)))
         .checkpoint(eager=True)
     )
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    offsets = counts.select(
-        "__pid",
-        F.coalesce(F.sum("__cnt").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__off"),
-    )
-    ranked = tagged.join(F.broadcast(offsets), "__pid").withColumn(
-        rank_col, (F.col("__off") + F.col("__pos") + F.lit(1)).cast("bigint"))
+    # one tiny job: rows per (partition, group); at most partitions x groups rows
+    counts = tagged.groupBy("__pid", *within).agg(F.count(F.lit(1)).alias("__cnt"),
+                                                  F.min("__pos").alias("__first")).collect()
+    per_part: dict[int, int] = {}
+    for r in counts:
+        per_part[r["__pid"]] = per_part.get(r["__pid"], 0) + r["__cnt"]
+    offsets, acc = [], 0
+    for pid in range(n_parts):
+        offsets.append(acc)
+        acc += per_part.get(pid, 0)
+    rank = F.element_at(F.array(*[F.lit(o) for o in offsets]).cast("array<bigint>"), F.col("__pid") + 1) \
+        + F.col("__pos") + F.lit(1)
     if within:
-        starts = ranked.groupBy(*within).agg(F.min(rank_col).alias("__start"))
-        ranked = ranked.join(F.broadcast(starts), list(within), "left").withColumn(
-            rank_col, (F.col(rank_col) - F.col("__start") + F.lit(1)).cast("bigint")).drop("__start")
-    return ranked.drop("__pid", "__pos", "__off")
+        # a group's first row: its lowest partition, at its first position there
+        starts: dict[tuple, int] = {}
+        for r in sorted(counts, key=lambda r: r["__pid"]):
+            g = tuple(r[w] for w in within)
+            if g not in starts:
+                starts[g] = offsets[r["__pid"]] + r["__first"]
+        start = F.lit(None).cast("bigint")
+        for g, v in starts.items():
+            cond = None
+            for w, val in zip(within, g):
+                c = F.col(w).eqNullSafe(F.lit(val))
+                cond = c if cond is None else cond & c
+            start = F.when(cond, F.lit(v)).otherwise(start)
+        rank = rank - start
+    return tagged.withColumn(rank_col, rank.cast("bigint")).drop("__pid", "__pos")

@@ -13,6 +13,7 @@ from ..operators import diagnostics as DG
 from ..operators import regression as RG
 from ..operators import summary as SM
 from ..operators.moments import collect_moments
+from ..session import materialize
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import prepare as P
@@ -36,7 +37,9 @@ def scored_b(spark, sf):
 
 
 def train_residuals(spark, sf):
-    return scored_b(spark, sf).where(~F.col("is_test")).select("segment", "key", "predicted", "residual")
+    """Materialised once per query: the chart queries run several jobs on it."""
+    res = scored_b(spark, sf).where(~F.col("is_test")).select("segment", "key", "predicted", "residual")
+    return materialize(res, key=["segment", "key"])
 
 
 RES_SQL = f"WITH {B_MODEL},\nres AS (SELECT segment, key, __yhat AS predicted, __y - __yhat AS e FROM {B_SCORED} WHERE __t)"

@@ -56,3 +56,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="lodestat-ckpt-", dir=os.environ.get("LODESTAT_SCRATCH", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir()
+
+
+def materialize(df, key: list[str] | None = None):
+    """Write a frame that several jobs of one query reuse to the session's
+    checkpoint folder (shared storage on a cluster) and cut its lineage: later
+    jobs read the files instead of recomputing the upstream, and a lost
+    executor costs a re-read, not a recomputation.
+
+    With ``key`` the frame is hash-partitioned on it into
+    ``spark.sql.shuffle.partitions`` parts as it is written, so the heavy jobs
+    that follow get evenly sized tasks whatever the upstream layout."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if key:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    return df.checkpoint(eager=True)
