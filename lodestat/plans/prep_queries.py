@@ -93,6 +93,28 @@ def q_bucket_join(spark, sf):
                     _b("bucket_count"))
 
 
+_NULL_SAFE_JOINED = O.JOINED.replace(
+    "ON lb.date = ob.date AND lb.start_time_interval = ob.time_interval",
+    "ON lb.date IS NOT DISTINCT FROM ob.date AND lb.start_time_interval IS NOT DISTINCT FROM ob.time_interval")
+
+
+@register("bucket_join_null_safe", f"""WITH {O.LANDING},\n{O.OBSERVATION},\n{_NULL_SAFE_JOINED}
+SELECT CAST(key AS BIGINT) AS key, date, {O.ts_text('start_time_interval')} AS start_bucket,
+       {O.ts_text('time_interval')} AS obs_bucket, arrival_number, landing_number,
+       {O.r('food_availability')} AS food_availability, {O.r('arrival_minutes')} AS arrival_minutes,
+       CAST(month_x AS BIGINT) AS month_x, CAST(month_y AS BIGINT) AS month_y, bucket_count
+FROM joined""")
+def q_bucket_join_null_safe(spark, sf):
+    """JON1 with null keys matching null keys (as the original merge does)."""
+    from ..operators.timebucket import bucket_join_counted
+    j = bucket_join_counted(FX.landings(spark, sf), FX.observations(spark, sf), "start_time", "time",
+                            count_col="bucket_count", null_safe=True)
+    return j.select(_b("key"), "date", ts_text("start_time_interval").alias("start_bucket"),
+                    ts_text("time_interval").alias("obs_bucket"), _b("arrival_number"), _b("landing_number"),
+                    _r("food_availability"), _r("arrival_minutes"), _b("month_x"), _b("month_y"),
+                    _b("bucket_count"))
+
+
 FEATURE_OUT = ["arrival_present", "food_fraction", "month_num", "season", "arrivals_exceed",
                "risk_arrivals", "risk_food", "risk_reward"]
 

@@ -1 +1,10 @@
-"""lodestat."""
+"""Streaming.
+
+The analysis being rebuilt has no streams, watermarks or state, so no
+streaming operator exists here.  ``moments`` shows that the core sufficient
+statistics are a plain grouped aggregation and therefore run unchanged on a
+Structured Streaming source (complete output mode), e.g. to keep segment
+models current while observation files arrive.
+"""
+
+from .moments import stream_moments  # noqa: F401

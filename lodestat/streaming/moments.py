@@ -1,0 +1,20 @@
+"""The grouped moments aggregation on a streaming DataFrame."""
+
+from __future__ import annotations
+
+from typing import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.moments import grouped_moments
+
+
+def stream_moments(stream: DataFrame, cols: Sequence[str], by: Sequence[str], sink: str,
+                   checkpoint: str) -> StreamingQuery:
+    """Start a complete-mode query keeping ``grouped_moments`` of a stream in
+    the in-memory table ``sink``; ``Moments.from_row`` reads its rows.  The
+    state is one row of O(k^2) numbers per group, whatever the stream length."""
+    agg = grouped_moments(stream, cols, by)
+    return (agg.writeStream.outputMode("complete").format("memory").queryName(sink)
+            .option("checkpointLocation", checkpoint).start())

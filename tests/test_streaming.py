@@ -1,0 +1,27 @@
+import tempfile
+
+import numpy as np
+
+from lodestat.operators.moments import Moments, collect_moments
+from lodestat.streaming import stream_moments
+
+from conftest import SF_SMALL
+
+
+def test_streaming_moments_equal_batch(spark):
+    path = f"{SF_SMALL}/orders.parquet"
+    batch = spark.read.parquet(path)
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "orders.parquet").parquet(SF_SMALL)
+    cols = ["o_totalprice", "o_custkey"]
+    q = stream_moments(stream, cols, ["o_orderstatus"], "orders_moments", tempfile.mkdtemp(prefix="lodestat-stream-"))
+    try:
+        q.processAllAvailable()
+        rows = spark.sql("SELECT * FROM orders_moments").collect()
+    finally:
+        q.stop()
+    got = {r["o_orderstatus"]: Moments.from_row(r, cols) for r in rows}
+    want = collect_moments(batch, cols, ["o_orderstatus"])
+    assert set(got) == {k[0] for k in want}
+    for (status,), m in want.items():
+        assert got[status].n == m.n
+        assert np.allclose(got[status].cp, m.cp, rtol=1e-9)
