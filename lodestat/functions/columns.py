@@ -229,5 +229,6 @@ def normal_ppf_scalar(p: float) -> float:
 
 
 def rounded(c: ColumnLike, decimals: int = C.OUT_DECIMALS) -> Column:
-    """Output rounding of doubles (half-up, as DuckDB ``round``)."""
-    return F.round(col(c).cast("double"), decimals)
+    """Output rounding of doubles (half-up, as DuckDB ``round``); adding 0.0
+    turns a negative zero into 0.0 so equal values hash equally."""
+    return F.round(col(c).cast("double"), decimals) + F.lit(0.0)

@@ -18,7 +18,7 @@ D = C.OUT_DECIMALS
 
 
 def r(expr: str, d: int = D) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {d})"
+    return f"(round(CAST({expr} AS DOUBLE), {d}) + 0.0)"
 
 
 def key_hash_sql(key_cols: Sequence[str], seed: int) -> str:
