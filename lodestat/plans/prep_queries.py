@@ -30,6 +30,12 @@ def _b(c: str):
     return F.col(c).cast("bigint").alias(c)
 
 
+def _d(c: str):
+    """Counts that can be null on the right side of an outer join leave as doubles:
+    a nullable integer column has no single representation across engines."""
+    return F.col(c).cast("double").alias(c)
+
+
 # --- SRC1-3 ------------------------------------------------------------------------------
 
 LANDING_COLS = ["key", "start_time", "date", "time_to_food", "risk", "reward", "min_after_arrival", "month"]
@@ -81,16 +87,17 @@ def q_csv_roundtrip(spark, sf):
 
 @register("bucket_join", f"""WITH {O.LANDING},\n{O.OBSERVATION},\n{O.JOINED}
 SELECT CAST(key AS BIGINT) AS key, date, {O.ts_text('start_time_interval')} AS start_bucket,
-       {O.ts_text('time_interval')} AS obs_bucket, arrival_number, landing_number,
+       {O.ts_text('time_interval')} AS obs_bucket, CAST(arrival_number AS DOUBLE) AS arrival_number,
+       CAST(landing_number AS DOUBLE) AS landing_number,
        {O.r('food_availability')} AS food_availability, {O.r('arrival_minutes')} AS arrival_minutes,
-       CAST(month_x AS BIGINT) AS month_x, CAST(month_y AS BIGINT) AS month_y, bucket_count
+       CAST(month_x AS BIGINT) AS month_x, CAST(month_y AS DOUBLE) AS month_y, CAST(bucket_count AS DOUBLE) AS bucket_count
 FROM joined""")
 def q_bucket_join(spark, sf):
     j = P.joined_a(spark, sf)
     return j.select(_b("key"), "date", ts_text("start_time_interval").alias("start_bucket"),
-                    ts_text("time_interval").alias("obs_bucket"), _b("arrival_number"), _b("landing_number"),
-                    _r("food_availability"), _r("arrival_minutes"), _b("month_x"), _b("month_y"),
-                    _b("bucket_count"))
+                    ts_text("time_interval").alias("obs_bucket"), _d("arrival_number"), _d("landing_number"),
+                    _r("food_availability"), _r("arrival_minutes"), _b("month_x"), _d("month_y"),
+                    _d("bucket_count"))
 
 
 _NULL_SAFE_JOINED = O.JOINED.replace(
@@ -100,9 +107,10 @@ _NULL_SAFE_JOINED = O.JOINED.replace(
 
 @register("bucket_join_null_safe", f"""WITH {O.LANDING},\n{O.OBSERVATION},\n{_NULL_SAFE_JOINED}
 SELECT CAST(key AS BIGINT) AS key, date, {O.ts_text('start_time_interval')} AS start_bucket,
-       {O.ts_text('time_interval')} AS obs_bucket, arrival_number, landing_number,
+       {O.ts_text('time_interval')} AS obs_bucket, CAST(arrival_number AS DOUBLE) AS arrival_number,
+       CAST(landing_number AS DOUBLE) AS landing_number,
        {O.r('food_availability')} AS food_availability, {O.r('arrival_minutes')} AS arrival_minutes,
-       CAST(month_x AS BIGINT) AS month_x, CAST(month_y AS BIGINT) AS month_y, bucket_count
+       CAST(month_x AS BIGINT) AS month_x, CAST(month_y AS DOUBLE) AS month_y, CAST(bucket_count AS DOUBLE) AS bucket_count
 FROM joined""")
 def q_bucket_join_null_safe(spark, sf):
     """JON1 with null keys matching null keys (as the original merge does)."""
@@ -110,9 +118,9 @@ def q_bucket_join_null_safe(spark, sf):
     j = bucket_join_counted(FX.landings(spark, sf), FX.observations(spark, sf), "start_time", "time",
                             count_col="bucket_count", null_safe=True)
     return j.select(_b("key"), "date", ts_text("start_time_interval").alias("start_bucket"),
-                    ts_text("time_interval").alias("obs_bucket"), _b("arrival_number"), _b("landing_number"),
-                    _r("food_availability"), _r("arrival_minutes"), _b("month_x"), _b("month_y"),
-                    _b("bucket_count"))
+                    ts_text("time_interval").alias("obs_bucket"), _d("arrival_number"), _d("landing_number"),
+                    _r("food_availability"), _r("arrival_minutes"), _b("month_x"), _d("month_y"),
+                    _d("bucket_count"))
 
 
 FEATURE_OUT = ["arrival_present", "food_fraction", "month_num", "season", "arrivals_exceed",
