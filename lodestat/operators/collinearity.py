@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions import columns as X
 from .linalg import vif_from_moments
 from .gram import pairwise_correlation
 from .moments import MAX_COLUMNS, collect_moments

@@ -9,8 +9,6 @@ not see its fold and aggregates the validation errors per (segment, fold).
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

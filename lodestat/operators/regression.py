@@ -23,12 +23,6 @@ from .moments import Moments, collect_moments, merge_all
 
 # --- fitting ------------------------------------------------------------------
 
-def segment_moments(df: DataFrame, cols: Sequence[str], atom_col: str | None,
-                    extra_by: Sequence[str] = ()) -> dict[tuple, Moments]:
-    by = ([atom_col] if atom_col else []) + list(extra_by)
-    return collect_moments(df, list(cols), by)
-
-
 def fit_segments(df: DataFrame, features: dict[str, list[str]], target: str,
                  segments: dict[str, list[str]] | None = None, atom_col: str | None = None,
                  train: Column | None = None, intercept: bool = True, standardise: bool = True,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -12,12 +11,11 @@ from ..functions import columns as X
 from ..operators import diagnostics as DG
 from ..operators import regression as RG
 from ..operators import summary as SM
-from ..operators.moments import collect_moments
 from ..session import materialize
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import prepare as P
-from .model_queries import A_LOG_COLS, A_LOG_SQL, B_MODEL, B_SCORED, _candidate_lists, _season_fits
+from .model_queries import A_LOG_SQL, B_MODEL, B_SCORED, _candidate_lists, _season_fits
 from .registry import register
 
 

@@ -7,17 +7,14 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import columns as X
 from ..operators import collinearity as CO
 from ..operators import crossval as CV
-from ..operators import diagnostics as DG
 from ..operators import features as FE
 from ..operators import metrics as MET
 from ..operators import regression as RG
-from ..operators.linalg import condition_number
 from ..operators.moments import collect_moments
 from ..sources import fixtures as FX
 from . import oracle as O

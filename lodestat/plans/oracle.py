@@ -12,7 +12,7 @@ from __future__ import annotations
 from typing import Sequence
 
 from .. import config as C
-from ..functions.columns import HASH_SPACE, test_threshold  # noqa: F401
+from ..functions.columns import test_threshold
 
 D = C.OUT_DECIMALS
 

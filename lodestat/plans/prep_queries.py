@@ -152,6 +152,29 @@ def q_profile_clean(spark, sf):
     return S.profile(P.clean_a(spark, sf))
 
 
+@register("clean_columns", f"""WITH {O.FIXTURE_A},
+clean AS (SELECT * EXCLUDE (time, time_interval, start_time_interval, food_availability, month_y, month_x,
+                            month_num), month_num AS month FROM feat3)
+SELECT CAST(key AS BIGINT) AS key, {O.ts_text('start_time')} AS start_time, date,
+       {O.r('time_to_food')} AS time_to_food, CAST(risk AS BIGINT) AS risk, CAST(reward AS BIGINT) AS reward,
+       {O.r('min_after_arrival')} AS min_after_arrival, CAST(arrival_number AS DOUBLE) AS arrival_number,
+       CAST(landing_number AS DOUBLE) AS landing_number, {O.r('arrival_minutes')} AS arrival_minutes,
+       CAST(bucket_count AS DOUBLE) AS bucket_count, CAST(arrival_present AS BIGINT) AS arrival_present,
+       {O.r('food_fraction')} AS food_fraction, CAST(month AS BIGINT) AS month, season,
+       CAST(arrivals_exceed AS BIGINT) AS arrivals_exceed, CAST(risk_arrivals AS BIGINT) AS risk_arrivals,
+       {O.r('risk_food')} AS risk_food, {O.r('risk_reward')} AS risk_reward
+FROM clean""")
+def q_clean_columns(spark, sf):
+    """PRJ1-4 + CNV1: the cleaned frame (helpers and collided months dropped,
+    month renamed, numeric coercion of the target)."""
+    df = P.clean_a(spark, sf).withColumn("time_to_food", X.to_double("time_to_food"))
+    return df.select(_b("key"), ts_text("start_time").alias("start_time"), "date", _r("time_to_food"), _b("risk"),
+                     _b("reward"), _r("min_after_arrival"), _d("arrival_number"), _d("landing_number"),
+                     _r("arrival_minutes"), _d("bucket_count"), _b("arrival_present"), _r("food_fraction"),
+                     _b("month"), "season", _b("arrivals_exceed"), _b("risk_arrivals"), _r("risk_food"),
+                     _r("risk_reward"))
+
+
 # --- AGG1-3 -------------------------------------------------------------------------------------
 
 @register("group_size", f"""WITH {O.LANDING},\n{O.OBSERVATION},\n{O.JOINED}
