@@ -188,3 +188,80 @@ def q_ols_summary(spark, sf):
     df = FE.with_logs(P.clean_a(spark, sf), C.A_LOG_CANDIDATES)
     feats = _candidate_lists()["log_arrivals_exceed"]
     return SM.ols_summary(spark, df, feats, C.A_TARGET, order_cols=["key"])
+
+
+# --- REG8, SQL-expressible part ----------------------------------------------------------------
+
+FIT_STATS = ["n", "df_model", "df_resid", "r2", "adj_r2", "f_stat", "log_likelihood", "aic", "bic", "skew",
+             "kurtosis", "jarque_bera", "jarque_bera_p", "omnibus", "omnibus_p", "durbin_watson"]
+TERM_STATS = ["coef", "std_err", "t"]
+
+
+def _summary_frame(spark, sf):
+    from ..operators import features as FE
+    return FE.with_logs(P.clean_a(spark, sf), C.A_LOG_CANDIDATES)
+
+
+def _fit_stats_sql() -> str:
+    feats = _candidate_lists()["log_arrivals_exceed"]
+    k = len(feats)
+    comp = " AND ".join(f"{c} IS NOT NULL" for c in [*feats, C.A_TARGET])
+    ctes, scored, coef = O.gs_ctes("sm", "smb", [], ["key"], feats, C.A_TARGET, "TRUE", intercept=False)
+    ssr_parts = []
+    for i, c in enumerate(feats):
+        others = [f for f in feats if f != c]
+        cte, sc, _ = O.gs_ctes(f"sx{i}", "smb", [], [], others, c, "TRUE", intercept=False)
+        ctes += cte
+        ssr_parts.append(f"(SELECT sum((__y - __yhat) * (__y - __yhat)) FROM {sc}) AS ssr{i}")
+    e = "(__y - __yhat)"
+    zs = """(delta * ln(y / alpha + sqrt((y / alpha) * (y / alpha) + 1)))"""
+    body = f"""
+st AS (SELECT count(*) AS n, sum({e} * {e}) AS ssr, sum(__y * __y) AS tss, avg({e}) AS me FROM {scored}),
+cm AS (SELECT avg(pow({e} - me, 2)) AS m2, avg(pow({e} - me, 3)) AS m3, avg(pow({e} - me, 4)) AS m4
+       FROM {scored}, st),
+dw AS (SELECT sum(pow(d, 2)) AS num FROM (SELECT {e} - lag({e}) OVER (ORDER BY key) AS d FROM {scored})),
+base AS (SELECT n, ssr, tss, n - {k} AS dfr, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) AS kurt, num AS dwn,
+                {', '.join(ssr_parts)} FROM st, cm, dw),
+sk AS (SELECT *, skew * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y0,
+              3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9)) AS beta2,
+              3.0 * (n - 1) / (n + 1) AS e_k,
+              24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1.0) * (n + 3) * (n + 5)) AS varb2,
+              6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb1
+       FROM base),
+sk2 AS (SELECT *, -1 + sqrt(2 * (beta2 - 1)) AS w2, CASE WHEN y0 = 0 THEN 1 ELSE y0 END AS y,
+               (kurt - e_k) / sqrt(varb2) AS xk,
+               6.0 + 8.0 / sb1 * (2.0 / sb1 + sqrt(1 + 4.0 / (sb1 * sb1))) AS a FROM sk),
+sk3 AS (SELECT *, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS alpha,
+               1 + xk * sqrt(2 / (a - 4.0)) AS den FROM sk2),
+sk4 AS (SELECT *, {zs} AS zs,
+               (1 - 2 / (9.0 * a) - sign(den) * pow((1 - 2.0 / a) / abs(den), 1 / 3.0)) / sqrt(2 / (9.0 * a)) AS zk
+        FROM sk3),
+fin AS (SELECT *, 1 - ssr / tss AS r2, -n / 2.0 * (ln(2 * pi()) + ln(ssr / n) + 1) AS llf,
+               n / 6.0 * (skew * skew + (kurt - 3) * (kurt - 3) / 4.0) AS jb, zs * zs + zk * zk AS omni FROM sk4)
+"""
+    rows = [
+        ("n", "n"), ("df_model", f"{k}"), ("df_resid", "dfr"), ("r2", "r2"),
+        ("adj_r2", f"1 - n / dfr * (1 - r2)"), ("f_stat", f"((tss - ssr) / {k}) / (ssr / dfr)"),
+        ("log_likelihood", "llf"), ("aic", f"-2 * llf + 2 * {k}"), ("bic", f"-2 * llf + {k} * ln(n)"),
+        ("skew", "skew"), ("kurtosis", "kurt"), ("jarque_bera", "jb"), ("jarque_bera_p", "exp(-jb / 2)"),
+        ("omnibus", "omni"), ("omnibus_p", "exp(-omni / 2)"), ("durbin_watson", "dwn / ssr"),
+    ]
+    sel = [f"SELECT 'model' AS term, '{name}' AS stat, {O.r(expr)} AS value FROM fin" for name, expr in rows]
+    for i, c in enumerate(feats):
+        se = f"sqrt(ssr / dfr / ssr{i})"
+        sel.append(f"SELECT '{c}', 'coef', {O.r(f'b{i + 1}')} FROM fin, {coef}")
+        sel.append(f"SELECT '{c}', 'std_err', {O.r(se)} FROM fin")
+        sel.append(f"SELECT '{c}', 't', {O.r(f'b{i + 1} / {se}')} FROM fin, {coef}")
+    return ("WITH " + A_LOG_SQL + f",\nsmb AS (SELECT * FROM logs WHERE {comp}),\n" + ",\n".join(ctes) + ","
+            + body + "\n".join(["", "\nUNION ALL\n".join(sel)]))
+
+
+@register("ols_fit_stats", _fit_stats_sql())
+def q_ols_fit_stats(spark, sf):
+    """REG8 fields that SQL can check: fit, information criteria, residual
+    shape tests, Durbin-Watson, coefficients, standard errors and t values."""
+    feats = _candidate_lists()["log_arrivals_exceed"]
+    v = SM.ols_summary_values(_summary_frame(spark, sf), feats, C.A_TARGET, order_cols=["key"])
+    rows = [("model", s, float(v["model"][s])) for s in FIT_STATS]
+    rows += [(t, s, float(v["terms"][t][s])) for t in feats for s in TERM_STATS]
+    return spark.createDataFrame(rows, "term string, stat string, value double").select("term", "stat", _r("value"))
