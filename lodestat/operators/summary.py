@@ -1,8 +1,10 @@
 """REG8: regression summary of a least-squares fit without intercept.
 
-Rows are touched in three Spark jobs: the Gram aggregation, one residual
-moment aggregation (count, SSR, skewness, kurtosis, with the coefficients as
-literals), and the Durbin-Watson pass (distributed rank + neighbour join).
+The complete rows are written once to the checkpoint folder (narrow: order
+key, features, target); then three jobs read them: the Gram aggregation, one
+residual moment aggregation (count, SSR, skewness, kurtosis, with the
+coefficients as literals), and the Durbin-Watson pass (distributed rank +
+neighbour join).
 Everything else is k x k algebra and scalar tail probabilities on the driver.
 """
 
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..session import materialize
 from .diagnostics import durbin_watson
 from .linalg import _constant_in_span, _pinv_solve, condition_number, ols_no_intercept
 from .moments import collect_moments
@@ -121,6 +124,8 @@ def ols_summary_values(df: DataFrame, features: Sequence[str], target: str,
                        order_cols: Sequence[str] = ()) -> dict:
     feats = list(features)
     cols = feats + [target]
+    # three jobs read the complete rows: materialise them once (narrow)
+    df = materialize(df.select(*order_cols, *cols).where(X.all_not_null(cols)), key=list(order_cols) or None)
     m = collect_moments(df, cols)[()]
     fit = ols_no_intercept(m, feats, target)
     n, k = fit.n, len(feats)

@@ -231,7 +231,7 @@ FENCES_SQL = f"WITH {CLEAN_SQL},\n{_fence_sql()}"
        {O.r('q3')} AS q3, {O.r('lo')} AS lo_fence, {O.r('hi')} AS hi_fence FROM f""")
 def q_outlier_fences(spark, sf):
     """FEA1: exact quartiles, median and fences of the repaired columns."""
-    fences = FE.iqr_fences(P.clean_a(spark, sf), C.A_REPAIR_COLUMNS)
+    fences = FE.iqr_fences(P.clean_a_materialized(spark, sf), C.A_REPAIR_COLUMNS)
     rows = [(c, f["q1"], f["median"], f["q3"], f["lo"], f["hi"]) for c, f in fences.items()]
     schema = "column_name string, q1 double, median double, q3 double, lo_fence double, hi_fence double"
     df = spark.createDataFrame(rows, schema)
@@ -269,7 +269,7 @@ FROM (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
     + _box_sql("before", "clean", "time_to_food") + "\nUNION ALL\n" + _box_sql("after", "rep", "time_to_food"))
 def q_boxplot(spark, sf):
     """DIA7 before and after the repair."""
-    clean = P.clean_a(spark, sf)
+    clean = P.clean_a_materialized(spark, sf)
     before = FE.boxplot_stats(clean, ["time_to_food"])
     after = FE.boxplot_stats(FE.repair_outliers(clean, C.A_REPAIR_COLUMNS), ["time_to_food"])
     out = before.withColumn("stage", F.lit("before")).unionByName(after.withColumn("stage", F.lit("after")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators import features as FE
 from ..operators.timebucket import bucket_join_counted
+from ..session import materialize
 from ..sources import fixtures as FX
 
 SEASONS = ("Other", "Spring", "Winter")   # codomain of the season function, sorted
@@ -39,9 +40,15 @@ def encode_a(df: DataFrame) -> DataFrame:
     return enc
 
 
+def clean_a_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned landings written once to the checkpoint folder, for queries
+    that run several jobs on them (quantile search, fits, scoring)."""
+    return materialize(clean_a(spark, sf_dir), key=["key"])
+
+
 def repaired_a(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """v1: outliers repaired on all rows before the split (one quantile search)."""
-    return FE.repair_outliers(clean_a(spark, sf_dir), C.A_REPAIR_COLUMNS, **kw)
+    return FE.repair_outliers(clean_a_materialized(spark, sf_dir), C.A_REPAIR_COLUMNS, **kw)
 
 
 def candidate_features(df: DataFrame) -> list[str]:
