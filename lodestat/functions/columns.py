@@ -183,7 +183,10 @@ def _horner(coefs: list[float], r):
 
 
 def normal_ppf(p: ColumnLike) -> Column:
-    """Inverse standard normal CDF as a column expression (0 < p < 1)."""
+    """Inverse standard normal CDF as a column expression (0 < p < 1).
+
+    Self-contained but large: inside an aggregate prefer ``with_normal_ppf``,
+    which computes the shared terms once as columns."""
     p = col(p)
     q = p - F.lit(0.5)
     r_c = F.lit(0.180625) - q * q
@@ -195,6 +198,24 @@ def normal_ppf(p: ColumnLike) -> Column:
     return F.when(F.abs(q) <= 0.425, central).otherwise(F.when(q < 0, -tail).otherwise(tail))
 
 
+def with_normal_ppf(df, p: str, out: str):
+    """``normal_ppf`` in stages: q, r and the shifted tail variables become
+    columns referenced by the polynomials, so the generated code stays linear
+    in size (the one-expression form repeats its argument dozens of times and
+    can exceed the JVM's 64 KB method limit inside an aggregation)."""
+    q, rc, rt = F.col("__ppf_q"), F.col("__ppf_rc"), F.col("__ppf_rt")
+    staged = df.withColumn("__ppf_q", F.col(p) - F.lit(0.5))
+    staged = staged.withColumn("__ppf_rc", F.lit(0.180625) - q * q) \
+        .withColumn("__ppf_rt", F.sqrt(-F.ln(F.least(F.col(p), F.lit(1.0) - F.col(p)))))
+    staged = staged.withColumn("__ppf_r1", rt - F.lit(1.6)).withColumn("__ppf_r5", rt - F.lit(5.0))
+    r1, r5 = F.col("__ppf_r1"), F.col("__ppf_r5")
+    central = q * _horner(AS241_A, rc) / _horner(AS241_B, rc)
+    tail = F.when(rt <= 5.0, _horner(AS241_C, r1) / _horner(AS241_D, r1)) \
+        .otherwise(_horner(AS241_E, r5) / _horner(AS241_F, r5))
+    value = F.when(F.abs(q) <= 0.425, central).otherwise(F.when(q < 0, -tail).otherwise(tail))
+    return staged.withColumn(out, value).drop("__ppf_q", "__ppf_rc", "__ppf_rt", "__ppf_r1", "__ppf_r5")
+
+
 def normal_ppf_sql(p: str) -> str:
     """The same AS241 formula as SQL text (for oracles); ``p`` is an SQL expression."""
 

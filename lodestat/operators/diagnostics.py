@@ -91,16 +91,21 @@ def qq_points(df: DataFrame, value: str, key_cols: Sequence[str], by: Sequence[s
     pos = (F.when(F.col("rank") == F.col("__n"), last)
            .when(F.col("rank") == 1, F.lit(1.0) - last)
            .otherwise((i - F.lit(0.3175)) / (n + F.lit(0.365))))
-    return ranked.select(*by, "rank", X.normal_ppf(pos).alias("theoretical"), F.col(value).alias("sample"))
+    staged = X.with_normal_ppf(ranked.withColumn("__pos", pos), "__pos", "theoretical")
+    return staged.select(*by, "rank", "theoretical", F.col(value).alias("sample"))
 
 
 def qq_line(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """DIA6 line: least-squares fit of sample on theoretical, and r."""
-    return points.groupBy(*by).agg(
+    """DIA6 line: least-squares fit of sample on theoretical, and r (null
+    when either side is constant, where ``corr`` would divide by zero)."""
+    agg = points.groupBy(*by).agg(
         F.regr_slope("sample", "theoretical").alias("slope"),
         F.regr_intercept("sample", "theoretical").alias("intercept"),
-        F.corr("sample", "theoretical").alias("r"),
+        F.covar_pop("sample", "theoretical").alias("__c"),
+        F.stddev_pop("sample").alias("__ss"), F.stddev_pop("theoretical").alias("__st"),
         F.count(F.lit(1)).alias("n"))
+    den = F.col("__ss") * F.col("__st")
+    return agg.select(*by, "slope", "intercept", F.when(den > 0, F.col("__c") / den).alias("r"), "n")
 
 
 def durbin_watson(df: DataFrame, value: str, order_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

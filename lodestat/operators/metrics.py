@@ -15,10 +15,17 @@ from pyspark.sql import functions as F
 METRICS = ("n", "mae", "mse", "rmse", "nrmse", "r2")
 
 
-def _stats(y: Column, yhat: Column, member: Column, tag: str) -> list[Column]:
+def _inputs(y: Column, yhat: Column, member: Column, tag: str) -> list[Column]:
+    """Per-model error and target, projected once before the aggregation (a
+    prediction expression is then evaluated once per row, not once per
+    aggregate, and the generated code stays small)."""
     valid = member & y.isNotNull() & yhat.isNotNull()
-    e = F.when(valid, y - yhat)
-    yv = F.when(valid, y)
+    return [F.when(valid, y - yhat).alias(f"{tag}__e"), F.when(valid, y).alias(f"{tag}__y")]
+
+
+def _stats(tag: str) -> list[Column]:
+    e = F.col(f"{tag}__e")
+    yv = F.col(f"{tag}__y")
     return [
         F.count(e).alias(f"{tag}__n"),
         F.avg(F.abs(e)).alias(f"{tag}__mae"),
@@ -59,13 +66,14 @@ def evaluate(df: DataFrame, y: str | Column, models: dict[str, tuple[Column, Col
     Output: (by..., model, n, mae, mse, rmse, nrmse, r2), one row per group and model.
     """
     y = F.col(y) if isinstance(y, str) else y
-    aggs = []
+    aggs, proj = [], []
     tags = {}
     for i, (name, (member, pred)) in enumerate(models.items()):
         tag = f"m{i}"
         tags[name] = tag
-        aggs += _stats(y, pred, member, tag)
-    stats = df.groupBy(*by).agg(*aggs)
+        proj += _inputs(y, pred, member, tag)
+        aggs += _stats(tag)
+    stats = df.select(*by, *proj).groupBy(*by).agg(*aggs)
     rows = []
     for name, tag in tags.items():
         fin = _finish(tag)
