@@ -35,10 +35,12 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], within: Sequence[s
                 rank_col: str = "rank", n_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n_parts = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) if isinstance(c, str) else c for c in [*within, *order]]
+    # without an explicit count AQE may coalesce small neighbouring ranges;
+    # the sort below restores the order inside a coalesced partition
+    ranged = df.repartitionByRange(n_partitions, *keys) if n_partitions else df.repartitionByRange(*keys)
     tagged = (
-        df.repartitionByRange(n_parts, *keys)
+        ranged
         .sortWithinPartitions(*keys)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)))
@@ -50,10 +52,13 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], within: Sequence[s
     per_part: dict[int, int] = {}
     for r in counts:
         per_part[r["__pid"]] = per_part.get(r["__pid"], 0) + r["__cnt"]
+    n_parts = max(per_part, default=-1) + 1
     offsets, acc = [], 0
     for pid in range(n_parts):
         offsets.append(acc)
         acc += per_part.get(pid, 0)
+    if not offsets:
+        offsets = [0]
     rank = F.element_at(F.array(*[F.lit(o) for o in offsets]).cast("array<bigint>"), F.col("__pid") + 1) \
         + F.col("__pos") + F.lit(1)
     if within:

@@ -34,10 +34,11 @@ def scored_b(spark, sf):
     return out.withColumn("residual", F.col(C.B_TARGET) - F.col("predicted"))
 
 
-def train_residuals(spark, sf):
-    """Materialised once per query: the chart queries run several jobs on it."""
+def train_residuals(spark, sf, shared: bool = True):
+    """Training residuals per segment.  ``shared``: the chart queries run
+    several jobs on them, so they are materialised once per query."""
     res = scored_b(spark, sf).where(~F.col("is_test")).select("segment", "key", "predicted", "residual")
-    return materialize(res, key=["segment", "key"])
+    return materialize(res, key=["segment", "key"]) if shared else res
 
 
 RES_SQL = f"WITH {B_MODEL},\nres AS (SELECT segment, key, __yhat AS predicted, __y - __yhat AS e FROM {B_SCORED} WHERE __t)"
@@ -46,7 +47,7 @@ RES_SQL = f"WITH {B_MODEL},\nres AS (SELECT segment, key, __yhat AS predicted, _
 @register("residuals", RES_SQL + f"\nSELECT segment, key, {O.r('predicted')} AS predicted, {O.r('e')} AS residual FROM res")
 def q_residuals(spark, sf):
     """DIA1 + DIA2: training residuals against predictions, per segment."""
-    return train_residuals(spark, sf).select("segment", "key", _r("predicted"), _r("residual"))
+    return train_residuals(spark, sf, shared=False).select("segment", "key", _r("predicted"), _r("residual"))
 
 
 @register("actual_vs_predicted", f"WITH {B_MODEL}\nSELECT segment, key, {O.r('__y')} AS actual, "

@@ -64,11 +64,12 @@ def materialize(df, key: list[str] | None = None):
     jobs read the files instead of recomputing the upstream, and a lost
     executor costs a re-read, not a recomputation.
 
-    With ``key`` the frame is hash-partitioned on it into
-    ``spark.sql.shuffle.partitions`` parts as it is written, so the heavy jobs
-    that follow get evenly sized tasks whatever the upstream layout."""
+    With ``key`` the frame is hash-partitioned on it as it is written
+    (``spark.sql.shuffle.partitions`` parts, which AQE may coalesce when they
+    are small), so the heavy jobs that follow get evenly sized tasks whatever
+    the upstream layout."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if key:
-        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+        df = df.repartition(*key)
     return df.checkpoint(eager=True)
