@@ -144,6 +144,32 @@ def q_standardised(spark, sf):
         .select("segment", "feature", _r("mean"), _r("scale"))
 
 
+def _std_rows_sql() -> str:
+    stats = ", ".join(f"avg({c}) FILTER (WHERE NOT is_test) AS m_{c}, "
+                      f"CASE WHEN stddev_pop({c}) FILTER (WHERE NOT is_test) > 0 "
+                      f"THEN stddev_pop({c}) FILTER (WHERE NOT is_test) ELSE 1 END AS s_{c}" for c in C.B_FEATURES)
+    cols = ", ".join(f"{O.r(f'({c} - m_{c}) / s_{c}')} AS z_{c}" for c in C.B_FEATURES)
+    return (f"WITH {B_BASE},\nst AS (SELECT segment, {stats} FROM seg GROUP BY segment)\n"
+            f"SELECT segment, key, is_test, {cols} FROM seg JOIN st USING (segment)")
+
+
+@register("standardised_rows", _std_rows_sql())
+def q_standardised_rows(spark, sf):
+    """FEA4 applied: every complete row of a segment (train and test) scaled
+    with that segment's training mean and population std."""
+    df = P.order_b(spark, sf)
+    fits = _season_fits(df)
+    lab = RG.label_segments(df.where(X.all_not_null([*C.B_FEATURES, C.B_TARGET])), C.B_SEGMENTS, "atom")
+    seg = F.col("segment")
+    exprs = {}
+    for i, c in enumerate(C.B_FEATURES):
+        z = F.lit(None).cast("double")
+        for name, fit in fits.items():
+            z = F.when(seg == name, (F.col(c) - F.lit(float(fit.mean[i]))) / F.lit(float(fit.scale[i]))).otherwise(z)
+        exprs[f"z_{c}"] = X.rounded(z)
+    return lab.select("segment", "key", "is_test", *[e.alias(n) for n, e in exprs.items()])
+
+
 @register("split_counts", f"WITH {B_BASE}\nSELECT atom, is_test, count(*) AS n FROM bsplit GROUP BY 1, 2")
 def q_split_counts(spark, sf):
     """FEA5 (hash split, about 20 % test)."""
