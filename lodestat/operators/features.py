@@ -96,7 +96,7 @@ def repair_outliers(df: DataFrame, cols: Sequence[str], fences: dict[str, dict]
 def boxplot_stats(df: DataFrame, cols: Sequence[str], factor: float = C.IQR_FACTOR, **kw) -> DataFrame:
     """DIA7: quartiles, whiskers (extreme values inside the fences) and flier count."""
     fences = iqr_fences(df, cols, factor, **kw)
-    aggs, rows = [], []
+    aggs = []
     for i, c in enumerate(cols):
         f = fences[c]
         x = X.to_double(c)

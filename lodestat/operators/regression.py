@@ -189,32 +189,3 @@ def prediction_frame(df: DataFrame, key_cols: Sequence[str], target: str, pred:
                      extra: Sequence[str | Column] = ()) -> DataFrame:
     """DIA8 / PRJ10: (key, ..., actual, predicted)."""
     return df.select(*key_cols, *extra, F.col(target).alias("actual"), pred.alias("predicted"))
-
-
-def rounded_cols(df: DataFrame, cols: Sequence[str], decimals: int = 6) -> DataFrame:
-    return df.withColumns({c: X.rounded(c, decimals) for c in cols})
-
-
-def label_segments(df: DataFrame, segments: dict[str, list[str]], atom_col: str,
-                   col: str = "segment") -> DataFrame:
-    """One output row per (row, segment holding it): a generator over a
-    bounded list of segment names, no join and no extra scan."""
-    names = F.array(*[F.lit(s) for s in segments])
-    member = {s: F.col(atom_col).isin(*atoms) for s, atoms in segments.items()}
-
-    def holds(s):
-        out = F.lit(False)
-        for name, cond in member.items():
-            out = F.when(s == F.lit(name), cond).otherwise(out)
-        return out
-
-    return df.withColumn(col, F.explode(F.filter(names, holds)))
-
-
-def fit_from_parts(parts: dict[tuple, Moments], feats: list[str], target: str, atoms: Sequence[str],
-                   keep=lambda key: True, intercept: bool = True, standardise: bool = True) -> LinearFit:
-    """Solve one model from pre-aggregated moment parts keyed (atom, *rest);
-    ``keep`` selects the parts (e.g. training rows, or every fold but one)."""
-    cols = list(feats) + [target]
-    m = merge_all([p.sub(cols) for key, p in parts.items() if key[0] in atoms and keep(key)], cols)
-    return _solve(m, list(feats), target, intercept, standardise)

@@ -57,6 +57,12 @@ def _encoded_a(spark, sf):
     return P.encode_a(P.clean_a(spark, sf))
 
 
+def _candidates(enc) -> list[str]:
+    """PRJ2: every numeric column but the exclusion set (A_CANDIDATES spells
+    the same list out for the SQL side)."""
+    return P.candidate_features(enc)
+
+
 # --- AGG9 / FLT6 / PRJ11 / DIA11 ----------------------------------------------------------
 
 def _corr_sql(cols, where: str = "") -> str:
@@ -79,13 +85,15 @@ def _corr_sql(cols, where: str = "") -> str:
 @register("correlation_matrix", _corr_sql(A_CANDIDATES))
 def q_corr(spark, sf):
     """AGG9: pairwise-complete Pearson matrix of the candidate features."""
-    return CO.correlation_long(_encoded_a(spark, sf), A_CANDIDATES).select("col_i", "col_j", _r("corr"))
+    enc = _encoded_a(spark, sf)
+    return CO.correlation_long(enc, _candidates(enc)).select("col_i", "col_j", _r("corr"))
 
 
 @register("high_corr_pairs", _corr_sql(A_CANDIDATES, f"WHERE col_i <> col_j AND corr > {abs(C.CORR_THRESHOLD)}"))
 def q_high_corr(spark, sf):
     """FLT6 (rule as in the analysis: corr > |0.5|, both orders)."""
-    corr = CO.correlation_long(_encoded_a(spark, sf), A_CANDIDATES)
+    enc = _encoded_a(spark, sf)
+    corr = CO.correlation_long(enc, _candidates(enc))
     return CO.high_corr_pairs(corr, C.CORR_THRESHOLD).select("col_i", "col_j", _r("corr"))
 
 
@@ -95,7 +103,8 @@ _w = ", ".join(f"'{c}'" for c in C.A_WINTER_FEATURES)
 @register("corr_heatmap_winter", _corr_sql(A_CANDIDATES, f"WHERE col_i IN ({_w}) AND col_j IN ({_w})"))
 def q_heatmap(spark, sf):
     """PRJ11 / DIA11: heat-map cells of the winter feature list."""
-    corr = CO.correlation_long(_encoded_a(spark, sf), A_CANDIDATES)
+    enc = _encoded_a(spark, sf)
+    corr = CO.correlation_long(enc, _candidates(enc))
     return CO.corr_submatrix(corr, C.A_WINTER_FEATURES).select("col_i", "col_j", _r("corr"))
 
 
@@ -122,7 +131,8 @@ def q_vif(spark, sf):
 @register("vif_elimination", None)
 def q_vif_elim(spark, sf):
     """FEA9 on the candidate features of fixture A (iterative: checked by tests)."""
-    rounds, kept = CO.vif_elimination(_encoded_a(spark, sf), A_CANDIDATES)
+    enc = _encoded_a(spark, sf)
+    rounds, kept = CO.vif_elimination(enc, _candidates(enc))
     rows = [(r["round"], r["removed"], float(r["vif"]) if np.isfinite(r["vif"]) else None) for r in rounds]
     schema = "round bigint, removed string, vif double"
     return spark.createDataFrame(rows, schema).select("round", "removed", _r("vif"))
