@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import columns as X
 from .linalg import LinearFit, ols_no_intercept, ols_with_intercept
 from .moments import Moments, collect_moments, merge_all
 
