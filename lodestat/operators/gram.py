@@ -38,21 +38,26 @@ def column_minimums(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     return np.array([row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i in range(len(cols))], dtype=float)
 
 
-def _encode_group(values) -> str:
-    return _SEP.join(_NULL if v is None or (isinstance(v, float) and np.isnan(v)) else str(v) for v in values)
-
-
 def _partials(cols: list[str], by: list[str], shift: np.ndarray, listwise: bool):
-    k = len(cols)
+    """The per-partition function.  It is shipped to Python workers by value
+    and refers to nothing but numpy, pandas and its own arguments, so the
+    executors need no copy of this package."""
+    sep, null = _SEP, _NULL
 
     def fn(batches):
-        acc: dict[str, dict[str, np.ndarray]] = {}
+        import numpy as np
+        import pandas as pd
+
+        def encode(values):
+            return sep.join(null if v is None or (isinstance(v, float) and np.isnan(v)) else str(v) for v in values)
+
+        acc = {}
         for pdf in batches:
             x_all = pdf[cols].to_numpy(dtype=float, na_value=np.nan) - shift
             if by:
                 keys = pdf[by].astype(object).where(pdf[by].notna(), None)
                 gidx = pd.Series(range(len(pdf))).groupby([keys[b] for b in by], dropna=False, sort=False).indices
-                items = [((_encode_group(g if isinstance(g, tuple) else (g,))), ix) for g, ix in gidx.items()]
+                items = [(encode(g if isinstance(g, tuple) else (g,)), ix) for g, ix in gidx.items()]
             else:
                 items = [("", slice(None))]
             for g, ix in items:
