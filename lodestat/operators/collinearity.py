@@ -72,7 +72,12 @@ def vif_elimination(df: DataFrame, cols: Sequence[str], threshold: float = C.VIF
     kept list.
     """
     cols = list(cols)
-    m = collect_moments(df, cols)[()]
+    return vif_elimination_from_moments(collect_moments(df, cols)[()], cols, threshold, max_rounds)
+
+
+def vif_elimination_from_moments(m, cols: Sequence[str], threshold: float = C.VIF_THRESHOLD,
+                                 max_rounds: int = C.VIF_MAX_ROUNDS) -> tuple[list[dict], list[str]]:
+    """FEA9 on already collected moments (no Spark job)."""
     kept = list(cols)
     rounds = []
     for rnd in range(1, max_rounds + 1):

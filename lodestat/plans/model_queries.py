@@ -138,6 +138,22 @@ def q_vif_elim(spark, sf):
     return spark.createDataFrame(rows, schema).select("round", "removed", _r("vif"))
 
 
+@register("vif_kept", None)
+def q_vif_kept(spark, sf):
+    """FEA8 after FEA9: VIF of the columns the elimination keeps (same single
+    Gram pass; the kept set is data-dependent, so checked by tests)."""
+    from ..operators.linalg import vif_from_moments
+    from ..operators.moments import collect_moments
+    enc = _encoded_a(spark, sf)
+    cols = _candidates(enc)
+    m = collect_moments(enc, cols)[()]
+    rounds, kept = CO.vif_elimination_from_moments(m, cols)
+    v = vif_from_moments(m, kept)
+    rows = [(i, c, float(x) if np.isfinite(x) else None) for i, (c, x) in enumerate(zip(kept, v))]
+    return spark.createDataFrame(rows, "position bigint, feature string, vif double") \
+        .select("position", "feature", _r("vif"))
+
+
 # --- FEA4 / FEA5 / FEA6 / RNK1 ----------------------------------------------------------------
 
 @register("standardised_features", "WITH " + B_BASE + "\n" + "\nUNION ALL\n".join(

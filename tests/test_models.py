@@ -197,3 +197,13 @@ def test_ols_with_intercept_empty_segment():
     from lodestat.operators.moments import Moments
     fit = ols_with_intercept(Moments.empty(["a", "y"]), ["a"], "y")
     assert fit.n == 0 and np.isnan(fit.coef[0])
+
+
+def test_vif_kept_below_threshold_or_rounds_exhausted(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    kept = E.queries()["vif_kept"](spark, SF_SMALL).toPandas()
+    rounds = E.queries()["vif_elimination"](spark, SF_SMALL).toPandas()
+    if rounds.removed.isna().any():          # stopped: every kept VIF is at most the threshold
+        assert (kept.vif.dropna() <= 5.0 + 1e-9).all()
+    assert len(kept) == 17 - rounds.removed.notna().sum()
