@@ -23,10 +23,14 @@ def _r(c: str):
     return X.rounded(c).alias(c)
 
 
-def scored_b(spark, sf):
+def scored_b(spark, sf, shared: bool = False):
     """Every complete order row once per segment holding it, with the
-    segment model's prediction and residual."""
+    segment model's prediction and residual.  ``shared``: the order frame is
+    materialised first, so the fit and the scoring read it instead of both
+    re-aggregating lineitem."""
     df = P.order_b(spark, sf)
+    if shared:
+        df = materialize(df, key=["key"])
     fits = _season_fits(df)
     lab = RG.label_segments(df, C.B_SEGMENTS, "atom")
     pred = RG.predict_by(fits, [F.col("segment")])
@@ -37,7 +41,7 @@ def scored_b(spark, sf):
 def train_residuals(spark, sf, shared: bool = True):
     """Training residuals per segment.  ``shared``: the chart queries run
     several jobs on them, so they are materialised once per query."""
-    res = scored_b(spark, sf).where(~F.col("is_test")).select("segment", "key", "predicted", "residual")
+    res = scored_b(spark, sf, shared).where(~F.col("is_test")).select("segment", "key", "predicted", "residual")
     return materialize(res, key=["segment", "key"]) if shared else res
 
 
