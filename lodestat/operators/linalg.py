@@ -96,12 +96,16 @@ def _pinv_solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
     return x, int(keep.sum())
 
 
-def vif_from_moments(m: Moments, cols: list[str]) -> np.ndarray:
+def vif_from_moments(m: Moments, cols: list[str], centred: bool = False) -> np.ndarray:
     """FEA8 with the convention of the usual statistics package: column i is
     regressed on the other columns *without* an added intercept; R^2 is centred
     when a constant lies in the span of the other columns, else uncentred.
+    ``centred=True`` gives the textbook VIF (regressions with intercept): the
+    diagonal of the inverse correlation matrix.
     Returns +inf for a column explained exactly."""
     sub = m.sub(cols)
+    if centred:
+        return _centred_vif(sub)
     g = sub.uncentred()
     n = sub.n
     sums = sub.mean * n
@@ -147,3 +151,22 @@ def _constant_in_span(gram: np.ndarray, sums: np.ndarray, n: float) -> bool:
 def condition_number(gram: np.ndarray) -> float:
     ev = np.linalg.eigvalsh(gram)
     return float(np.sqrt(ev.max() / ev.min())) if ev.min() > 0 else float("inf")
+
+
+def _centred_vif(sub: Moments) -> np.ndarray:
+    d = np.sqrt(np.diag(sub.cp))
+    k = len(sub.names)
+    out = np.full(k, np.inf)
+    active = np.flatnonzero(d > 0)
+    if active.size == 0:
+        return out
+    corr = sub.cp[np.ix_(active, active)] / np.outer(d[active], d[active])
+    for j, i in enumerate(active):
+        others = [a for a in range(len(active)) if a != j]
+        if not others:
+            out[i] = 1.0
+            continue
+        beta, _ = _pinv_solve(corr[np.ix_(others, others)], corr[others, j])
+        r2 = float(beta @ corr[others, j])
+        out[i] = 1.0 / (1.0 - r2) if r2 < 1 - 1e-12 else np.inf
+    return out

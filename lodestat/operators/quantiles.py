@@ -181,3 +181,17 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw)
             a, b = found[c][lo], found[c][hi]
             out[c][p] = a + (b - a) * frac
     return out
+
+
+def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                     accuracy: int = 10_000) -> dict[str, dict[float, float | None]]:
+    """Scale option for AGG4: one pass of ``percentile_approx`` (mergeable
+    sketches, rank error about n / accuracy).  Not the linear-interpolation
+    definition: it returns a value present in the data."""
+    row = df.agg(*[F.percentile_approx(X.nan_to_null(c), list(probs), accuracy).alias(f"q{i}")
+                   for i, c in enumerate(cols)]).first()
+    out = {}
+    for i, c in enumerate(cols):
+        vals = row[f"q{i}"]
+        out[c] = {p: (None if vals is None else float(v)) for p, v in zip(probs, vals or [None] * len(probs))}
+    return out

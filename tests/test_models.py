@@ -207,3 +207,12 @@ def test_vif_kept_below_threshold_or_rounds_exhausted(spark):
     if rounds.removed.isna().any():          # stopped: every kept VIF is at most the threshold
         assert (kept.vif.dropna() <= 5.0 + 1e-9).all()
     assert len(kept) == 17 - rounds.removed.notna().sum()
+
+
+def test_centred_vif_is_inverse_correlation_diagonal(spark):
+    from lodestat.operators.linalg import vif_from_moments
+    pdf = _data()
+    m = collect_moments(spark.createDataFrame(pdf), ["a", "b", "c"])[()]
+    got = vif_from_moments(m, ["a", "b", "c"], centred=True)
+    want = np.diag(np.linalg.inv(pdf[["a", "b", "c"]].corr().to_numpy()))
+    assert np.allclose(got, want, rtol=1e-9)

@@ -66,3 +66,13 @@ def test_exact_split_sizes(spark):
     assert out.is_test.sum() == 21               # ceil(0.2 * 103)
     sizes = out.groupby("fold").size().sort_index().tolist()
     assert sizes == [21, 21, 21, 20, 20]         # first n mod k folds take one more
+
+
+def test_approx_quantiles_close(spark):
+    from lodestat.operators.quantiles import approx_quantiles
+    rng = np.random.default_rng(9)
+    vals = rng.normal(size=5000)
+    got = approx_quantiles(_frame(spark, vals), ["x"], [0.25, 0.5, 0.75], accuracy=10_000)["x"]
+    for p, v in got.items():
+        rank = (vals < v).mean()
+        assert abs(rank - p) < 0.01
