@@ -1,4 +1,4 @@
-"""Configuration as data: fixed values and the feature lists of the pipelines."""
+"""Configuration as data: fixed values and the feature lists of the analyses."""
 
 from __future__ import annotations
 

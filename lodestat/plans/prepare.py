@@ -1,4 +1,4 @@
-"""Prepared frames of the two pipelines (all lazy unless stated)."""
+"""Prepared frames of the two analyses (all lazy unless stated)."""
 
 from __future__ import annotations
 

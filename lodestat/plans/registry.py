@@ -69,4 +69,4 @@ def oracle_sql() -> dict[str, str]:
 from . import prep_queries  # noqa: E402,F401
 from . import model_queries  # noqa: E402,F401
 from . import diag_queries  # noqa: E402,F401
-from . import pipeline_queries  # noqa: E402,F401
+from . import report_queries  # noqa: E402,F401

@@ -52,7 +52,7 @@ def duck():
 @pytest.mark.parametrize("name", ["univariate_price_on_quantity", "bucket_join", "landing_features",
                                   "outlier_fences", "season_models", "season_metrics", "cv_scores",
                                   "log_candidates", "exact_split", "qq_points", "durbin_watson",
-                                  "residual_histogram", "correlation_matrix", "pipeline_v1"])
+                                  "residual_histogram", "correlation_matrix", "seasonal_report_landings"])
 def test_query_matches_oracle(spark, duck, name):
     got = E.queries()[name](spark, SF_SMALL).toPandas()
     want = duck.sql(E.oracle_sql()[name]).df()
