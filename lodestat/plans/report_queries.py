@@ -47,17 +47,14 @@ def segment_report(df, features, target, segments, atom_col="atom"):
     return out.select("segment", "stage", "n", *[X.rounded(c).alias(c) for c in ("mse", "rmse", "r2")])
 
 
-def _v1_sql() -> str:
-    rep_cols = ", ".join(f"{_repair_sql_expr(c)} AS {c}" for c in C.A_REPAIR_COLUMNS)
-    base = (FENCES_SQL + f",\nrep AS (SELECT * REPLACE ({rep_cols}) FROM clean),\n"
-            "enc AS (SELECT * EXCLUDE (season), CASE WHEN season = 'Spring' THEN 1.0 ELSE 0.0 END AS season_Spring, "
-            "CASE WHEN season = 'Winter' THEN 1.0 ELSE 0.0 END AS season_Winter FROM rep),\n"
-            "enc2 AS (SELECT *, CASE WHEN season_Winter = 1.0 THEN 'winter' ELSE 'spring' END AS atom, "
-            f"{O.is_test_sql(['key'], C.SPLIT_SEED)} AS is_test, {O.fold_sql(['key'], C.FOLD_SEED)} AS fold FROM enc)")
+def _segments_sql(features: dict[str, list[str]], segments: dict[str, list[str]]) -> tuple[list[str], list[str]]:
+    """Oracle CTEs over ``enc2`` (atom, is_test, fold): per segment a
+    Gram-Schmidt fit on the training rows and one per CV fold."""
     ctes, selects = [], []
-    for seg, feats in A_FEATURES.items():
+    for seg, feats in features.items():
         comp = " AND ".join(f"{c} IS NOT NULL" for c in [*feats, C.A_TARGET])
-        ctes.append(f"s_{seg} AS (SELECT '{seg}' AS segment, * FROM enc2 WHERE atom = '{seg}' AND {comp})")
+        atoms = ", ".join(f"'{a}'" for a in segments[seg])
+        ctes.append(f"s_{seg} AS (SELECT '{seg}' AS segment, * FROM enc2 WHERE atom IN ({atoms}) AND {comp})")
         g, scored, _ = O.gs_ctes(f"m_{seg}", f"s_{seg}", ["segment"], [], feats, C.A_TARGET, "NOT is_test")
         ctes += g
         ms = O.metric_select("__y", "__yhat", rounded=False)
@@ -73,9 +70,26 @@ def _v1_sql() -> str:
         ctes.append(f"cva_{seg} AS (SELECT segment, 'cv' AS stage, CAST(sum(n) AS BIGINT) AS n, avg(mse) AS mse, "
                     f"avg(rmse) AS rmse, avg(r2) AS r2 FROM cvs_{seg} WHERE n > 0 GROUP BY 1)")
         selects += [f"SELECT * FROM tt_{seg}", f"SELECT * FROM cva_{seg}"]
+    return ctes, selects
+
+
+_ENCODE_SQL = ("enc AS (SELECT * EXCLUDE (season), CASE WHEN season = 'Spring' THEN 1.0 ELSE 0.0 END AS season_Spring, "
+               "CASE WHEN season = 'Winter' THEN 1.0 ELSE 0.0 END AS season_Winter FROM {src}),\n"
+               "enc2 AS (SELECT *, CASE WHEN season_Winter = 1.0 THEN 'winter' ELSE 'spring' END AS atom, "
+               f"{O.is_test_sql(['key'], C.SPLIT_SEED)} AS is_test, {O.fold_sql(['key'], C.FOLD_SEED)} AS fold FROM enc)")
+
+
+def _report_sql(head: str, src: str, features: dict[str, list[str]], segments: dict[str, list[str]]) -> str:
+    ctes, selects = _segments_sql(features, segments)
     body = ("SELECT segment, stage, CAST(n AS BIGINT) AS n, " + ", ".join(f"{O.r(m)} AS {m}" for m in ("mse", "rmse", "r2"))
             + " FROM (" + " UNION ALL ".join(selects) + ") WHERE n > 0")
-    return base + ",\n" + ",\n".join(ctes) + "\n" + body
+    return head + ",\n" + _ENCODE_SQL.format(src=src) + ",\n" + ",\n".join(ctes) + "\n" + body
+
+
+def _v1_sql() -> str:
+    rep_cols = ", ".join(f"{_repair_sql_expr(c)} AS {c}" for c in C.A_REPAIR_COLUMNS)
+    head = FENCES_SQL + f",\nrep AS (SELECT * REPLACE ({rep_cols}) FROM clean)"
+    return _report_sql(head, "rep", A_FEATURES, P.A_SEGMENTS)
 
 
 @register("seasonal_report_landings", _v1_sql())
@@ -106,3 +120,35 @@ def q_report_orders(spark, sf):
     """Entry C's three-segment report (winter, not winter, whole year) on the
     order frame."""
     return segment_report(P.order_b(spark, sf), P.b_features(), C.B_TARGET, C.B_SEGMENTS)
+
+
+# --- entry C on the landings: no repair, log-recoded flag, whole year beside the seasons ----------
+
+A_V3_FEATURES = {
+    "winter": [*C.A_LOG_BASE[:4], "log_arrivals_exceed", "season_Winter"],
+    "spring": list(C.A_SPRING_FEATURES),
+    "year": [*C.A_LOG_BASE[:4], "log_arrivals_exceed"],
+}
+A_V3_SEGMENTS = {"winter": ["winter"], "spring": ["spring"], "year": ["winter", "spring"]}
+
+
+def v3_frame(spark, sf):
+    """Cleaned landings (no outlier repair) with the kept log column derived
+    before segmenting, encoded, split and folded."""
+    df = FE.with_logs(P.clean_a(spark, sf), ["arrivals_exceed"])
+    enc = P.encode_a(df)
+    enc = FE.add_split(enc, ["key"], C.SPLIT_SEED, C.TEST_SIZE)
+    return FE.add_folds(enc, ["key"], C.FOLD_SEED, C.N_FOLDS)
+
+
+def _v3_sql() -> str:
+    from .model_queries import A_LOG_SQL
+    head = "WITH " + A_LOG_SQL
+    return _report_sql(head, "logs", A_V3_FEATURES, A_V3_SEGMENTS)
+
+
+@register("seasonal_report_landings_v3", _v3_sql())
+def q_report_landings_v3(spark, sf):
+    """Entry C on fixture A: winter, spring and whole-year models with the
+    log-recoded flag, train/test/CV scores, from one moments pass."""
+    return segment_report(v3_frame(spark, sf), A_V3_FEATURES, C.A_TARGET, A_V3_SEGMENTS)
