@@ -64,7 +64,11 @@ def order_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
     season = X.season_of(F.month("o_orderdate"))
-    return o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left").select(
+    # 1:1 join of two order-sized tables: sort-merge on the order key (the
+    # aggregate is already hash-partitioned on it, so only orders moves; the
+    # sort spills under memory pressure); never a broadcast of an input-sized side
+    joined = o.join(per_order.hint("merge"), o.o_orderkey == per_order.l_orderkey, "left")
+    return joined.select(
         F.col("o_orderkey").alias("key"),
         (F.col("o_totalprice") / 1000.0).alias("target"),
         F.col("n_lines").cast("double").alias("n_lines"),
