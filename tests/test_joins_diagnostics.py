@@ -132,3 +132,18 @@ def test_ols_summary_against_spark_ml(spark):
     e = pdf.y - model.coefficients[0] * pdf.a - model.coefficients[1] * pdf.b
     assert v["model"]["durbin_watson"] == pytest.approx((np.diff(e) ** 2).sum() / (e ** 2).sum(), rel=1e-9)
     assert v["model"]["r2"] == pytest.approx(1 - (e ** 2).sum() / (pdf.y ** 2).sum(), rel=1e-9)
+
+
+def test_kde_windowed_rows_match_full_sum(spark):
+    # heavy tail: the bandwidth is small against the range, so each row meets
+    # only the grid points within the cut; sums must equal the full ones
+    rng = np.random.default_rng(11)
+    x = rng.lognormal(0, 3, 5000)
+    h = len(x) ** -0.2 * x.std(ddof=1)
+    assert 2 * DG.KDE_CUT * h < x.max() - x.min()
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "v": x}))
+    k = DG.kde_curve(df, "v", by=["g"], grid=200, bins=30).toPandas().sort_values("point")
+    grid = np.linspace(x.min(), x.max(), 200)
+    dens = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
+    assert len(k) == 200
+    assert np.allclose(k.density.to_numpy(), dens, rtol=1e-9, atol=1e-300)
