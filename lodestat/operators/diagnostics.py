@@ -4,7 +4,7 @@ Per-group statistics (min, max, n, std) are one row per group -- groups are
 model segments, a configured, bounded set -- and are joined back by broadcast.
 Nothing here gathers the rows of a group in one task: histograms and density
 curves are partial aggregates, QQ positions come from the distributed rank,
-and Durbin-Watson pairs neighbours with an equi-join on (group, rank).
+and Durbin-Watson pairs neighbours inside the ranked partitions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import columns as X
@@ -122,18 +123,99 @@ def qq_line(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return agg.select(*by, "slope", "intercept", F.when(den > 0, F.col("__c") / den).alias("r"), "n")
 
 
+_DW_OUT = T.StructType([
+    T.StructField("pid", T.IntegerType()), T.StructField("g", T.StringType()),
+    T.StructField("n", T.LongType()), T.StructField("sse", T.DoubleType()), T.StructField("sdd", T.DoubleType()),
+    T.StructField("first_r", T.LongType()), T.StructField("first_e", T.DoubleType()),
+    T.StructField("last_r", T.LongType()), T.StructField("last_e", T.DoubleType()),
+])
+
+
+def _dw_partials(n_groups: int):
+    """Per partition of the ranked frame (rows in rank order): per group the
+    count, sum e^2, sum of squared neighbour differences inside the
+    partition, and the first/last (rank, e) for the partition-boundary pairs.
+    Shipped by value; refers only to numpy and pandas."""
+
+    def fn(batches):
+        import numpy as np
+        import pandas as pd
+        acc = {}
+        order = []
+        prev_g, prev_e, pid = None, None, None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            pid = int(pdf["__pid"].iloc[0])
+            if n_groups:
+                g = pdf[[f"__g{i}" for i in range(n_groups)]].astype(str).agg("\u0001".join, axis=1).to_numpy()
+            else:
+                g = np.full(len(pdf), "", dtype=object)
+            e = pdf["__e"].to_numpy(dtype=float)
+            r = pdf["__r"].to_numpy(dtype=np.int64)
+            pg = np.concatenate([[prev_g], g[:-1]]) if prev_g is not None else np.concatenate([[None], g[:-1]])
+            pe = np.concatenate([[prev_e if prev_e is not None else np.nan], e[:-1]])
+            same = (g == pg)
+            d2 = np.where(same, (e - pe) ** 2, 0.0)
+            for key in pd.unique(g):
+                m = g == key
+                st = acc.get(key)
+                if st is None:
+                    idx = np.flatnonzero(m)[0]
+                    st = acc[key] = [0, 0.0, 0.0, int(r[idx]), float(e[idx]), 0, 0.0]
+                    order.append(key)
+                st[0] += int(m.sum())
+                st[1] += float((e[m] ** 2).sum())
+                st[2] += float(d2[m].sum())
+                last = np.flatnonzero(m)[-1]
+                st[5], st[6] = int(r[last]), float(e[last])
+            prev_g, prev_e = g[-1], e[-1]
+        rows = [(pid, k, *acc[k]) for k in order]
+        yield pd.DataFrame(rows, columns=["pid", "g", "n", "sse", "sdd", "first_r", "first_e", "last_r", "last_e"])
+
+    return fn
+
+
 def durbin_watson(df: DataFrame, value: str, order_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """DIA5: sum (e_t - e_{t-1})^2 / sum e_t^2 in row order.  Neighbours meet
-    through an equi-join on (group, rank) -- hash-partitioned on a unique key,
-    so a large group is spread over all tasks."""
+    """DIA5: sum (e_t - e_{t-1})^2 / sum e_t^2 in row order, per group.
+
+    The distributed rank leaves contiguous, sorted runs in its partitions, so
+    neighbours are paired inside each partition by one vectorised pass (no
+    shuffle); only the pairs that straddle two partitions are joined on the
+    driver from one summary row per (partition, group)."""
     by = list(by)
     data = df.where(F.col(value).isNotNull()).select(*by, *order_cols, value)
-    ranked = global_rank(data, list(order_cols), within=by, rank_col="__r").select(*by, "__r", value)
-    prev = ranked.select(*by, (F.col("__r") + 1).alias("__r"), F.col(value).alias("__prev"))
-    diffs = ranked.join(prev, [*by, "__r"]).groupBy(*by).agg(
-        F.sum(F.pow(F.col(value) - F.col("__prev"), 2)).alias("__num"))
-    den = ranked.groupBy(*by).agg(F.sum(F.col(value) * F.col(value)).alias("__den"),
-                                  F.count(F.lit(1)).alias("n"))
-    res = den.join(diffs, by, "left") if by else den.withColumn("__num", diffs.select("__num").scalar())
-    return res.select(*by, "n", F.when(F.col("__den") > 0, F.coalesce(F.col("__num"), F.lit(0.0)) / F.col("__den"))
-                      .alias("durbin_watson"))
+    ranked = global_rank(data, list(order_cols), within=by, rank_col="__r")
+    tagged = ranked.select(F.spark_partition_id().alias("__pid"),
+                           *[F.col(b).cast("string").alias(f"__g{i}") for i, b in enumerate(by)],
+                           "__r", F.col(value).cast("double").alias("__e"))
+    parts = tagged.mapInPandas(_dw_partials(len(by)), _DW_OUT).collect()
+    per_group: dict[str, list] = {}
+    for p in sorted(parts, key=lambda p: (p["g"], p["first_r"])):
+        per_group.setdefault(p["g"], []).append(p)
+    types = [df.schema[b].dataType for b in by]
+    rows = []
+    for g, chunks in per_group.items():
+        n = sum(c["n"] for c in chunks)
+        sse = sum(c["sse"] for c in chunks)
+        sdd = sum(c["sdd"] for c in chunks)
+        for a, b in zip(chunks, chunks[1:]):
+            if b["first_r"] == a["last_r"] + 1:
+                sdd += (b["first_e"] - a["last_e"]) ** 2
+        key = _decode(g, types) if by else ()
+        rows.append((*key, int(n), sdd / sse if sse > 0 else None))
+    schema = T.StructType([*[T.StructField(b, t) for b, t in zip(by, types)],
+                           T.StructField("n", T.LongType()), T.StructField("durbin_watson", T.DoubleType())])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _decode(g: str, types) -> tuple:
+    out = []
+    for part, t in zip(g.split("\u0001"), types):
+        if isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+            out.append(int(part))
+        elif isinstance(t, (T.DoubleType, T.FloatType)):
+            out.append(float(part))
+        else:
+            out.append(part)
+    return tuple(out)

@@ -147,3 +147,16 @@ def test_kde_windowed_rows_match_full_sum(spark):
     dens = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
     assert len(k) == 200
     assert np.allclose(k.density.to_numpy(), dens, rtol=1e-9, atol=1e-300)
+
+
+def test_durbin_watson_groups_spanning_partitions(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g, n in (("big", 3000), ("small", 7)):
+        e = rng.normal(size=n)
+        rows += [(g, int(k), float(v)) for k, v in zip(rng.permutation(n), e)]
+    pdf = pd.DataFrame(rows, columns=["g", "k", "e"])
+    got = {r.g: r.durbin_watson for r in DG.durbin_watson(spark.createDataFrame(pdf), "e", ["k"], by=["g"]).collect()}
+    for g, part in pdf.groupby("g"):
+        es = part.sort_values("k").e.to_numpy()
+        assert got[g] == pytest.approx((np.diff(es) ** 2).sum() / (es ** 2).sum(), rel=1e-10)
