@@ -1,5 +1,5 @@
-"""Queries of the modelling half: collinearity, seasonal OLS, metrics, CV,
-no-intercept log study, and the chart tables of the diagnostics."""
+"""Queries of the modelling half: collinearity, standardisation, splits,
+seasonal OLS, metrics, CV and the no-intercept log study."""
 
 from __future__ import annotations
 

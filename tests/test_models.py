@@ -216,3 +216,20 @@ def test_centred_vif_is_inverse_correlation_diagonal(spark):
     got = vif_from_moments(m, ["a", "b", "c"], centred=True)
     want = np.diag(np.linalg.inv(pdf[["a", "b", "c"]].corr().to_numpy()))
     assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_residuals_orthogonal_and_scale_invariant(spark):
+    pdf = _data()
+    df = spark.createDataFrame(pdf)
+    fit = RG.fit_segments(df, {"all": ["a", "b", "c"]}, "y")["all"]
+    res = df.select("a", "b", "c", (F.col("y") - RG.predict(fit)).alias("e")).toPandas()
+    assert abs(res.e.sum()) < 1e-8 * len(res)
+    for c in ("a", "b", "c"):
+        assert abs((res.e * res[c]).sum()) < 1e-7 * len(res)
+    scaled = pdf.assign(a=pdf.a * 1000.0, b=pdf.b - 50.0)
+    fit2 = RG.fit_segments(spark.createDataFrame(scaled), {"all": ["a", "b", "c"]}, "y")["all"]
+    p1 = df.select(RG.predict(fit).alias("p")).toPandas().p
+    p2 = spark.createDataFrame(scaled).select(RG.predict(fit2).alias("p")).toPandas().p
+    assert np.allclose(p1, p2, rtol=1e-9)
+    # standardised coefficients do not depend on the units of the features
+    assert np.allclose(fit.coef_scaled, fit2.coef_scaled, rtol=1e-9)
