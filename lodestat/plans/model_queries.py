@@ -108,6 +108,17 @@ def q_heatmap(spark, sf):
     return CO.corr_submatrix(corr, C.A_WINTER_FEATURES).select("col_i", "col_j", _r("corr"))
 
 
+_s = ", ".join(f"'{c}'" for c in C.A_SPRING_FEATURES)
+
+
+@register("corr_heatmap_spring", _corr_sql(A_CANDIDATES, f"WHERE col_i IN ({_s}) AND col_j IN ({_s})"))
+def q_heatmap_spring(spark, sf):
+    """PRJ11 / DIA11: heat-map cells of the spring feature list."""
+    enc = _encoded_a(spark, sf)
+    corr = CO.correlation_long(enc, _candidates(enc))
+    return CO.corr_submatrix(corr, C.A_SPRING_FEATURES).select("col_i", "col_j", _r("corr"))
+
+
 # --- FEA8 / FEA9 ---------------------------------------------------------------------------
 
 def _vif_sql() -> str:

@@ -152,3 +152,33 @@ def q_report_landings_v3(spark, sf):
     """Entry C on fixture A: winter, spring and whole-year models with the
     log-recoded flag, train/test/CV scores, from one moments pass."""
     return segment_report(v3_frame(spark, sf), A_V3_FEATURES, C.A_TARGET, A_V3_SEGMENTS)
+
+
+# --- REG7 on the landings (v1: repaired, per-segment feature lists) -----------------------------
+
+def _v1_coef_sql() -> str:
+    rep_cols = ", ".join(f"{_repair_sql_expr(c)} AS {c}" for c in C.A_REPAIR_COLUMNS)
+    head = FENCES_SQL + f",\nrep AS (SELECT * REPLACE ({rep_cols}) FROM clean)"
+    ctes, parts = [], []
+    for seg, feats in A_FEATURES.items():
+        comp = " AND ".join(f"{c} IS NOT NULL" for c in [*feats, C.A_TARGET])
+        ctes.append(f"k_{seg} AS (SELECT '{seg}' AS segment, * FROM enc2 WHERE atom = '{seg}' AND {comp})")
+        g, _, coef = O.gs_ctes(f"w_{seg}", f"k_{seg}", ["segment"], [], feats, C.A_TARGET, "NOT is_test")
+        ctes += g
+        parts.append(f"SELECT segment, '(intercept)' AS term, my AS coef FROM {coef} JOIN w_{seg}_m USING (segment)")
+        parts += [f"SELECT segment, '{c}', s{i + 1} FROM {coef}" for i, c in enumerate(feats)]
+    body = ("SELECT segment, term, " + O.r("coef") + " AS coef, " + O.r("abs(coef)") + " AS abs_coef FROM ("
+            + " UNION ALL ".join(parts) + ")")
+    return head + ",\n" + _ENCODE_SQL.format(src="rep") + ",\n" + ",\n".join(ctes) + "\n" + body
+
+
+@register("season_models_landings", _v1_coef_sql())
+def q_season_models_landings(spark, sf):
+    """REG2 + REG7 on the repaired landings with the winter and spring feature
+    lists (the constant season dummy gets coefficient 0; an empty segment
+    has no model)."""
+    fits = RG.fit_segments(v1_frame(spark, sf), A_FEATURES, C.A_TARGET, P.A_SEGMENTS, "atom",
+                           train=~F.col("is_test"))
+    fits = {seg: f for seg, f in fits.items() if f.n > 0}
+    return RG.coefficient_table(spark, fits).select("segment", "term", X.rounded("coef").alias("coef"),
+                                                   X.rounded("abs_coef").alias("abs_coef"))
