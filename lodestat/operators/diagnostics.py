@@ -171,7 +171,8 @@ def _dw_partials(n_groups: int):
                 st[5], st[6] = int(r[last]), float(e[last])
             prev_g, prev_e = g[-1], e[-1]
         rows = [(pid, k, *acc[k]) for k in order]
-        yield pd.DataFrame(rows, columns=["pid", "g", "n", "sse", "sdd", "first_r", "first_e", "last_r", "last_e"])
+        if rows:        # an empty partition contributes nothing
+            yield pd.DataFrame(rows, columns=["pid", "g", "n", "sse", "sdd", "first_r", "first_e", "last_r", "last_e"])
 
     return fn
 

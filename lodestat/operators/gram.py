@@ -81,8 +81,9 @@ def _partials(cols: list[str], by: list[str], shift: np.ndarray, listwise: bool)
                 rows_s += [name] * flat.size
                 rows_i += list(range(flat.size))
                 rows_v += flat.tolist()
-        yield pd.DataFrame({"g": rows_g, "stat": rows_s, "idx": np.array(rows_i, dtype=np.int32),
-                            "value": np.array(rows_v, dtype=float)})
+        if rows_g:      # an empty partition contributes nothing
+            yield pd.DataFrame({"g": rows_g, "stat": rows_s, "idx": np.array(rows_i, dtype=np.int32),
+                                "value": np.array(rows_v, dtype=float)})
 
     return fn
 

@@ -70,7 +70,8 @@ def ols_no_intercept(m: Moments, features: list[str], target: str) -> LinearFit:
     """REG3: least squares without intercept, from uncentred moments."""
     k = len(features)
     if m.n == 0:
-        return LinearFit(features, 0.0, np.full(k, np.nan), False, n=0.0)
+        return LinearFit(features, 0.0, np.full(k, np.nan), False, n=0.0,
+                         extra={"gram": np.zeros((k, k)), "xty": np.zeros(k), "yty": 0.0})
     fi = m.index(features)
     (ti,) = m.index([target])
     u = m.uncentred()

@@ -114,7 +114,10 @@ def collect_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
     """
     if len(cols) >= WIDE_FROM:
         from .gram import collect_moments_wide
-        return collect_moments_wide(df, cols, by)
+        out = collect_moments_wide(df, cols, by)
+        if not by and () not in out:       # a global aggregate always has its one row
+            out[()] = Moments.empty(cols)
+        return out
     rows = grouped_moments(df, cols, by).collect()
     return {tuple(r[b] for b in by): Moments.from_row(r, cols) for r in rows}
 

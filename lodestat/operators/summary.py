@@ -129,6 +129,14 @@ def ols_summary_values(df: DataFrame, features: Sequence[str], target: str,
     m = collect_moments(df, cols)[()]
     fit = ols_no_intercept(m, feats, target)
     n, k = fit.n, len(feats)
+    if n <= k:      # nothing to estimate: every field is undefined
+        nan = float("nan")
+        model = dict.fromkeys(["n", "df_model", "df_resid", "r2", "adj_r2", "f_stat", "f_pvalue", "log_likelihood",
+                               "aic", "bic", "omnibus", "omnibus_p", "skew", "kurtosis", "jarque_bera",
+                               "jarque_bera_p", "durbin_watson", "cond_no"], nan)
+        model["n"] = n
+        terms = {c: dict.fromkeys(["coef", "std_err", "t", "p_value", "ci_low", "ci_high"], nan) for c in feats}
+        return {"model": model, "terms": terms}
     gram = fit.extra["gram"]
     complete = df.where(X.all_not_null(cols))
     e = F.col(target) - predict(fit)

@@ -267,6 +267,7 @@ def q_ols_fit_stats(spark, sf):
     shape tests, Durbin-Watson, coefficients, standard errors and t values."""
     feats = _candidate_lists()["log_arrivals_exceed"]
     v = SM.ols_summary_values(_summary_frame(spark, sf), feats, C.A_TARGET, order_cols=["key"])
-    rows = [("model", s, float(v["model"][s])) for s in FIT_STATS]
-    rows += [(t, s, float(v["terms"][t][s])) for t in feats for s in TERM_STATS]
+    num = SM._num
+    rows = [("model", s, num(v["model"][s])) for s in FIT_STATS]
+    rows += [(t, s, num(v["terms"][t][s])) for t in feats for s in TERM_STATS]
     return spark.createDataFrame(rows, "term string, stat string, value double").select("term", "stat", _r("value"))

@@ -173,8 +173,7 @@ def q_vif_kept(spark, sf):
     f"FROM seg WHERE NOT is_test GROUP BY segment" for c in C.B_FEATURES))
 def q_standardised(spark, sf):
     """FEA4: training mean and population std (0 -> 1) per segment."""
-    fits = RG.fit_segments(P.order_b(spark, sf), P.b_features(), C.B_TARGET, C.B_SEGMENTS, "atom",
-                           train=~F.col("is_test"))
+    fits = _season_fits(P.order_b(spark, sf))
     rows = [(seg, c, float(m), float(s)) for seg, fit in fits.items()
             for c, m, s in zip(fit.features, fit.mean, fit.scale)]
     return spark.createDataFrame(rows, "segment string, feature string, mean double, scale double") \
@@ -237,7 +236,10 @@ def q_exact_split(spark, sf):
 # --- REG2 / REG6 / REG7 / ORD1-3 / DIA12 --------------------------------------------------------
 
 def _season_fits(df):
-    return RG.fit_segments(df, P.b_features(), C.B_TARGET, C.B_SEGMENTS, "atom", train=~F.col("is_test"))
+    """Training-split model per segment; a segment without complete training
+    rows has no model (and no output rows)."""
+    fits = RG.fit_segments(df, P.b_features(), C.B_TARGET, C.B_SEGMENTS, "atom", train=~F.col("is_test"))
+    return {seg: f for seg, f in fits.items() if f.n > 0}
 
 
 def _coef_sql(select: str) -> str:
@@ -285,10 +287,15 @@ def q_season_metrics(spark, sf):
     fits = _season_fits(df)
     models = {}
     for seg, atoms in C.B_SEGMENTS.items():
+        if seg not in fits:
+            continue
         member = F.col("atom").isin(*atoms)
         models[f"{seg}|train"] = (member & ~F.col("is_test"), RG.predict(fits[seg]))
         models[f"{seg}|test"] = (member & F.col("is_test"), RG.predict(fits[seg]))
-    res = MET.evaluate(df, C.B_TARGET, models)
+    if not models:
+        return spark.createDataFrame([], "segment string, split string, n bigint, mae double, mse double, "
+                                         "rmse double, nrmse double, r2 double")
+    res = MET.evaluate(df, C.B_TARGET, models).where(F.col("n") > 0)
     parts = F.split(F.col("model"), "\\|")
     return res.select(parts[0].alias("segment"), parts[1].alias("split"), "n",
                       *[_r(m) for m in ("mae", "mse", "rmse", "nrmse", "r2")])
@@ -310,7 +317,7 @@ def _cv_sql() -> str:
 def q_cv_scores(spark, sf):
     """CVA1: 5-fold scores per segment (fold statistics merged, no refit pass)."""
     res = CV.cross_validate(P.order_b(spark, sf), P.b_features(), C.B_TARGET, C.B_SEGMENTS, "atom", "fold",
-                            C.N_FOLDS)
+                            C.N_FOLDS).where(F.col("n") > 0)
     return res.select("segment", "fold", "n", _r("mse"), _r("rmse"), _r("r2"))
 
 
@@ -319,7 +326,7 @@ def q_cv_scores(spark, sf):
 def q_cv_average(spark, sf):
     """CVA2: mean MSE, mean of fold RMSEs, mean R^2."""
     res = CV.cross_validate(P.order_b(spark, sf), P.b_features(), C.B_TARGET, C.B_SEGMENTS, "atom", "fold",
-                            C.N_FOLDS)
+                            C.N_FOLDS).where(F.col("n") > 0)
     avg = CV.cv_average(res)
     return avg.select("segment", _r("avg_mse"), _r("avg_rmse"), _r("avg_r2"), "n_folds")
 
@@ -364,7 +371,8 @@ def q_no_intercept(spark, sf):
     fit = RG.ols_no_intercept(m, list(C.A_LOG_BASE), C.A_TARGET)
     ssr = fit.extra["yty"] - 2 * fit.coef @ fit.extra["xty"] + fit.coef @ fit.extra["gram"] @ fit.coef
     rows = [(c, float(b)) for c, b in zip(fit.features, fit.coef)]
-    rows += [("r2_uncentred", float(1 - ssr / fit.extra["yty"])), ("n", float(fit.n))]
+    r2 = float(1 - ssr / fit.extra["yty"]) if fit.extra["yty"] > 0 else None
+    rows += [("r2_uncentred", r2), ("n", float(fit.n))]
     return spark.createDataFrame(rows, "name string, value double").select("name", _r("value"))
 
 
@@ -397,8 +405,9 @@ def q_log_candidates(spark, sf):
         fit = RG.ols_no_intercept(m, feats, C.A_TARGET)
         e = fit.extra
         ssr = e["yty"] - 2 * fit.coef @ e["xty"] + fit.coef @ e["gram"] @ fit.coef
-        r2[name] = float(1 - ssr / e["yty"])
+        r2[name] = float(1 - ssr / e["yty"]) if e["yty"] > 0 else None
     base = r2["baseline"]
-    rows = [(k, v, v - base, v > base) for k, v in r2.items()]
+    rows = [(k, v, None if v is None or base is None else v - base, None if v is None or base is None else v > base)
+            for k, v in r2.items()]
     return spark.createDataFrame(rows, "candidate string, r2 double, delta double, keep boolean") \
         .select("candidate", _r("r2"), _r("delta"), "keep")
