@@ -91,6 +91,21 @@ def q_hist(spark, sf):
     return h.select("segment", "bin", _r("bin_lo"), _r("bin_hi"), "count")
 
 
+BIN2D_SQL = RES_SQL + f""",
+st AS (SELECT segment, min(predicted) AS xlo, max(predicted) AS xhi, min(e) AS ylo, max(e) AS yhi FROM res GROUP BY 1)
+SELECT segment,
+       CAST(CASE WHEN xhi - xlo > 0 THEN least(floor((predicted - xlo) / (xhi - xlo) * {B}) + 1, {B}) ELSE 1 END AS BIGINT) AS bin_x,
+       CAST(CASE WHEN yhi - ylo > 0 THEN least(floor((e - ylo) / (yhi - ylo) * {B}) + 1, {B}) ELSE 1 END AS BIGINT) AS bin_y,
+       count(*) AS count
+FROM res JOIN st USING (segment) GROUP BY 1, 2, 3"""
+
+
+@register("residual_bins_2d", BIN2D_SQL)
+def q_bins_2d(spark, sf):
+    """DIA2 in scale form: residual against prediction as 30 x 30 bin counts."""
+    return DG.bin_counts_2d(train_residuals(spark, sf), "predicted", "residual", by=["segment"], bins=B)
+
+
 G = C.KDE_GRID
 KDE_SQL = RES_SQL + f""",
 st AS (SELECT segment, count(*) AS n, stddev_samp(e) AS sd, min(e) AS lo, max(e) AS hi,

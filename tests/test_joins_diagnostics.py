@@ -160,3 +160,15 @@ def test_durbin_watson_groups_spanning_partitions(spark):
     for g, part in pdf.groupby("g"):
         es = part.sort_values("k").e.to_numpy()
         assert got[g] == pytest.approx((np.diff(es) ** 2).sum() / (es ** 2).sum(), rel=1e-10)
+
+
+def test_bin_counts_2d_match_numpy(spark):
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=2000), rng.gamma(2.0, size=2000)
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x, "y": y}))
+    got = DG.bin_counts_2d(df, "x", "y", by=["g"], bins=10).toPandas()
+    want, _, _ = np.histogram2d(x, y, bins=10)
+    grid = np.zeros((10, 10))
+    for r in got.itertuples():
+        grid[r.bin_x - 1, r.bin_y - 1] = r.count
+    assert np.array_equal(grid, want)
