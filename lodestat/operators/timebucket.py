@@ -8,8 +8,9 @@ skew-join handling splits a hot bucket on the detail side.
 
 The count of joined rows per bucket (JON2) is *not* computed with a window
 over the joined rows -- that would put every row of a hot bucket in one task.
-It is the product of two partial aggregates taken before the join:
-``rows of the bucket on the left x max(1, rows of the bucket on the right)``.
+It is ``rows of the bucket on the left x max(1, rows of the bucket on the
+right)``: a partial aggregate of the detail side and a count over the small
+interval side, both taken before the join.
 Rows with a null key get a null count (grouping drops null keys).
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -57,10 +58,12 @@ def bucket_join_counted(left: DataFrame, right: DataFrame, left_time: str, right
                         minutes: int = C.BUCKET_MINUTES, left_bucket: str = "start_time_interval",
                         right_bucket: str = "time_interval", null_safe: bool = False,
                         suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """JON1 + JON2 in one pass over the detail side.
+    """JON1 + JON2 with one pass over each input.
 
-    ``R`` = (per-key left counts) left-joined to the interval rows; it has one
-    row per left key (or one per matching interval row) and carries the count.
+    The interval side (small: about one row per bucket) gets the number of its
+    rows per key by a window over that side only.  ``R`` = per-key counts of
+    the detail side (a partial aggregate) left-joined to it: one row per left
+    key and matching interval row, carrying ``left rows x max(1, right rows)``.
     The detail rows then take a single left join to ``R``.
     """
     keys_l = [*on, left_bucket]
@@ -70,19 +73,16 @@ def bucket_join_counted(left: DataFrame, right: DataFrame, left_time: str, right
 
     n_left = left.groupBy(*keys_l).agg(F.count(F.lit(1)).alias("__n_left"))
     r_keys = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
-    n_right = r_keys.groupBy(*[f"__r_{k}" for k in on], right_bucket).agg(F.count(F.lit(1)).alias("__n_right"))
+    r_part = [f"__r_{k}" for k in on] + [right_bucket]
+    r_counted = r_keys.withColumn("__n_right", F.count(F.lit(1)).over(Window.partitionBy(*r_part)))
     pairs = [(k, f"__r_{k}") for k in on] + [(left_bucket, right_bucket)]
-    per_key = (
-        n_left.join(n_right, _key_cond(n_left, n_right, pairs, null_safe), "left")
-        .select(*keys_l, (F.col("__n_left") * F.coalesce(F.col("__n_right"), F.lit(1))).alias("__cnt"))
-    )
-    any_null = X.all_not_null(keys_l)
-    per_key = per_key.select(*[F.col(k).alias(f"__k_{k}") for k in keys_l],
-                             F.when(any_null, F.col("__cnt")).cast("bigint").alias(count_col))
-    right_rows = per_key.join(r_keys, _key_cond(per_key, r_keys,
-                                                [(f"__k_{k}", f"__r_{k}") for k in on]
-                                                + [(f"__k_{left_bucket}", right_bucket)], null_safe), "left")
-    right_rows = right_rows.drop(*[f"__r_{k}" for k in on])
+    right_rows = n_left.join(r_counted, _key_cond(n_left, r_counted, pairs, null_safe), "left")
+    cnt = F.col("__n_left") * F.coalesce(F.col("__n_right"), F.lit(1))
+    right_rows = right_rows.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys_l],
+        *[c for c in r_keys.columns if c not in r_part],
+        right_bucket,
+        F.when(X.all_not_null(keys_l), cnt).cast("bigint").alias(count_col))
     cond = _key_cond(left, right_rows, [(k, f"__k_{k}") for k in keys_l], null_safe)
     out = left.join(right_rows, cond, "left").drop(*[f"__k_{k}" for k in keys_l])
     ordered = [c for c in out.columns if c != count_col] + [count_col]
