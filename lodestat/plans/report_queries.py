@@ -135,7 +135,7 @@ A_V3_SEGMENTS = {"winter": ["winter"], "spring": ["spring"], "year": ["winter",
 def v3_frame(spark, sf):
     """Cleaned landings (no outlier repair) with the kept log column derived
     before segmenting, encoded, split and folded."""
-    df = FE.with_logs(P.clean_a(spark, sf), ["arrivals_exceed"])
+    df = FE.with_logs(P.clean_a_materialized(spark, sf), ["arrivals_exceed"])
     enc = P.encode_a(df)
     enc = FE.add_split(enc, ["key"], C.SPLIT_SEED, C.TEST_SIZE)
     return FE.add_folds(enc, ["key"], C.FOLD_SEED, C.N_FOLDS)
