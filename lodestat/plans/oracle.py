@@ -238,7 +238,7 @@ DUCK_TO_SPARK_TYPE = """CASE {t} WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN
 def profile_sql(ctes: str, src: str, cols: Sequence[str]) -> str:
     parts = []
     for i, c in enumerate(cols):
-        t = DUCK_TO_SPARK_TYPE.format(t=f"max(typeof({c}))")
+        t = DUCK_TO_SPARK_TYPE.format(t=f"typeof(first({c}))")   # the column type, even without rows
         parts.append(f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column_name, {t} AS dtype, "
                      f"count({c}) AS non_null, count(*) AS n_rows FROM {src}")
     return f"WITH {ctes}\n" + "\nUNION ALL\n".join(parts)
