@@ -1,7 +1,8 @@
 """DIA1-12: residual diagnostics and the tables behind the charts.
 
 Per-group statistics (min, max, n, std) are one row per group -- groups are
-model segments, a configured, bounded set -- and are joined back by broadcast.
+model segments, a configured, bounded set -- and are joined back by key (AQE
+broadcasts them once their size is measured).
 Nothing here gathers the rows of a group in one task: histograms and density
 curves are partial aggregates, QQ positions come from the distributed rank,
 and Durbin-Watson pairs neighbours inside the ranked partitions.
@@ -22,10 +23,11 @@ from .ranking import global_rank
 
 
 def _attach(data: DataFrame, stats: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Per-group statistics onto rows: broadcast join on the group key (one row
-    per configured group), or scalar subqueries when there is no group."""
+    """Per-group statistics onto rows: an equi-join on the group key (one row
+    per group; AQE broadcasts it after measuring its size, which is a handful
+    of rows for model segments), or scalar subqueries when there is no group."""
     if by:
-        return data.join(F.broadcast(stats.select(*by, *cols)), list(by))
+        return data.join(stats.select(*by, *cols), list(by))
     return data.withColumns({c: stats.select(c).scalar() for c in cols})
 
 
