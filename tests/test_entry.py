@@ -60,3 +60,13 @@ def test_query_matches_oracle(spark, duck, name):
     wc, wr = _rows(want)
     assert gc == wc
     assert gr == wr
+
+
+def test_every_oracle_plans_in_duckdb(duck):
+    bad = {}
+    for name, sql in E.oracle_sql().items():
+        try:
+            duck.sql("EXPLAIN " + sql).fetchall()
+        except Exception as ex:  # noqa: BLE001
+            bad[name] = str(ex)[:200]
+    assert not bad
