@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .common import LOWER, slices
 
@@ -119,7 +118,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float) ->
     return a + shift + first, end - first, int(same[first:end].sum())
 
 
-FOUND = StructType.fromDDL("doc_id long, item_id long, first_token int, n_tokens int, n_equal int")
+FOUND = ("doc_id", "item_id", "first_token", "n_tokens", "n_equal")
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -178,7 +177,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
                     out.append((r["doc_id"], r["item_id"], r["at"] + first, n, equal))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=FOUND.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(FOUND))
 
     rows = docs.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     found = rows.mapInArrow(hits, "doc_id long, h long, i int, at int, window binary").withColumn("salt", F.pmod(F.xxhash64("doc_id", "i"), F.lit(SALTS)))
@@ -187,7 +186,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     on = found.join(salted, ["h", "salt"])
     one = on.groupBy("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).agg(
         *[F.min_by(c, F.struct("i", "h")).alias(c) for c in ("i", "at", "window", "j", "code")])
-    seen = one.select("doc_id", "item_id", "i", "at", "window", "j", "code").mapInArrow(verify, FOUND)
+    seen = one.select("doc_id", "item_id", "i", "at", "window", "j", "code").mapInArrow(verify, "doc_id long, item_id long, first_token int, n_tokens int, n_equal int")
     best = F.max(F.struct(F.col("n_equal").alias("e"), (-F.col("first_token")).alias("f"), F.col("n_tokens").alias("n")))
     return seen.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
         "doc_id", "item_id", (-F.col("best.f")).alias("first_token"), F.col("best.n").alias("n_tokens"), F.col("best.e").alias("n_equal"))

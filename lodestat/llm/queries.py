@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, simhash, token_store, toxicity
+from . import bpe, covertree, decontaminate, langid, licenses, pst, simhash, token_store, toxicity, wrappers
 from .common import read, remainder, shared_path
 
 
@@ -31,6 +31,23 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+#: The fold that the language model never learns from: (modulus, remainder).
+SCORE_FOLD = (7, 2)
+
+
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    n, out = SCORE_FOLD
+    model = pst.train(docs.filter(remainder(F.col("doc_id"), n) != out))
+    made = pst.score(docs, model)
+    return made.select("doc_id", (remainder(F.col("doc_id"), n) == out).alias("held_out"), "n_tokens", "n_known",
+                       F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,6 +58,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.documents_with_overlap(found)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(read(spark, sf_dir, "pages"))
+
+
 #: Folds on which labels and languages are never learned: (modulus, remainder).
 TOXIC_FOLD, LANG_FOLD = (4, 2), (5, 0)
 TOXIC_FROM = 0.3
@@ -71,5 +92,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (remainder(F.col("doc_id"), n) == out).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_store, op5_simhash, op6_decontaminate, op8_toxicity, op9_language_id)}
-ORACLES: dict[str, str] = {}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_byte_bpe, op2_token_store, op3_licenses, op4_suffix_tree, op5_simhash, op6_decontaminate, op7_main_text, op8_toxicity, op9_language_id, op10_top_k)}
+ORACLES: dict[str, str] = {"op10_top_k": covertree.TOP_K_SQL}

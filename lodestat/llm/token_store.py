@@ -17,18 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
 
 from .common import slices, worker_cache
 from .pretokens import ChunkEncoder
 
 BLOCK_IDS = 65_536
-STORE = StructType.fromDDL(
+STORE = (
     "shard int, block int, first long, n_ids int, kind string, plane_bytes array<int>, "
     "docs array<struct<doc_id long, number long, part int, n_ids int, last boolean>>, planes array<binary>"
 )
+_PIECE = pa.struct([("doc_id", pa.int64()), ("number", pa.int64()), ("part", pa.int32()), ("n_ids", pa.int32()), ("last", pa.bool_())])
+_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("kind", pa.string()),
+                    ("plane_bytes", pa.list_(pa.int32())), ("docs", pa.list_(_PIECE)), ("planes", pa.list_(pa.binary()))])
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -136,10 +138,7 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(STORE)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
@@ -157,8 +156,6 @@ def pieces(store: DataFrame, whole: bool) -> DataFrame:
     """The pieces of documents in the blocks: all ids of documents that lie in one block
     (whole), or else the pieces of documents that span blocks.  Columns shard, number,
     part, doc_id, at (position in the shard), ids (binary)."""
-    schema = StructType.fromDDL("shard int, number long, part int, doc_id long, at long, ids binary")
-
     def run(batches):
         import zstandard
 
@@ -177,10 +174,10 @@ def pieces(store: DataFrame, whole: bool) -> DataFrame:
                     at += d["n_ids"]
                 columns = zip(*out, strict=True)
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "number", "part", "doc_id", "at", "ids"])
 
     needed = store.select("shard", "first", "n_ids", "kind", "docs", "planes")
-    return needed.mapInArrow(run, schema)
+    return needed.mapInArrow(run, "shard int, number long, part int, doc_id long, at long, ids binary")
 
 
 def read_documents(store: DataFrame) -> DataFrame:
