@@ -18,6 +18,8 @@ from .components import components
 
 SEGMENT_BITS = 32
 SEGMENTS = 64 // SEGMENT_BITS
+#: Parts into which the rows of one fingerprint are dealt when its component is joined back.
+SALTS = 16
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -83,9 +85,9 @@ def groups(fps: DataFrame, doc_id: str = "doc_id", max_bits: int = 3) -> DataFra
     of = joined.join(distinct, joined["node"] == distinct["fp"]).groupBy("root").agg(F.min("least").alias("least"))
     linked = joined.join(of, "root").select(F.col("node").alias("fp"), F.col("least").alias("linked"))
     known = distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
-    # one fingerprint may be that of a third of all documents: its rows here are 16 bytes
-    # each, and adaptive execution splits such a partition of an equi-join
-    return fps.join(known, "fp")
+    # one fingerprint may be that of a third of all documents: its rows are dealt out by a salt
+    copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return fps.withColumn("salt", F.pmod(F.xxhash64(*fps.columns), F.lit(SALTS))).join(copies, ["fp", "salt"]).drop("salt")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
