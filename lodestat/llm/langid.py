@@ -30,17 +30,35 @@ SAMPLE_DOCS = 3000
 SCRIPT_SHARE = 0.01
 
 
-def script_of(char: str) -> int:
-    c = ord(char)
-    return next((i for i, ranges in enumerate(SCRIPTS.values()) if any(a <= c <= b for a, b in ranges)), len(SCRIPTS))
-
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """The script (an index of NAMES) of each code point."""
+    out = np.full(len(points), len(SCRIPTS), np.int8)
+    for i, ranges in enumerate(SCRIPTS.values()):
+        for a, b in ranges:
+            out[(points >= a) & (points <= b)] = i
+    return out
 
-def grams(word: str) -> list[int]:
-    """Buckets of the character n-grams of a lower-cased word with its edges marked."""
-    import zlib
 
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in ORDERS for i in range(len(marked) - n + 1)]
+def letters_and_grams(words: list[str]):
+    """Of many words at once: code points and the word of each, and the buckets of all
+    character n-grams (with the word's edges) and the word of each."""
+    marked = "".join(f"<{w}>" for w in words)
+    points = np.frombuffer(marked.encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    of = np.repeat(np.arange(len(words)), sizes)
+    buckets, owners = [], []
+    code = np.zeros(len(points), np.uint64)
+    for n in range(1, max(ORDERS) + 1):
+        at = np.flatnonzero(of[: len(of) - n + 1] == of[n - 1 :])
+        code = code[: len(points) - n + 1] * np.uint64(0x100000001B3) + points[n - 1 :] + np.uint64(1)
+        if n in ORDERS:
+            h = (code[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            buckets.append(((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64))
+            owners.append(of[at])
+    inner = np.ones(len(points), bool)
+    ends = np.cumsum(sizes)
+    inner[ends - 1] = inner[ends - sizes] = False
+    return points[inner], of[inner], buckets, owners
 
 
 def words_of(text: str) -> list[str]:
@@ -68,10 +86,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 seen[lg].update(words_of(t))
         for lg, words in seen.items():
             hits, scripts = np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES), np.int64)
-            for w, n in words.items():
-                np.add.at(hits, grams(w), n)
-                for c in w:
-                    scripts[script_of(c)] += n
+            names, times = list(words), np.fromiter(words.values(), np.int64, len(words))
+            for i in range(0, len(names), 50_000):
+                points, of, buckets, owners = letters_and_grams(names[i : i + 50_000])
+                n = times[i : i + 50_000]
+                for bucket, owner in zip(buckets, owners, strict=True):
+                    hits += np.bincount(bucket, n[owner], BUCKETS).astype(np.int64)
+                scripts += np.bincount(scripts_of(points), n[of], len(NAMES)).astype(np.int64)
             at = np.flatnonzero(hits)
             k = np.flatnonzero(scripts)
             yield pa.RecordBatch.from_arrays(
@@ -123,21 +144,26 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 class Labeller:
     """Spans and languages of texts by one model."""
 
-    def __init__(self, model: dict, switch: float, limit: int = 300_000):
+    def __init__(self, model: dict, switch: float, limit: int = 600_000):
         self.model, self.switch, self.limit = model, switch, limit
         self.index: dict[str, int] = {}
         self.scores = np.zeros((0, len(model["names"])), np.float32)
 
     def _learn(self, words: list[str]):
-        log, allowed, rows = self.model["log"], self.model["scripts"], []
-        for w in words:
-            s = log[grams(w)].sum(0)
-            fits = allowed[[script_of(c) for c in set(w)]].any(0)
-            if fits.any() and not fits.all():
-                s = np.where(fits, s, s.min() - 50)
-            rows.append(s - s.max())
+        log, allowed, k, n = self.model["log"], self.model["scripts"], len(self.model["names"]), len(words)
+        points, of, buckets, owners = letters_and_grams(words)
+        rows = np.zeros((n, k))
+        for bucket, owner in zip(buckets, owners, strict=True):
+            for lang in range(k):
+                rows[:, lang] += np.bincount(owner, log[bucket, lang], n)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        fits = np.logical_or.reduceat(allowed[scripts_of(points)], first, axis=0)
+        # a language whose script the word has none of is left out, unless that leaves none
+        out = ~fits & fits.any(1)[:, None]
+        rows = np.where(out, rows.min(1)[:, None] - 50, rows)
+        rows = rows - rows.max(1)[:, None] if k else rows
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.scores = np.concatenate([self.scores, np.array(rows, np.float32)])
+        self.scores = np.concatenate([self.scores, rows.astype(np.float32)])
 
     def __call__(self, texts: list[str | None]):
         """For each text its words, their labels, and letters by language."""
@@ -146,7 +172,8 @@ class Labeller:
         words = [words_of(t) if t else [] for t in texts]
         flat = [w for ws in words for w in ws]
         if new := [w for w in dict.fromkeys(flat) if w not in self.index]:
-            self._learn(new)
+            for i in range(0, len(new), 50_000):
+                self._learn(new[i : i + 50_000])
         k = len(self.model["names"])
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
