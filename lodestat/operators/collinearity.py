@@ -12,20 +12,18 @@ from pyspark.sql import types as T
 from .. import config as C
 from .linalg import vif_from_moments
 from .gram import pairwise_correlation
-from .moments import MAX_COLUMNS, collect_moments
+from .moments import collect_moments
 
 
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AGG9: Pearson correlation of every ordered pair, pairwise complete.
 
-    One pass of per-partition partial Gram sums (see ``gram``); the k x k
+    One pass of per-task partial co-moments (see ``gram``); the k x k
     result becomes a small frame.  A column that is constant on the rows it
     shares with its partner gives null (``corr`` would divide by zero under
     ANSI mode).  Output: (col_i, col_j, corr) for all i, j including the diagonal.
     """
     cols = list(cols)
-    if len(cols) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} columns")
     corr = pairwise_correlation(df, cols)
     rows = [(a, b, _finite(corr[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     schema = "col_i string, col_j string, corr double"
@@ -52,7 +50,7 @@ def vif_values(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
 
 def vif_table(spark: SparkSession, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     vals = vif_values(df, cols)
-    rows = [(i, c, _finite(v)) for i, (c, v) in enumerate(vals.items())]
+    rows = [(i, c, None if np.isnan(v) else float(v)) for i, (c, v) in enumerate(vals.items())]
     schema = T.StructType([T.StructField("position", T.LongType()), T.StructField("feature", T.StringType()),
                            T.StructField("vif", T.DoubleType())])
     return spark.createDataFrame(rows, schema)

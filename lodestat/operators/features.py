@@ -124,17 +124,13 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], factor: float = C.IQR_FACT
 
 # --- FEA3: one-hot ---------------------------------------------------------------------
 
-MAX_CATEGORIES = 1000   # one double column per category: the output schema must stay small
-
 def onehot(df: DataFrame, col: str, categories: Sequence[str] | None = None,
            drop_first: bool = C.ONEHOT_DROP_FIRST, prefix: str | None = None) -> tuple[DataFrame, list[str]]:
     """FEA3: sorted categories, first dropped, double columns ``{col}_{cat}``,
     source column removed.  Without ``categories`` one small distinct job fixes
     the output schema."""
     if categories is None:
-        found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
-        if len(found) > MAX_CATEGORIES:
-            raise ValueError(f"{col}: more than {MAX_CATEGORIES} categories; pass them explicitly")
+        found = df.select(col).where(F.col(col).isNotNull()).distinct().collect()
         categories = [r[0] for r in found]
     cats = sorted(categories)
     if drop_first:

@@ -1,15 +1,12 @@
-"""Wide Gram statistics with per-partition numpy partials.
-
-For many columns the one-aggregate-per-pair SQL form (k(k+1)/2 ``covar_pop``)
-leaves fast codegen.  Here every task turns its Arrow batches into a handful
-of k x k matrix products (BLAS), and emits them in long form
-``(group, stat, idx, value)``; Spark's partial aggregation then sums them, so
-each task ships at most groups x 4 x k^2 numbers and the driver receives only
-the final sums.
-
-Values are shifted by the column minimum (one small aggregation first): sums
-of shifted values are additive across tasks, constant columns give exact
-zeros, and the cancellation in ``P - S S'/n`` stays small.
+"""Sufficient statistics of many columns from per-task numpy partials.
+
+Every task centres its rows on their own means and turns them into co-moments: for a
+pair of columns on the rows that have both (pair complete), or for a list of columns on
+the rows that have all of them (listwise).  A value whose partner is missing never
+enters the pair's sums, so it cannot spoil them.  A task's partials are merged with the
+parallel update of means and co-moments; across tasks the same update is two
+aggregations over the partials: the overall means, then each partial's co-moments plus
+its mean's deviation from them.  Several column lists share one pass over the rows.
 """
 
 from __future__ import annotations
@@ -17,100 +14,112 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as X
-from .moments import Moments
+from ..session import materialize
 
-_OUT = T.StructType([
-    T.StructField("g", T.StringType()), T.StructField("stat", T.StringType()),
-    T.StructField("idx", T.IntegerType()), T.StructField("value", T.DoubleType()),
-])
 _SEP = "\u0001"
 _NULL = "\u0000"
+_PARTIAL = ("list int, g string, i int, j int, n double, mi double, mj double, c double, vi double, vj double, "
+            "lo_i double, hi_i double, lo_j double, hi_j double")
 
 
-def column_minimums(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    row = df.agg(*[F.min(X.nan_to_null(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return np.array([row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i in range(len(cols))], dtype=float)
+def group_key(by: Sequence[str]) -> Column:
+    """One text column that tells the groups apart (nulls are a group)."""
+    parts = [F.coalesce(F.col(b).cast("string"), F.lit(_NULL)) for b in by]
+    return F.concat_ws(_SEP, *parts) if parts else F.lit("")
 
 
-def _partials(cols: list[str], by: list[str], shift: np.ndarray, listwise: bool):
-    """The per-partition function.  It is shipped to Python workers by value
-    and refers to nothing but numpy, pandas and its own arguments, so the
-    executors need no copy of this package."""
-    sep, null = _SEP, _NULL
+def _partials(lists: list[list[int]], listwise: bool):
+    """The per-task function.  It is shipped to Python workers by value and refers to
+    nothing but numpy, pandas and its own arguments, so the executors need no copy of
+    this package."""
 
     def fn(batches):
         import numpy as np
         import pandas as pd
 
-        def encode(values):
-            return sep.join(null if v is None or (isinstance(v, float) and np.isnan(v)) else str(v) for v in values)
+        def block(x):
+            """n, means, co-moments, minimums and maximums of complete rows."""
+            m = x.mean(axis=0)
+            d = x - m
+            return len(x), m, d.T @ d, x.min(axis=0), x.max(axis=0)
+
+        def pairs(x):
+            """(columns i, columns j, n, mi, mj, c, vi, vj, lo_i, hi_i, lo_j, hi_j) of each
+            pair of sets of columns that are present on the same rows."""
+            present = ~np.isnan(x)
+            kinds, of = np.unique(present, axis=1, return_inverse=True)
+            sets = [np.flatnonzero(of.ravel() == s) for s in range(kinds.shape[1])]
+            for a in range(len(sets)):
+                for b in range(a, len(sets)):
+                    rows = kinds[:, a] & kinds[:, b]
+                    if not rows.any():
+                        continue
+                    cols = sets[a] if a == b else np.concatenate([sets[a], sets[b]])
+                    n, m, c, lo, hi = block(x[np.ix_(rows, cols)])
+                    k = len(sets[a])
+                    for p in range(k):
+                        for q in range(p if a == b else k, len(cols)):
+                            s, t = (p, q) if cols[p] <= cols[q] else (q, p)
+                            yield (int(cols[s]), int(cols[t])), (n, m[s], m[t], c[s, t], c[s, s], c[t, t], lo[s], hi[s], lo[t], hi[t])
 
         acc = {}
         for pdf in batches:
-            x_all = pdf[cols].to_numpy(dtype=float, na_value=np.nan) - shift
-            if by:
-                keys = pdf[by].astype(object).where(pdf[by].notna(), None)
-                gidx = pd.Series(range(len(pdf))).groupby([keys[b] for b in by], dropna=False, sort=False).indices
-                items = [(encode(g if isinstance(g, tuple) else (g,)), ix) for g, ix in gidx.items()]
-            else:
-                items = [("", slice(None))]
-            for g, ix in items:
-                x = x_all[ix]
-                st = acc.setdefault(g, {})
-                if listwise:
-                    x = x[~np.isnan(x).any(axis=1)]
-                    parts = {"n": np.array([float(len(x))]), "s": x.sum(axis=0), "p": x.T @ x}
-                else:
-                    m = ~np.isnan(x)
-                    xz = np.where(m, x, 0.0)
-                    mf = m.astype(float)
-                    parts = {"n": mf.T @ mf, "s": xz.T @ mf, "q": (xz * xz).T @ mf, "p": xz.T @ xz}
-                for name, arr in parts.items():
-                    st[name] = st[name] + arr if name in st else arr
-        rows_g, rows_s, rows_i, rows_v = [], [], [], []
-        for g, st in acc.items():
-            for name, arr in st.items():
-                flat = np.ravel(arr)
-                rows_g += [g] * flat.size
-                rows_s += [name] * flat.size
-                rows_i += list(range(flat.size))
-                rows_v += flat.tolist()
-        if rows_g:      # an empty partition contributes nothing
-            yield pd.DataFrame({"g": rows_g, "stat": rows_s, "idx": np.array(rows_i, dtype=np.int32),
-                                "value": np.array(rows_v, dtype=float)})
+            values = pdf.iloc[:, 1:].to_numpy(dtype=float, na_value=np.nan)
+            codes, groups = pd.factorize(pdf.iloc[:, 0])
+            for gi, g in enumerate(groups):
+                own = values[codes == gi]
+                for li, cols in enumerate(lists):
+                    x = own[:, cols]  # pairs are numbered within the list
+                    if listwise:
+                        x = x[~np.isnan(x).any(axis=1)]
+                    if not len(x):
+                        continue
+                    for ij, new in pairs(x):
+                        old = acc.get((li, g, *ij))
+                        if old:
+                            n, m = old[0] + new[0], old[0] * new[0] / (old[0] + new[0])
+                            di, dj = new[1] - old[1], new[2] - old[2]
+                            new = (n, old[1] + di * new[0] / n, old[2] + dj * new[0] / n, old[3] + new[3] + di * dj * m,
+                                   old[4] + new[4] + di * di * m, old[5] + new[5] + dj * dj * m,
+                                   min(old[6], new[6]), max(old[7], new[7]), min(old[8], new[8]), max(old[9], new[9]))
+                        acc[(li, g, *ij)] = new
+        rows = [(*k, *map(float, v)) for k, v in acc.items()]
+        if rows:        # an empty partition contributes nothing
+            yield pd.DataFrame(rows)
 
     return fn
 
 
-def gram_sums(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), listwise: bool = True,
-              shift: np.ndarray | None = None) -> tuple[dict[str, dict[str, np.ndarray]], np.ndarray]:
-    cols, by = list(cols), list(by)
-    shift = column_minimums(df, cols) if shift is None else shift
-    sel = df.select(*by, *[X.nan_to_null(c).alias(c) for c in cols])
-    long = sel.mapInPandas(_partials(cols, by, shift, listwise), _OUT) \
-        .groupBy("g", "stat", "idx").agg(F.sum("value").alias("value")).collect()
-    k = len(cols)
-    out: dict[str, dict[str, np.ndarray]] = {}
-    for r in long:
-        st = out.setdefault(r["g"], {})
-        size = 1 if (listwise and r["stat"] == "n") else (k if (listwise and r["stat"] == "s") else k * k)
-        arr = st.setdefault(r["stat"], np.zeros(size))
-        arr[r["idx"]] = r["value"]
-    return out, shift
+def pair_statistics(df: DataFrame, lists: Sequence[Sequence[str]], by: Sequence[str] = (), listwise: bool = True) -> DataFrame:
+    """One row for each list, group and pair i <= j of its columns: n, mean_i, mean_j, the
+    centred co-moment c, the spreads v_i and v_j, and whether i and j vary.
+
+    The rows are read once; what is written is lists x groups x k^2 / 2 partials a task."""
+    names = list(dict.fromkeys(c for cols in lists for c in cols))
+    picked = df.select(group_key(by).alias("__g"), *[X.nan_to_null(c).alias(f"c{i}") for i, c in enumerate(names)])
+    parts = materialize(picked.mapInPandas(_partials([[names.index(c) for c in cols] for cols in lists], listwise), _PARTIAL))
+    key = ["list", "g", "i", "j"]
+    w = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    total = parts.groupBy(*key).agg(w("mi").alias("mean_i"), w("mj").alias("mean_j"))
+    di, dj = F.col("mi") - F.col("mean_i"), F.col("mj") - F.col("mean_j")
+    return parts.join(total, key).groupBy(*key).agg(
+        F.sum("n").alias("n"), F.first("mean_i").alias("mean_i"), F.first("mean_j").alias("mean_j"),
+        F.sum(F.col("c") + F.col("n") * di * dj).alias("c"), F.sum(F.col("vi") + F.col("n") * di * di).alias("v_i"),
+        F.sum(F.col("vj") + F.col("n") * dj * dj).alias("v_j"),
+        (F.min("lo_i") < F.max("hi_i")).alias("varies_i"), (F.min("lo_j") < F.max("hi_j")).alias("varies_j"))
 
 
-def _decode_group(g: str, types: list[T.DataType]) -> tuple:
+def decode_group(g: str, types: list[T.DataType]) -> tuple:
+    """The values of ``by`` that ``group_key`` made a text of."""
     if not types:
         return ()
-    parts = g.split(_SEP)
     vals = []
-    for p, t in zip(parts, types):
+    for p, t in zip(g.split(_SEP), types):
         if p == _NULL:
             vals.append(None)
         elif isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
@@ -118,54 +127,19 @@ def _decode_group(g: str, types: list[T.DataType]) -> tuple:
         elif isinstance(t, (T.DoubleType, T.FloatType)):
             vals.append(float(p))
         elif isinstance(t, T.BooleanType):
-            vals.append(p == "True")
+            vals.append(p == "true")
         else:
             vals.append(p)
     return tuple(vals)
 
 
-def collect_moments_wide(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> dict[tuple, Moments]:
-    """Listwise moments per group (same result as ``moments.collect_moments``)."""
-    cols, by = list(cols), list(by)
-    sums, shift = gram_sums(df, cols, by, listwise=True)
-    types = [df.schema[b].dataType for b in by]
-    k = len(cols)
-    out = {}
-    for g, st in sums.items():
-        n = float(st["n"][0])
-        if n == 0:
-            continue
-        s = st["s"]
-        p = st["p"].reshape(k, k)
-        mean = shift + s / n
-        cp = p - np.outer(s, s) / n
-        cp = (cp + cp.T) / 2
-        out[_decode_group(g, types)] = Moments(cols, n, mean, cp)
-    return out
-
-
 def pairwise_correlation(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Pearson correlation of every pair on the rows where both are present;
     NaN where a column is constant on those rows."""
-    cols = list(cols)
     k = len(cols)
-    sums, _ = gram_sums(df, cols, listwise=False)
-    st = sums.get("", None)
     corr = np.full((k, k), np.nan)
-    if st is None:
-        return corr
-    n = st["n"].reshape(k, k)
-    s = st["s"].reshape(k, k)      # s[i, j]: sum of x_i where x_j present
-    q = st["q"].reshape(k, k)
-    p = st["p"].reshape(k, k)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        c = p - s * s.T / n
-        v = q - s * s / n          # v[i, j]: spread of x_i on rows where x_j present
-        tol = 1e-12 * q
-        v = np.where(v > tol, v, 0.0)
-        den = np.sqrt(v * v.T)
-        corr = np.where((n > 0) & (den > 0), c / den, np.nan)
-    diag = np.diag(v)
-    for i in range(k):
-        corr[i, i] = 1.0 if diag[i] > 0 else np.nan
-    return np.clip(corr, -1.0, 1.0)
+    for r in pair_statistics(df, [list(cols)], listwise=False).collect():
+        if r["varies_i"] and r["varies_j"] and r["v_i"] > 0 and r["v_j"] > 0:
+            value = 1.0 if r["i"] == r["j"] else r["c"] / np.sqrt(r["v_i"]) / np.sqrt(r["v_j"])
+            corr[r["i"], r["j"]] = corr[r["j"], r["i"]] = min(1.0, max(-1.0, value))
+    return corr

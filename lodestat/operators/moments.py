@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from .gram import decode_group, pair_statistics
 
-MAX_COLUMNS = 200  # k x k statistics travel to the driver: keep k bounded
 
 
 def _alias_mean(i: int) -> str:
@@ -47,8 +47,6 @@ def moment_exprs(cols: Sequence[str]) -> list[Column]:
 def grouped_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One aggregation: listwise-complete rows of ``cols`` (NaN counts as missing)."""
     cols = list(cols)
-    if len(cols) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} columns, got {len(cols)}")
     clean = df.select(*by, *[X.nan_to_null(c).alias(c) for c in cols]).where(X.all_not_null(cols))
     return clean.groupBy(*by).agg(*moment_exprs(cols))
 
@@ -103,23 +101,12 @@ class Moments:
         return np.diag(self.cp) / self.n if self.n else np.full(len(self.names), np.nan)
 
 
-WIDE_FROM = 10  # from this many columns on, use per-partition numpy partials
-
-
 def collect_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> dict[tuple, Moments]:
-    """Run ``grouped_moments`` and bring the (small) result to the driver.
-
-    Up to ``WIDE_FROM - 1`` columns this is one SQL aggregation (``covar_pop``
-    per pair, all inside codegen); wider sets use ``gram.collect_moments_wide``.
-    """
-    if len(cols) >= WIDE_FROM:
-        from .gram import collect_moments_wide
-        out = collect_moments_wide(df, cols, by)
-        if not by and () not in out:       # a global aggregate always has its one row
-            out[()] = Moments.empty(cols)
-        return out
-    rows = grouped_moments(df, cols, by).collect()
-    return {tuple(r[b] for b in by): Moments.from_row(r, cols) for r in rows}
+    """Listwise moments of one column list, by group (see ``collect_moments_multi``)."""
+    out = collect_moments_multi(df, {"": cols}, by)[""]
+    if not by and () not in out:       # a global aggregate always has its one row
+        out[()] = Moments.empty(cols)
+    return out
 
 
 def merge_all(parts: Iterable[Moments], names: Sequence[str]) -> Moments:
@@ -131,41 +118,21 @@ def merge_all(parts: Iterable[Moments], names: Sequence[str]) -> Moments:
 
 def collect_moments_multi(df: DataFrame, lists: dict[str, Sequence[str]],
                           by: Sequence[str] = ()) -> dict[str, dict[tuple, Moments]]:
-    """Moments for several column lists in ONE aggregation pass.
+    """Moments for several column lists in one pass over the rows.
 
-    Each list keeps its own listwise deletion through conditional inputs
-    (``covar_pop`` and ``avg`` skip nulls), so models with different feature
+    Each list keeps its own listwise deletion, so models with different feature
     lists -- and their train, test and fold groups via ``by`` -- cost a single
-    scan and a single small shuffle.
+    scan and two small shuffles of partials.  One path for every number of columns.
     """
-    by = list(by)
-    exprs, plan, proj = [], {}, []
-    base = sorted({c for cols in lists.values() for c in cols})
-    clean = df.select(*by, *[X.nan_to_null(c).alias(c) for c in base])
-    for li, (name, cols) in enumerate(lists.items()):
-        cols = list(cols)
-        ok = X.all_not_null(cols)
-        # conditional inputs projected once, so the aggregate reads plain columns
-        proj.append(ok.alias(f"__ok_{li}"))
-        proj += [F.when(ok, F.col(c)).alias(f"__v_{li}_{i}") for i, c in enumerate(cols)]
-        v = {c: F.col(f"__v_{li}_{i}") for i, c in enumerate(cols)}
-        exprs.append(F.count_if(F.col(f"__ok_{li}")).alias(f"__n_{li}"))
-        exprs += [F.avg(v[c]).alias(f"__m_{li}_{i}") for i, c in enumerate(cols)]
-        exprs += [F.covar_pop(v[a], v[b]).alias(f"__c_{li}_{i}_{j}")
-                  for (i, a), (j, b) in combinations_with_replacement(list(enumerate(cols)), 2)]
-        plan[name] = (li, cols)
-    rows = clean.select(*by, *proj).groupBy(*by).agg(*exprs).collect()
-    out: dict[str, dict[tuple, Moments]] = {name: {} for name in lists}
-    for r in rows:
-        key = tuple(r[b] for b in by)
-        for name, (li, cols) in plan.items():
-            n = float(r[f"__n_{li}"] or 0)
-            if n == 0:
-                continue
-            k = len(cols)
-            mean = np.array([r[f"__m_{li}_{i}"] for i in range(k)], dtype=float)
-            cp = np.zeros((k, k))
-            for i, j in combinations_with_replacement(range(k), 2):
-                cp[i, j] = cp[j, i] = (r[f"__c_{li}_{i}_{j}"] or 0.0) * n
-            out[name][key] = Moments(cols, n, mean, cp)
+    by, names = list(by), list(lists)
+    types = [df.schema[b].dataType for b in by]
+    out: dict[str, dict[tuple, Moments]] = {name: {} for name in names}
+    for r in pair_statistics(df, [list(lists[x]) for x in names], by).collect():
+        cols = list(lists[names[r["list"]]])
+        k = len(cols)
+        m = out[names[r["list"]]].setdefault(decode_group(r["g"], types), Moments(cols, r["n"], np.zeros(k), np.zeros((k, k))))
+        i, j = r["i"], r["j"]
+        m.mean[i], m.mean[j] = r["mean_i"], r["mean_j"]
+        # a constant column's spread is exactly zero
+        m.cp[i, j] = m.cp[j, i] = r["c"] if r["varies_i"] and r["varies_j"] else 0.0
     return out

@@ -12,8 +12,8 @@ Here every order statistic is found by narrowing a value bracket:
    the bucket holding the wanted rank becomes the new bracket, bounded by the
    exact min and max of the values inside it;
 3. a bracket is settled when its min equals its max (a hot value is settled in
-   one pass however many rows carry it) or when it holds at most
-   ``collect_limit`` rows, which are then fetched and ordered.
+   one pass however many rows carry it).  No value of the column but these
+   minimums and maximums reaches the driver, whatever the number of rows.
 
 The bucket index is a monotone function of the value, so a bucket is a
 contiguous value range and rank bookkeeping is exact.
@@ -49,11 +49,11 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
 
 
 def order_statistics(df: DataFrame, cols: Sequence[str], ranks_by_col: dict[str, list[int]],
-                     bins: int = 1024, collect_limit: int = 100_000, max_passes: int = 64,
-                     stats: dict[str, dict] | None = None) -> dict[str, dict[int, float]]:
+                     bins: int = 1024, stats: dict[str, dict] | None = None) -> dict[str, dict[int, float]]:
     """Exact values at the given 0-based ranks (ascending, nulls and NaN skipped).
 
-    ``collect_limit`` bounds what reaches the driver (values of one bracket)."""
+    Each pass leaves a wanted rank a bracket that is narrower in values, as its bucket
+    leaves out the bracket's least or largest value, so the search ends."""
     clean = df.select(*[X.nan_to_null(c).alias(c) for c in cols])
     stats = stats or column_stats(df, cols)
     result: dict[str, dict[int, float]] = {c: {} for c in cols}
@@ -64,7 +64,7 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks_by_col: dict[str,
         if ranks:
             open_[c] = [_Bracket(float(s["lo"]), float(s["hi"]), 0, int(s["n"]), ranks)]
 
-    for _ in range(max_passes):
+    while True:
         # settle degenerate brackets
         for c in list(open_):
             keep = []
@@ -75,15 +75,10 @@ def order_statistics(df: DataFrame, cols: Sequence[str], ranks_by_col: dict[str,
                 else:
                     keep.append(b)
             open_[c] = keep
-        small = {c: [b for b in bs if b.count <= collect_limit] for c, bs in open_.items()}
-        if any(small.values()):
-            _settle_small(clean, small, result)
-            open_ = {c: [b for b in bs if b.count > collect_limit] for c, bs in open_.items()}
         open_ = {c: bs for c, bs in open_.items() if bs}
         if not open_:
             return result
         open_ = _refine(clean, open_, bins)
-    raise RuntimeError("quantile search did not converge")
 
 
 def _bracket_id(c: str, brackets: list[_Bracket]):
@@ -139,24 +134,6 @@ def _refine(clean: DataFrame, open_: dict[str, list[_Bracket]], bins: int) -> di
     return out
 
 
-def _settle_small(clean: DataFrame, small: dict[str, list[_Bracket]], result) -> None:
-    names = [c for c, bs in small.items() if bs]
-    parts = []
-    for ci, c in enumerate(names):
-        bid = _bracket_id(c, small[c])
-        parts.append(F.struct(F.lit(ci).alias("ci"), bid.alias("bid"), F.col(c).alias("v")))
-    rows = (clean.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
-            .where(F.col("bid").isNotNull()).collect())
-    values: dict[tuple[int, int], list[float]] = {}
-    for r in rows:
-        values.setdefault((r["ci"], r["bid"]), []).append(r["v"])
-    for ci, c in enumerate(names):
-        for bi, b in enumerate(small[c]):
-            vs = sorted(values.get((ci, bi), []))
-            for r in b.ranks:
-                result[c][r] = float(vs[r - b.base])
-
-
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[str, dict[float, float | None]]:
     """Linear-interpolation quantiles (pandas ``quantile``, SQL ``quantile_cont``)."""
     stats = column_stats(df, cols)

@@ -69,9 +69,7 @@ def _feature_lists(features: dict[str, list[str]], target: str) -> tuple[dict[st
 
 
 def _collect(df: DataFrame, lists: dict[str, list[str]], by: list[str]) -> dict[str, dict[tuple, Moments]]:
-    from .moments import WIDE_FROM, collect_moments_multi
-    if max(len(c) for c in lists.values()) >= WIDE_FROM:
-        return {lid: collect_moments(df, cols, by) for lid, cols in lists.items()}
+    from .moments import collect_moments_multi
     return collect_moments_multi(df, lists, by)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+
+from ..session import materialize
 from pyspark.sql import types as T
 
 from .. import config as C
@@ -231,7 +233,7 @@ FENCES_SQL = f"WITH {CLEAN_SQL},\n{_fence_sql()}"
        {O.r('q3')} AS q3, {O.r('lo')} AS lo_fence, {O.r('hi')} AS hi_fence FROM f""")
 def q_outlier_fences(spark, sf):
     """FEA1: exact quartiles, median and fences of the repaired columns."""
-    fences = FE.iqr_fences(P.clean_a(spark, sf), C.A_REPAIR_COLUMNS)
+    fences = FE.iqr_fences(materialize(P.clean_a(spark, sf).select(*C.A_REPAIR_COLUMNS)), C.A_REPAIR_COLUMNS)
     rows = [(c, f["q1"], f["median"], f["q3"], f["lo"], f["hi"]) for c, f in fences.items()]
     schema = "column_name string, q1 double, median double, q3 double, lo_fence double, hi_fence double"
     df = spark.createDataFrame(rows, schema)

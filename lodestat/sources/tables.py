@@ -39,12 +39,18 @@ def write_csv(df: DataFrame, path: str) -> None:
      .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path))
 
 
+def _present(field: T.StructField):
+    """The column, with NaN as null (as in the frames that the profile is modelled on)."""
+    c = F.col(f"`{field.name}`")
+    return F.when(~F.isnan(c), c) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else c
+
+
 def profile(df: DataFrame) -> DataFrame:
     """SRC2: (position, column, dtype, non_null, rows) -- one aggregation pass."""
     fields = df.schema.fields
     counts = df.agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)],
+        *[F.count(_present(f)).alias(f"c{i}") for i, f in enumerate(fields)],
     )
     stack_args = ", ".join(
         f"{i}, '{f.name}', '{f.dataType.simpleString()}', c{i}" for i, f in enumerate(fields)

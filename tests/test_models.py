@@ -9,7 +9,8 @@ from lodestat.operators import collinearity as CO
 from lodestat.operators import crossval as CV
 from lodestat.operators import metrics as MET
 from lodestat.operators import regression as RG
-from lodestat.operators.gram import collect_moments_wide
+from lodestat.operators.collinearity import correlation_long
+from lodestat.operators.moments import Moments, grouped_moments
 from lodestat.operators.linalg import ols_with_intercept
 from lodestat.operators.moments import collect_moments
 
@@ -84,16 +85,37 @@ def test_no_intercept_matches_lstsq(spark):
     assert np.allclose(fit.coef, _lstsq(pdf[["a", "b"]].to_numpy(), pdf.y.to_numpy(), False), rtol=1e-9)
 
 
-def test_wide_moments_equal_sql_moments(spark):
+def test_moments_equal_sql_moments(spark):
     pdf = _data()
     df = spark.createDataFrame(pdf)
-    a = collect_moments(df, ["a", "b", "c", "y"], ["atom"])
-    b = collect_moments_wide(df, ["a", "b", "c", "y"], ["atom"])
-    assert a.keys() == b.keys()
-    for key in a:
-        assert a[key].n == b[key].n
-        assert np.allclose(a[key].mean, b[key].mean, rtol=1e-12)
-        assert np.allclose(a[key].cp, b[key].cp, rtol=1e-9, atol=1e-9)
+    cols = ["a", "b", "c", "y"]
+    got = collect_moments(df, cols, ["atom"])
+    want = {(r["atom"],): Moments.from_row(r, cols) for r in grouped_moments(df, cols, ["atom"]).collect()}
+    assert got.keys() == want.keys()
+    for key in got:
+        assert got[key].n == want[key].n
+        assert np.allclose(got[key].mean, want[key].mean, rtol=1e-12)
+        assert np.allclose(got[key].cp, want[key].cp, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("far", [-1e6, -1e7, -1e12])
+def test_outlier_without_partner_leaves_correlation(spark, far):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=1000)
+    y = x + rng.normal(scale=0.1, size=1000)
+    rows = [(float(a), float(b)) for a, b in zip(x, y)] + [(far, None)]
+    got = {(r["col_i"], r["col_j"]): r["corr"] for r in correlation_long(spark.createDataFrame(rows, "x double, y double").repartition(4), ["x", "y"]).collect()}
+    assert abs(got["x", "y"] - np.corrcoef(x, y)[0, 1]) < 1e-9
+
+
+@pytest.mark.parametrize("k", [3, 10, 12])
+def test_moments_ignore_rows_that_listwise_deletion_removes(spark, k):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, k))
+    rows = [tuple(map(float, r)) for r in x] + [(-1e9, *[None] * (k - 1))]
+    cols = [f"c{i}" for i in range(k)]
+    m = collect_moments(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(3), cols)[()]
+    assert np.allclose(m.cp, (x - x.mean(0)).T @ (x - x.mean(0)), rtol=1e-9, atol=1e-7)
 
 
 def _vif_bruteforce(X):

@@ -1,3 +1,4 @@
+import pytest
 import os
 import tempfile
 
@@ -42,3 +43,13 @@ def test_fixture_b_has_null_aggregates_for_orders_without_lines(spark):
     assert ob.count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
     assert ob.where(F.col("n_lines").isNull()).count() > 0
     assert set(r.atom for r in ob.select("atom").distinct().collect()) == {"winter", "not_winter"}
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from lodestat.session import ensure_checkpoint_dir
+
+    sc = SimpleNamespace(master="spark://somewhere", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
