@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import columns as X
+from .gram import decode_group, group_key
 from .ranking import global_rank
 
 
@@ -152,7 +153,7 @@ _DW_OUT = T.StructType([
 ])
 
 
-def _dw_partials(n_groups: int):
+def _dw_partials():
     """Per partition of the ranked frame (rows in rank order): per group the
     count, sum e^2, sum of squared neighbour differences inside the
     partition, and the first/last (rank, e) for the partition-boundary pairs.
@@ -168,10 +169,7 @@ def _dw_partials(n_groups: int):
             if len(pdf) == 0:
                 continue
             pid = int(pdf["__pid"].iloc[0])
-            if n_groups:
-                g = pdf[[f"__g{i}" for i in range(n_groups)]].astype(str).agg("\u0001".join, axis=1).to_numpy()
-            else:
-                g = np.full(len(pdf), "", dtype=object)
+            g = pdf["__g"].to_numpy()
             e = pdf["__e"].to_numpy(dtype=float)
             r = pdf["__r"].to_numpy(dtype=np.int64)
             pg = np.concatenate([[prev_g], g[:-1]]) if prev_g is not None else np.concatenate([[None], g[:-1]])
@@ -209,9 +207,8 @@ def durbin_watson(df: DataFrame, value: str, order_cols: Sequence[str], by: Sequ
     data = df.where(F.col(value).isNotNull()).select(*by, *order_cols, value)
     ranked = global_rank(data, list(order_cols), within=by, rank_col="__r")
     tagged = ranked.select(F.spark_partition_id().alias("__pid"),
-                           *[F.col(b).cast("string").alias(f"__g{i}") for i, b in enumerate(by)],
-                           "__r", F.col(value).cast("double").alias("__e"))
-    parts = tagged.mapInPandas(_dw_partials(len(by)), _DW_OUT).collect()
+                           group_key(by).alias("__g"), "__r", F.col(value).cast("double").alias("__e"))
+    parts = tagged.mapInPandas(_dw_partials(), _DW_OUT).collect()
     per_group: dict[str, list] = {}
     for p in sorted(parts, key=lambda p: (p["g"], p["first_r"])):
         per_group.setdefault(p["g"], []).append(p)
@@ -224,20 +221,8 @@ def durbin_watson(df: DataFrame, value: str, order_cols: Sequence[str], by: Sequ
         for a, b in zip(chunks, chunks[1:]):
             if b["first_r"] == a["last_r"] + 1:
                 sdd += (b["first_e"] - a["last_e"]) ** 2
-        key = _decode(g, types) if by else ()
+        key = decode_group(g, types)
         rows.append((*key, int(n), sdd / sse if sse > 0 else None))
     schema = T.StructType([*[T.StructField(b, t) for b, t in zip(by, types)],
                            T.StructField("n", T.LongType()), T.StructField("durbin_watson", T.DoubleType())])
     return df.sparkSession.createDataFrame(rows, schema)
-
-
-def _decode(g: str, types) -> tuple:
-    out = []
-    for part, t in zip(g.split("\u0001"), types):
-        if isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-            out.append(int(part))
-        elif isinstance(t, (T.DoubleType, T.FloatType)):
-            out.append(float(part))
-        else:
-            out.append(part)
-    return tuple(out)

@@ -143,18 +143,6 @@ def onehot(df: DataFrame, col: str, categories: Sequence[str] | None = None,
 
 # --- FEA4: standardisation (train statistics, population std) ---------------------------
 
-def standardise_exprs(cols: Sequence[str], mean: Sequence[float], scale: Sequence[float]):
-    return {c: (F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(cols, mean, scale)}
-
-
-def standardisation_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """avg and population std per group; std 0 is replaced by 1."""
-    aggs = []
-    for c in cols:
-        sd = F.stddev_pop(c)
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias(f"{c}__scale")]
-    return df.groupBy(*by).agg(*aggs)
-
 
 # --- FEA5 / FEA6: splits and folds ------------------------------------------------------------
 

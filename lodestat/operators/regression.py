@@ -100,15 +100,6 @@ def _solve(m: Moments, feats: list[str], target: str, intercept: bool, standardi
     return ols_no_intercept(m, feats, target)
 
 
-def univariate_fit(df: DataFrame, x: str, y: str, train: Column | None = None) -> dict:
-    """REG1 with SQL's ``regr_*`` aggregates (and the train mean for REG5)."""
-    data = df.where(train) if train is not None else df
-    data = data.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = data.agg(F.regr_intercept(y, x).alias("b0"), F.regr_slope(y, x).alias("b1"),
-                 F.avg(y).alias("ybar"), F.count(F.lit(1)).alias("n")).first()
-    return r.asDict()
-
-
 # --- scoring ----------------------------------------------------------------------
 
 def predict(fit: LinearFit) -> Column:
@@ -168,12 +159,6 @@ def _f(v) -> float | None:
     return v if np.isfinite(v) else None
 
 
-def order_by_magnitude(coefs: DataFrame, descending: bool = True) -> DataFrame:
-    """ORD1 / ORD2 (MTH3): by |coef|, ties by term."""
-    key = F.col("abs_coef").desc() if descending else F.col("abs_coef").asc()
-    return coefs.orderBy(F.col("segment"), key, F.col("term"))
-
-
 def top_k_terms(coefs: DataFrame, k: int) -> DataFrame:
     """ORD3: the k largest |coef| per segment (window over a k-bounded table)."""
     from pyspark.sql import Window
@@ -182,12 +167,6 @@ def top_k_terms(coefs: DataFrame, k: int) -> DataFrame:
         .where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def prediction_frame(df: DataFrame, key_cols: Sequence[str], target: str, pred: Column,
-                     extra: Sequence[str | Column] = ()) -> DataFrame:
-    """DIA8 / PRJ10: (key, ..., actual, predicted)."""
-    return df.select(*key_cols, *extra, F.col(target).alias("actual"), pred.alias("predicted"))
-
-
 def label_segments(df: DataFrame, segments: dict[str, list[str]], atom_col: str,
                    col: str = "segment") -> DataFrame:
     """One output row per (row, segment holding it): a generator over a

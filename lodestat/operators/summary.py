@@ -50,28 +50,42 @@ def _betacf(a: float, b: float, x: float) -> float:
         delta = d * c
         h *= delta
         if abs(delta - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the continued fraction does not converge at a={a}, b={b}, x={x}")
 
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0:
+def _lgamma_ratio(a: float, b: float) -> float:
+    """ln Gamma(a + b) - ln Gamma(a); for large a by the difference of their Stirling
+    series, as the values themselves cancel."""
+    if a < 1e4:
+        return math.lgamma(a + b) - math.lgamma(a)
+    s = a + b
+    tail = sum(c * (s ** -p - a ** -p) for p, c in ((1, 1 / 12), (3, -1 / 360), (5, 1 / 1260)))
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(s) - b + tail
+
+
+def betainc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta I_x(a, b); ``y`` is 1 - x where that is known better
+    than the subtraction would give it."""
+    y = 1.0 - x if y is None else y
+    if x <= 0 or y >= 1:
         return 0.0
-    if x >= 1:
+    if x >= 1 and y <= 0:
         return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
+    ratio = _lgamma_ratio(a, b) - math.lgamma(b) if a >= b else _lgamma_ratio(b, a) - math.lgamma(a)
+    front = math.exp(ratio + a * (math.log1p(-y) if y < 0.5 else math.log(x)) + b * (math.log(y) if y < 0.5 else math.log1p(-x)))
     if x < (a + 1) / (a + b + 2):
         return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+    return 1.0 - front * _betacf(b, a, y) / b
 
 
 def t_sf(t: float, df: float) -> float:
     """P(T > t) for Student's t."""
     if not math.isfinite(t):
         return 0.0 if t > 0 else 1.0
-    p = 0.5 * betainc(df / 2.0, 0.5, df / (df + t * t))
+    x, y = df / (df + t * t), t * t / (df + t * t)
+    # beyond the mean the small tail itself is summed, not one minus the rest
+    p = 0.5 * betainc(df / 2.0, 0.5, x, y)
     return p if t >= 0 else 1.0 - p
 
 
@@ -149,18 +163,21 @@ def ols_summary_values(df: DataFrame, features: Sequence[str], target: str,
     tss = m.sub([target]).cp[0, 0] if has_const else yty
     df_resid = n - fit.rank
     df_model = fit.rank - k_const
-    r2 = 1 - ssr / tss
+    r2 = 1 - ssr / tss if tss > 0 else float("nan")
     adj = 1 - (n - k_const) / df_resid * (1 - r2)
     ess = tss - ssr
-    fval = (ess / df_model) / (ssr / df_resid) if df_model > 0 else float("nan")
-    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
+    fval = (ess / df_model) / (ssr / df_resid) if df_model > 0 and ssr > 0 else float("nan")
+    # a perfect fit has no finite likelihood, and so no information criteria
+    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr > 0 else float("nan")
     inv, _ = _pinv_inverse(gram)
     cov = ssr / df_resid * inv
     se = np.sqrt(np.diag(cov))
     tq = t_ppf(0.975, df_resid)
-    skew = float(rm["skew"])
-    kurt = float(rm["kurt"]) + 3.0
-    zs, zk = skewtest_z(skew, n), kurtosistest_z(kurt, n)
+    nan = float("nan")
+    skew = nan if rm["skew"] is None else float(rm["skew"])
+    kurt = nan if rm["kurt"] is None else float(rm["kurt"]) + 3.0
+    # the normality transforms are not defined below eight rows
+    zs, zk = (skewtest_z(skew, n), kurtosistest_z(kurt, n)) if n >= 8 and math.isfinite(skew) else (nan, nan)
     omni = zs * zs + zk * zk
     jb = n / 6.0 * (skew ** 2 + (kurt - 3) ** 2 / 4.0)
     dw = None
@@ -169,7 +186,7 @@ def ols_summary_values(df: DataFrame, features: Sequence[str], target: str,
         dw = durbin_watson(scored, "__e", list(order_cols)).first()["durbin_watson"]
     model = {
         "n": n, "df_model": float(df_model), "df_resid": float(df_resid), "r2": r2, "adj_r2": adj,
-        "f_stat": fval, "f_pvalue": f_sf(fval, df_model, df_resid) if df_model > 0 else float("nan"),
+        "f_stat": fval, "f_pvalue": f_sf(fval, df_model, df_resid) if df_model > 0 and ssr > 0 else float("nan"),
         "log_likelihood": llf, "aic": -2 * llf + 2 * fit.rank, "bic": -2 * llf + fit.rank * math.log(n),
         "omnibus": omni, "omnibus_p": math.exp(-omni / 2.0), "skew": skew, "kurtosis": kurt,
         "jarque_bera": jb, "jarque_bera_p": math.exp(-jb / 2.0), "durbin_watson": dw,
@@ -179,7 +196,7 @@ def ols_summary_values(df: DataFrame, features: Sequence[str], target: str,
     for i, c in enumerate(feats):
         t = fit.coef[i] / se[i] if se[i] > 0 else float("nan")
         terms[c] = {"coef": float(fit.coef[i]), "std_err": float(se[i]), "t": float(t),
-                    "p_value": 2 * t_sf(abs(t), df_resid), "ci_low": float(fit.coef[i] - tq * se[i]),
+                    "p_value": 2 * t_sf(abs(t), df_resid) if not math.isnan(t) else nan, "ci_low": float(fit.coef[i] - tq * se[i]),
                     "ci_high": float(fit.coef[i] + tq * se[i])}
     return {"model": model, "terms": terms}
 

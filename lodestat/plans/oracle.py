@@ -210,10 +210,6 @@ def gs_ctes(prefix: str, src: str, group: Sequence[str], carry: Sequence[str], f
     return ctes, scored, coef
 
 
-def with_ctes(ctes: Sequence[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
-
-
 def metric_select(y: str, yhat: str, rounded: bool = True) -> list[str]:
     """SQL aggregates matching ``operators.metrics`` (n, mae, mse, rmse, nrmse, r2)."""
     r = globals()["r"] if rounded else (lambda x: x)

@@ -255,3 +255,28 @@ def test_residuals_orthogonal_and_scale_invariant(spark):
     assert np.allclose(p1, p2, rtol=1e-9)
     # standardised coefficients do not depend on the units of the features
     assert np.allclose(fit.coef_scaled, fit2.coef_scaled, rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [6, 7, 8, 30])
+def test_summary_of_few_rows_and_of_a_perfect_fit(spark, n):
+    from lodestat.operators.summary import ols_summary_values
+
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 2))
+    rows = [(i, float(a), float(b), float(a - 2 * b + rng.normal()), 0.0) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y double, zero double")
+    v = ols_summary_values(df, ["a", "b"], "y", ["k"])["model"]
+    assert np.isnan(v["omnibus"]) == (n < 8) and 0 < v["r2"] < 1
+    perfect = ols_summary_values(df, ["a", "b"], "zero", ["k"])["model"]
+    assert np.isnan(perfect["log_likelihood"]) and np.isnan(perfect["f_pvalue"])
+
+
+@pytest.mark.parametrize("df", [1e6, 1e9, 1e11, 1e12])
+def test_t_tail_at_large_degrees_of_freedom(df):
+    from math import erfc, sqrt
+
+    from lodestat.operators.summary import t_sf
+
+    for t in (0.5, 2.0, 4.0):
+        normal = 0.5 * erfc(t / sqrt(2))
+        assert abs(t_sf(t, df) / normal - 1) < (t ** 4 + 1) / df + 1e-6
