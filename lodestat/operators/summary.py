@@ -83,6 +83,12 @@ def t_sf(t: float, df: float) -> float:
     """P(T > t) for Student's t."""
     if not math.isfinite(t):
         return 0.0 if t > 0 else 1.0
+    if df >= 1e5:
+        # Hill's normal deviate of t (G. W. Hill, Student's t-distribution, CACM 13, 1970);
+        # the terms left out are below 1e-20 here, where the continued fraction loses digits
+        w = math.sqrt((df - 0.5) * math.log1p(t * t / df))
+        tail = 0.5 * math.erfc((w + (w ** 3 + 3 * w) / (48 * (df - 0.5) ** 2)) / math.sqrt(2))
+        return tail if t >= 0 else 1.0 - tail
     x, y = df / (df + t * t), t * t / (df + t * t)
     # beyond the mean the small tail itself is summed, not one minus the rest
     p = 0.5 * betainc(df / 2.0, 0.5, x, y)
