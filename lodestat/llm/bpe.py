@@ -14,6 +14,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import map_text, worker_cache
 from .pretokens import ChunkEncoder
@@ -129,7 +130,7 @@ def decode(encoded: DataFrame, ranks: list[bytes], ids: str = "ids") -> DataFram
     give null.  An id outside the vocabulary is an error."""
     spark = encoded.sparkSession
     table = spark.sparkContext.broadcast(ranks)
-    schema = encoded.schema.add("decoded", "binary")
+    schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches):
         tokens = table.value

@@ -171,13 +171,15 @@ class Labeller:
             self.index, self.scores = {}, self.scores[:0]
         words = [words_of(t) if t else [] for t in texts]
         flat = [w for ws in words for w in ws]
-        if new := [w for w in dict.fromkeys(flat) if w not in self.index]:
+        k = len(self.model["names"])
+        if new := [w for w in dict.fromkeys(flat) if k and w not in self.index]:
             for i in range(0, len(new), 50_000):
                 self._learn(new[i : i + 50_000])
-        k = len(self.model["names"])
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        labels = viterbi(self.scores[at], lengths, self.switch) if k else np.zeros(len(flat), np.int8)
+        if k:
+            labels = viterbi(self.scores[np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))], lengths, self.switch)
+        else:
+            labels = np.zeros(len(flat), np.int8)
         letters = np.fromiter(map(len, flat), np.int64, len(flat))
         rows = np.repeat(np.arange(len(words)), lengths)
         held = np.zeros((len(words), max(k, 1)), np.int64)
@@ -211,9 +213,8 @@ def identify(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, t
                 made, at = [], 0
                 for n in lengths.tolist():
                     own = labels[at : at + n]
-                    cut = np.flatnonzero(np.diff(own)) + 1 if n else []
-                    first = [0, *cut] if n and names else []
-                    made.append([{"lang": names[own[a]], "first": int(a), "words": int(b - a)} for a, b in zip(first, [*first[1:], n], strict=True)])
+                    edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), n] if n and names else []
+                    made.append([{"lang": names[own[a]], "first": a, "words": b - a} for a, b in zip(edges, edges[1:], strict=False)])
                     at += n
                 out.append(made)
             return out

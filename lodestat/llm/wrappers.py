@@ -26,6 +26,7 @@ RAW = frozenset("script style noscript template textarea iframe svg".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 BOILER = frozenset("nav header footer aside form button select dialog menu head title script style noscript template textarea iframe svg".split())
 MAIN = frozenset(("article", "main"))
+FLOW = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th blockquote pre figure figcaption option hr".split())
 #: Words in class, id or role that mark what is not main text.
 BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu modal nav navbar "
@@ -68,27 +69,42 @@ def shape(page: str) -> tuple[list[str], list[list[str]]]:
     """A page's markup tokens and the texts at each of its text tokens.
 
     Inline markup is part of the text around it.  A token is "<name marks", ">name" or
-    "#", a text; adjacent texts between block tags are one."""
+    "#" (a text), and after "@" the container that it stands in, so that only tokens of
+    like places are aligned; adjacent texts between block tags are one."""
     tokens: list[str] = []
     texts: list[list[str]] = []
+    inside: list[tuple[str, str]] = []
     open_text = False
+
+    def add(token: str):
+        tokens.append(f"{token}@{inside[-1][1]}" if inside else token)
+
     for kind, name, value in tokenise(page):
         if kind == "text":
             if open_text:
                 texts[-1].append(value)
             elif value.strip():
-                tokens.append("#")
+                add("#")
                 texts.append([value])
                 open_text = True
         elif name in INLINE:
-            if open_text:
-                continue
+            continue
         elif name == "br":  # white space inside a block
             if open_text:
                 texts[-1].append(" ")
         elif name not in VOID or name == "hr":
             open_text = False
-            tokens.append(("<" if kind == "open" else ">") + name + (" " + value if value else ""))
+            name = name.replace("@", "")
+            label = name + (" " + value.replace("@", "") if value else "")
+            if kind == "open":
+                add("<" + label)
+                if name not in FLOW:
+                    inside.append((name, label))
+            else:
+                if any(n == name for n, _ in inside):
+                    while inside.pop()[0] != name:
+                        pass
+                add(">" + name)
     return tokens, texts
 
 
@@ -196,7 +212,7 @@ def infer(wrapper: tuple | None, tokens: list[str]) -> tuple:
 
 
 def _names(token: str) -> tuple[str, set[str]]:
-    name, *marks = token[1:].split(" ")
+    name, *marks = token[1:].partition("@")[0].split(" ")
     return name, set(marks)
 
 
@@ -238,7 +254,7 @@ class Matcher:
         stack: list[tuple[str, bool, bool]] = []
         for t in self.steps:
             name, _ = _names(t)
-            self.main.append(t == "#" and not any(s[1] for s in stack) and (not marked or any(s[2] for s in stack)))
+            self.main.append(t[0] == "#" and not any(s[1] for s in stack) and (not marked or any(s[2] for s in stack)))
             if t[0] == "<" and name not in VOID:
                 stack.append((name, is_boiler(t) and name not in MAIN, is_main(t)))
             elif t[0] == ">" and any(s[0] == name for s in stack):
@@ -269,11 +285,11 @@ class Matcher:
 
     def path(self, tokens: list[str]) -> list[int] | None:
         """The step that consumes each token, or None if the wrapper does not accept them
-        (all paths at once, so no backtracking; of several the first found)."""
+        (all paths at once, so no backtracking; of several one through earlier steps)."""
         live, back = dict.fromkeys(self.reach[0]), []
         for t in tokens:
             came: dict[int, int] = {}
-            for s in live:
+            for s in sorted(live):
                 if s < len(self.steps) and self.steps[s] == t:
                     for r in self.reach[s + 1]:
                         came.setdefault(r, s)
@@ -295,7 +311,7 @@ class Matcher:
         path = self.path(tokens)
         if path is None:
             return None
-        slots = (s for t, s in zip(tokens, path, strict=True) if t == "#")
+        slots = (s for t, s in zip(tokens, path, strict=True) if t[0] == "#")
         found = (_SPACE.sub(" ", "".join(x)).strip() for x, s in zip(texts, slots, strict=True) if self.main[s])
         return [x for x in found if x]
 
