@@ -101,12 +101,13 @@ def features(found) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """id, text and y (0 or 1) of about ``sample`` ids of each label, chosen by hash.  The ids are chosen before texts are joined to them.  Ids with two
-    different labels, null ids and null labels teach nothing."""
+    """id, text and y (0 or 1) of about ``sample`` ids of each label, chosen by hash.  Ids with two
+    different labels, null ids and null labels teach nothing.  The chosen ids, about 2 * ``sample``
+    whatever the input, are broadcast to the texts, so that no other text is shuffled."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("z"))
     known = sample_by_hash(known.filter("y = z").select("id", "y"), "y", ("id",), sample)
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    chosen = texts.join(known, "id").select("id", "text", F.col("y").cast("int").alias("y"))
+    chosen = texts.join(F.broadcast(known), "id").select("id", "text", F.col("y").cast("int").alias("y"))
 
     def least_shingle(batches):
         import xxhash
