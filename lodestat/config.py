@@ -38,6 +38,13 @@ A_EXCLUDE = ("time_to_food", "start_time", "date", "month", "month_num", "key")
 # (v1: winter and "spring" = not winter).
 A_WINTER_FEATURES = ["min_after_arrival", "risk", "reward", "arrival_number", "arrivals_exceed", "season_Winter"]
 A_SPRING_FEATURES = ["min_after_arrival", "risk", "reward", "arrival_minutes", "season_Winter"]
+# Fixture D (orders as landings, all seasons) also has the minutes after sunset.
+D_SPRING_FEATURES = ["min_after_arrival", "risk", "reward", "min_after_sunset", "arrival_minutes", "season_Winter"]
+# Heat maps of the second and third analysis.
+HEATMAP_V2 = ["arrival_number", "risk", "arrivals_exceed", "arrival_present", "food_availability"]
+HEATMAP_V3 = ["time_to_food", "min_after_arrival", "risk", "reward", "min_after_sunset", "landing_number", "arrival_minutes",
+              "arrival_number", "arrival_present", "food_fraction", "month", "bucket_count", "log_arrivals_exceed",
+              "risk_arrivals", "risk_reward"]
 # Baseline of the log-transform study (no-intercept OLS) and the candidates swapped for their log.
 A_LOG_BASE = ["min_after_arrival", "risk", "reward", "arrival_number", "arrivals_exceed"]
 A_LOG_CANDIDATES = ["risk", "reward", "arrival_number", "arrivals_exceed", "min_after_arrival"]

@@ -142,14 +142,34 @@ def kurtosistest_z(kurt_pearson: float, n: float) -> float:
 
 def ols_summary_values(df: DataFrame, features: Sequence[str], target: str,
                        order_cols: Sequence[str] = ()) -> dict:
-    feats = list(features)
-    cols = feats + [target]
-    # three jobs read the complete rows: materialise them once (narrow)
+    return ols_summaries(df, {"model": features}, target, order_cols)["model"]
+
+
+def ols_summaries(df: DataFrame, models: dict[str, Sequence[str]], target: str, order_cols: Sequence[str] = ()) -> dict:
+    """The summary fields of several models on the rows that are complete in all their
+    columns: the rows are written once, and one moments pass, one residual pass and one
+    ranked pass (Durbin-Watson) serve all models."""
+    cols = list(dict.fromkeys([c for feats in models.values() for c in feats] + [target]))
     df = materialize(df.select(*order_cols, *cols).where(X.all_not_null(cols)), key=list(order_cols) or None)
     m = collect_moments(df, cols)[()]
-    fit = ols_no_intercept(m, feats, target)
-    n, k = fit.n, len(feats)
-    if n <= k:      # nothing to estimate: every field is undefined
+    fits = {name: ols_no_intercept(m, list(feats), target) for name, feats in models.items()}
+    scored = {name: F.col(target) - predict(f) for name, f in fits.items() if f.n > len(models[name])}
+    shapes, dws = {}, {}
+    if scored:
+        aggs = {"n": lambda e: F.count(e), "ssr": lambda e: F.sum(e * e), "skew": F.skewness, "kurt": F.kurtosis}
+        row = df.agg(*[f(e).alias(f"{stat}{i}") for i, e in enumerate(scored.values()) for stat, f in aggs.items()]).first()
+        shapes = {name: {stat: row[f"{stat}{i}"] for stat in aggs} for i, name in enumerate(scored)}
+    if scored and order_cols:
+        errors = F.array(*[F.struct(F.lit(name).alias("__model"), e.alias("__e")) for name, e in scored.items()])
+        found = durbin_watson(df.select(*order_cols, F.inline(errors)), "__e", list(order_cols), by=["__model"]).collect()
+        dws = {r["__model"]: r["durbin_watson"] for r in found}
+    return {name: _summary(m, fits[name], list(models[name]), target, shapes.get(name), dws.get(name)) for name in models}
+
+
+def _summary(m, fit, feats: list[str], target: str, rm: dict | None, dw: float | None) -> dict:
+    """The fields of one model from the moments, the fit and its residuals' moments."""
+    n = fit.n
+    if rm is None:      # nothing to estimate: every field is undefined
         nan = float("nan")
         model = dict.fromkeys(["n", "df_model", "df_resid", "r2", "adj_r2", "f_stat", "f_pvalue", "log_likelihood",
                                "aic", "bic", "omnibus", "omnibus_p", "skew", "kurtosis", "jarque_bera",
@@ -158,10 +178,6 @@ def ols_summary_values(df: DataFrame, features: Sequence[str], target: str,
         terms = {c: dict.fromkeys(["coef", "std_err", "t", "p_value", "ci_low", "ci_high"], nan) for c in feats}
         return {"model": model, "terms": terms}
     gram = fit.extra["gram"]
-    complete = df.where(X.all_not_null(cols))
-    e = F.col(target) - predict(fit)
-    rm = complete.agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("ssr"),
-                      F.skewness(e).alias("skew"), F.kurtosis(e).alias("kurt")).first()
     ssr = float(rm["ssr"])
     yty = fit.extra["yty"]
     has_const = _constant_in_span(gram, m.sub(feats).mean * n, n)
@@ -186,10 +202,6 @@ def ols_summary_values(df: DataFrame, features: Sequence[str], target: str,
     zs, zk = (skewtest_z(skew, n), kurtosistest_z(kurt, n)) if n >= 8 and math.isfinite(skew) else (nan, nan)
     omni = zs * zs + zk * zk
     jb = n / 6.0 * (skew ** 2 + (kurt - 3) ** 2 / 4.0)
-    dw = None
-    if order_cols:
-        scored = complete.select(*order_cols, e.alias("__e"))
-        dw = durbin_watson(scored, "__e", list(order_cols)).first()["durbin_watson"]
     model = {
         "n": n, "df_model": float(df_model), "df_resid": float(df_resid), "r2": r2, "adj_r2": adj,
         "f_stat": fval, "f_pvalue": f_sf(fval, df_model, df_resid) if df_model > 0 and ssr > 0 else float("nan"),
@@ -213,14 +225,15 @@ def _pinv_inverse(a: np.ndarray):
     return np.column_stack(cols), k
 
 
-def ols_summary(spark: SparkSession, df: DataFrame, features: Sequence[str], target: str,
+def ols_summary(spark: SparkSession, df: DataFrame, models: dict[str, Sequence[str]], target: str,
                 order_cols: Sequence[str] = ()) -> DataFrame:
-    """Long table (term, stat, value); term 'model' holds model-level fields."""
-    v = ols_summary_values(df, features, target, order_cols)
-    rows = [("model", k, _num(x)) for k, x in v["model"].items()]
-    for term, stats in v["terms"].items():
-        rows += [(term, k, _num(x)) for k, x in stats.items()]
-    return spark.createDataFrame(rows, "term string, stat string, value double")
+    """Long table (candidate, term, stat, value) of several models; term 'model' holds
+    model-level fields."""
+    rows = []
+    for name, v in ols_summaries(df, models, target, order_cols).items():
+        rows += [(name, "model", k, _num(x)) for k, x in v["model"].items()]
+        rows += [(name, term, k, _num(x)) for term, stats in v["terms"].items() for k, x in stats.items()]
+    return spark.createDataFrame(rows, "candidate string, term string, stat string, value double")
 
 
 def _num(x):

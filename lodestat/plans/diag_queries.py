@@ -15,6 +15,7 @@ from ..session import materialize
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import prepare as P
+from . import univariate as U
 from .model_queries import A_LOG_SQL, B_MODEL, B_SCORED, _candidate_lists, _season_fits
 from .registry import register
 
@@ -38,11 +39,12 @@ def scored_b(spark, sf, shared: bool = False):
     return out.withColumn("residual", F.col(C.B_TARGET) - F.col("predicted"))
 
 
-def train_residuals(spark, sf, shared: bool = True):
+def train_residuals(spark, sf, shared: bool = True, ranked: bool = False):
     """Training residuals per segment.  ``shared``: the chart queries run
-    several jobs on them, so they are materialised once per query."""
+    several jobs on them, so they are materialised once per query, except those
+    that go to the global rank (``ranked``), which writes them itself."""
     res = scored_b(spark, sf, shared).where(~F.col("is_test")).select("segment", "key", "predicted", "residual")
-    return materialize(res, key=["segment", "key"]) if shared else res
+    return materialize(res, key=["segment", "key"]) if shared and not ranked else res
 
 
 RES_SQL = f"WITH {B_MODEL},\nres AS (SELECT segment, key, __yhat AS predicted, __y - __yhat AS e FROM {B_SCORED} WHERE __t)"
@@ -138,7 +140,7 @@ qq AS (SELECT segment, i, e AS sample, {X.normal_ppf_sql('p')} AS theoretical FR
           f"{O.r('sample')} AS sample FROM qq")
 def q_qq(spark, sf):
     """DIA6: ordered residuals against normal quantiles (distributed rank)."""
-    pts = DG.qq_points(train_residuals(spark, sf), "residual", ["key"], by=["segment"])
+    pts = DG.qq_points(train_residuals(spark, sf, ranked=True), "residual", ["key"], by=["segment"])
     return pts.select("segment", "rank", _r("theoretical"), _r("sample"))
 
 
@@ -147,7 +149,7 @@ def q_qq(spark, sf):
           f"count(*) AS n FROM qq GROUP BY 1")
 def q_qq_line(spark, sf):
     """DIA6 reference line: least-squares slope, intercept and r."""
-    pts = DG.qq_points(train_residuals(spark, sf), "residual", ["key"], by=["segment"])
+    pts = DG.qq_points(train_residuals(spark, sf, ranked=True), "residual", ["key"], by=["segment"])
     return DG.qq_line(pts, ["segment"]).select("segment", _r("slope"), _r("intercept"), _r("r"), "n")
 
 
@@ -156,7 +158,7 @@ lg AS (SELECT segment, e, lag(e) OVER (PARTITION BY segment ORDER BY key) AS pre
 SELECT segment, count(*) AS n, {O.r('sum(pow(e - prev, 2)) / sum(e * e)')} AS durbin_watson FROM lg GROUP BY 1""")
 def q_dw(spark, sf):
     """DIA5: Durbin-Watson of training residuals in key order."""
-    d = DG.durbin_watson(train_residuals(spark, sf), "residual", ["key"], by=["segment"])
+    d = DG.durbin_watson(train_residuals(spark, sf, ranked=True), "residual", ["key"], by=["segment"])
     return d.select("segment", "n", _r("durbin_watson"))
 
 
@@ -181,33 +183,38 @@ def q_scatter(spark, sf):
     return out.select("key", "feature", _r("value"), _r("log_value"), _r("target"))
 
 
-@register("fitted_line", f"""WITH {O.LANDING},
-base AS (SELECT key, CAST(risk AS DOUBLE) AS x, time_to_food AS y, {O.is_test_sql(['key'], C.UNIVARIATE_SEED)} AS is_test
-         FROM landing WHERE risk IS NOT NULL AND time_to_food IS NOT NULL),
-fit AS (SELECT regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1 FROM base WHERE NOT is_test)
-SELECT CAST(key AS BIGINT) AS key, {O.r('x')} AS x, {O.r('y')} AS y, {O.r('b0 + b1 * x')} AS fitted FROM base, fit WHERE is_test""")
+@register("fitted_line", U.fitted_line_sql(O.LANDING, "landing", "CAST(key AS BIGINT)", "risk", "time_to_food"))
 def q_fitted_line(spark, sf):
-    """DIA10: test points of the univariate risk study and the fitted line."""
-    df = FX.landings(spark, sf).select("key", X.to_double("risk").alias("x"), X.to_double("time_to_food").alias("y")) \
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull()) \
-        .withColumn("is_test", X.is_test_row(["key"], C.UNIVARIATE_SEED))
-    fit = df.where(~F.col("is_test")).agg(F.regr_intercept("y", "x").alias("b0"), F.regr_slope("y", "x").alias("b1"))
-    b0, b1 = fit.select("b0").scalar(), fit.select("b1").scalar()
-    return df.where(F.col("is_test")).select(F.col("key").cast("bigint").alias("key"), _r("x"), _r("y"),
-                                             X.rounded(b0 + b1 * F.col("x")).alias("fitted"))
+    """DIA9 + DIA10: test points of the univariate risk study and the fitted line."""
+    line = U.fitted_line(FX.landings(spark, sf).withColumn("key", F.col("key").cast("bigint")), "risk", "time_to_food", ["key"])
+    return line.select("key", _r("x"), _r("y"), _r("fitted"))
+
+
+def _observation_line(spark, sf, y: str):
+    obs = FX.observations(spark, sf).withColumn("key", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
+    return U.fitted_line(obs, "arrival_number", y, ["key"]).select("key", _r("x"), _r("y"), _r("fitted"))
+
+
+@register("fitted_line_landings", U.fitted_line_sql(O.OBSERVATION, "observation", O.ts_text("time"), "arrival_number", "landing_number"))
+def q_fitted_line_landings(spark, sf):
+    """DIA9 + DIA10 of the study of landings on arrivals."""
+    return _observation_line(spark, sf, "landing_number")
+
+
+@register("fitted_line_food", U.fitted_line_sql(O.OBSERVATION, "observation", O.ts_text("time"), "arrival_number", "food_availability"))
+def q_fitted_line_food(spark, sf):
+    """DIA9 + DIA10 of the study of food on arrivals."""
+    return _observation_line(spark, sf, "food_availability")
 
 
 # --- REG8 ---------------------------------------------------------------------------------------------
 
 @register("ols_summary", None)
 def q_ols_summary(spark, sf):
-    """REG8: full no-intercept OLS summary of the log study's kept model
-    (moments pass + one residual-moment pass + Durbin-Watson); tail
-    probabilities come from driver-side special functions, so no SQL oracle."""
-    from ..operators import features as FE
-    df = FE.with_logs(P.clean_a(spark, sf), C.A_LOG_CANDIDATES)
-    feats = _candidate_lists()["log_arrivals_exceed"]
-    return SM.ols_summary(spark, df, feats, C.A_TARGET, order_cols=["key"])
+    """REG8 + REG9: full no-intercept OLS summaries of the log study's baseline and its
+    five one-swap models, from one moments pass, one residual pass and one ranked
+    pass; tail probabilities come from driver-side special functions, so no SQL oracle."""
+    return SM.ols_summary(spark, _summary_frame(spark, sf), _candidate_lists(), C.A_TARGET, order_cols=["key"])
 
 
 # --- REG8, SQL-expressible part ----------------------------------------------------------------

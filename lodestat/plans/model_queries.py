@@ -65,7 +65,7 @@ def _candidates(enc) -> list[str]:
 
 # --- AGG9 / FLT6 / PRJ11 / DIA11 ----------------------------------------------------------
 
-def _corr_sql(cols, where: str = "") -> str:
+def _corr_sql(cols, where: str = "", head: str = f"WITH {A_CLEAN}", src: str = "enc2") -> str:
     aggs = [f"var_pop(CAST({c} AS DOUBLE)) AS v{i}" for i, c in enumerate(cols)]
     for i, j in combinations(range(len(cols)), 2):
         a, b = f"CAST({cols[i]} AS DOUBLE)", f"CAST({cols[j]} AS DOUBLE)"
@@ -78,7 +78,7 @@ def _corr_sql(cols, where: str = "") -> str:
         e = f"CASE WHEN sqrt(va{i}_{j} * vb{i}_{j}) > 0 THEN c{i}_{j} / sqrt(va{i}_{j} * vb{i}_{j}) END"
         parts.append(f"SELECT '{cols[i]}', '{cols[j]}', {e} FROM st")
         parts.append(f"SELECT '{cols[j]}', '{cols[i]}', {e} FROM st")
-    return (f"WITH {A_CLEAN},\nst AS (SELECT {', '.join(aggs)} FROM enc2),\ncm AS (\n"
+    return (f"{head},\nst AS (SELECT {', '.join(aggs)} FROM {src}),\ncm AS (\n"
             + "\nUNION ALL\n".join(parts) + f")\nSELECT col_i, col_j, {O.r('corr')} AS corr FROM cm {where}")
 
 
@@ -97,26 +97,32 @@ def q_high_corr(spark, sf):
     return CO.high_corr_pairs(corr, C.CORR_THRESHOLD).select("col_i", "col_j", _r("corr"))
 
 
-_w = ", ".join(f"'{c}'" for c in C.A_WINTER_FEATURES)
-
-
-@register("corr_heatmap_winter", _corr_sql(A_CANDIDATES, f"WHERE col_i IN ({_w}) AND col_j IN ({_w})"))
+@register("corr_heatmap_winter", _corr_sql(C.A_WINTER_FEATURES))
 def q_heatmap(spark, sf):
     """PRJ11 / DIA11: heat-map cells of the winter feature list."""
-    enc = _encoded_a(spark, sf)
-    corr = CO.correlation_long(enc, _candidates(enc))
-    return CO.corr_submatrix(corr, C.A_WINTER_FEATURES).select("col_i", "col_j", _r("corr"))
-
-
-_s = ", ".join(f"'{c}'" for c in C.A_SPRING_FEATURES)
+    return CO.correlation_long(_encoded_a(spark, sf), C.A_WINTER_FEATURES).select("col_i", "col_j", _r("corr"))
 
 
-@register("corr_heatmap_spring", _corr_sql(A_CANDIDATES, f"WHERE col_i IN ({_s}) AND col_j IN ({_s})"))
+@register("corr_heatmap_spring", _corr_sql(C.A_SPRING_FEATURES))
 def q_heatmap_spring(spark, sf):
     """PRJ11 / DIA11: heat-map cells of the spring feature list."""
-    enc = _encoded_a(spark, sf)
-    corr = CO.correlation_long(enc, _candidates(enc))
-    return CO.corr_submatrix(corr, C.A_SPRING_FEATURES).select("col_i", "col_j", _r("corr"))
+    return CO.correlation_long(_encoded_a(spark, sf), C.A_SPRING_FEATURES).select("col_i", "col_j", _r("corr"))
+
+
+@register("corr_heatmap_v2", _corr_sql(C.HEATMAP_V2, head="WITH " + O.FIXTURE_A, src="feat3"))
+def q_heatmap_v2(spark, sf):
+    """DIA11 of the second analysis: five variables, food availability unscaled."""
+    return CO.correlation_long(P.features_a(spark, sf), C.HEATMAP_V2).select("col_i", "col_j", _r("corr"))
+
+
+@register("corr_heatmap_v3", O.on_orders(_corr_sql(
+    C.HEATMAP_V3, head=f"WITH {O.FIXTURE_A},\nlogs AS (SELECT * EXCLUDE (month_x, month_y, month_num), month_num AS month, "
+    f"ln(arrivals_exceed + {C.LOG_SHIFT}) AS log_arrivals_exceed FROM feat3)", src="logs")))
+def q_heatmap_v3(spark, sf):
+    """DIA11 of the third analysis on fixture D: fifteen variables with the target, the
+    month and the logged flag."""
+    df = FE.with_logs(P.clean_a(spark, sf, "D"), ["arrivals_exceed"])
+    return CO.correlation_long(df, C.HEATMAP_V3).select("col_i", "col_j", _r("corr"))
 
 
 # --- FEA8 / FEA9 ---------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from typing import Sequence
 
 from .. import config as C
 from ..functions.columns import test_threshold
+from ..sources.fixtures import NIGHT_MINUTES
 
 D = C.OUT_DECIMALS
 
@@ -78,12 +79,13 @@ OBSERVATION = f"""observation AS (
         GROUP BY 1))"""
 
 # JON1 + JON2: left join on (date, bucket); bucket_count = joined rows per key
-JOINED = f"""lb AS (
+def joined_sql(extra: str = "") -> str:
+    return f"""lb AS (
   SELECT *, {bucket_sql('start_time')} AS start_time_interval FROM landing),
 ob AS (
   SELECT *, {bucket_sql('time')} AS time_interval FROM observation),
 j0 AS (
-  SELECT lb.key, lb.start_time, lb.date, lb.time_to_food, lb.risk, lb.reward, lb.min_after_arrival,
+  SELECT lb.key, lb.start_time, lb.date, lb.time_to_food, lb.risk, lb.reward, lb.min_after_arrival,{extra}
          lb.month AS month_x, lb.start_time_interval,
          ob.time, ob.arrival_number, ob.landing_number, ob.food_availability, ob.arrival_minutes,
          ob.month AS month_y, ob.time_interval
@@ -106,7 +108,36 @@ feat2 AS (
 feat3 AS (
   SELECT *, risk_arrivals * risk_food * reward AS risk_reward FROM feat2)"""
 
-FIXTURE_A = ",\n".join([LANDING, OBSERVATION, JOINED, FEATURES])
+FIXTURE_A = ",\n".join([LANDING, OBSERVATION, joined_sql(), FEATURES])
+
+_ORDER_MINUTE = f"((o_orderkey * 7) % {NIGHT_MINUTES})"
+LANDING_D = f"""landing AS (
+  SELECT o_orderkey AS key, o_orderdate + to_minutes(CAST({_ORDER_MINUTE} AS BIGINT)) AS start_time, strftime(o_orderdate, '%Y-%m-%d') AS date,
+         {nan_null('o_totalprice')} / 1000.0 AS time_to_food,
+         CASE WHEN starts_with(o_orderpriority, '1') THEN 1 ELSE 0 END AS risk,
+         CAST(o_custkey % 2 AS INTEGER) AS reward,
+         CAST((o_orderkey * 13) % 97 AS DOUBLE) AS min_after_arrival,
+         CAST({_ORDER_MINUTE} AS DOUBLE) AS min_after_sunset,
+         CAST(month(o_orderdate) AS INTEGER) AS month
+  FROM orders)"""
+
+OBSERVATION_D = f"""observation AS (
+  SELECT time, strftime(time, '%Y-%m-%d') AS date, arrival_number, landing_number,
+         food_availability, arrival_minutes, CAST(month(time) AS INTEGER) AS month
+  FROM (SELECT {bucket_sql(f'(l_shipdate + to_minutes(CAST((l_partkey * 3 + l_suppkey) % {NIGHT_MINUTES} AS BIGINT)))')} AS time,
+               count(*) FILTER (WHERE l_returnflag = 'R') AS arrival_number,
+               count(*) FILTER (WHERE l_returnflag = 'A') AS landing_number,
+               CAST(least(count(*) FILTER (WHERE l_returnflag = 'N'), 4) AS DOUBLE) AS food_availability,
+               sum({nan_null('l_quantity')}) FILTER (WHERE l_returnflag = 'R') AS arrival_minutes
+        FROM lineitem GROUP BY 1))"""
+
+#: The analysis of fixture A on the landings and observations of fixture D.
+FIXTURE_D = ",\n".join([LANDING_D, OBSERVATION_D, joined_sql(" lb.min_after_sunset,"), FEATURES])
+
+
+def on_orders(sql: str) -> str:
+    """The oracle of a query on fixture A, for the same query on fixture D."""
+    return sql.replace(FIXTURE_A, FIXTURE_D)
 
 ORDER_FRAME = f"""per_order AS (
   SELECT l_orderkey, count(*) AS n_lines, avg(l_quantity) AS avg_qty, avg(l_discount) AS avg_disc,

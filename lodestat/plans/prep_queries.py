@@ -87,7 +87,7 @@ def q_csv_roundtrip(spark, sf):
 
 # --- JON1 / JON2 -----------------------------------------------------------------------------
 
-@register("bucket_join", f"""WITH {O.LANDING},\n{O.OBSERVATION},\n{O.JOINED}
+@register("bucket_join", f"""WITH {O.LANDING},\n{O.OBSERVATION},\n{O.joined_sql()}
 SELECT CAST(key AS BIGINT) AS key, date, {O.ts_text('start_time_interval')} AS start_bucket,
        {O.ts_text('time_interval')} AS obs_bucket, CAST(arrival_number AS DOUBLE) AS arrival_number,
        CAST(landing_number AS DOUBLE) AS landing_number,
@@ -102,7 +102,7 @@ def q_bucket_join(spark, sf):
                     _d("bucket_count"))
 
 
-_NULL_SAFE_JOINED = O.JOINED.replace(
+_NULL_SAFE_JOINED = O.joined_sql().replace(
     "ON lb.date = ob.date AND lb.start_time_interval = ob.time_interval",
     "ON lb.date IS NOT DISTINCT FROM ob.date AND lb.start_time_interval IS NOT DISTINCT FROM ob.time_interval")
 
@@ -179,7 +179,7 @@ def q_clean_columns(spark, sf):
 
 # --- AGG1-3 -------------------------------------------------------------------------------------
 
-@register("group_size", f"""WITH {O.LANDING},\n{O.OBSERVATION},\n{O.JOINED}
+@register("group_size", f"""WITH {O.LANDING},\n{O.OBSERVATION},\n{O.joined_sql()}
 SELECT date, {O.ts_text('start_time_interval')} AS bucket, count(*) AS n FROM joined GROUP BY 1, 2""")
 def q_group_size(spark, sf):
     """AGG1: rows per (date, bucket) after the join."""

@@ -15,18 +15,23 @@ SEASONS = ("Other", "Spring", "Winter")   # codomain of the season function, sor
 A_SEGMENTS = {"winter": ["winter"], "spring": ["spring"]}   # "spring" is every non-winter row
 
 
-def joined_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON1 + JON2 on fixture A."""
-    return bucket_join_counted(FX.landings(spark, sf_dir), FX.observations(spark, sf_dir),
+#: Fixture -> its landings and observations.
+INPUTS = {"A": (FX.landings, FX.observations), "D": (FX.order_landings, FX.shipment_observations)}
+
+
+def joined_a(spark: SparkSession, sf_dir: str, fixture: str = "A") -> DataFrame:
+    """JON1 + JON2 on fixture A or D."""
+    landings, observations = INPUTS[fixture]
+    return bucket_join_counted(landings(spark, sf_dir), observations(spark, sf_dir),
                                "start_time", "time", count_col="bucket_count")
 
 
-def features_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FE.landing_features(joined_a(spark, sf_dir))
+def features_a(spark: SparkSession, sf_dir: str, fixture: str = "A") -> DataFrame:
+    return FE.landing_features(joined_a(spark, sf_dir, fixture))
 
 
-def clean_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FE.clean_columns(features_a(spark, sf_dir))
+def clean_a(spark: SparkSession, sf_dir: str, fixture: str = "A") -> DataFrame:
+    return FE.clean_columns(features_a(spark, sf_dir, fixture))
 
 
 def encode_a(df: DataFrame) -> DataFrame:
@@ -40,15 +45,21 @@ def encode_a(df: DataFrame) -> DataFrame:
     return enc
 
 
-def clean_a_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned landings written once to the checkpoint folder, for queries
-    that run several jobs on them (quantile search, fits, scoring)."""
-    return materialize(clean_a(spark, sf_dir), key=["key"])
+def clean_a_materialized(spark: SparkSession, sf_dir: str, fixture: str = "A", columns=None) -> DataFrame:
+    """The cleaned landings (those of ``columns``, if given, and what the encoding needs)
+    written once to the checkpoint folder, for queries that run several jobs on them
+    (quantile search, fits, scoring)."""
+    df = clean_a(spark, sf_dir, fixture)
+    if columns is not None:
+        needed = {"key", "season", "arrival_present", "food_fraction", C.A_TARGET, *columns}
+        df = df.select(*[c for c in df.columns if c in needed])
+    return materialize(df, key=["key"])
 
 
-def repaired_a(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+def repaired_a(spark: SparkSession, sf_dir: str, fixture: str = "A", columns=None, **kw) -> DataFrame:
     """v1: outliers repaired on all rows before the split (one quantile search)."""
-    return FE.repair_outliers(clean_a_materialized(spark, sf_dir), C.A_REPAIR_COLUMNS, **kw)
+    columns = None if columns is None else [*columns, *C.A_REPAIR_COLUMNS]
+    return FE.repair_outliers(clean_a_materialized(spark, sf_dir, fixture, columns), C.A_REPAIR_COLUMNS, **kw)
 
 
 def candidate_features(df: DataFrame) -> list[str]:

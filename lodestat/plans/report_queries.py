@@ -16,11 +16,16 @@ from .prep_queries import FENCES_SQL, _repair_sql_expr
 from .registry import register
 
 A_FEATURES = {"winter": list(C.A_WINTER_FEATURES), "spring": list(C.A_SPRING_FEATURES)}
+D_FEATURES = {"winter": list(C.A_WINTER_FEATURES), "spring": list(C.D_SPRING_FEATURES)}
 
 
-def v1_frame(spark, sf):
+def _used(features: dict[str, list[str]]) -> list[str]:
+    return [c for feats in features.values() for c in feats]
+
+
+def v1_frame(spark, sf, features=A_FEATURES, fixture="A"):
     """Cleaned landings, outliers repaired on all rows, encoded, split, folded."""
-    enc = P.encode_a(P.repaired_a(spark, sf))
+    enc = P.encode_a(P.repaired_a(spark, sf, fixture, _used(features)))
     enc = FE.add_split(enc, ["key"], C.SPLIT_SEED, C.TEST_SIZE)
     return FE.add_folds(enc, ["key"], C.FOLD_SEED, C.N_FOLDS)
 
@@ -86,10 +91,10 @@ def _report_sql(head: str, src: str, features: dict[str, list[str]], segments: d
     return head + ",\n" + _ENCODE_SQL.format(src=src) + ",\n" + ",\n".join(ctes) + "\n" + body
 
 
-def _v1_sql() -> str:
+def _v1_sql(features=A_FEATURES) -> str:
     rep_cols = ", ".join(f"{_repair_sql_expr(c)} AS {c}" for c in C.A_REPAIR_COLUMNS)
     head = FENCES_SQL + f",\nrep AS (SELECT * REPLACE ({rep_cols}) FROM clean)"
-    return _report_sql(head, "rep", A_FEATURES, P.A_SEGMENTS)
+    return _report_sql(head, "rep", features, P.A_SEGMENTS)
 
 
 @register("seasonal_report_landings", _v1_sql())
@@ -99,6 +104,13 @@ def q_report_landings(spark, sf):
     return segment_report(v1_frame(spark, sf), A_FEATURES, C.A_TARGET, P.A_SEGMENTS)
 
 
+@register("seasonal_report_all_months", O.on_orders(_v1_sql(D_FEATURES)))
+def q_report_all_months(spark, sf):
+    """Entry B on fixture D, whose landings cover all months: both segments, each with
+    its own feature list (season_Winter is constant in each)."""
+    return segment_report(v1_frame(spark, sf, D_FEATURES, "D"), D_FEATURES, C.A_TARGET, P.A_SEGMENTS)
+
+
 def _year_sql() -> str:
     from .model_queries import _cv_sql
     ms = O.metric_select("__y", "__yhat", rounded=False)
@@ -129,22 +141,23 @@ A_V3_FEATURES = {
     "spring": list(C.A_SPRING_FEATURES),
     "year": [*C.A_LOG_BASE[:4], "log_arrivals_exceed"],
 }
+D_V3_FEATURES = A_V3_FEATURES | {"spring": list(C.D_SPRING_FEATURES)}
 A_V3_SEGMENTS = {"winter": ["winter"], "spring": ["spring"], "year": ["winter", "spring"]}
 
 
-def v3_frame(spark, sf):
+def v3_frame(spark, sf, features=A_V3_FEATURES, fixture="A"):
     """Cleaned landings (no outlier repair) with the kept log column derived
     before segmenting, encoded, split and folded."""
-    df = FE.with_logs(P.clean_a_materialized(spark, sf), ["arrivals_exceed"])
+    df = FE.with_logs(P.clean_a_materialized(spark, sf, fixture, [*_used(features), "arrivals_exceed"]), ["arrivals_exceed"])
     enc = P.encode_a(df)
     enc = FE.add_split(enc, ["key"], C.SPLIT_SEED, C.TEST_SIZE)
     return FE.add_folds(enc, ["key"], C.FOLD_SEED, C.N_FOLDS)
 
 
-def _v3_sql() -> str:
+def _v3_sql(features=A_V3_FEATURES) -> str:
     from .model_queries import A_LOG_SQL
     head = "WITH " + A_LOG_SQL
-    return _report_sql(head, "logs", A_V3_FEATURES, A_V3_SEGMENTS)
+    return _report_sql(head, "logs", features, A_V3_SEGMENTS)
 
 
 @register("seasonal_report_landings_v3", _v3_sql())
@@ -154,13 +167,19 @@ def q_report_landings_v3(spark, sf):
     return segment_report(v3_frame(spark, sf), A_V3_FEATURES, C.A_TARGET, A_V3_SEGMENTS)
 
 
+@register("seasonal_report_all_months_v3", O.on_orders(_v3_sql(D_V3_FEATURES)))
+def q_report_all_months_v3(spark, sf):
+    """Entry C on fixture D: winter, spring and whole-year models that differ."""
+    return segment_report(v3_frame(spark, sf, D_V3_FEATURES, "D"), D_V3_FEATURES, C.A_TARGET, A_V3_SEGMENTS)
+
+
 # --- REG7 on the landings (v1: repaired, per-segment feature lists) -----------------------------
 
-def _v1_coef_sql() -> str:
+def _v1_coef_sql(features=A_FEATURES) -> str:
     rep_cols = ", ".join(f"{_repair_sql_expr(c)} AS {c}" for c in C.A_REPAIR_COLUMNS)
     head = FENCES_SQL + f",\nrep AS (SELECT * REPLACE ({rep_cols}) FROM clean)"
     ctes, parts = [], []
-    for seg, feats in A_FEATURES.items():
+    for seg, feats in features.items():
         comp = " AND ".join(f"{c} IS NOT NULL" for c in [*feats, C.A_TARGET])
         ctes.append(f"k_{seg} AS (SELECT '{seg}' AS segment, * FROM enc2 WHERE atom = '{seg}' AND {comp})")
         g, _, coef = O.gs_ctes(f"w_{seg}", f"k_{seg}", ["segment"], [], feats, C.A_TARGET, "NOT is_test")
@@ -177,8 +196,17 @@ def q_season_models_landings(spark, sf):
     """REG2 + REG7 on the repaired landings with the winter and spring feature
     lists (the constant season dummy gets coefficient 0; an empty segment
     has no model)."""
-    fits = RG.fit_segments(v1_frame(spark, sf), A_FEATURES, C.A_TARGET, P.A_SEGMENTS, "atom",
-                           train=~F.col("is_test"))
+    return _landing_models(spark, v1_frame(spark, sf), A_FEATURES)
+
+
+@register("season_models_all_months", O.on_orders(_v1_coef_sql(D_FEATURES)))
+def q_season_models_all_months(spark, sf):
+    """REG6 + REG7 on fixture D: winter and spring models with their own feature lists."""
+    return _landing_models(spark, v1_frame(spark, sf, D_FEATURES, "D"), D_FEATURES)
+
+
+def _landing_models(spark, df, features):
+    fits = RG.fit_segments(df, features, C.A_TARGET, P.A_SEGMENTS, "atom", train=~F.col("is_test"))
     fits = {seg: f for seg, f in fits.items() if f.n > 0}
     return RG.coefficient_table(spark, fits).select("segment", "term", X.rounded("coef").alias("coef"),
                                                    X.rounded("abs_coef").alias("abs_coef"))

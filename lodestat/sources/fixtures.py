@@ -51,6 +51,50 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixture D: a night has this many minutes of observation; rows are dealt over them by key.
+NIGHT_MINUTES = 240
+
+
+def _night(day: str, minute) -> "F.Column":
+    return F.col(day) + F.make_dt_interval(mins=minute.cast("int"))
+
+
+def order_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture D: orders as landings, over all months."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    minute = F.pmod(F.col("o_orderkey") * 7, F.lit(NIGHT_MINUTES))
+    return o.select(
+        F.col("o_orderkey").alias("key"),
+        _night("o_orderdate", minute).alias("start_time"),
+        X.date_string("o_orderdate").alias("date"),
+        (X.nan_to_null("o_totalprice") / 1000.0).alias("time_to_food"),
+        F.when(F.col("o_orderpriority").startswith("1"), 1).otherwise(0).alias("risk"),
+        F.pmod(F.col("o_custkey"), F.lit(2)).cast("int").alias("reward"),
+        F.pmod(F.col("o_orderkey") * 13, F.lit(97)).cast("double").alias("min_after_arrival"),
+        minute.cast("double").alias("min_after_sunset"),
+        F.month("o_orderdate").alias("month"),
+    )
+
+
+def shipment_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture D: lineitem rows counted per 30-minute bucket (one row per bucket)."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_quantity"])
+    kind = F.col("l_returnflag")
+    minute = F.pmod(F.col("l_partkey") * 3 + F.col("l_suppkey"), F.lit(NIGHT_MINUTES))
+    return (
+        li.withColumn("at", _night("l_shipdate", minute)).withColumn("time", X.floor_to_minutes("at"))
+        .groupBy("time")
+        .agg(
+            F.count_if(kind == "R").alias("arrival_number"),
+            F.count_if(kind == "A").alias("landing_number"),
+            F.least(F.count_if(kind == "N"), F.lit(4)).cast("double").alias("food_availability"),
+            F.sum(F.when(kind == "R", X.nan_to_null("l_quantity"))).alias("arrival_minutes"),
+        )
+        .select("time", X.date_string("time").alias("date"), "arrival_number", "landing_number",
+                "food_availability", "arrival_minutes", F.month("time").alias("month"))
+    )
+
+
 def order_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture B. lineitem is aggregated per order *before* the join (partial
     aggregation map-side, so a hot order key never reaches one task whole);
