@@ -280,3 +280,19 @@ def test_t_tail_at_large_degrees_of_freedom(df):
     for t in (0.5, 2.0, 4.0):
         normal = 0.5 * erfc(t / sqrt(2))
         assert abs(t_sf(t, df) / normal - 1) < (t ** 4 + 1) / df + 1e-6
+
+
+def test_shared_summaries_equal_single_ones(spark):
+    from lodestat.operators.summary import ols_summaries, ols_summary_values
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), float(c), float(a - 2 * b + rng.normal())) for i, (a, b, c) in enumerate(rng.normal(size=(60, 3)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y double")
+    models = {"ab": ["a", "b"], "ac": ["a", "c"], "abc": ["a", "b", "c"]}
+    shared = ols_summaries(df, models, "y", ["k"])
+    for name, feats in models.items():
+        alone = ols_summary_values(df, feats, "y", ["k"])
+        for field, want in alone["model"].items():
+            assert np.isclose(shared[name]["model"][field], want, rtol=1e-9), (name, field)
+        for term, fields in alone["terms"].items():
+            assert all(np.isclose(shared[name]["terms"][term][f], x, rtol=1e-9) for f, x in fields.items())

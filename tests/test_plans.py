@@ -37,7 +37,7 @@ def test_no_single_partition_window(plans):
 
 
 def test_scans_read_only_needed_columns(plans):
-    # the widest table read by any query is lineitem; no query needs its text columns
+    # the widest table read by any query is lineitem; no plan here needs its text columns
     seen = 0
     for name, plan in plans.items():
         for m in re.finditer(r"ReadSchema: struct<([^>]*)>", plan):
@@ -45,3 +45,11 @@ def test_scans_read_only_needed_columns(plans):
             assert "l_returnflag" not in m.group(1) and "l_linestatus" not in m.group(1), name
             assert "props" not in m.group(1), name
     assert seen > 20
+
+
+def test_univariate_study_reads_its_input_twice(spark):
+    df = E.queries()["univariate_price_on_quantity"](spark, SF_SMALL)
+    assert len(df.collect()) == 13
+    final = _plan(df)
+    # one subquery holds the fit; parameters and scores reuse it
+    assert len(set(re.findall(r"subquery#(\d+)", final))) == 1 and "ReusedSubquery" in final
