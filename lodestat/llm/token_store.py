@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import slices, worker_cache
@@ -147,9 +146,12 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shard_starts(store: DataFrame) -> DataFrame:
-    """shard, ids_before: ids of all shards before it (one row for each shard)."""
-    totals = store.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    return totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("ids_before"))
+    """shard, ids_before: ids of all shards before it.  One row for each shard, that is for
+    each task that wrote, is summed up on the driver."""
+    totals = sorted(tuple(r) for r in store.groupBy("shard").agg(F.sum("n_ids")).collect())
+    before = np.cumsum([0, *(n for _, n in totals)]).tolist()
+    rows = [(shard, at) for (shard, _), at in zip(totals, before[:-1], strict=True)]
+    return store.sparkSession.createDataFrame(rows, "shard int, ids_before long")
 
 
 def pieces(store: DataFrame, whole: bool) -> DataFrame:
