@@ -3,12 +3,13 @@
 Fixed masks over a span of tokens name the positions that count; the others may differ.
 Every span of a benchmark item and of a document is hashed under each mask, hashes are
 joined, and around each hit the item is laid over the document on the hit's diagonal:
-the overlap is extended while substitutions stay few, and kept if it is long and alike
-enough.
+its longest stretch that is alike enough is kept if it is long enough.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,6 +119,26 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float) ->
     return a + shift + first, end - first, int(same[first:end].sum())
 
 
+def longest_alike(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int]:
+    """The longest stretch of the diagonal on which doc[shift + j] lies over item[j] with
+    at least ``similarity`` equal tokens: (first token in the document, length, equal
+    tokens); ties go to more equal tokens, then to the first.  Length 0 if there is none."""
+    a, b = max(0, -shift), min(len(item), len(doc) - shift)
+    if b <= a:
+        return max(0, shift), 0, 0
+    same = doc[a + shift : b + shift] == item[a:b]
+    part, whole = Fraction(str(similarity)).as_integer_ratio()
+    total = np.concatenate([[0], np.cumsum(np.where(same, whole - part, -part))])
+    high = np.maximum.accumulate(total[::-1])[::-1]  # of what stands here or later
+    size = np.searchsorted(-high, -total, side="right") - 1 - np.arange(len(total))
+    first = np.flatnonzero(size == size.max())
+    n = int(size.max())
+    count = np.concatenate([[0], np.cumsum(same)])
+    equal = count[first + n] - count[first]
+    k = int(equal.argmax())
+    return a + shift + int(first[k]), n, int(equal[k])
+
+
 FOUND = ("doc_id", "item_id", "first_token", "n_tokens", "n_equal")
 
 
@@ -172,8 +193,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
             out = []
             for r in b.to_pylist():
                 item, window = np.frombuffer(r["code"], "<u8"), np.frombuffer(r["window"], "<u8")
-                first, n, equal = overlap(window, item, r["i"] - r["at"] - r["j"], similarity)
-                if n >= min(min_tokens, max(len(item), SPAN)) and equal >= similarity * n:
+                first, n, equal = longest_alike(window, item, r["i"] - r["at"] - r["j"], similarity)
+                if n >= min(min_tokens, max(len(item), SPAN)):
                     out.append((r["doc_id"], r["item_id"], r["at"] + first, n, equal))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
@@ -187,7 +208,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     one = on.groupBy("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).agg(
         *[F.min_by(c, F.struct("i", "h")).alias(c) for c in ("i", "at", "window", "j", "code")])
     seen = one.select("doc_id", "item_id", "i", "at", "window", "j", "code").mapInArrow(verify, "doc_id long, item_id long, first_token int, n_tokens int, n_equal int")
-    best = F.max(F.struct(F.col("n_equal").alias("e"), (-F.col("first_token")).alias("f"), F.col("n_tokens").alias("n")))
+    best = F.max(F.struct(F.col("n_tokens").alias("n"), F.col("n_equal").alias("e"), (-F.col("first_token")).alias("f")))
     return seen.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
         "doc_id", "item_id", (-F.col("best.f")).alias("first_token"), F.col("best.n").alias("n_tokens"), F.col("best.e").alias("n_equal"))
 

@@ -174,6 +174,34 @@ def test_overlap_is_the_best_stretch():
     assert decontaminate.overlap(doc, item, 1, 0.9) == (1, 3, 3)
 
 
+def test_longest_stretch_against_brute_force():
+    rng = np.random.default_rng(8)
+    for trial in range(300):
+        item = rng.integers(0, 9, int(rng.integers(1, 30))).astype(np.uint64)
+        shift = int(rng.integers(-3, 6))
+        doc = np.concatenate([np.full(6, 99, np.uint64), item, np.full(6, 99, np.uint64)])[max(0, 6 - shift) :]
+        doc = np.where(rng.random(len(doc)) < 0.25, np.uint64(77), doc)
+        spans = []
+        for a in range(len(item)):
+            for b in range(a + 1, len(item) + 1):
+                if a + shift >= 0 and b + shift <= len(doc):
+                    equal = int((doc[a + shift : b + shift] == item[a:b]).sum())
+                    if 5 * equal >= 4 * (b - a):
+                        spans.append((b - a, equal, -(a + shift)))
+        first, n, equal = decontaminate.longest_alike(doc, item, shift, 0.8)
+        assert (n, equal, -first) == max(spans) if spans else n == 0
+
+
+def test_decontamination_finds_substitutions_at_every_place(spark):
+    item = [f"w{i}" for i in range(13)]
+    long = [f"v{i}" for i in range(40)]
+    texts = [" ".join(["before"] * 20 + [*item[:i], "other", *item[i + 1 :]] + ["after"] * 20) for i in range(13)]
+    every = " ".join("other" if i % 20 in (3, 7, 9, 14) else w for i, w in enumerate(long))
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], "item_id long, text string")
+    made = {tuple(r) for r in decontaminate.contaminated(frame(spark, [*enumerate(texts), (50, every)]), bench).collect()}
+    assert made == {(i, 1, 20, 13, 12) for i in range(13)} | {(50, 2, 0, 40, 32)}
+
+
 PAGE = "<html><head><title>T</title><script>a('<p>')</script></head><body><nav><a>n</a></nav>{}<footer>f</footer></body></html>"
 
 
