@@ -9,6 +9,7 @@ its longest stretch that is alike enough is kept if it is long enough.
 from __future__ import annotations
 
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -67,15 +68,44 @@ def seeds(code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.tile(at, len(MASKS))
 
 
-def bench_seeds(bench: DataFrame, item: str, text: str) -> DataFrame:
-    """item_id, hash, j, and the item's tokens as codes; one row for each span and mask."""
+def whole_masks(n: int, similarity: float) -> list[np.ndarray]:
+    """Sets of counted positions of an item of ``n`` tokens, so that wherever the tokens
+    that may differ lie, some set has none of them: all but one position each if one may,
+    else all blocks of three more than may differ but as many."""
+    part, whole = Fraction(str(similarity)).as_integer_ratio()
+    spare = n * (whole - part) // whole
+    blocks = np.array_split(np.arange(n), n if spare < 2 else min(n, spare + 3))
+    return [np.concatenate(kept) for kept in combinations(blocks, len(blocks) - spare) if kept]
+
+
+def whole_seeds(code: np.ndarray, ends: np.ndarray, n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of every run of ``n`` tokens inside one text, under the masks of
+    whole items of that length."""
+    size = len(code) - n + 1
+    if not n or size <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.arange(size)
+    inside = at + n <= ends[np.searchsorted(ends, at, side="right")]
+    masks, out = whole_masks(n, similarity), []
+    for k, places in enumerate(masks):
+        h = np.full(size, (n << 32) + k, np.uint64)
+        for i in places.tolist():
+            h = h * np.uint64(0x100000001B3) + code[i : i + size]
+        out.append(_mix(h)[inside])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.tile(at[inside], len(masks))
+
+
+def bench_seeds(bench: DataFrame, item: str, text: str, least: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
+    """item_id, hash, j, and the item's tokens as codes; one row for each span and mask.
+    An item of fewer than ``least`` tokens has the hashes of its whole."""
     def run(batches):
         known: dict[bytes, int] = {}
         for b in batches:
             out = []
             for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 code = codes(tokens(t), known)
-                h, at = seeds(code, np.array([len(code)]))
+                ends = np.array([len(code)])
+                h, at = seeds(code, ends) if len(code) >= least else whole_seeds(code, ends, len(code), similarity)
                 if len(h):
                     out.append(pa.RecordBatch.from_arrays(
                         [pa.array([i] * len(h), pa.int64()), pa.array(h.astype(np.int64)), pa.array(at, pa.int32()),
@@ -145,11 +175,11 @@ FOUND = ("doc_id", "item_id", "first_token", "n_tokens", "n_equal")
 def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
                  min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, first_token, n_tokens, n_equal: for each document and item the
-    longest overlap of at least ``min_tokens`` tokens (all of an item that has fewer, but
-    at least a seed's span) with at least ``similarity`` of them equal.
+    longest overlap of at least ``min_tokens`` tokens (all of an item that has fewer, or
+    fewer than a seed's span) with at least ``similarity`` of them equal.
 
-    Null texts overlap nothing; items shorter than a seed's span have no seed and are not
-    searched for; repeated rows of a document are found under the same id, once.  Whole
+    Null texts overlap nothing; short items are hashed whole by their length, and only the
+    lengths that the benchmark has are looked for in documents; repeated rows of a document are found under the same id, once.  Whole
     texts: a document's spans are hashed as it is read, only spans that pass the fixed
     bitmap of benchmark hashes are joined, and a hash's document side is salted, since a
     passage may be that of a third of all documents.  The document's tokens on the hit's
@@ -157,7 +187,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     from .common import written
 
     spark = docs.sparkSession
-    seeded = written(bench_seeds(bench, item_id, item_text), "bench-seeds")
+    least = max(min_tokens, SPAN)
+    seeded = written(bench_seeds(bench, item_id, item_text, least, similarity), "bench-seeds")
+    size = F.octet_length("code") / 8
+    short = sorted(int(r[0]) for r in seeded.filter(size < least).select(size).distinct().collect())  # fewer than ``least`` lengths
     bits = spark.sparkContext.broadcast(filter_bits(seeded))
     longest = seeded.agg(F.max(F.octet_length("code"))).first()[0]
     reach = (longest or 0) // 8  # tokens on either side of a hit that an item can cover
@@ -173,16 +206,19 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
                 ids = part.column("doc_id").to_pylist()
                 code = codes([w for ws in words for w in ws], known)
                 ends = np.cumsum([len(w) for w in words])
-                h, at = seeds(code, ends)
-                slot = h % np.uint64(FILTER_BITS)
-                hit = (marks[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
-                h, at = h[hit], at[hit]
+                found = []
+                for n in (0, *short):
+                    h, at = whole_seeds(code, ends, n, similarity) if n else seeds(code, ends)
+                    slot = h % np.uint64(FILTER_BITS)
+                    hit = (marks[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                    found.append((h[hit], at[hit], np.full(int(hit.sum()), n)))
+                h, at, runs = map(np.concatenate, zip(*found, strict=True))
                 for i in range(0, len(h), 2000):
                     rows = []
-                    for x, p in zip(h[i : i + 2000].astype(np.int64).tolist(), at[i : i + 2000].tolist(), strict=True):
+                    for x, p, n in zip(h[i : i + 2000].astype(np.int64).tolist(), at[i : i + 2000].tolist(), runs[i : i + 2000].tolist(), strict=True):
                         d = int(np.searchsorted(ends, p, side="right"))
                         first = int(ends[d]) - len(words[d])
-                        a, b = max(first, p - reach), min(int(ends[d]), p + reach)
+                        a, b = (p, p + n) if n else (max(first, p - reach), min(int(ends[d]), p + reach))
                         rows.append((ids[d], x, p - first, a - first, code[a:b].astype("<u8").tobytes()))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
@@ -194,7 +230,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
             for r in b.to_pylist():
                 item, window = np.frombuffer(r["code"], "<u8"), np.frombuffer(r["window"], "<u8")
                 first, n, equal = longest_alike(window, item, r["i"] - r["at"] - r["j"], similarity)
-                if n >= min(min_tokens, max(len(item), SPAN)):
+                if n >= (min_tokens if len(item) >= least else len(item)):
                     out.append((r["doc_id"], r["item_id"], r["at"] + first, n, equal))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())

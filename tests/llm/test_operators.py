@@ -202,6 +202,22 @@ def test_decontamination_finds_substitutions_at_every_place(spark):
     assert made == {(i, 1, 20, 13, 12) for i in range(13)} | {(50, 2, 0, 40, 32)}
 
 
+def test_decontamination_finds_short_items(spark):
+    sizes = [1, 3, 4, 5, 8, 9, 10, 11, 12]
+    items = {n: [f"i{n}x{i}" for i in range(n)] for n in sizes}
+    rows, want = [], set()
+    for n, item in items.items():
+        for k in range(n // 5 + 2):  # so many words changed, at every place for one
+            for at in range(n):
+                places = {(at + j * (n // 3 or 1)) % n for j in range(k)}
+                text = ["x", "y", *("other" if i in places else w for i, w in enumerate(item)), "z"]
+                rows.append((len(rows), " ".join(text)))
+                if 5 * (n - len(places)) >= 4 * n:
+                    want.add((len(rows) - 1, n, 2, n, n - len(places)))
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()] + [(99, ""), (98, "?")], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()} == want
+
+
 PAGE = "<html><head><title>T</title><script>a('<p>')</script></head><body><nav><a>n</a></nav>{}<footer>f</footer></body></html>"
 
 
