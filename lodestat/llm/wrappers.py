@@ -32,7 +32,10 @@ BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu modal nav navbar "
     "navigation newsletter notice popup promo related reply replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 MAIN_NAMES = frozenset("article articlebody content main post story entry".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: A quote opens an attribute's value only after its "="; elsewhere it is a character.
+_ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|[^<]+|<", re.S)
+_CUT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -40,10 +43,19 @@ _SPACE = re.compile(r"\s+")
 def tokenise(page: str):
     """(kind, name, text) of each token: open and close tags with their class names, and
     texts (decoded).  Comments, declarations and the content of raw elements are left out.
-    A tag that is cut off at the page's end is no text."""
+    A tag after which no ">" follows is no text."""
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
+        if m[0] == "<":
+            after = page[at + 1 : at + 2]
+            if after == "/" or after.isascii() and after.isalpha():
+                if (end := page.find(">", at)) < 0:  # a tag that never ends
+                    return
+                m = _CUT.match(page, at)
+                if m is None:  # no name: a comment, as in HTML
+                    at = end + 1
+                    continue
         at = m.end()
         if m[2]:
             name = m[2].lower()
@@ -59,9 +71,6 @@ def tokenise(page: str):
         elif page[m.start()] != "<":
             yield "text", "", html.unescape(m[0])
         elif m[0] == "<":
-            rest = page[at : at + 1]
-            if rest.isalpha() or rest == "/":  # a tag that never ends
-                return
             yield "text", "", "<"
 
 

@@ -232,6 +232,15 @@ def test_main_text_by_host_wrappers(spark):
     assert wrappers.main_text(pages.limit(0)).count() == 0
 
 
+def test_unpaired_quotes_end_no_page():
+    words = lambda page: " ".join(" ".join(t for k, _, t in wrappers.tokenise(page) if k == "text").split())
+    assert words("<p>a <a title=it's href=x>b</a> c</p><p>don't</p>") == "a b c don't"
+    assert words("<p>a <b don't</p><p>d isn't e</p>") == "a d isn't e"
+    assert words("<a title=\"x > y\" class='u>v'>t</a> <a q=\"r>s</a> z") == "t s z"
+    assert words("a </3 b> c <é d") == "a c < é d" and words("a <b c") == "a" and words('<i x="a>b" c') == 'b" c'
+    assert [m for k, _, m in wrappers.tokenise("<div title=it's class=c data='d'>") if k == "open"] == ["c"]
+
+
 def test_wrapper_inference():
     one = "<div <ul <li # >li <li # >li >ul <p # >p >div".split()
     two = "<div <ul <li # >li >ul >div".split()
