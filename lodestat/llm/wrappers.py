@@ -243,32 +243,18 @@ def flat(items: tuple):
             yield x
 
 
-def has_main(wrapper: tuple) -> bool:
-    """Whether the host's pages mark their main region."""
-    return any(t[0] == "<" and is_main(t) for t in flat(wrapper))
-
-
 class Matcher:
-    """A wrapper as an automaton over tokens, with the class of each text slot.
+    """A wrapper as an automaton over tokens, with the role of each step.
 
-    A slot is main if it lies in the host's main region (the whole body, if the host marks
-    none) and in no boilerplate, as the wrapper's own tags nest."""
+    A text is main if it lies in a main region and in no boilerplate, as the steps that
+    its page takes nest; for a page whose steps cross no main region outside boilerplate,
+    the whole body is the region."""
 
     def __init__(self, wrapper: tuple):
         self.steps: list[str] = []
         self.empty: dict[int, list[int]] = {}
         self._add(wrapper)
-        marked = has_main(wrapper)
-        self.main: list[bool] = []
-        stack: list[tuple[str, bool, bool]] = []
-        for t in self.steps:
-            name, _ = _names(t)
-            self.main.append(t[0] == "#" and not any(s[1] for s in stack) and (not marked or any(s[2] for s in stack)))
-            if t[0] == "<" and name not in VOID:
-                stack.append((name, is_boiler(t) and name not in MAIN, is_main(t)))
-            elif t[0] == ">" and any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+        self.roles = [(t[0], name := _names(t)[0], is_boiler(t) and name not in MAIN, is_main(t)) for t in self.steps]
         self.reach = [self._close(i) for i in range(len(self.steps) + 1)]
 
     def _add(self, items: tuple):
@@ -320,8 +306,21 @@ class Matcher:
         path = self.path(tokens)
         if path is None:
             return None
-        slots = (s for t, s in zip(tokens, path, strict=True) if t[0] == "#")
-        found = (_SPACE.sub(" ", "".join(x)).strip() for x, s in zip(texts, slots, strict=True) if self.main[s])
+        slots: list[tuple[bool, bool]] = []  # of each text: outside boilerplate, in a main region
+        stack: list[tuple[str, bool, bool]] = []
+        marked = False
+        for kind, name, boiler, main in map(self.roles.__getitem__, path):
+            out, region = stack[-1][1:] if stack else (False, False)
+            if kind == "#":
+                slots.append((not out, region))
+            elif kind == "<" and name not in VOID:
+                out = out or boiler
+                marked = marked or main and not out
+                stack.append((name, out, region or main))
+            elif kind == ">" and any(s[0] == name for s in stack):
+                while stack.pop()[0] != name:
+                    pass
+        found = (_SPACE.sub(" ", "".join(x)).strip() for x, (clear, region) in zip(texts, slots, strict=True) if clear and (region or not marked))
         return [x for x in found if x]
 
 

@@ -241,6 +241,14 @@ def test_unpaired_quotes_end_no_page():
     assert [m for k, _, m in wrappers.tokenise("<div title=it's class=c data='d'>") if k == "open"] == ["c"]
 
 
+def test_main_regions_are_marked_page_by_page(spark):
+    plain = "<html><body><nav>n</nav><div class='old'><p>plain {0}</p></div><footer>f</footer></body></html>"
+    rows = [(1, "http://h/1", PAGE.format("<article><p>a</p></article><div><p>x</p></div>")), (2, "http://h/2", plain.format(2)), (3, "http://h/3", PAGE.format("<p>b</p>")),
+            (4, None, PAGE.format("<article><p>c</p></article>")), (5, "/relative", plain.format(5)), (6, "http://h/6", plain.format("6<footer><div class=content>g</div></footer>"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()} == {1: "a", 2: "plain 2", 3: "b", 4: "c", 5: "plain 5", 6: "plain 6"}
+
+
 def test_wrapper_inference():
     one = "<div <ul <li # >li <li # >li >ul <p # >p >div".split()
     two = "<div <ul <li # >li >ul >div".split()
