@@ -27,10 +27,12 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 BOILER = frozenset("nav header footer aside form button select dialog menu head title script style noscript template textarea iframe svg".split())
 MAIN = frozenset(("article", "main"))
 FLOW = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th blockquote pre figure figcaption option hr".split())
-#: Words in class, id or role that mark what is not main text.
+#: Names in class, id or role that mark what is not main text; also the
+#: first or last part of a compound name, but after one of NOT, or of a text's own header.
 BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu modal nav navbar "
     "navigation newsletter notice popup promo related reply replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
+NOT = frozenset("has no with without".split())
 MAIN_NAMES = frozenset("article articlebody content main post story entry".split())
 #: A quote opens an attribute's value only after its "="; elsewhere it is a character.
 _ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
@@ -62,7 +64,7 @@ def tokenise(page: str):
             if m[1]:
                 yield "close", name, ""
                 continue
-            marks = " ".join(sorted({w for g in _NAME.findall(m[3]) for x in g for w in re.split(r"[\s_-]+", x.lower()) if w})) if "=" in m[3] else ""
+            marks = " ".join(sorted({w for g in _NAME.findall(m[3]) for x in g for w in x.lower().split()})) if "=" in m[3] else ""
             yield "open", name, marks
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -225,22 +227,32 @@ def _names(token: str) -> tuple[str, set[str]]:
     return name, set(marks)
 
 
-def is_boiler(token: str) -> bool:
-    name, marks = _names(token)
-    return name in BOILER or bool(marks & BOILER_NAMES)
+def _parts(mark: str) -> list[str]:
+    return [w for w in re.split(r"[_-]+", mark) if w]
 
 
-def is_main(token: str) -> bool:
+def boiler(token: str) -> int:
+    """2 for boilerplate by its element or a whole name; 1 for what may hold a main region
+    that a class names: a form, or by a part of a name; else 0.  Not html or body."""
     name, marks = _names(token)
-    return name in MAIN or bool(marks & MAIN_NAMES) and name in ("div", "section", "td")
+    if name in ("html", "body"):
+        return 0
+    if name in BOILER and name != "form" or marks & BOILER_NAMES:
+        return 2
+    for parts in map(_parts, marks):
+        if parts and parts[0] not in NOT and (parts[0] in BOILER_NAMES or parts[-1] in BOILER_NAMES and (parts[-1] != "header" or parts[0] not in MAIN_NAMES)):
+            return 1
+    return int(name == "form")
 
 
-def flat(items: tuple):
-    for x in items:
-        if type(x) is tuple:
-            yield from flat(x[1])
-        else:
-            yield x
+def is_main(token: str) -> bool:
+    """An article or main element (not one of a comment, an advert and the like), or a
+    container that a part of a name marks (article-header or post-comments do not)."""
+    name, marks = _names(token)
+    by_name = any(not {p[0], p[-1]} & BOILER_NAMES and not MAIN_NAMES.isdisjoint(p) for p in map(_parts, marks) if p)
+    if name in MAIN:
+        return by_name or not marks & BOILER_NAMES
+    return by_name and name in ("div", "section", "td")
 
 
 class Matcher:
@@ -248,13 +260,14 @@ class Matcher:
 
     A text is main if it lies in a main region and in no boilerplate, as the steps that
     its page takes nest; for a page whose steps cross no main region outside boilerplate,
-    the whole body is the region."""
+    the whole body is the region.  An article or main element ends the boilerplate around
+    it, and a region that a class names that of ``boiler`` 1."""
 
     def __init__(self, wrapper: tuple):
         self.steps: list[str] = []
         self.empty: dict[int, list[int]] = {}
         self._add(wrapper)
-        self.roles = [(t[0], name := _names(t)[0], is_boiler(t) and name not in MAIN, is_main(t)) for t in self.steps]
+        self.roles = [(t[0], _names(t)[0], boiler(t), is_main(t)) for t in self.steps]
         self.reach = [self._close(i) for i in range(len(self.steps) + 1)]
 
     def _add(self, items: tuple):
@@ -307,14 +320,17 @@ class Matcher:
         if path is None:
             return None
         slots: list[tuple[bool, bool]] = []  # of each text: outside boilerplate, in a main region
-        stack: list[tuple[str, bool, bool]] = []
+        stack: list[tuple[str, int, bool]] = []
         marked = False
-        for kind, name, boiler, main in map(self.roles.__getitem__, path):
-            out, region = stack[-1][1:] if stack else (False, False)
+        for kind, name, own, main in map(self.roles.__getitem__, path):
+            out, region = stack[-1][1:] if stack else (0, False)
             if kind == "#":
                 slots.append((not out, region))
             elif kind == "<" and name not in VOID:
-                out = out or boiler
+                if main and (name in MAIN or max(out, own) < 2):
+                    out = 0
+                elif name not in MAIN:
+                    out = max(out, own)
                 marked = marked or main and not out
                 stack.append((name, out, region or main))
             elif kind == ">" and any(s[0] == name for s in stack):

@@ -249,6 +249,18 @@ def test_main_regions_are_marked_page_by_page(spark):
     assert {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()} == {1: "a", 2: "plain 2", 3: "b", 4: "c", 5: "plain 5", 6: "plain 6"}
 
 
+def test_layout_classes_are_no_boilerplate(spark):
+    text = "<nav>n</nav><article><p>a</p><div class='comments'>c</div></article><div class='sidebar'>s</div>"
+    pages = [f"<html class='no-header'><body class='single-post has-sidebar'>{text}</body></html>", f"<body class='sidebar'><div class='page no-sidebar'>{text}</div></body>",
+             f"<body><div class='content with-comments'>{text}</div></body>", f"<body><div class='sidebar'><aside>{text}</aside></div></body>",
+             "<body><div class='content'><div class='article-header'>a</div><div class='user-comments'>c</div><div class='article-footer'>f</div></div></body>",
+             "<body><form id='f'><div class='header-menu'>m</div><div class='content'>a</div></form></body>", "<body><form>f</form><div class='sidebar-left'><div class='content'>a</div>b</div></body>",
+             "<body><div class='sidebar'><div class='content'>s</div></div><p>a</p><article class='comment'><p>b</p></article></body>"]
+    rows = [(i, f"http://h{i}/", p) for i, p in enumerate(pages)]
+    made = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert made == dict.fromkeys(range(7), "a") | {7: "a\nb"}
+
+
 def test_wrapper_inference():
     one = "<div <ul <li # >li <li # >li >ul <p # >p >div".split()
     two = "<div <ul <li # >li >ul >div".split()
