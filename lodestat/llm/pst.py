@@ -1,15 +1,16 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 States are contexts of up to ``DEPTH`` preceding words.  A context is a candidate if it
-makes at least ``P_MIN`` of all training positions; it is retained if its next-word
-distribution diverges from that of its longest proper suffix.  A state's distribution is
-smoothed by its suffix's (Witten-Bell), the root's by one count for each known word and
-for an unknown one.  Each token is scored by the longest retained suffix of what
-precedes it.
+stands at ``SUPPORT`` training positions or more, however large the corpus; it is
+retained if its next-word distribution diverges from that of its longest proper suffix.
+A state's distribution is smoothed by its suffix's (Witten-Bell), the root's by one count
+for each known word and for an unknown one.  Each token is scored by the longest retained
+suffix of what precedes it.
 
 Words and (context, next word) pairs are known by 64-bit hashes: of a billion distinct
-ones about 0.03 pairs are expected to collide.  Contexts are at most DEPTH / P_MIN, so
-they are broadcast; counts grow with the corpus and are only ever joined.
+ones about 0.03 pairs are expected to collide.  Contexts grow with the corpus as counts
+do, so both are written tables that are only ever joined; tasks have a bitmap of fixed
+size for each level, which spares rows and decides nothing.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import LOWER, slices, written
+from .decontaminate import FILTER_BITS, filter_bits
 
-DEPTH = 2
-P_MIN = 1 / 500
+DEPTH = 4
+SUPPORT = 32
 LEAST_DIVERGENCE = 0.02
 BLOCK_BYTES = 32 << 20
 END = b""
 _ROOT = np.uint64(0x51ED270B2F6A3C19)
+#: Tells a context's own row from the row of a word or pair with the same hash.
+_STATE = 0x2545F4914F6CDD1D
 
 
 def mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -66,22 +70,25 @@ class Words(dict):
         return np.array(self.codes, np.uint64)
 
 
-def contexts(word: np.ndarray, end: np.uint64, levels: list[np.ndarray]):
-    """For each level (sorted context hashes) the positions whose preceding words are such
-    a context, and their context's hash.  Contexts do not reach over a text's end."""
+def contexts(word: np.ndarray, end: np.uint64, levels: list[bytes]):
+    """For each level (a bitmap of context hashes) the positions whose preceding words may
+    be such a context, and their context's hash.  Contexts do not reach over a text's end."""
     at, held = np.arange(len(word)), np.full(len(word), _ROOT)
-    for d, known in enumerate(levels, 1):
+    for d, bits in enumerate(levels, 1):
         at, held = at[at >= d], held[at >= d]
         before = word[at - d]
         held = mix(held, before)
-        if not len(known):
-            return
-        place = np.minimum(np.searchsorted(known, held), len(known) - 1)
-        good = (known[place] == held) & (before != end)
+        slot = held % np.uint64(FILTER_BITS)
+        mark = np.frombuffer(bits, np.uint8)[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)
+        good = (mark & 1 == 1) & (before != end)
         at, held = at[good], held[good]
         yield at, held
 
 
+def _bits(contexts: DataFrame) -> bytes:
+    return filter_bits(contexts.select(F.col("context").alias("h")))
+
+
 def _sum(keys: list[np.ndarray], counts: list[np.ndarray]):
     """Distinct rows of the key columns and their summed counts."""
     order = np.argsort(keys[0], kind="stable")
@@ -117,24 +124,27 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def count_next(texts: DataFrame, levels: list[np.ndarray]) -> DataFrame:
-    """context, key (hash of context and next word), parent (that of the context's suffix
-    and the word), next (the word's hash), n: for the last level's contexts."""
+def count_next(texts: DataFrame, levels: list[bytes], longer: bool) -> DataFrame:
+    """For the last level's contexts: key (hash of context and next word), context, parent
+    (hash of the context's suffix and the word), suffix, n.  With ``longer`` also a row with
+    null parent for each context one word longer: it as key, its suffix as context, n."""
     held = texts.sparkSession.sparkContext.broadcast(levels)
+    names = ["key", "context", "parent", "suffix", "n"]
 
     def run(batches):
         import xxhash
 
-        end, known, kept = np.uint64(xxhash.xxh64_intdigest(END)), held.value, []
-        words = Words()
+        end, known, words = np.uint64(xxhash.xxh64_intdigest(END)), held.value, Words()
+        grams, pairs = [], []
 
-        def out():
-            columns, n = _sum([np.concatenate([k[0][i] for k in kept]) for i in range(4)], np.concatenate([k[1] for k in kept]))
-            kept[:] = [(columns, n)]
+        def merged(kept):
+            columns = [np.concatenate([k[0][i] for k in kept]) for i in range(len(kept[0][0]))]
+            return _sum(columns, np.concatenate([k[1] for k in kept]))
 
-        def batch():
-            columns, n = kept.pop()
-            return pa.RecordBatch.from_arrays([*map(_signed, columns), pa.array(n)], names=["key", "context", "parent", "next", "n"])
+        def batch(kept):
+            columns, n = kept
+            arrays = [*map(_signed, columns), *([pa.nulls(len(n), pa.int64())] * (4 - len(columns))), pa.array(n)]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for b in batches:
             for part in slices(b, "text"):
@@ -143,117 +153,83 @@ def count_next(texts: DataFrame, levels: list[np.ndarray]) -> DataFrame:
                 at, _ = words.stream(part.column("text").to_pylist())
                 word = words.hashes()[at]
                 found = list(contexts(word, end, known))
-                if len(found) < len(known):
-                    continue
                 here, context = found[-1]
-                parent = np.full(len(word), _ROOT)
+                suffix = np.full(len(word), _ROOT)
                 if len(found) > 1:
-                    parent[found[-2][0]] = found[-2][1]
-                kept.append(_sum([mix(context, word[here]), context, mix(parent[here], word[here]), word[here]], np.ones(len(here), np.int64)))
-                if len(kept) > 4:
-                    out()
-                    if len(kept[0][1]) > 1_500_000:
-                        yield batch()
-        if kept:
-            out()
-            yield batch()
-
-    rows = texts.mapInArrow(run, "key long, context long, parent long, next long, n long")
-    return rows.groupBy("key", "context", "parent", "next").agg(F.sum("n").alias("n"))
-
-
-def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, p_min: float = P_MIN, least: float = LEAST_DIVERGENCE) -> dict:
-    """The tree of the texts of ``docs``: counts (a written frame of key and n), total N,
-    distinct V, and for each level the retained contexts with their count and number of
-    next words.  Null texts are empty; an empty table gives N = V = 0 and no context."""
+                    suffix[found[-2][0]] = found[-2][1]
+                grams.append(_sum([mix(context, word[here]), context, mix(suffix[here], word[here]), suffix[here]], np.ones(len(here), np.int64)))
+                if longer:
+                    fits = here > len(known)
+                    before, short = word[here[fits] - len(known) - 1], context[fits]
+                    fits = before != end
+                    pairs.append(_sum([mix(short[fits], before[fits]), short[fits]], np.ones(int(fits.sum()), np.int64)))
+                for kept in (grams, pairs):
+                    if len(kept) > 4:
+                        kept[:] = [merged(kept)]
+                        if len(kept[0][1]) > 1_500_000:
+                            yield batch(kept.pop())
+        for kept in (grams, pairs):
+            if kept:
+                yield batch(merged(kept))
+
+    rows = texts.mapInArrow(run, "key long, context long, parent long, suffix long, n long")
+    return rows.groupBy("key", "context", "parent", "suffix").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, support: int = SUPPORT, p_min: float | None = None, least: float = LEAST_DIVERGENCE) -> dict:
+    """The tree of the texts of ``docs``: counts (a frame of key, n and, for a retained
+    context, its number of next words), total N, distinct V, and for each level a written
+    frame of the retained contexts.  A candidate stands at ``support`` positions or more, or
+    if ``p_min`` is given at that share of all.  Null texts are empty; an empty table gives
+    N = V = 0 and no context."""
     import xxhash
 
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
     counts = written(count_words(texts), "pst-words")
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
     end = int(mix(_ROOT, np.array([xxhash.xxh64_intdigest(END)], np.uint64)).view(np.int64)[0])
+    enough = F.col("n") >= max(2.0, support if p_min is None else p_min * total)
     # level 1: a context's hash is that of the root and the word, as is a word's key
-    frequent = counts.filter((F.col("n") >= max(2.0, p_min * total)) & (F.col("key") != end)).select("key", "n").collect()
-    sizes = {r["key"]: r["n"] for r in frequent}
-    levels: list[np.ndarray] = []
-    suffix: dict[int, int] = {}
-    candidates: list[dict[int, tuple[int, int, float]]] = []
-    parts, below = [counts.select("key", "n")], counts.select("key", "n")
-    parent_size = {c: total for c in sizes}
-    while sizes and len(levels) < depth:
-        levels.append(np.sort(np.array(list(sizes), np.int64).view(np.uint64)))
-        grams = written(count_next(texts, levels), "pst-next")
-        size_of = lambda of: F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("context")]
-        n_of = grams.groupBy("context").agg(F.sum("n").alias("c"), F.count("*").alias("k"))
-        known = {r["context"]: (r["c"], r["k"]) for r in n_of.collect()}
-        g = grams.alias("g").join(below.alias("below"), F.col("g.parent") == F.col("below.key")).select(
-            "context", F.col("g.n").alias("n"), F.col("below.n").alias("m"))
-        ratio = (F.col("n") / size_of({c: float(v[0]) for c, v in known.items()})) / (F.col("m") / size_of({c: float(parent_size[c]) for c in known}))
-        gain = {r["context"]: r["gain"] for r in g.groupBy("context").agg(F.sum(F.col("n") * F.log(ratio)).alias("gain")).collect()}
-        candidates.append({c: (n, k, gain.get(c, 0.0) / n - (k - 1) / (2 * n)) for c, (n, k) in known.items()})
-        parts.append(grams.select("key", "n"))
-        below = grams.select("key", "n")
-        # the next level: a frequent word before a frequent context
-        sizes, parent_size = {}, {}
+    frequent = counts.filter(enough & (F.col("key") != end)).select(F.col("key").alias("context"))
+    root = int(np.array([_ROOT]).view(np.int64)[0])
+    shorter = docs.sparkSession.createDataFrame([(root, total)], "context long, c long")
+    below = counts.select("key", "n")
+    levels: list[bytes] = []
+    candidates: list[DataFrame] = []
+    grams: list[DataFrame] = []
+    while len(levels) < depth and not frequent.isEmpty():
+        levels.append(_bits(frequent))
+        made = written(count_next(texts, levels, len(levels) < depth), "pst-next")
+        own = made.filter(F.col("parent").isNotNull())
+        both = own.alias("g").join(below.alias("b"), F.col("g.parent") == F.col("b.key")).select("context", "suffix", F.col("g.n").alias("n"), F.col("b.n").alias("m"))
+        sums = both.groupBy("context", "suffix").agg(F.sum("n").alias("c"), F.count("*").alias("k"), F.sum(F.col("n") * F.log(F.col("n") / F.col("m"))).alias("s"))
+        # the bitmap's strangers go here: what is no candidate
+        sums = sums.join(frequent, "context", "left_semi")
+        sums = sums.join(shorter.select(F.col("context").alias("suffix"), F.col("c").alias("all")), "suffix")
+        gain = F.col("s") / F.col("c") + F.log(F.col("all") / F.col("c")) - (F.col("k") - 1) / (2 * F.col("c"))
+        candidates.append(written(sums.select("context", "suffix", "c", "k", gain.alias("gain")), "pst-contexts"))
+        grams.append(own.select("key", "n"))
+        below, shorter = own.select("key", "n"), candidates[-1]
         if len(levels) < depth:
-            longer = count_pairs(texts, levels, p_min * total)
-            for r in longer:
-                sizes[r["key"]] = r["n"]
-                suffix[r["key"]] = r["context"]
-                parent_size[r["key"]] = known[r["context"]][0]
-    kept: list[dict[int, tuple[int, int]]] = [{} for _ in candidates]
-    needed: set[int] = set()
-    for d in range(len(candidates) - 1, -1, -1):  # a retained context's suffixes are states too
-        kept[d] = {c: (n, k) for c, (n, k, gain) in candidates[d].items() if gain >= least or c in needed}
-        needed = {suffix[c] for c in kept[d] if c in suffix}
-    while kept and not kept[-1]:
-        kept.pop()
-    frames = parts[0]
-    for p in parts[1 : len(kept) + 1]:
-        frames = frames.unionByName(p)
+            # its suffix is a candidate, as it stands wherever the longer one does
+            frequent = made.filter(F.col("parent").isNull() & enough).select(F.col("key").alias("context"))
+    kept: list[DataFrame] = []
+    needed = None
+    for known in reversed(candidates):  # a retained context's suffixes are states too
+        held = known.filter(F.col("gain") >= least)
+        if needed is not None:
+            held = held.unionByName(known.filter(F.col("gain") < least).join(needed, "context", "left_semi"))
+        held = written(held, "pst-states")
+        if kept or not held.isEmpty():
+            kept.insert(0, held)
+            needed = held.select(F.col("suffix").alias("context")).distinct()
+    frames = counts.select("key", "n", F.lit(0).cast("long").alias("k"))
+    for held, pairs in zip(kept, grams, strict=False):
+        frames = frames.unionByName(pairs.withColumn("k", F.lit(0).cast("long")))
+        frames = frames.unionByName(held.select(F.col("context").bitwiseXOR(F.lit(_STATE)).alias("key"), F.col("c").alias("n"), "k"))
     return {"counts": frames, "N": total, "V": distinct, "levels": kept}
 
 
-def count_pairs(texts: DataFrame, levels: list[np.ndarray], least: float) -> list:
-    """Contexts one word longer than the last level's that stand at ``least`` positions or
-    more, with their suffix (at most 1 / P_MIN rows reach the driver)."""
-    held = texts.sparkSession.sparkContext.broadcast(levels)
-
-    def run(batches):
-        import xxhash
-
-        end, known, words, kept = np.uint64(xxhash.xxh64_intdigest(END)), held.value, Words(), []
-        for b in batches:
-            for part in slices(b, "text"):
-                if len(words) > 1_000_000:
-                    words = Words()
-                at, _ = words.stream(part.column("text").to_pylist())
-                word = words.hashes()[at]
-                found = list(contexts(word, end, known))
-                if len(found) < len(known):
-                    continue
-                here, context = found[-1]
-                fits = here > len(known)
-                here, context = here[fits], context[fits]
-                before = word[here - len(known) - 1]
-                fits = before != end
-                kept.append(_sum([mix(context[fits], before[fits]), context[fits]], np.ones(int(fits.sum()), np.int64)))
-                if len(kept) > 4:
-                    kept = [_sum([np.concatenate([k[0][i] for k in kept]) for i in range(2)], np.concatenate([k[1] for k in kept]))]
-                    if len(kept[0][1]) > 1_500_000:
-                        yield _pairs(kept.pop())
-        if kept:
-            yield _pairs(_sum([np.concatenate([k[0][i] for k in kept]) for i in range(2)], np.concatenate([k[1] for k in kept])))
-
-    rows = texts.mapInArrow(run, "key long, context long, n long").groupBy("key", "context").agg(F.sum("n").alias("n"))
-    return rows.filter(F.col("n") >= max(2.0, least)).collect()
-
-
-def _pairs(kept) -> pa.RecordBatch:
-    (key, context), n = kept
-    return pa.RecordBatch.from_arrays([_signed(key), _signed(context), pa.array(n)], names=["key", "context", "n"])
-
-
 def score(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of ``keep`` (doc_id by default), n_tokens (with the end), n_known (tokens
     that training has), base_score and score (log10 probabilities of the text, of the
@@ -261,7 +237,7 @@ def score(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, text
 
     A null text is an empty one: its only token is the end.  Documents are dealt into
     blocks by a hash of their text and kept columns; a block asks once for each distinct
-    word and (context, next word) in it, the requests are joined with the counts, and the
+    word, context and (context, next word) in it, the requests are joined with the counts, and the
     answers return to the block."""
     spark = docs.sparkSession
     keep = keep or {"doc_id": "doc_id"}
@@ -269,8 +245,8 @@ def score(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, text
     volume = rows.agg(F.sum(F.octet_length("__llm_text"))).first()[0] or 0
     blocks = max(2 * spark.sparkContext.defaultParallelism, -(-volume // block_bytes))
     rows = rows.withColumn("__llm_block", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)))
-    levels = [np.sort(np.array(list(x), np.int64).view(np.uint64)) for x in model["levels"]]
-    held = spark.sparkContext.broadcast((levels, model["levels"], model["N"], model["V"]))
+    levels = [_bits(x) for x in model["levels"]]
+    held = spark.sparkContext.broadcast((levels, model["N"], model["V"]))
 
     def pieces(table: pa.Table):
         for b in table.select([n for n in table.column_names if n != "__llm_block"]).combine_chunks().to_batches(max_chunksize=4096):
@@ -283,8 +259,9 @@ def score(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, text
         for part in pieces(table):
             at, _ = words.stream(part.column("__llm_text").to_pylist())
             word = words.hashes()[at]
-            grams.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *(mix(c, word[p]) for p, c in contexts(word, end, known))])))
-        keys = np.concatenate([mix(_ROOT, words.hashes()), np.unique(np.concatenate(grams))])
+            for p, c in contexts(word, end, known):
+                grams += [np.unique(mix(c, word[p])), np.unique(c) ^ np.uint64(_STATE)]
+        keys = np.unique(np.concatenate([mix(_ROOT, words.hashes()), *grams]))
         return pa.table({"__llm_block": pa.array(np.full(len(keys), table.column("__llm_block")[0].as_py())), "key": _signed(keys)})
 
     schema = [f for f in rows.schema.fields if f.name in keep]
@@ -295,20 +272,17 @@ def score(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, text
         import xxhash
 
         end = np.uint64(xxhash.xxh64_intdigest(END))
-        known, states, total, distinct = held.value
-        keys, counts = answers.column("key").to_numpy(), answers.column("n").to_numpy()
+        known, total, distinct = held.value
+        keys, counts, kinds_of = (answers.column(c).to_numpy() for c in ("key", "n", "k"))
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        keys, counts, kinds_of = keys[order], counts[order], kinds_of[order]
 
-        def n_of(key: np.ndarray) -> np.ndarray:
+        def n_of(key: np.ndarray, counts: np.ndarray = counts) -> np.ndarray:
             if not len(keys):
                 return np.zeros(len(key), np.int64)
             place = np.minimum(np.searchsorted(keys, key.view(np.int64)), len(keys) - 1)
             return np.where(keys[place] == key.view(np.int64), counts[place], 0)
 
-        tables = []
-        for k, s in zip(known, states, strict=True):
-            tables.append(np.array([s[c] for c in k.view(np.int64).tolist()], float).reshape(-1, 2))
         made = []
         for part in pieces(table):
             words = Words()
@@ -316,8 +290,11 @@ def score(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, text
             word, n = words.hashes()[at], n_of(mix(_ROOT, words.hashes()))[at]
             root = (n + 1) / (total + distinct + 1)
             p = root.copy()
-            for (here, context), k, of in zip(contexts(word, end, known), known, tables, strict=False):
-                seen, (c, kinds) = n_of(mix(context, word[here])), of[np.searchsorted(k, context)].T
+            for here, context in contexts(word, end, known):
+                own = context ^ np.uint64(_STATE)
+                state = n_of(own) > 0
+                here, context, own = here[state], context[state], own[state]
+                seen, c, kinds = n_of(mix(context, word[here])), n_of(own), n_of(own, kinds_of)
                 p[here] = (seen + kinds * p[here]) / (c + kinds)
             first = np.cumsum(sizes) - sizes
             made.append(pa.RecordBatch.from_arrays(

@@ -119,6 +119,16 @@ def test_suffix_tree_against_brute_force(spark):
     assert [r["n_known"] for r in pst.score(frame(spark, [(1, "a b")]), empty).collect()] == [0]
 
 
+def test_suffix_tree_keeps_contexts_by_absolute_support(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["p q r s t" if i < 40 else "x q r s u", *rng.choice([f"f{j}" for j in range(3000)], 400)])) for i in range(80)]
+    model = pst.train(frame(spark, rows))
+    assert model["N"] > 500 * 40  # no context makes 1/500 of the positions
+    assert len(model["levels"]) == 4 and model["levels"][3].filter("c = 40").count() == 2
+    score = {r["doc_id"]: r["score"] for r in pst.score(frame(spark, [(1, "p q r s t"), (2, "p q r s u"), (3, "x q r s u")]), model).collect()}
+    assert score[1] > score[2] + 1 and score[3] > score[2] + 1
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)]
