@@ -14,20 +14,16 @@ from pyspark.sql import functions as F
 from lodestat.llm import bpe, decontaminate, langid, queries, simhash, toxicity
 from lodestat.llm.common import read, written
 
-#: A text stays if at least this share of its letters is in its language's spans.
-MAJORITY = 0.5
-
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, and those in which no language has ``MAJORITY``
-    of the letters."""
+    """Rejects texts without a letter; a text in several languages stays, whatever their shares."""
     columns = {c: c for c in docs.columns}
     made = langid.identify(docs, queries.language_model(docs), {"__" + n: c for n, c in columns.items()})
-    return made.filter((F.col("lang_pred") != "und") & (F.col("score") >= MAJORITY)).select(*[F.col("__" + c).alias(c) for c in columns])
+    return made.filter(F.col("lang_pred") != "und").select(*[F.col("__" + c).alias(c) for c in columns])
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,7 +117,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     start = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
     k = scores.shape[1]
-    stay, back = np.arange(k, dtype=np.int8), np.zeros(scores.shape, np.int8)
+    kind = np.min_scalar_type(k)
+    stay, back = np.arange(k, dtype=kind), np.zeros(scores.shape, kind)
     alive = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")  # sequences longer than t
     best = scores[start[: alive[0]]].astype(np.float64) if len(alive) else None
     final = np.zeros((len(sizes), k))
@@ -133,7 +134,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     if best is not None:
         final[: len(best)] = best
     label = final.argmax(1)
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), kind)
     for t in range(len(alive) - 1, -1, -1):
         n = alive[t]
         out[start[:n] + t] = label[:n]

@@ -336,6 +336,12 @@ def test_viterbi_against_brute_force():
         at += n
 
 
+def test_viterbi_labels_more_than_128_languages():
+    scores = np.zeros((3, 300))
+    scores[[0, 1, 2], [299, 200, 200]] = 50
+    assert langid.viterbi(scores, np.array([3]), 6.0).tolist() == [299, 200, 200]
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 def test_dual_tree_against_brute_force(clustered):
     rng = np.random.default_rng(7)

@@ -50,3 +50,11 @@ def test_tokens_come_back(stages):
 def test_names_are_as_dealt():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
     assert len(P.STAGES) == 5 and os.path.basename(P.__file__) == "corpus_pipeline.py"
+
+
+def test_language_stage_keeps_texts_in_three_languages(spark):
+    own = {"en": "the house with that thing ", "fr": "une maison avec des choses ", "de": "das haus mit einem ding "}
+    rows = [(100 * k + i, t * 4, g) for k, (g, t) in enumerate(own.items()) for i in range(20)]
+    rows += [(900, own["en"] * 5 + own["fr"] * 4 + own["de"] * 3, "en"), (901, "123", "en")]
+    kept = {r[0] for r in P.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), SF).select("doc_id").collect()}
+    assert kept == {r[0] for r in rows} - {901}
