@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 import uuid
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +103,35 @@ def sample_by_hash(df: DataFrame, by: str, key: tuple[str, ...], size: int) -> D
     return df.filter(place < shares[F.col(by)])
 
 
+@dataclass(frozen=True)
+class Bitmap:
+    """A set of 64-bit hashes with false positives: bit h mod size of 2^k bits."""
+
+    words: np.ndarray
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Whether each unsigned hash may be in the set."""
+        slot = h & np.uint64(64 * len(self.words) - 1)
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+#: A bitmap's size: bits for each hash, and the bounds of its logarithm (8 kB to 16 MB).
+BITS_EACH, LEAST_LOG, MOST_LOG = 16, 16, 27
+
+
+def bitmap(hashes: DataFrame, column: str = "h") -> Bitmap:
+    """The bitmap of a column of hashes (longs), sized by their number up to 16 MB: what
+    reaches the driver is bounded, and beyond 8 million hashes only false positives grow."""
+    n = hashes.count()
+    log = min(MOST_LOG, max(LEAST_LOG, (BITS_EACH * n).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit((1 << log) - 1))
+    one = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    found = hashes.select(F.shiftright(slot, 6).alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (log - 6), np.uint64)
+    words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Bitmap(words)
+
+
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

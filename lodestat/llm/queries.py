@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, langid, licenses, pst, simhash, token_store, toxicity, wrappers
+from . import bpe, collocations, covertree, decontaminate, gridcodes, langid, licenses, pst, simhash, token_store, toxicity, warc, wrappers
 from .common import read, remainder, shared_path
 
 
@@ -96,6 +96,22 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), top=2000)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridcodes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_byte_bpe, op2_token_store, op3_licenses, op4_suffix_tree, op5_simhash, op6_decontaminate, op7_main_text, op8_toxicity, op9_language_id, op10_top_k)}
-ORACLES: dict[str, str] = {"op10_top_k": covertree.TOP_K_SQL}
+    op1_byte_bpe, op2_token_store, op3_licenses, op4_suffix_tree, op5_simhash, op6_decontaminate, op7_main_text, op8_toxicity, op9_language_id, op10_top_k, op11_collocations,
+    op12_warc, op13_vector_codes)}
+ORACLES: dict[str, str] = {
+    "op10_top_k": covertree.TOP_K_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL, "op12_warc": warc.WARC_SQL, "op13_vector_codes": gridcodes.CODES_SQL}
