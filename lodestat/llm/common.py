@@ -16,7 +16,10 @@ from pyspark.sql.types import StructType
 from ..session import ensure_checkpoint_dir
 
 #: Bytes of text that a task works on at once (a longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+#: Bytes of remembered words that a task holds, and what one takes beside its letters.
+MEMO_BYTES, ENTRY_BYTES = 24 << 20, 150
 
 #: ASCII upper case to lower case, for bytes.translate.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -38,7 +41,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         yield batch.slice(first)
 
 
-def map_text(df: DataFrame, keep: dict[str, str], text: str, make, added: str) -> DataFrame:
+def map_text(df: DataFrame, keep: dict[str, str], text: str, make, added: str, limit: int = SLICE_BYTES) -> DataFrame:
     """Adds columns that depend on one text column.
 
     ``keep`` maps output names to columns of ``df`` that pass through; ``make()`` is
@@ -53,7 +56,7 @@ def map_text(df: DataFrame, keep: dict[str, str], text: str, make, added: str) -
     def run(batches):
         work = make()
         for batch in batches:
-            for part in slices(batch, "__llm_text"):
+            for part in slices(batch, "__llm_text", limit):
                 made = work(part.column("__llm_text").to_pylist())
                 kept = [c for c, n in zip(part.columns, part.schema.names, strict=True) if n != "__llm_text"]
                 yield pa.RecordBatch.from_arrays(kept + [_array(v, f) for v, f in zip(made, extra.fields, strict=True)], names=names)

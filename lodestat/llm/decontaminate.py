@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices
+from .common import ENTRY_BYTES, LOWER, MEMO_BYTES, slices
 
 #: Fixed masks: 1 counts, 0 is ignored.  Weight 7 each, span 11.
 MASKS = ("11101100101", "10110011011", "11010010111")
@@ -200,7 +200,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
         marks = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             for part in slices(batch, "text"):
-                if len(known) > 500_000:
+                if len(known) * ENTRY_BYTES + sum(map(len, known)) > MEMO_BYTES:
                     known.clear()
                 words = [tokens(t) for t in part.column("text").to_pylist()]
                 ids = part.column("doc_id").to_pylist()

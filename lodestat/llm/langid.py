@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, sample_by_hash
+from .common import ENTRY_BYTES, MEMO_BYTES, map_text, sample_by_hash
 
 #: First and last code points of letters by script.
 SCRIPTS = {
@@ -28,6 +28,8 @@ BUCKETS = 1 << 16
 SWITCH = 6.0
 SAMPLE_DOCS = 3000
 SCRIPT_SHARE = 0.01
+#: Words that are scored at once, and bytes of text that are labelled at once.
+LEARNED, SLICE = 10_000, 2 << 20
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
@@ -145,8 +147,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 class Labeller:
     """Spans and languages of texts by one model."""
 
-    def __init__(self, model: dict, switch: float, limit: int = 600_000):
-        self.model, self.switch, self.limit = model, switch, limit
+    def __init__(self, model: dict, switch: float, limit: int = MEMO_BYTES):
+        self.model, self.switch, self.limit, self.held = model, switch, limit, 0
         self.index: dict[str, int] = {}
         self.scores = np.zeros((0, len(model["names"])), np.float32)
 
@@ -168,14 +170,15 @@ class Labeller:
 
     def __call__(self, texts: list[str | None]):
         """For each text its words, their labels, and letters by language."""
-        if len(self.index) > self.limit:
-            self.index, self.scores = {}, self.scores[:0]
+        if self.held > self.limit:
+            self.index, self.scores, self.held = {}, self.scores[:0].copy(), 0
         words = [words_of(t) if t else [] for t in texts]
         flat = [w for ws in words for w in ws]
         k = len(self.model["names"])
         if new := [w for w in dict.fromkeys(flat) if k and w not in self.index]:
-            for i in range(0, len(new), 50_000):
-                self._learn(new[i : i + 50_000])
+            for i in range(0, len(new), LEARNED):
+                self._learn(new[i : i + LEARNED])
+            self.held += sum(map(len, new)) + len(new) * (ENTRY_BYTES + 4 * k)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         if k:
             labels = viterbi(self.scores[np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))], lengths, self.switch)
@@ -223,4 +226,4 @@ def identify(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, t
         return work
 
     added = "lang_pred string, score double" + ", spans array<struct<lang string, first int, words int>>" * spans
-    return map_text(docs, keep or {"doc_id": "doc_id"}, text, make, added)
+    return map_text(docs, keep or {"doc_id": "doc_id"}, text, make, added, SLICE)

@@ -14,20 +14,21 @@ from itertools import chain
 
 import numpy as np
 
-#: White space of ASCII beside the space, and the rest, as the pattern or Python see it (fixed values).
-ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
-OTHER_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SIGNS = ".,;:!?#%&*$|)\"'-+(=@"
+#: Bytes of remembered chunks and their ids; what one entry takes beside its text.
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 200
+#: Distinct chunks that are encoded as one text.
+JOINED = 2000
 
 
 def chunks(text: str) -> list:
     """Pieces of the text that the pattern splits independently: a str stands for a space
     and that str, a tuple for the str in it as it is (the start of the text)."""
-    if "  " in text or any(f" {c}" in text or f"{c} " in text for c in (ASCII_SPACE if text.isascii() else ASCII_SPACE + OTHER_SPACE)):
-        out = CUT.split(text)
-    else:
-        out = text.split(" ")
+    return _marked(CUT.split(text))
+
+
+def _marked(out: list) -> list:
     if out[0]:
         out[0] = (out[0],)
     else:
@@ -56,50 +57,118 @@ class _Index(dict):
 class ChunkEncoder:
     """Encodes texts chunk by chunk; ``encode`` maps a list of str to lists of ids.
 
-    About ``limit`` chunks are kept between calls; beyond that the cache starts anew,
-    which costs time and never changes a result."""
+    With ``sizes`` (the bytes of each id's token) many chunks are encoded as one text, and
+    its ids are dealt out by their bytes.  Chunks are kept between calls up to about
+    ``limit`` bytes; beyond that only those that came again are kept on, the most frequent
+    first and up to half of it, which costs time and never changes a result."""
 
-    def __init__(self, encode, limit: int = 1_000_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode, sizes: np.ndarray | None = None, limit: int = MEMO_BYTES):
+        self.encode, self.sizes, self.limit = encode, sizes, limit
         self._clear()
 
     def _clear(self):
-        self.index = _Index()
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.index, self.held = _Index(), 0
+        # of each chunk: where its ids are, whether it starts (1) or ends (2) with white space, how often it came
+        self.start, self.length, self.edge, self.uses = (np.zeros(0, t) for t in (np.int64, np.int64, np.int8, np.int64))
+        self.ids = np.zeros(0, np.uint32)
+
+    def _shrink(self):
+        """Keeps chunks that came more than once, by number of uses, in half of the limit."""
+        names, bytes_of = list(self.index), np.zeros(len(self.index), np.int64)
+        bytes_of[:] = [ENTRY_BYTES + len(k if type(k) is str else k[0]) for k in names]
+        bytes_of += 4 * self.length
+        order = np.argsort(-self.uses, kind="stable")
+        order = order[(self.uses[order] > 1) & (np.cumsum(bytes_of[order]) <= self.limit // 2)]
+        start, length, edge, uses, ids = self.start[order], self.length[order], self.edge[order], self.uses[order], self.ids
+        self._clear()
+        for i in order.tolist():
+            self.index[names[i]] = len(self.index)
+        self.ids = ids[gather(start, length)]
+        self.start, self.length, self.edge, self.uses = np.cumsum(length) - length, length, edge, uses // 2
+        self.held = int(bytes_of[order].sum())
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and each text's number of ids."""
-        if len(self.index) > self.limit:
-            self._clear()
-        parts = [chunks(t) for t in texts]
-        n = sum(map(len, parts))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, n)
-        if self.index.new:
-            self._learn()
+        if self.held > self.limit:
+            self._shrink()
+        # between two spaces; where one of them has white space beside it, the text is cut anew
+        parts = [_marked(t.split(" ")) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = self._numbers(parts, sizes)
+        ends = np.cumsum(sizes)
+        edge = self.edge[at]
+        edge[ends[sizes > 0] - 1] &= 1  # white space at a text's end has no space after it
+        if edge.any():
+            again = np.unique(np.searchsorted(ends, np.flatnonzero(edge), side="right"))
+            for i in again.tolist():
+                parts[i] = chunks(texts[i])
+            sizes[again] = [len(parts[i]) for i in again.tolist()]
+            at = self._numbers(parts, sizes)
+        self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.length[at]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[gather(self.start[at], lengths)], np.diff(upto[np.cumsum([0, *map(len, parts)])])
+        return self.ids[gather(self.start[at], lengths)], np.diff(upto[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def _numbers(self, parts: list[list], sizes: np.ndarray) -> np.ndarray:
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        if self.index.new:
+            self._learn()
+        return at
 
     def _learn(self):
-        index, pairs, plain = self.index, [], []
-        for key in index.new:  # grows: the parts of a pair are keys too
-            if type(key) is str and (stem := key.rstrip(SIGNS)) != key and stem.isalpha():
-                pairs.append((index[key], index[stem], index[(key[len(stem) :],)]))
-            else:
-                plain.append(key)
+        index, pairs, plain, at = self.index, [], [], []
+        first = len(self.start)
+        edge: list[int] = []
+        for n, key in enumerate(index.new, first):  # grows: the parts of a pair are keys too
+            if type(key) is str:
+                stem = key.rstrip(SIGNS)
+                if stem is not key and stem.isalpha():
+                    pairs.append((n, index[stem], index[(key[len(stem) :],)]))
+                    edge.append(0)
+                    continue
+                # an empty chunk is one of two spaces
+                edge.append(0 if key and key.strip() is key else (not key or key[0].isspace()) + 2 * key[-1:].isspace())
+            else:  # the start of a text has nothing before it
+                edge.append(2 * key[0][-1:].isspace())
+            plain.append(key)
+            at.append(n)
         index.new.clear()
-        made = self.encode([k[0] if type(k) is tuple else " " + k for k in plain])
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        more = len(index) - len(self.start)
-        self.start = np.concatenate([self.start, np.zeros(more, np.int64)])
-        self.length = np.concatenate([self.length, np.zeros(more, np.int64)])
-        at = np.fromiter(map(index.__getitem__, plain), np.int64, len(plain))
-        self.start[at], self.length[at] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))])
+        more = len(edge)
+        grown = [np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.start, self.length, self.edge, self.uses)]
+        self.start, self.length, self.edge, self.uses = grown
+        self.edge[first:] = edge
+        made, lengths, order = self._encoded(plain, self.edge[at])
+        at = np.array(at, np.int64)[order]
+        self.start[at], self.length[at] = len(self.ids) + np.cumsum(lengths) - lengths, lengths
+        self.ids = np.concatenate([self.ids, made])
         if pairs:
-            own, first, second = np.array(pairs, np.int64).T
-            both = np.stack([first, second], 1).ravel()
+            own, left, right = np.array(pairs, np.int64).T
+            both = np.stack([left, right], 1).ravel()
             joined = self.ids[gather(self.start[both], self.length[both])]
-            sizes = self.length[first] + self.length[second]
+            sizes = self.length[left] + self.length[right]
             self.start[own], self.length[own] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
             self.ids = np.concatenate([self.ids, joined])
+        self.held += more * ENTRY_BYTES + sum(len(k) if type(k) is str else len(k[0]) for k in plain) + 4 * len(made)
+
+    def _encoded(self, plain: list, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The chunks' ids, one after another, each chunk's number of ids, and the chunks' order."""
+        ids, lengths, free = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
+        if self.sizes is not None:
+            # what starts with a space and ends without white space is cut off from what follows it
+            free = [i for i, (k, e) in enumerate(zip(plain, edge.tolist(), strict=True)) if not e and type(k) is str]
+            groups = [[plain[i] for i in free[j : j + JOINED]] for j in range(0, len(free), JOINED)]
+            texts = [" " + " ".join(g) for g in groups]
+            for group, text, made in zip(groups, texts, self.encode(texts), strict=True):
+                ids.append(np.array(made, np.uint32))
+                upto = np.cumsum(self.sizes[ids[-1]])
+                sizes = map(len, group) if text.isascii() else (len(k.encode()) for k in group)
+                ends = np.cumsum(np.fromiter(sizes, np.int64, len(group)) + 1)
+                cut = np.searchsorted(upto, ends)
+                if cut[-1] >= len(upto) or (upto[cut] != ends).any():
+                    raise ValueError("a token crosses two chunks")
+                lengths.append(np.diff(cut, prepend=-1))
+        lone = sorted(set(range(len(plain))).difference(free)) if free else list(range(len(plain)))
+        rest = self.encode([k[0] if type(k) is tuple else " " + k for k in map(plain.__getitem__, lone)])
+        lengths.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        ids.append(np.fromiter(chain.from_iterable(rest), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths), free + lone

@@ -13,6 +13,8 @@ without the planes.  Blocks decode independently of each other.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,6 +25,8 @@ from .common import slices, worker_cache
 from .pretokens import ChunkEncoder
 
 BLOCK_IDS = 65_536
+#: Bytes of chunks that a task remembers, and of text that it encodes at once.
+MEMO_BYTES, SLICE = 112 << 20, 2 << 20
 STORE = (
     "shard int, block int, first long, n_ids int, kind string, plane_bytes array<int>, "
     "docs array<struct<doc_id long, number long, part int, n_ids int, last boolean>>, planes array<binary>"
@@ -48,17 +52,32 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(rows.T).view("<u4").ravel()
 
 
-def library_encoder(spec: str, limit: int = 1_000_000):
+def library_encoder(spec: str, limit: int = MEMO_BYTES):
     """Encodes texts as the tokenizers library does with this tokenizer file's content
-    (byte-level BPE; strings of special tokens are ordinary text)."""
+    (byte-level BPE; an added token's string in a text is that token, as the library reads
+    it).  Chunks are encoded apart only if no added token reaches over a space."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(spec)
-    tokenizer.encode_special_tokens = True
-    return ChunkEncoder(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], limit)
+
+    def encode(texts):
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    added = tokenizer.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in added.values()):
+        def whole(texts):
+            made = encode(texts)
+            return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
+
+        return whole
+    # byte-level pieces have one character for each byte; added tokens stand for themselves
+    sizes = np.zeros(1 + max(tokenizer.get_vocab().values()), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        sizes[i] = len(added[i].content.encode()) if i in added else len(token)
+    return ChunkEncoder(encode, sizes, limit)
 
 
 class _Shard:
@@ -122,7 +141,7 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc
         shard = _Shard(TaskContext.get().partitionId(), block_ids, kind)
         encoder = worker_cache(("tokenizers", hash(held.value)), lambda: library_encoder(held.value))
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE):
                 ids, sizes = encoder(piece.column("text").to_pylist())
                 at, made = 0, []
                 for one, n in zip(piece.column("id").to_pylist(), sizes.tolist(), strict=True):

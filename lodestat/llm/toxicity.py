@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_text, sample_by_hash
+from .common import ENTRY_BYTES, LOWER, MEMO_BYTES, map_text, sample_by_hash
 
 #: Seeds of the word classes (English, French, German, Spanish).
 SEEDS = {
@@ -61,11 +61,14 @@ class Lexicon:
     def __init__(self, words: dict[bytes, tuple[str, float]], stems: dict[bytes, tuple[str, float]]):
         self.words, self.stems = words, stems
         self.known: dict[bytes, tuple[str, float] | None] = {}
+        self.held = 0
 
     def __call__(self, word: bytes):
         if word not in self.known:
-            if len(self.known) > 400_000:
+            if self.held > MEMO_BYTES:
                 self.known.clear()
+                self.held = 0
+            self.held += len(word) + ENTRY_BYTES
             self.known[word] = self.words.get(word) or next(
                 (self.stems[word[:n]] for n in sorted(STEMS, reverse=True) if len(word) >= n and word[:n] in self.stems), None)
         return self.known[word]
