@@ -93,9 +93,11 @@ def repair_outliers(df: DataFrame, cols: Sequence[str], fences: dict[str, dict]
     return df.withColumns(repl)
 
 
-def boxplot_stats(df: DataFrame, cols: Sequence[str], factor: float = C.IQR_FACTOR, **kw) -> DataFrame:
-    """DIA7: quartiles, whiskers (extreme values inside the fences) and flier count."""
-    fences = iqr_fences(df, cols, factor, **kw)
+def boxplot_stats(df: DataFrame, cols: Sequence[str], factor: float = C.IQR_FACTOR,
+                  fences: dict[str, dict] | None = None, **kw) -> DataFrame:
+    """DIA7: quartiles, whiskers (extreme values inside the fences) and flier count; known
+    ``fences`` of the same rows spare the search."""
+    fences = fences or iqr_fences(df, cols, factor, **kw)
     aggs = []
     for i, c in enumerate(cols):
         f = fences[c]

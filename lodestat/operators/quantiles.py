@@ -1,22 +1,18 @@
-"""AGG4 / AGG5: exact quantiles with linear interpolation, computed without
+"""AGG4 / AGG5: exact quantiles with linear interpolation by radix selection, without
 ever gathering a whole column in one task or on the driver.
 
-Spark's exact ``percentile`` keeps a value->count map of the whole column in
-the final task of a global aggregate, which does not survive large inputs.
-Here every order statistic is found by narrowing a value bracket:
-
-1. one aggregation: count, min, max per column;
-2. each pass histograms the rows inside the open brackets into ``bins``
-   equal-width buckets (``groupBy(column, bracket, bucket)`` with count/min/max:
-   partial aggregation, the result has at most columns x brackets x bins rows);
-   the bucket holding the wanted rank becomes the new bracket, bounded by the
-   exact min and max of the values inside it;
-3. a bracket is settled when its min equals its max (a hot value is settled in
-   one pass however many rows carry it).  No value of the column but these
-   minimums and maximums reaches the driver, whatever the number of rows.
-
-The bucket index is a monotone function of the value, so a bucket is a
-contiguous value range and rank bookkeeping is exact.
+Spark's exact ``percentile`` keeps a value->count map of the whole column in the final
+task of a global aggregate, which does not survive large inputs.  Here each double is
+mapped to an unsigned 64-bit key in the same order (its bits, with the sign bit flipped,
+or all bits if it is negative), and the wanted ranks of all columns are selected digit by
+digit: a pass counts the next digit's values among the keys that share a wanted rank's
+prefix, and the digit that holds the rank extends the prefix.  So every search ends after
+at most ``ceil(64 / bits)`` passes (6 by default), whatever the values, infinities and
+the widest ranges included.  A prefix whose keys are all equal is settled early, so a hot
+value or a column of few values takes a pass or two.
+
+What a task passes on is bounded: columns x open prefixes x 2^bits counts, with the least
+and greatest key of each.  No other value reaches the driver, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -25,150 +21,124 @@ import math
 from dataclasses import dataclass, field
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
 
+BITS = 11
+_SIGN = np.uint64(1 << 63)
+_HISTOGRAM = "ci int, pi int, digit int, n long, lo long, hi long"
+
+
+def sortable(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit keys in the order of the doubles (both zeros have one key)."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def from_key(key: int) -> float:
+    """The double of a key."""
+    k = np.uint64(key)
+    return float(np.array([k ^ _SIGN if k & _SIGN else ~k], np.uint64).view(np.float64)[0])
+
 
 @dataclass
-class _Bracket:
-    lo: float
-    hi: float
-    base: int           # number of values strictly below ``lo``
-    count: int          # number of values in [lo, hi]
+class _Prefix:
+    key: int            # the digits known so far
+    base: int           # number of keys below those with this prefix
     ranks: list[int] = field(default_factory=list)   # wanted 0-based ranks inside
 
 
-def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
-    """count, min, max per column (NaN counted as missing) in one aggregation."""
-    clean = df.select(*[X.nan_to_null(c).alias(c) for c in cols])
-    row = clean.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"s{i}")
-                      for i, c in enumerate(cols)]).first()
-    return {c: row[f"s{i}"].asDict() for i, c in enumerate(cols)}
-
-
-def order_statistics(df: DataFrame, cols: Sequence[str], ranks_by_col: dict[str, list[int]],
-                     bins: int = 1024, stats: dict[str, dict] | None = None) -> dict[str, dict[int, float]]:
-    """Exact values at the given 0-based ranks (ascending, nulls and NaN skipped).
-
-    Each pass leaves a wanted rank a bracket that is narrower in values, as its bucket
-    leaves out the bracket's least or largest value, so the search ends."""
-    clean = df.select(*[X.nan_to_null(c).alias(c) for c in cols])
-    stats = stats or column_stats(df, cols)
-    result: dict[str, dict[int, float]] = {c: {} for c in cols}
-    open_: dict[str, list[_Bracket]] = {}
-    for i, c in enumerate(cols):
-        s = stats[c]
-        ranks = sorted(set(r for r in ranks_by_col.get(c, []) if 0 <= r < (s["n"] or 0)))
-        if ranks:
-            open_[c] = [_Bracket(float(s["lo"]), float(s["hi"]), 0, int(s["n"]), ranks)]
-
-    while True:
-        # settle degenerate brackets
-        for c in list(open_):
-            keep = []
-            for b in open_[c]:
-                if b.lo == b.hi:
-                    for r in b.ranks:
-                        result[c][r] = b.lo
-                else:
-                    keep.append(b)
-            open_[c] = keep
-        open_ = {c: bs for c, bs in open_.items() if bs}
-        if not open_:
-            return result
-        open_ = _refine(clean, open_, bins)
-
-
-def _bracket_id(c: str, brackets: list[_Bracket]):
-    x = F.col(c)
-    e = None
-    for j, b in enumerate(brackets):
-        cond = (x >= F.lit(b.lo)) & (x <= F.lit(b.hi))
-        e = F.when(cond, F.lit(j)) if e is None else e.when(cond, F.lit(j))
-    return e
-
-
-def _refine(clean: DataFrame, open_: dict[str, list[_Bracket]], bins: int) -> dict[str, list[_Bracket]]:
-    names = list(open_)
-    parts = []
-    for ci, c in enumerate(names):
-        brackets = open_[c]
-        bid = _bracket_id(c, brackets)
-        x = F.col(c)
-        bucket = None
-        for b in brackets:
-            inside = (x >= F.lit(b.lo)) & (x <= F.lit(b.hi))
-            value = F.least(F.floor((x - F.lit(b.lo)) / F.lit(b.hi - b.lo) * F.lit(bins)), F.lit(bins - 1))
-            bucket = F.when(inside, value) if bucket is None else bucket.when(inside, value)
-        bucket = bucket.cast("int")
-        parts.append(F.struct(F.lit(ci).alias("ci"), bid.alias("bid"), bucket.alias("bk"), F.col(c).alias("v")))
-    hist = (
-        clean.select(F.explode(F.array(*parts)).alias("p"))
-        .select("p.*")
-        .where(F.col("bid").isNotNull())
-        .groupBy("ci", "bid", "bk")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()
-    )
-    table: dict[tuple[int, int], list] = {}
-    for r in hist:
-        table.setdefault((r["ci"], r["bid"]), []).append(r)
-    out: dict[str, list[_Bracket]] = {}
-    for ci, c in enumerate(names):
-        nxt: dict[int, _Bracket] = {}
-        for bi, b in enumerate(open_[c]):
-            rows = sorted(table.get((ci, bi), []), key=lambda r: r["bk"])
-            for r_wanted in b.ranks:
-                acc = b.base
-                for r in rows:
-                    if r_wanted < acc + r["n"]:
-                        key = r["bk"] + bi * (1 << 20)
-                        if key not in nxt:
-                            nxt[key] = _Bracket(float(r["lo"]), float(r["hi"]), acc, int(r["n"]), [])
-                        nxt[key].ranks.append(r_wanted)
-                        break
-                    acc += r["n"]
-        out[c] = list(nxt.values())
+def _histograms(df: DataFrame, names: Sequence[str], prefixes: dict[int, list[int]], known: int, bits: int) -> dict:
+    """{(column, prefix): [(digit, n, least key, greatest key), ...] by digit} of the digit
+    of ``bits`` bits after the first ``known`` bits, in one pass."""
+    shift = 64 - known - bits
+    size = 1 << bits
+    keys_of, sign = sortable, _SIGN
+
+    def run(batches):
+        n = {c: np.zeros((len(ps), size), np.int64) for c, ps in prefixes.items()}
+        lo = {c: np.full((len(ps), size), ~np.uint64(0)) for c, ps in prefixes.items()}
+        hi = {c: np.zeros((len(ps), size), np.uint64) for c, ps in prefixes.items()}
+        for b in batches:
+            for c, ps in prefixes.items():
+                column = b.column(c)
+                keys = keys_of(column.filter(column.is_valid()).to_numpy(zero_copy_only=False).astype(np.float64))
+                for i, p in enumerate(ps):
+                    own = keys if not known else keys[(keys >> np.uint64(64 - known)) == np.uint64(p)]
+                    digit = ((own >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64)
+                    n[c][i] += np.bincount(digit, minlength=size)
+                    np.minimum.at(lo[c][i], digit, own)
+                    np.maximum.at(hi[c][i], digit, own)
+        for c, ps in prefixes.items():
+            for i in range(len(ps)):
+                at = np.flatnonzero(n[c][i])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), c, np.int32)), pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[c][i][at]),
+                     # as signed longs in the same order
+                     pa.array((lo[c][i][at] ^ sign).view(np.int64)), pa.array((hi[c][i][at] ^ sign).view(np.int64))],
+                    names=["ci", "pi", "digit", "n", "lo", "hi"])
+
+    picked = df.select(*[X.nan_to_null(c).alias(f"c{i}") for i, c in enumerate(names)])
+    rows = picked.mapInArrow(run, _HISTOGRAM).groupBy("ci", "pi", "digit").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: r["digit"]):
+        out.setdefault((r["ci"], r["pi"]), []).append((r["digit"], r["n"], (r["lo"] + (1 << 63)), (r["hi"] + (1 << 63))))
     return out
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[str, dict[float, float | None]]:
-    """Linear-interpolation quantiles (pandas ``quantile``, SQL ``quantile_cont``)."""
-    stats = column_stats(df, cols)
-    plan: dict[str, list[tuple[float, int, int, float]]] = {}
-    ranks: dict[str, list[int]] = {}
-    for c in cols:
-        n = stats[c]["n"]
-        plan[c] = []
-        if not n:
-            continue
+def order_statistics(df: DataFrame, cols: Sequence[str], wanted, bits: int = BITS) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
+    """Per column the number of values (nulls and NaN are none) and the exact values at the
+    0-based ranks ``wanted(n)`` in ascending order.  ``wanted`` is asked once for each column,
+    after the first pass has counted it."""
+    names = list(cols)
+    counts = {c: 0 for c in names}
+    result: dict[str, dict[int, float]] = {c: {} for c in names}
+    open_: dict[int, list[_Prefix]] = {i: [_Prefix(0, 0)] for i in range(len(names))}
+    known = 0
+    while open_ and known < 64:
+        width = min(bits, 64 - known)
+        table = _histograms(df, names, {ci: [p.key for p in ps] for ci, ps in open_.items()}, known, width)
+        following: dict[int, list[_Prefix]] = {}
+        for ci, ps in open_.items():
+            for pi, p in enumerate(ps):
+                digits = table.get((ci, pi), [])
+                if not known:
+                    counts[names[ci]] = n = sum(d[1] for d in digits)
+                    p.ranks = sorted({r for r in wanted(n) if 0 <= r < n})
+                base, ranks = p.base, p.ranks
+                for digit, n, lo, hi in digits:
+                    inside = [r for r in ranks if base <= r < base + n]
+                    if inside and lo == hi:
+                        result[names[ci]].update(dict.fromkeys(inside, from_key(lo)))
+                    elif inside:
+                        following.setdefault(ci, []).append(_Prefix(p.key << width | digit, base, inside))
+                    base += n
+        open_, known = following, known + width
+    return counts, result
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bits: int = BITS) -> dict[str, dict[float, float | None]]:
+    """Linear-interpolation quantiles (pandas ``quantile``, SQL ``quantile_cont``); None for
+    a column without values.  NaN counts as missing; infinities are values."""
+    def places(n: int) -> list[tuple[int, int, float]]:
+        out = []
         for p in probs:
             h = p * (n - 1)
             lo = int(math.floor(h))
-            hi = min(lo + 1, n - 1)
-            plan[c].append((p, lo, hi, h - lo))
-            ranks.setdefault(c, []).extend([lo, hi])
-    found = order_statistics(df, cols, ranks, stats=stats, **kw) if ranks else {}
-    out: dict[str, dict[float, float | None]] = {}
-    for c in cols:
-        out[c] = {p: None for p in probs}
-        for p, lo, hi, frac in plan[c]:
-            a, b = found[c][lo], found[c][hi]
-            out[c][p] = a + (b - a) * frac
-    return out
+            out.append((lo, min(lo + 1, n - 1), h - lo))
+        return out
 
+    counts, found = order_statistics(df, cols, lambda n: [r for lo, hi, _ in places(n) for r in (lo, hi)] if n else [], bits)
+    return {c: {p: _between(found[c][lo], found[c][hi], part) for p, (lo, hi, part) in zip(probs, places(counts[c]), strict=True)}
+            if counts[c] else dict.fromkeys(probs) for c in cols}
 
-def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     accuracy: int = 10_000) -> dict[str, dict[float, float | None]]:
-    """Scale option for AGG4: one pass of ``percentile_approx`` (mergeable
-    sketches, rank error about n / accuracy).  Not the linear-interpolation
-    definition: it returns a value present in the data."""
-    row = df.agg(*[F.percentile_approx(X.nan_to_null(c), list(probs), accuracy).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
-    out = {}
-    for i, c in enumerate(cols):
-        vals = row[f"q{i}"]
-        out[c] = {p: (None if vals is None else float(v)) for p, v in zip(probs, vals or [None] * len(probs))}
-    return out
+
+def _between(a: float, b: float, part: float) -> float:
+    if a == b or not part:
+        return a
+    # the difference of two finite doubles may be beyond the largest one
+    return a + (b - a) * part if math.isfinite(b - a) else a * (1 - part) + b * part

@@ -270,10 +270,13 @@ FROM (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
     f"{_repair_sql_expr(c)} AS {c}" for c in C.A_REPAIR_COLUMNS) + " FROM clean)\n"
     + _box_sql("before", "clean", "time_to_food") + "\nUNION ALL\n" + _box_sql("after", "rep", "time_to_food"))
 def q_boxplot(spark, sf):
-    """DIA7 before and after the repair."""
-    clean = P.clean_a_materialized(spark, sf)
-    before = FE.boxplot_stats(clean, ["time_to_food"])
-    after = FE.boxplot_stats(FE.repair_outliers(clean, C.A_REPAIR_COLUMNS), ["time_to_food"])
+    """DIA7 before and after the repair: the plotted column alone is written, and one search
+    serves the first plot and the repair."""
+    column = ["time_to_food"]
+    clean = materialize(P.clean_a(spark, sf).select(*column))
+    fences = FE.iqr_fences(clean, column)
+    before = FE.boxplot_stats(clean, column, fences=fences)
+    after = FE.boxplot_stats(FE.repair_outliers(clean, column, fences), column)
     out = before.withColumn("stage", F.lit("before")).unionByName(after.withColumn("stage", F.lit("after")))
     return out.select("stage", "column_name", *[_r(c) for c in
                                                 ["q1", "median", "q3", "lo_fence", "hi_fence", "whisker_lo",

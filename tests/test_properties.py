@@ -20,7 +20,7 @@ values = st.lists(st.one_of(st.integers(-5, 5).map(float), st.floats(-1e6, 1e6,
 @given(vals=values, q=st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]))
 def test_quantile_search_matches_pandas(spark, vals, q):
     df = spark.createDataFrame(pd.DataFrame({"x": vals}))
-    got = quantiles(df, ["x"], [q], bins=3)["x"][q]
+    got = quantiles(df, ["x"], [q], bits=16)["x"][q]
     want = pd.Series(vals).quantile(q)
     assert got == pytest.approx(want, rel=1e-12, abs=1e-9)
 
