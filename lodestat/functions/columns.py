@@ -27,8 +27,12 @@ _EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
 def parse_timestamp(c: ColumnLike) -> Column:
-    """DAT1: text or timestamp to a naive wall-clock timestamp (errors on bad text)."""
-    return F.to_timestamp_ntz(col(c))
+    """DAT1: ISO text or a timestamp as a naive wall-clock timestamp.  Null stays null; other
+    text is an error that names it, in any session mode and whatever the session's zone."""
+    text = col(c)
+    value = text.try_cast("timestamp_ntz")
+    bad = F.raise_error(F.concat(F.lit("not a timestamp: "), text.cast("string")))
+    return F.when(text.isNotNull() & value.isNull(), bad.cast("timestamp_ntz")).otherwise(value)
 
 
 def floor_to_minutes(c: str, minutes: int = C.BUCKET_MINUTES) -> Column:

@@ -37,11 +37,6 @@ def high_corr_pairs(corr: DataFrame, threshold: float = C.CORR_THRESHOLD, absolu
     return corr.where((F.col("col_i") != F.col("col_j")) & (value > F.lit(abs(threshold))))
 
 
-def corr_submatrix(corr: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """PRJ11 / DIA11: the heat-map cells for chosen columns."""
-    return corr.where(F.col("col_i").isin(*cols) & F.col("col_j").isin(*cols))
-
-
 def vif_values(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """FEA8: one Gram aggregation, then k x k algebra on the driver."""
     m = collect_moments(df, list(cols))[()]

@@ -6,13 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from pyspark.sql import types as T
-
 from .. import config as C
 from ..functions import columns as X
 from ..operators import features as FE
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import fixtures as FX
 from ..sources import tables as S
 from . import oracle as O
@@ -66,23 +63,45 @@ def q_preview_landings(spark, sf):
     return landing_out(S.preview(FX.landings(spark, sf), ["key"], 5))
 
 
-LANDING_SCHEMA = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("start_time", T.TimestampNTZType()),
-    T.StructField("date", T.StringType()), T.StructField("time_to_food", T.DoubleType()),
-    T.StructField("risk", T.IntegerType()), T.StructField("reward", T.IntegerType()),
-    T.StructField("min_after_arrival", T.DoubleType()), T.StructField("month", T.IntegerType()),
-])
+def _folder(spark, name: str) -> str:
+    """A fresh folder under the session's (shared) checkpoint folder."""
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
 
 
 @register("csv_roundtrip_scan", f"WITH {O.LANDING}\n{LANDING_OUT_SQL}")
 def q_csv_roundtrip(spark, sf):
-    """SRC1: landings written as CSV to a fresh folder under the session's
-    (shared) checkpoint folder and scanned back with an explicit schema."""
-    folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/csv-{uuid.uuid4().hex}"
+    """SRC1, DAT1: landings written as CSV and scanned back with inferred types; the text
+    timestamps are parsed."""
+    folder = _folder(spark, "csv")
     S.write_csv(FX.landings(spark, sf), folder)
-    back = spark.read.option("header", "true").option("mode", "FAILFAST") \
-        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").schema(LANDING_SCHEMA).csv(folder)
-    return landing_out(back)
+    back = S.read_csv(spark, folder)
+    return landing_out(back.withColumn("start_time", X.parse_timestamp("start_time")))
+
+
+LANDING_SCHEMA = ("key bigint, start_time timestamp_ntz, date string, time_to_food double, risk bigint, "
+                  "reward bigint, min_after_arrival double, month bigint")
+
+
+@register("csv_rejects", f"""WITH {O.LANDING}
+SELECT key, column_name, value, reason FROM (
+  SELECT CAST(key AS VARCHAR) AS key, 'start_time' AS column_name, 'day ' || date AS value, 'not a timestamp_ntz' AS reason
+  FROM landing WHERE key % 89 = 0 AND key % 97 <> 1
+  UNION ALL SELECT CAST(key AS VARCHAR), 'risk', 'n/a', 'not a bigint' FROM landing WHERE key % 83 = 2 AND key % 97 <> 1
+  UNION ALL SELECT CAST(key AS VARCHAR), NULL, key || ',' || date, 'wrong number of fields' FROM landing WHERE key % 97 = 1)""")
+def q_csv_rejects(spark, sf):
+    """SRC1: the reject table of a damaged copy of the landings (words for timestamps and
+    numbers, lines cut short)."""
+    key = F.col("key")
+    damaged = FX.landings(spark, sf).select(
+        key, F.when(key % 89 == 0, F.concat(F.lit("day "), "date")).otherwise(F.col("start_time").cast("string")).alias("start_time"), "date",
+        F.col("time_to_food").cast("string").alias("time_to_food"), F.when(key % 83 == 2, "n/a").otherwise(F.col("risk").cast("string")).alias("risk"),
+        "reward", F.col("min_after_arrival").cast("string").alias("min_after_arrival"), "month")
+    # concat_ws leaves nulls out, which would cut the line short
+    whole = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in damaged.columns])
+    folder = _folder(spark, "damaged")
+    damaged.select(F.when(key % 97 == 1, F.concat_ws(",", "key", "date")).otherwise(whole).alias("line")).write.text(folder)
+    found = S.csv_rejects(spark, folder, LANDING_SCHEMA, header=False)
+    return found.select(F.col("fields")["key"].alias("key"), "column_name", "value", "reason")
 
 
 # --- JON1 / JON2 -----------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from lodestat.functions import columns as X
 from lodestat.sources import tables as S
 from lodestat.sources import fixtures as FX
 
@@ -17,7 +18,45 @@ def test_csv_roundtrip_with_and_without_schema(spark):
     typed = S.read_csv(spark, folder, df.schema)
     assert sorted(typed.collect()) == sorted(df.collect())
     inferred = S.read_csv(spark, folder)
-    assert dict(inferred.dtypes)["x"] == "double"
+    assert dict(inferred.dtypes) == {"k": "bigint", "s": "string", "x": "double", "n": "bigint"}
+    assert sorted(map(tuple, inferred.collect())) == sorted(map(tuple, df.collect()))
+
+
+def _text(spark, tmp_path, lines):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.text(path)
+    return path
+
+
+def test_inferred_types_are_the_narrowest_that_fit(spark, tmp_path):
+    path = _text(spark, tmp_path, ["a,b,c,d,e,f", "1,1.5,true,x,,9", "-2,2,FALSE,1,,9223372036854775808", ",NaN,,,,1e3", "7"])
+    made = S.infer_csv_types(spark, path)
+    assert [f.dataType.simpleString() for f in made] == ["bigint", "double", "boolean", "string", "string", "double"]
+    empty = str(tmp_path / "e")
+    spark.createDataFrame([], "line string").write.text(empty)
+    assert S.infer_csv_types(spark, empty).names == []
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_bad_text_is_named(spark, tmp_path, ansi):
+    path = _text(spark, tmp_path, ["k,t", "1,2024-01-01 10:00:00", "two,2024-01-01T10:00:00.5", "3,yesterday", "4", "5,2024-01-02,x", "6,"])
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        rejects = {(r["column_name"], r["value"], r["reason"]) for r in S.csv_rejects(spark, path, "k bigint, t timestamp_ntz").collect()}
+        assert rejects == {("k", "two", "not a bigint"), ("t", "yesterday", "not a timestamp_ntz"), (None, "4", "wrong number of fields"), (None, "5,2024-01-02,x", "wrong number of fields")}
+        for line, column, named in (("two,2024-01-01", "k", "k: not a bigint: two"), ("3,yesterday", "t", "t: not a timestamp_ntz: yesterday"),
+                                    ("5,2024-01-02,x", "t", "wrong number of fields: 5,2024-01-02,x")):
+            one = tmp_path / named.replace(" ", "").replace(":", "").replace(",", "")
+            one.mkdir()
+            with pytest.raises(Exception, match=named):
+                S.read_csv(spark, _text(spark, one, ["k,t", line]), "k bigint, t timestamp_ntz").select(column).collect()
+        times = spark.createDataFrame([("2024-01-01T10:00:00.5",), (None,)], "t string").select(X.parse_timestamp("t").alias("t"))
+        assert {str(r["t"]) for r in times.collect()} == {"2024-01-01 10:00:00.500000", "None"}
+        with pytest.raises(Exception, match="not a timestamp: yesterday"):
+            spark.createDataFrame([("yesterday",)], "t string").select(X.parse_timestamp("t")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def test_profile_counts_nulls(spark):
