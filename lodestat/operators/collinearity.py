@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from .linalg import vif_from_moments
+from .linalg import SweptGram, vif_from_moments
 from .gram import pairwise_correlation
 from .moments import collect_moments
 
@@ -59,8 +59,8 @@ def vif_elimination(df: DataFrame, cols: Sequence[str], threshold: float = C.VIF
                     max_rounds: int = C.VIF_MAX_ROUNDS) -> tuple[list[dict], list[str]]:
     """FEA9: drop the column with the highest VIF while it exceeds ``threshold``.
 
-    One Spark pass for the Gram matrix of all candidates; every round works on
-    a sub-matrix.  Ties go to the first column in order (FLT7).  Returns the
+    One Spark pass for the Gram matrix of all candidates, swept once; a round
+    reads all VIFs from it and removes a column by one reverse sweep.  Ties go to the first column in order (FLT7).  Returns the
     rounds (round, removed, vif; removed None once nothing exceeds) and the
     kept list.
     """
@@ -71,16 +71,20 @@ def vif_elimination(df: DataFrame, cols: Sequence[str], threshold: float = C.VIF
 def vif_elimination_from_moments(m, cols: Sequence[str], threshold: float = C.VIF_THRESHOLD,
                                  max_rounds: int = C.VIF_MAX_ROUNDS) -> tuple[list[dict], list[str]]:
     """FEA9 on already collected moments (no Spark job)."""
-    kept = list(cols)
+    swept = SweptGram(m, list(cols))
     rounds = []
     for rnd in range(1, max_rounds + 1):
-        if not kept:
+        if not swept.kept.any():
             break
-        v = vif_from_moments(m, kept)
+        v = swept.vifs()
         worst = int(np.argmax(np.where(np.isnan(v), -np.inf, v)))
-        if v[worst] > threshold:
-            rounds.append({"round": rnd, "removed": kept[worst], "vif": float(v[worst])})
-            kept.pop(worst)
-        else:
-            rounds.append({"round": rnd, "removed": None, "vif": float(v[worst])})
-    return rounds, kept
+        drop = bool(v[worst] > threshold)
+        rounds.append({"round": rnd, "removed": cols[worst] if drop else None, "vif": float(v[worst])})
+        if drop:
+            swept.remove(worst)
+    return rounds, [c for c, k in zip(cols, swept.kept, strict=True) if k]
+
+
+def vif_state(v: float) -> tuple[float | None, str]:
+    """A VIF as a number where it is finite, and finite, infinite or undefined."""
+    return (float(v), "finite") if np.isfinite(v) else (None, "undefined" if np.isnan(v) else "infinite")

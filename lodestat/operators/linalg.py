@@ -97,56 +97,84 @@ def _pinv_solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
     return x, int(keep.sum())
 
 
+#: A swept column whose squared norm beside the others is this share of its own is dependent;
+#: a dependent column involves those with a larger coefficient (on columns of unit norm).
+DEPENDENT, INVOLVED = 1e-11, 1e-7
+
+
+class SweptGram:
+    """The Gram matrix of columns and of the constant, swept on every independent column.
+
+    The sweep operator turns pivots into (negated) entries of the inverse and leaves in the
+    rest the regressions on them, so one swept matrix holds the regression of every column
+    on all others.  Sweeping a column in or out is one update of k^2 entries: a column is
+    removed without solving anything anew."""
+
+    def __init__(self, m: Moments, cols: list[str]):
+        sub = m.sub(cols)
+        k, self.n = len(cols), sub.n
+        g = np.zeros((k + 1, k + 1))
+        g[:k, :k] = sub.uncentred()
+        g[:k, k] = g[k, :k] = sub.mean * sub.n
+        g[k, k] = sub.n
+        norm = np.sqrt(np.diag(g))
+        norm = np.where(norm > 0, norm, 1.0)
+        self.a = g / np.outer(norm, norm)
+        self.share = np.diag(sub.cp) / np.where(np.diag(g)[:k] > 0, np.diag(g)[:k], 1.0)  # centred over uncentred
+        self.kept, self.swept = np.ones(k, bool), np.zeros(k, bool)
+        self._sweep_rest()
+
+    def _step(self, p: int) -> None:
+        """Sweeps column p in, or out if it is in."""
+        a, pivot = self.a, self.a[p, p]
+        sign = -1.0 if self.swept[p] else 1.0
+        made = a - np.outer(a[:, p], a[p, :]) / pivot
+        made[p, :] = made[:, p] = sign * a[p, :] / pivot
+        made[p, p] = -1.0 / pivot
+        self.a = made
+        self.swept[p] = not self.swept[p]
+
+    def _sweep_rest(self) -> None:
+        for p in np.flatnonzero(self.kept & ~self.swept):
+            if self.a[p, p] > DEPENDENT:
+                self._step(p)
+
+    def remove(self, p: int) -> None:
+        """Takes column p out; what depended on it alone becomes independent."""
+        if self.swept[p]:
+            self._step(p)
+        self.kept[p] = False
+        self._sweep_rest()
+
+    def spans_constant(self) -> bool:
+        """Is the constant a combination of the kept columns?"""
+        return bool(self.n and self.a[-1, -1] <= 1e-9)
+
+    def vifs(self) -> np.ndarray:
+        """FEA8 of every kept column (others: NaN); see ``vif_from_moments``."""
+        a, out = self.a, np.full(len(self.kept), np.nan)
+        if not self.n:
+            return out
+        loose = np.flatnonzero(self.kept & ~self.swept)
+        for i in np.flatnonzero(self.kept):
+            if not self.swept[i] or (np.abs(a[i, loose]) > INVOLVED).any():
+                out[i] = np.inf
+                continue
+            inverse = -a[i, i]
+            # what of the constant the other columns leave
+            constant = a[-1, -1] + a[i, -1] ** 2 / inverse
+            out[i] = inverse * (self.share[i] if constant <= 1e-9 else 1.0)
+        return out
+
+
 def vif_from_moments(m: Moments, cols: list[str], centred: bool = False) -> np.ndarray:
     """FEA8 with the convention of the usual statistics package: column i is
     regressed on the other columns *without* an added intercept; R^2 is centred
     when a constant lies in the span of the other columns, else uncentred.
     ``centred=True`` gives the textbook VIF (regressions with intercept): the
     diagonal of the inverse correlation matrix.
-    Returns +inf for a column explained exactly."""
-    sub = m.sub(cols)
-    if centred:
-        return _centred_vif(sub)
-    g = sub.uncentred()
-    n = sub.n
-    sums = sub.mean * n
-    k = len(cols)
-    out = np.empty(k)
-    for i in range(k):
-        o = [j for j in range(k) if j != i]
-        gii = g[i, i]
-        if o:
-            goo = g[np.ix_(o, o)]
-            goi = g[o, i]
-            beta, _ = _pinv_solve(goo, goi)
-            ssr = gii - 2 * beta @ goi + beta @ goo @ beta
-            const_in_span = _constant_in_span(goo, sums[o], n)
-        else:
-            ssr = gii
-            const_in_span = False
-        tss = sub.cp[i, i] if const_in_span else gii
-        ssr = max(ssr, 0.0)
-        if ssr <= 1e-12 * max(gii, 1e-300):
-            out[i] = np.inf
-        else:
-            r2 = 1.0 - ssr / tss if tss > 0 else -np.inf
-            out[i] = 1.0 / (1.0 - r2) if r2 < 1 else np.inf
-    return out
-
-
-def _constant_in_span(gram: np.ndarray, sums: np.ndarray, n: float) -> bool:
-    """Is the all-ones vector in the column span? (rank test on the augmented Gram)."""
-    k = gram.shape[0]
-    if k == 0 or n == 0:
-        return False
-    aug = np.empty((k + 1, k + 1))
-    aug[:k, :k] = gram
-    aug[:k, k] = sums
-    aug[k, :k] = sums
-    aug[k, k] = n
-    beta, _ = _pinv_solve(gram, sums)
-    resid = n - 2 * beta @ sums + beta @ gram @ beta   # ||1 - X beta||^2
-    return resid <= 1e-9 * n
+    Returns +inf for a column explained exactly, NaN (undefined) without rows."""
+    return _centred_vif(m.sub(cols)) if centred else SweptGram(m, cols).vifs()
 
 
 def condition_number(gram: np.ndarray) -> float:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..session import materialize
 from .diagnostics import durbin_watson
-from .linalg import _constant_in_span, _pinv_solve, condition_number, ols_no_intercept
+from .linalg import SweptGram, _pinv_solve, condition_number, ols_no_intercept
 from .moments import collect_moments
 from .regression import predict
 
@@ -180,7 +180,7 @@ def _summary(m, fit, feats: list[str], target: str, rm: dict | None, dw: float |
     gram = fit.extra["gram"]
     ssr = float(rm["ssr"])
     yty = fit.extra["yty"]
-    has_const = _constant_in_span(gram, m.sub(feats).mean * n, n)
+    has_const = SweptGram(m, feats).spans_constant()
     k_const = 1 if has_const else 0
     tss = m.sub([target]).cp[0, 0] if has_const else yty
     df_resid = n - fit.rank

@@ -145,30 +145,68 @@ def q_vif(spark, sf):
     return CO.vif_table(spark, P.order_b(spark, sf), C.B_FEATURES).select("position", "feature", _r("vif"))
 
 
-@register("vif_elimination", None)
+def _vif_ctes(r: int) -> str:
+    """v{r}: the VIF of each column of k{r}.  Another route than the library's: each column's
+    matrix is eliminated by the others, one by one (a recursive CTE), down to what they
+    leave of it and of the constant."""
+    k = len(A_CANDIDATES)
+    places = f"range(1, {k + 2})"
+    one = f"g[{k + 1}][{k + 1}]"
+    return f"""e{r} AS (
+  SELECT unnest(kept) AS i, 0 AS j, g AS m FROM k{r}, gram
+  UNION ALL
+  SELECT i, j + 1, CASE WHEN j + 1 <> i AND list_contains(kept, j + 1) AND m[j + 1][j + 1] > 1e-11 * g[j + 1][j + 1]
+    THEN [[m[a][b] - m[a][j + 1] * m[j + 1][b] / m[j + 1][j + 1] FOR b IN {places}] FOR a IN {places}] ELSE m END
+  FROM e{r}, k{r}, gram WHERE j < {k}),
+v{r} AS (SELECT i, CASE WHEN {one} = 0 THEN NULL WHEN m[i][i] <= 1e-11 * g[i][i] THEN 'infinity'::DOUBLE
+    ELSE (g[i][i] - CASE WHEN m[{k + 1}][{k + 1}] <= 1e-9 * {one} THEN g[i][{k + 1}] * g[i][{k + 1}] / {one} ELSE 0 END) / m[i][i] END AS vif
+  FROM e{r}, gram WHERE j = {k})"""
+
+
+def _elimination_ctes() -> str:
+    """The rounds of FEA9: w{r} is the worst column of round r, k{r + 1} what it leaves."""
+    cols = [f"CAST({c} AS DOUBLE)" for c in A_CANDIDATES] + ["1.0"]
+    gram = "[" + ", ".join("[" + ", ".join(f"coalesce(sum({a} * {b}), 0)" for b in cols) + "]" for a in cols) + "]"
+    ctes = [f"gram AS MATERIALIZED (SELECT {gram} AS g FROM enc2 WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in A_CANDIDATES) + ")",
+            f"k1 AS (SELECT range(1, {len(cols)}) AS kept)"]
+    for r in range(1, C.VIF_MAX_ROUNDS + 1):
+        ctes += [_vif_ctes(r), f"w{r} AS (SELECT i, vif, vif > {C.VIF_THRESHOLD} AS dropped FROM v{r} ORDER BY vif DESC NULLS LAST, i LIMIT 1)",
+                 f"k{r + 1} AS (SELECT CASE WHEN dropped THEN [x FOR x IN kept IF x <> i] ELSE kept END AS kept FROM k{r}, w{r})"]
+    return A_CLEAN.join(["WITH RECURSIVE ", ",\n"]) + ",\n".join(ctes)
+
+
+_NAMES = "[" + ", ".join(f"'{c}'" for c in A_CANDIDATES) + "]"
+_STATE = "CASE WHEN vif IS NULL THEN 'undefined' WHEN isinf(vif) THEN 'infinite' ELSE 'finite' END AS state"
+_FINITE = f"CASE WHEN isfinite(vif) THEN {O.r('vif')} END AS vif"
+
+
+@register("vif_elimination", _elimination_ctes() + "\n" + "\nUNION ALL\n".join(
+    f"SELECT CAST({r} AS BIGINT) AS round, CASE WHEN dropped THEN {_NAMES}[i] END AS removed, {_FINITE}, {_STATE} FROM w{r}"
+    for r in range(1, C.VIF_MAX_ROUNDS + 1)))
 def q_vif_elim(spark, sf):
-    """FEA9 on the candidate features of fixture A (iterative: checked by tests)."""
+    """FEA9 on the candidate features of fixture A."""
     enc = _encoded_a(spark, sf)
-    rounds, kept = CO.vif_elimination(enc, _candidates(enc))
-    rows = [(r["round"], r["removed"], float(r["vif"]) if np.isfinite(r["vif"]) else None) for r in rounds]
-    schema = "round bigint, removed string, vif double"
-    return spark.createDataFrame(rows, schema).select("round", "removed", _r("vif"))
+    rounds, _ = CO.vif_elimination(enc, _candidates(enc))
+    rows = [(r["round"], r["removed"], *CO.vif_state(r["vif"])) for r in rounds]
+    return spark.createDataFrame(rows, "round bigint, removed string, vif double, state string").select("round", "removed", _r("vif"), "state")
 
 
-@register("vif_kept", None)
+@register("vif_kept", f"""{_elimination_ctes()},
+{_vif_ctes(C.VIF_MAX_ROUNDS + 1)}
+SELECT CAST(list_position(kept, i) - 1 AS BIGINT) AS position, {_NAMES}[i] AS feature, {_FINITE}, {_STATE}
+FROM v{C.VIF_MAX_ROUNDS + 1}, k{C.VIF_MAX_ROUNDS + 1}""")
 def q_vif_kept(spark, sf):
-    """FEA8 after FEA9: VIF of the columns the elimination keeps (same single
-    Gram pass; the kept set is data-dependent, so checked by tests)."""
+    """FEA8 after FEA9: VIF of the columns that the elimination keeps (the same single Gram
+    pass)."""
     from ..operators.linalg import vif_from_moments
     from ..operators.moments import collect_moments
     enc = _encoded_a(spark, sf)
     cols = _candidates(enc)
     m = collect_moments(enc, cols)[()]
-    rounds, kept = CO.vif_elimination_from_moments(m, cols)
-    v = vif_from_moments(m, kept)
-    rows = [(i, c, float(x) if np.isfinite(x) else None) for i, (c, x) in enumerate(zip(kept, v))]
-    return spark.createDataFrame(rows, "position bigint, feature string, vif double") \
-        .select("position", "feature", _r("vif"))
+    _, kept = CO.vif_elimination_from_moments(m, cols)
+    rows = [(i, c, *CO.vif_state(x)) for i, (c, x) in enumerate(zip(kept, vif_from_moments(m, kept)))]
+    return spark.createDataFrame(rows, "position bigint, feature string, vif double, state string") \
+        .select("position", "feature", _r("vif"), "state")
 
 
 # --- FEA4 / FEA5 / FEA6 / RNK1 ----------------------------------------------------------------

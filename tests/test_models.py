@@ -146,6 +146,29 @@ def test_vif_orthogonal_is_one(spark):
     assert got["a"] == pytest.approx(1.0) and got["b"] == pytest.approx(1.0)
 
 
+def test_swept_gram_against_brute_force_after_removals():
+    from lodestat.operators.linalg import SweptGram
+    from lodestat.operators.moments import Moments
+
+    rng = np.random.default_rng(12)
+    for trial in range(20):
+        x = rng.normal(size=(60, 7)) * 10.0 ** rng.integers(-3, 4, 7)
+        x[:, 3] = 2 * x[:, 0] - x[:, 1]            # dependent until one of the three goes
+        x[:, 5] = 1.0 if trial % 2 else 0.0
+        mean = x.mean(0)
+        names = [f"c{i}" for i in range(7)]
+        swept = SweptGram(Moments(names, 60.0, mean, (x - mean).T @ (x - mean)), names)
+        left = list(range(7))
+        for gone in rng.permutation(7)[:5].tolist():
+            want, got = _vif_bruteforce(x[:, left]), swept.vifs()[left]
+            assert np.allclose(np.where(np.nan_to_num(want, nan=np.inf) > 1e9, np.inf, want), got, rtol=1e-6), (trial, left)
+            swept.remove(gone)
+            left.remove(gone)
+        assert np.isnan(swept.vifs()[[i for i in range(7) if i not in left]]).all()
+    none = Moments(["a"], 0.0, np.zeros(1), np.zeros((1, 1)))
+    assert np.isnan(SweptGram(none, ["a"]).vifs()).all()
+
+
 def test_vif_elimination_bruteforce(spark):
     pdf = _data()
     pdf["d"] = pdf.a + 0.01 * pdf.b
