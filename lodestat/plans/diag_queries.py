@@ -209,16 +209,6 @@ def q_fitted_line_food(spark, sf):
 
 # --- REG8 ---------------------------------------------------------------------------------------------
 
-@register("ols_summary", None)
-def q_ols_summary(spark, sf):
-    """REG8 + REG9: full no-intercept OLS summaries of the log study's baseline and its
-    five one-swap models, from one moments pass, one residual pass and one ranked
-    pass; tail probabilities come from driver-side special functions, so no SQL oracle."""
-    return SM.ols_summary(spark, _summary_frame(spark, sf), _candidate_lists(), C.A_TARGET, order_cols=["key"])
-
-
-# --- REG8, SQL-expressible part ----------------------------------------------------------------
-
 FIT_STATS = ["n", "df_model", "df_resid", "r2", "adj_r2", "f_stat", "log_likelihood", "aic", "bic", "skew",
              "kurtosis", "jarque_bera", "jarque_bera_p", "omnibus", "omnibus_p", "durbin_watson"]
 TERM_STATS = ["coef", "std_err", "t"]
@@ -229,67 +219,151 @@ def _summary_frame(spark, sf):
     return FE.with_logs(P.clean_a(spark, sf), C.A_LOG_CANDIDATES)
 
 
-def _fit_stats_sql() -> str:
-    feats = _candidate_lists()["log_arrivals_exceed"]
+def _fit_ctes(tag: str, feats: list[str], src: str) -> tuple[list[str], str]:
+    """CTEs of one no-intercept model on the complete rows ``src``, ending with fin_{tag} (its
+    fit, shape and error terms), and the name of its coefficients' CTE."""
     k = len(feats)
-    comp = " AND ".join(f"{c} IS NOT NULL" for c in [*feats, C.A_TARGET])
-    ctes, scored, coef = O.gs_ctes("sm", "smb", [], ["key"], feats, C.A_TARGET, "TRUE", intercept=False)
+    ctes, scored, coef = O.gs_ctes(f"sm{tag}", src, [], ["key"], feats, C.A_TARGET, "TRUE", intercept=False)
     ssr_parts = []
     for i, c in enumerate(feats):
         others = [f for f in feats if f != c]
-        cte, sc, _ = O.gs_ctes(f"sx{i}", "smb", [], [], others, c, "TRUE", intercept=False)
+        cte, sc, _ = O.gs_ctes(f"sx{tag}{i}", src, [], [], others, c, "TRUE", intercept=False)
         ctes += cte
         ssr_parts.append(f"(SELECT sum((__y - __yhat) * (__y - __yhat)) FROM {sc}) AS ssr{i}")
     e = "(__y - __yhat)"
     zs = """(delta * ln(y / alpha + sqrt((y / alpha) * (y / alpha) + 1)))"""
-    body = f"""
-st AS (SELECT count(*) AS n, sum({e} * {e}) AS ssr, sum(__y * __y) AS tss, avg({e}) AS me FROM {scored}),
-cm AS (SELECT avg(pow({e} - me, 2)) AS m2, avg(pow({e} - me, 3)) AS m3, avg(pow({e} - me, 4)) AS m4
-       FROM {scored}, st),
-dw AS (SELECT sum(pow(d, 2)) AS num FROM (SELECT {e} - lag({e}) OVER (ORDER BY key) AS d FROM {scored})),
-base AS (SELECT n, ssr, tss, n - {k} AS dfr, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) AS kurt, num AS dwn,
-                {', '.join(ssr_parts)} FROM st, cm, dw),
-sk AS (SELECT *, skew * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y0,
+    ctes.append(f"""st_{tag} AS (SELECT count(*) AS n, sum({e} * {e}) AS ssr, sum(__y * __y) AS tss, avg({e}) AS me FROM {scored}),
+cm_{tag} AS (SELECT avg(pow({e} - me, 2)) AS m2, avg(pow({e} - me, 3)) AS m3, avg(pow({e} - me, 4)) AS m4
+       FROM {scored}, st_{tag}),
+dw_{tag} AS (SELECT sum(pow(d, 2)) AS num FROM (SELECT {e} - lag({e}) OVER (ORDER BY key) AS d FROM {scored})),
+base_{tag} AS (SELECT n, ssr, tss, n - {k} AS dfr, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) AS kurt, num AS dwn,
+                {', '.join(ssr_parts)} FROM st_{tag}, cm_{tag}, dw_{tag}),
+sk_{tag} AS (SELECT *, skew * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y0,
               3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9)) AS beta2,
               3.0 * (n - 1) / (n + 1) AS e_k,
               24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1.0) * (n + 3) * (n + 5)) AS varb2,
               6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb1
-       FROM base),
-sk2 AS (SELECT *, -1 + sqrt(2 * (beta2 - 1)) AS w2, CASE WHEN y0 = 0 THEN 1 ELSE y0 END AS y,
+       FROM base_{tag}),
+sk2_{tag} AS (SELECT *, -1 + sqrt(2 * (beta2 - 1)) AS w2, CASE WHEN y0 = 0 THEN 1 ELSE y0 END AS y,
                (kurt - e_k) / sqrt(varb2) AS xk,
-               6.0 + 8.0 / sb1 * (2.0 / sb1 + sqrt(1 + 4.0 / (sb1 * sb1))) AS a FROM sk),
-sk3 AS (SELECT *, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS alpha,
-               1 + xk * sqrt(2 / (a - 4.0)) AS den FROM sk2),
-sk4 AS (SELECT *, {zs} AS zs,
+               6.0 + 8.0 / sb1 * (2.0 / sb1 + sqrt(1 + 4.0 / (sb1 * sb1))) AS a FROM sk_{tag}),
+sk3_{tag} AS (SELECT *, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS alpha,
+               1 + xk * sqrt(2 / (a - 4.0)) AS den FROM sk2_{tag}),
+sk4_{tag} AS (SELECT *, {zs} AS zs,
                (1 - 2 / (9.0 * a) - sign(den) * pow((1 - 2.0 / a) / abs(den), 1 / 3.0)) / sqrt(2 / (9.0 * a)) AS zk
-        FROM sk3),
-fin AS (SELECT *, 1 - ssr / tss AS r2, -n / 2.0 * (ln(2 * pi()) + ln(ssr / n) + 1) AS llf,
-               n / 6.0 * (skew * skew + (kurt - 3) * (kurt - 3) / 4.0) AS jb, zs * zs + zk * zk AS omni FROM sk4)
-"""
-    rows = [
+        FROM sk3_{tag}),
+fin_{tag} AS (SELECT *, 1 - ssr / tss AS r2, -n / 2.0 * (ln(2 * pi()) + ln(ssr / n) + 1) AS llf, ((tss - ssr) / {k}) / (ssr / dfr) AS f,
+               n / 6.0 * (skew * skew + (kurt - 3) * (kurt - 3) / 4.0) AS jb, zs * zs + zk * zk AS omni FROM sk4_{tag})""")
+    return ctes, coef
+
+
+def _fit_rows(k: int) -> list[tuple[str, str]]:
+    return [
         ("n", "n"), ("df_model", f"{k}"), ("df_resid", "dfr"), ("r2", "r2"),
-        ("adj_r2", f"1 - n / dfr * (1 - r2)"), ("f_stat", f"((tss - ssr) / {k}) / (ssr / dfr)"),
+        ("adj_r2", "1 - n / dfr * (1 - r2)"), ("f_stat", "f"),
         ("log_likelihood", "llf"), ("aic", f"-2 * llf + 2 * {k}"), ("bic", f"-2 * llf + {k} * ln(n)"),
         ("skew", "skew"), ("kurtosis", "kurt"), ("jarque_bera", "jb"), ("jarque_bera_p", "exp(-jb / 2)"),
         ("omnibus", "omni"), ("omnibus_p", "exp(-omni / 2)"), ("durbin_watson", "dwn / ssr"),
     ]
-    sel = [f"SELECT 'model' AS term, '{name}' AS stat, {O.r(expr)} AS value FROM fin" for name, expr in rows]
+
+
+def _complete(cols) -> str:
+    return " AND ".join(f"{c} IS NOT NULL" for c in cols)
+
+
+def _fit_stats_sql() -> str:
+    feats = _candidate_lists()["log_arrivals_exceed"]
+    ctes, coef = _fit_ctes("f", feats, "smb")
+    sel = [f"SELECT 'model' AS term, '{name}' AS stat, {O.r(expr)} AS value FROM fin_f" for name, expr in _fit_rows(len(feats))]
     for i, c in enumerate(feats):
         se = f"sqrt(ssr / dfr / ssr{i})"
-        sel.append(f"SELECT '{c}', 'coef', {O.r(f'b{i + 1}')} FROM fin, {coef}")
-        sel.append(f"SELECT '{c}', 'std_err', {O.r(se)} FROM fin")
-        sel.append(f"SELECT '{c}', 't', {O.r(f'b{i + 1} / {se}')} FROM fin, {coef}")
-    return ("WITH " + A_LOG_SQL + f",\nsmb AS (SELECT * FROM logs WHERE {comp}),\n" + ",\n".join(ctes) + ","
-            + body + "\n".join(["", "\nUNION ALL\n".join(sel)]))
+        sel.append(f"SELECT '{c}', 'coef', {O.r(f'b{i + 1}')} FROM fin_f, {coef}")
+        sel.append(f"SELECT '{c}', 'std_err', {O.r(se)} FROM fin_f")
+        sel.append(f"SELECT '{c}', 't', {O.r(f'b{i + 1} / {se}')} FROM fin_f, {coef}")
+    return ("WITH " + A_LOG_SQL + f",\nsmb AS (SELECT * FROM logs WHERE {_complete([*feats, C.A_TARGET])}),\n" + ",\n".join(ctes)
+            + "\n" + "\nUNION ALL\n".join(sel))
 
 
 @register("ols_fit_stats", _fit_stats_sql())
 def q_ols_fit_stats(spark, sf):
-    """REG8 fields that SQL can check: fit, information criteria, residual
-    shape tests, Durbin-Watson, coefficients, standard errors and t values."""
+    """REG8: fit, information criteria, residual shape tests, Durbin-Watson, coefficients,
+    standard errors and t values of one model."""
     feats = _candidate_lists()["log_arrivals_exceed"]
     v = SM.ols_summary_values(_summary_frame(spark, sf), feats, C.A_TARGET, order_cols=["key"])
     num = SM._num
     rows = [("model", s, num(v["model"][s])) for s in FIT_STATS]
     rows += [(t, s, num(v["terms"][t][s])) for t in feats for s in TERM_STATS]
     return spark.createDataFrame(rows, "term string, stat string, value double").select("term", "stat", _r("value"))
+
+
+#: Steps of Simpson's rule in the oracle's tail integrals, and rounds of its iterations.
+STEPS, NEWTON, SWEEPS = 1000, 8, 12
+
+
+def _simpson(f: str, lo: str, width: str) -> str:
+    """The integral of ``f`` (an expression in u) over [lo, lo + width]."""
+    u = f"({lo} + {width} * i / {STEPS}.0)"
+    weight = f"CASE WHEN i = 0 OR i = {STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"({width} / {3 * STEPS}.0 * list_sum([{weight} * {f.replace('u_', u)} FOR i IN range(0, {STEPS + 1})]))"
+
+
+def _t_tail(t: str, df: str) -> str:
+    """P(T > t) for t >= 0 as an integral over the angle atan(t / sqrt(df)); the density
+    falls by over 1e-30 within 12 / sqrt(df) of it."""
+    angle = f"atan(({t}) / sqrt({df}))"
+    scale = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi())"
+    return f"({scale} * {_simpson(f'pow(cos(u_), {df} - 1)', angle, f'least(pi() / 2 - {angle}, 12 / sqrt({df}))')})"
+
+
+def _f_tail(f: str, d1: str, d2: str) -> str:
+    """P(F > f): the beta integral below d2 / (d2 + d1 f), over minus its logarithm."""
+    a, b, y = f"({d2} / 2.0)", f"({d1} / 2.0)", f"({d2} / ({d2} + {d1} * ({f})))"
+    front = f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({y}))"
+    return f"({front} * {_simpson(f'exp(-{a} * u_) * pow(1 - {y} * exp(-u_), {b} - 1)', '0', f'((4 * {b} + 60) / {a})')})"
+
+
+def _summary_sql() -> str:
+    """Every field of every model.  Tails are integrals, the t quantile a Newton iteration and
+    the condition number Jacobi rotations (recursive CTEs), where the library takes continued
+    fractions, bisection and an eigenvalue routine."""
+    models = _candidate_lists()
+    every = list(dict.fromkeys([*(c for feats in models.values() for c in feats), C.A_TARGET]))
+    ctes = [f"smb AS MATERIALIZED (SELECT * FROM logs WHERE {_complete(every)})"]
+    out = []
+    for j, (name, feats) in enumerate(models.items()):
+        tag, k = f"s{j}", len(feats)
+        more, coef = _fit_ctes(tag, feats, "smb")
+        places, pairs = f"range(1, {k + 1})", [(p, q) for p in range(1, k) for q in range(p + 1, k + 1)]
+        gram = "[" + ", ".join("[" + ", ".join(f"sum({x}::DOUBLE * {y})" for y in feats) + "]" for x in feats) + "]"
+        ctes += more + [f"""tq_{tag} AS (
+  SELECT 0 AS k, 1.96::DOUBLE AS t, dfr FROM fin_{tag}
+  UNION ALL
+  SELECT k + 1, t + ({_t_tail('t', 'dfr')} - 0.025) / (exp(lgamma((dfr + 1) / 2.0) - lgamma(dfr / 2.0)) / sqrt(pi() * dfr) * pow(1 + t * t / dfr, -(dfr + 1) / 2.0)), dfr
+  FROM tq_{tag} WHERE k < {NEWTON}),
+pairs_{tag} AS (SELECT {[list(x) for x in pairs]} AS pq),
+ja_{tag} AS (
+  SELECT 0 AS k, {gram} AS m FROM smb
+  UNION ALL
+  SELECT k + 1, [[CASE WHEN a = p THEN c * m[p][b] - s * m[q][b] WHEN a = q THEN s * m[p][b] + c * m[q][b] ELSE m[a][b] END FOR b IN {places}] FOR a IN {places}]
+  FROM (SELECT k, p, q, c, s, [[CASE WHEN b = p THEN c * m[a][p] - s * m[a][q] WHEN b = q THEN s * m[a][p] + c * m[a][q] ELSE m[a][b] END FOR b IN {places}] FOR a IN {places}] AS m
+    FROM (SELECT *, t * c AS s FROM (SELECT *, 1 / sqrt(1 + t * t) AS c FROM (
+      SELECT *, CASE WHEN m[p][q] = 0 THEN 0 WHEN tau < 0 THEN -1 / (sqrt(1 + tau * tau) - tau) ELSE 1 / (sqrt(1 + tau * tau) + tau) END AS t FROM (
+        SELECT *, (m[q][q] - m[p][p]) / (2 * CASE WHEN m[p][q] = 0 THEN 1 ELSE m[p][q] END) AS tau FROM (
+          SELECT k, m, pq[k % {len(pairs)} + 1][1] AS p, pq[k % {len(pairs)} + 1][2] AS q FROM ja_{tag}, pairs_{tag} WHERE k < {SWEEPS * len(pairs)}))))))),
+full_{tag} AS (SELECT f.*, c.*, tq.t AS tq, sqrt(list_max(ev) / list_min(ev)) AS cond FROM fin_{tag} f, {coef} c, (SELECT t FROM tq_{tag} WHERE k = {NEWTON}) tq,
+  (SELECT [m[a][a] FOR a IN {places}] AS ev FROM ja_{tag} WHERE k = {SWEEPS * len(pairs)}) e)"""]
+        rows = [("model", n, expr) for n, expr in [*_fit_rows(k), ("f_pvalue", _f_tail("f", str(k), "dfr")), ("cond_no", "cond")]]
+        for i, c in enumerate(feats):
+            b, se = f"b{i + 1}", f"sqrt(ssr / dfr / ssr{i})"
+            rows += [(c, "coef", b), (c, "std_err", se), (c, "t", f"{b} / {se}"), (c, "p_value", f"2 * {_t_tail(f'abs({b} / {se})', 'dfr')}"),
+                     (c, "ci_low", f"{b} - tq * {se}"), (c, "ci_high", f"{b} + tq * {se}")]
+        out += [f"SELECT '{name}' AS candidate, '{term}' AS term, '{stat}' AS stat, {O.r(expr)} AS value FROM full_{tag}" for term, stat, expr in rows]
+    return "WITH RECURSIVE " + A_LOG_SQL + ",\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(out)
+
+
+@register("ols_summary", _summary_sql())
+def q_ols_summary(spark, sf):
+    """REG8 + REG9: full no-intercept OLS summaries of the log study's baseline and its
+    five one-swap models, from one moments pass, one residual pass and one ranked pass."""
+    made = SM.ols_summary(spark, _summary_frame(spark, sf), _candidate_lists(), C.A_TARGET, order_cols=["key"])
+    return made.select("candidate", "term", "stat", _r("value"))

@@ -17,7 +17,7 @@ def test_registry_is_consistent():
     assert set(E.oracle_sql()) <= set(E.queries())
     qs, sqls = registry.queries(), registry.oracle_sql()
     assert set(qs) <= set(E.queries())
-    assert set(qs) - set(sqls) == {"ols_summary"}
+    assert set(qs) == set(sqls)
 
 
 def test_entry_smoke(spark):
