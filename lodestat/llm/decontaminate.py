@@ -16,15 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ENTRY_BYTES, LOWER, MEMO_BYTES, slices
+from .common import ENTRY_BYTES, LOWER, MEMO_BYTES, bitmap, slices, written
 
-#: Fixed masks: 1 counts, 0 is ignored.  Weight 7 each, span 11.
-MASKS = ("11101100101", "10110011011", "11010010111")
-SPAN = len(MASKS[0])
-FILTER_BITS = 1 << 25
+#: Fixed masks: 1 counts, 0 is ignored.  Wherever a fifth of 13 to 25 tokens lies changed,
+#: one of them hits (a greedy search over all masks of six tokens; the tests enumerate it).
+#: Of a longer stretch with four fifths equal, one of two halves of at least 13 has them too.
+MASKS = ("111111", "11101011", "11001000111", "1101000001101")
+SPAN = max(map(len, MASKS))
 MIN_TOKENS = 13
 SIMILARITY = 0.8
 SALTS = 16
+#: A table of seeds or items is broadcast up to this many bytes, else its rows are copied to
+#: ``SALTS`` parts and merged.
+BROADCAST_BYTES = 8 << 20
 _SIGNS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _CLEAN = bytes(32 if c in _SIGNS or c < 33 or c == 127 else LOWER[c] for c in range(256))
 
@@ -52,20 +56,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def seeds(code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, position) of every span that lies inside one text, for all masks; ``code``
     holds the texts' tokens one after another and ``ends`` where each text ends."""
-    n = len(code) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.arange(n)
-    inside = at + SPAN <= ends[np.searchsorted(ends, at, side="right")]
-    at = at[inside]
-    out = []
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    upto = ends[np.searchsorted(ends, np.arange(len(code)), side="right")] if len(code) else ends
     for k, mask in enumerate(MASKS):
+        n = len(code) - len(mask) + 1
+        if n <= 0:
+            continue
+        inside = np.arange(n) + len(mask) <= upto[:n]
         h = np.full(n, k + 1, np.uint64)
         for i, c in enumerate(mask):
             if c == "1":
                 h = h * np.uint64(0x100000001B3) + code[i : i + n]
-        out.append(_mix(h)[inside])
-    return np.concatenate(out), np.tile(at, len(MASKS))
+        hashes.append(_mix(h)[inside])
+        places.append(np.flatnonzero(inside))
+    return np.concatenate(hashes), np.concatenate(places)
 
 
 def whole_masks(n: int, similarity: float) -> list[np.ndarray]:
@@ -95,58 +99,38 @@ def whole_seeds(code: np.ndarray, ends: np.ndarray, n: int, similarity: float) -
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.tile(at[inside], len(masks))
 
 
-def bench_seeds(bench: DataFrame, item: str, text: str, least: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
-    """item_id, hash, j, and the item's tokens as codes; one row for each span and mask.
-    An item of fewer than ``least`` tokens has the hashes of its whole."""
+def bench_items(bench: DataFrame, item: str, text: str) -> DataFrame:
+    """ikey (hash of id and text), item_id, n_tokens, and the tokens as codes; one row for each
+    id and text."""
     def run(batches):
         known: dict[bytes, int] = {}
         for b in batches:
-            out = []
-            for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                code = codes(tokens(t), known)
-                ends = np.array([len(code)])
-                h, at = seeds(code, ends) if len(code) >= least else whole_seeds(code, ends, len(code), similarity)
-                if len(h):
-                    out.append(pa.RecordBatch.from_arrays(
-                        [pa.array([i] * len(h), pa.int64()), pa.array(h.astype(np.int64)), pa.array(at, pa.int32()),
-                         pa.array([code.astype("<u8").tobytes()] * len(h), pa.binary())], names=["item_id", "h", "j", "code"]))
-            yield from out
+            for i in range(b.num_rows):  # an item may be long
+                row = b.slice(i, 1)
+                code = codes(tokens(row.column("text")[0].as_py()), known)
+                yield pa.RecordBatch.from_arrays([row.column("ikey"), row.column("item_id"), pa.array([len(code)], pa.int64()), pa.array([code.astype("<u8").tobytes()], pa.binary())],
+                                                 names=["ikey", "item_id", "n_tokens", "code"])
+                known.clear()
 
     rows = bench.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "item_id long, h long, j int, code binary")
+    rows = rows.distinct().select(F.xxhash64("item_id", "text").alias("ikey"), "item_id", "text")
+    return rows.mapInArrow(run, "ikey long, item_id long, n_tokens long, code binary")
 
 
-def filter_bits(hashes: DataFrame) -> bytes:
-    """A bit for each residue of a hash modulo ``FILTER_BITS``: of fixed size, whatever
-    the benchmark's.  It only spares the join; hits are joined by the whole hash."""
+def bench_seeds(items: DataFrame, least: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
+    """ikey, h, j: one row for each span and mask.  An item of fewer than ``least`` tokens has
+    the hashes of its whole."""
     def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
         for b in batches:
-            bits[b.column("h").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)] = True
-        where = np.flatnonzero(np.packbits(bits))
-        packed = np.packbits(bits)[where]
-        for i in range(0, len(where), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(where[i : i + 100_000], pa.int32()), pa.array(packed[i : i + 100_000].astype(np.int32))], names=["at", "bits"])
-
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in hashes.select("h").mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        bits[r["at"]] = r["bits"]
-    return bits.tobytes()
-
-
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int]:
-    """The best stretch of the diagonal on which doc[shift + j] lies over item[j]:
-    (first token in the document, length, equal tokens).  It is the stretch of largest
-    sum of 1 for an equal and similarity / (similarity - 1) for a different token, so
-    whatever is added at either end would have fewer equal tokens than ``similarity``;
-    ties go to the first."""
-    a, b = max(0, -shift), min(len(item), len(doc) - shift)
-    same = doc[a + shift : b + shift] == item[a:b]
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -similarity / (1 - similarity)))])
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    first = int(np.flatnonzero(total[: end + 1] == low[end])[0])
-    return a + shift + first, end - first, int(same[first:end].sum())
+            for key, raw in zip(b.column("ikey").to_pylist(), b.column("code").to_pylist(), strict=True):
+                code = np.frombuffer(raw, "<u8")
+                ends = np.array([len(code)])
+                h, at = seeds(code, ends) if len(code) >= least else whole_seeds(code, ends, len(code), similarity)
+                for i in range(0, len(h), 100_000):
+                    part = h[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(part.astype(np.int64)), pa.array(at[i : i + 100_000].astype(np.int32))], names=["ikey", "h", "j"])
+
+    return items.select("ikey", "code").mapInArrow(run, "ikey long, h long, j int")
 
 
 def longest_alike(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int]:
@@ -169,6 +153,16 @@ def longest_alike(doc: np.ndarray, item: np.ndarray, shift: int, similarity: flo
     return a + shift + int(first[k]), n, int(equal[k])
 
 
+def _spread_join(many: DataFrame, table: DataFrame, key: str, spread: tuple[str, ...], volume: int) -> DataFrame:
+    """Joins rows with a table of ``volume`` bytes by a key that a third of the rows may have:
+    the table is broadcast if it is small, else its rows are copied and the others dealt out
+    over the copies by a salt."""
+    if volume <= BROADCAST_BYTES:
+        return many.join(F.broadcast(table), key)
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS))).join(copies.hint("merge"), [key, "salt"]).drop("salt")
+
+
 FOUND = ("doc_id", "item_id", "first_token", "n_tokens", "n_equal")
 
 
@@ -178,72 +172,81 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     longest overlap of at least ``min_tokens`` tokens (all of an item that has fewer, or
     fewer than a seed's span) with at least ``similarity`` of them equal.
 
-    Null texts overlap nothing; short items are hashed whole by their length, and only the
-    lengths that the benchmark has are looked for in documents; repeated rows of a document are found under the same id, once.  Whole
-    texts: a document's spans are hashed as it is read, only spans that pass the fixed
-    bitmap of benchmark hashes are joined, and a hash's document side is salted, since a
-    passage may be that of a third of all documents.  The document's tokens on the hit's
-    diagonal travel with the hit, so no text is read twice."""
-    from .common import written
+    Null texts overlap nothing; repeated rows of a document are found under the same id,
+    once; empty tables give no rows; other columns are not read.  Short items are hashed
+    whole by their length, and only the lengths that the benchmark has are looked for.
 
+    Whole texts.  The first scan hashes the documents' spans; those that pass a bitmap of the
+    benchmark's hashes (sized by their number, bounded) are joined with them as numbers
+    alone, salted, since a passage may be that of a third of all documents.  What is left
+    are the diagonals on which an item lies over a document.  The second scan takes the
+    tokens of the documents that have one; a diagonal gets the document's tokens below the
+    item, and the item's, once."""
     spark = docs.sparkSession
     least = max(min_tokens, SPAN)
-    seeded = written(bench_seeds(bench, item_id, item_text, least, similarity), "bench-seeds")
-    size = F.octet_length("code") / 8
-    short = sorted(int(r[0]) for r in seeded.filter(size < least).select(size).distinct().collect())  # fewer than ``least`` lengths
-    bits = spark.sparkContext.broadcast(filter_bits(seeded))
-    longest = seeded.agg(F.max(F.octet_length("code"))).first()[0]
-    reach = (longest or 0) // 8  # tokens on either side of a hit that an item can cover
+    items = written(bench_items(bench, item_id, item_text), "bench-items")
+    seeded = written(bench_seeds(items, least, similarity), "bench-seeds")
+    short = sorted(r[0] for r in items.filter(F.col("n_tokens").between(1, least - 1)).select("n_tokens").distinct().collect())  # fewer than ``least``
+    bits = spark.sparkContext.broadcast(bitmap(seeded))
+    rows = docs.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("dkey"), "doc_id", "text")
 
-    def hits(batches):
+    def coded(batches):
+        """(rows, their tokens' codes one after another, where each row's end)."""
         known: dict[bytes, int] = {}
-        marks = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             for part in slices(batch, "text"):
-                if len(known) * ENTRY_BYTES + sum(map(len, known)) > MEMO_BYTES:
+                if len(known) * ENTRY_BYTES > MEMO_BYTES:
                     known.clear()
                 words = [tokens(t) for t in part.column("text").to_pylist()]
-                ids = part.column("doc_id").to_pylist()
-                code = codes([w for ws in words for w in ws], known)
-                ends = np.cumsum([len(w) for w in words])
-                found = []
-                for n in (0, *short):
-                    h, at = whole_seeds(code, ends, n, similarity) if n else seeds(code, ends)
-                    slot = h % np.uint64(FILTER_BITS)
-                    hit = (marks[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
-                    found.append((h[hit], at[hit], np.full(int(hit.sum()), n)))
-                h, at, runs = map(np.concatenate, zip(*found, strict=True))
-                for i in range(0, len(h), 2000):
-                    rows = []
-                    for x, p, n in zip(h[i : i + 2000].astype(np.int64).tolist(), at[i : i + 2000].tolist(), runs[i : i + 2000].tolist(), strict=True):
-                        d = int(np.searchsorted(ends, p, side="right"))
-                        first = int(ends[d]) - len(words[d])
-                        a, b = (p, p + n) if n else (max(first, p - reach), min(int(ends[d]), p + reach))
-                        rows.append((ids[d], x, p - first, a - first, code[a:b].astype("<u8").tobytes()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                        names=["doc_id", "h", "i", "at", "window"])
+                yield part, codes([w for ws in words for w in ws], known), np.cumsum([len(w) for w in words])
+
+    def hits(batches):
+        for part, code, ends in coded(batches):
+            keys = part.column("dkey").to_numpy()
+            for n in (0, *short):
+                h, at = whole_seeds(code, ends, n, similarity) if n else seeds(code, ends)
+                hit = bits.value.has(h)
+                h, at = h[hit], at[hit]
+                if len(h):
+                    d = np.searchsorted(ends, at, side="right")
+                    first = np.concatenate([[0], ends])[d]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[d]), pa.array(h.astype(np.int64)), pa.array((at - first).astype(np.int32))], names=["dkey", "h", "i"])
+
+    found = _spread_join(rows.select("dkey", "text").mapInArrow(hits, "dkey long, h long, i int"), seeded, "h", ("dkey", "i"), 20 * seeded.count())
+    # one hit of a document on an item's diagonal is enough to verify it
+    diagonals = written(found.select("dkey", "ikey", (F.col("i") - F.col("j")).alias("shift")).distinct(), "bench-diagonals")
+    wanted = spark.sparkContext.broadcast(bitmap(diagonals.select(F.col("dkey").alias("h")).distinct()))
+
+    def take(batches):
+        def some(batches):
+            for b in batches:
+                kept = b.filter(pa.array(wanted.value.has(b.column("dkey").to_numpy().view(np.uint64))))
+                if kept.num_rows:
+                    yield kept
+
+        for part, code, ends in coded(some(batches)):
+            first = 0
+            for i, end in enumerate(ends.tolist()):  # a document may be long
+                yield pa.RecordBatch.from_arrays([part.column("dkey").slice(i, 1), part.column("doc_id").slice(i, 1), pa.array([code[first:end].astype("<u8").tobytes()], pa.binary())],
+                                                 names=["dkey", "doc_id", "tokens"])
+                first = end
 
     def verify(batches):
         for b in batches:
-            out = []
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 item, window = np.frombuffer(r["code"], "<u8"), np.frombuffer(r["window"], "<u8")
-                first, n, equal = longest_alike(window, item, r["i"] - r["at"] - r["j"], similarity)
+                first, n, equal = longest_alike(window, item, min(r["shift"], 0), similarity)
                 if n >= (min_tokens if len(item) >= least else len(item)):
-                    out.append((r["doc_id"], r["item_id"], r["at"] + first, n, equal))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(FOUND))
-
-    rows = docs.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = rows.mapInArrow(hits, "doc_id long, h long, i int, at int, window binary").withColumn("salt", F.pmod(F.xxhash64("doc_id", "i"), F.lit(SALTS)))
-    salted = seeded.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    # one hit of a document on an item's diagonal is enough to verify it
-    on = found.join(salted, ["h", "salt"])
-    one = on.groupBy("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).agg(
-        *[F.min_by(c, F.struct("i", "h")).alias(c) for c in ("i", "at", "window", "j", "code")])
-    seen = one.select("doc_id", "item_id", "i", "at", "window", "j", "code").mapInArrow(verify, "doc_id long, item_id long, first_token int, n_tokens int, n_equal int")
+                    out = (r["doc_id"], r["item_id"], max(r["shift"], 0) + first, n, equal)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=list(FOUND))
+
+    own = rows.mapInArrow(take, "dkey long, doc_id long, tokens binary").dropDuplicates(["dkey"])
+    volume = items.agg(F.sum(F.octet_length("code") + 24)).first()[0] or 0
+    laid = _spread_join(diagonals, items, "ikey", ("dkey", "shift"), volume).join(own, "dkey")
+    below = F.substring("tokens", 8 * F.greatest("shift", F.lit(0)) + 1, 8 * (F.col("n_tokens") + F.least("shift", F.lit(0))).cast("int"))
+    seen = laid.select("doc_id", "item_id", "shift", "code", below.alias("window")).mapInArrow(verify, "doc_id long, item_id long, first_token int, n_tokens int, n_equal int")
     best = F.max(F.struct(F.col("n_tokens").alias("n"), F.col("n_equal").alias("e"), (-F.col("first_token")).alias("f")))
     return seen.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
         "doc_id", "item_id", (-F.col("best.f")).alias("first_token"), F.col("best.n").alias("n_tokens"), F.col("best.e").alias("n_equal"))

@@ -8,8 +8,11 @@ whose spans hold most letters.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +66,14 @@ def letters_and_grams(words: list[str]):
     return points[inner], of[inner], buckets, owners
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    import re
+#: A letter and the letters and marks after it (Unicode categories L and M).
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+PLAIN = re.compile(r"[a-z]+")
 
-    return re.findall(r"[^\W\d_]+", text.lower())
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters with their marks, lower-cased."""
+    return (PLAIN if text.isascii() else WORDS).findall(text.lower())
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE_DOCS) -> dict:
@@ -197,7 +203,9 @@ def identify(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, t
 
     lang_pred: the language whose spans hold most letters (ties: first by name); ``und``
     if the text is null or has no letter, or nothing was learned.  score: those spans'
-    share of the letters, 0 for ``und``.  Whole texts; texts are independent."""
+    share of the letters, 0 for ``und``.  Whole texts; rows are independent, repeated rows
+    give repeated results, an empty table none; only the named columns are read, and columns
+    of ``keep`` may have any name but lang_pred, score and spans."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -9,7 +9,7 @@ suffix of what precedes it.
 
 Words and (context, next word) pairs are known by 64-bit hashes: of a billion distinct
 ones about 0.03 pairs are expected to collide.  Contexts grow with the corpus as counts
-do, so both are written tables that are only ever joined; tasks have a bitmap of fixed
+do, so both are written tables that are only ever joined; tasks have a bitmap of bounded
 size for each level, which spares rows and decides nothing.
 """
 
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import LOWER, slices, written
-from .decontaminate import FILTER_BITS, filter_bits
+from .common import ENTRY_BYTES, LOWER, MEMO_BYTES, Bitmap, bitmap, slices, written
 
 DEPTH = 4
 SUPPORT = 32
@@ -70,7 +69,7 @@ class Words(dict):
         return np.array(self.codes, np.uint64)
 
 
-def contexts(word: np.ndarray, end: np.uint64, levels: list[bytes]):
+def contexts(word: np.ndarray, end: np.uint64, levels: list[Bitmap]):
     """For each level (a bitmap of context hashes) the positions whose preceding words may
     be such a context, and their context's hash.  Contexts do not reach over a text's end."""
     at, held = np.arange(len(word)), np.full(len(word), _ROOT)
@@ -78,15 +77,13 @@ def contexts(word: np.ndarray, end: np.uint64, levels: list[bytes]):
         at, held = at[at >= d], held[at >= d]
         before = word[at - d]
         held = mix(held, before)
-        slot = held % np.uint64(FILTER_BITS)
-        mark = np.frombuffer(bits, np.uint8)[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)
-        good = (mark & 1 == 1) & (before != end)
+        good = bits.has(held) & (before != end)
         at, held = at[good], held[good]
         yield at, held
 
 
-def _bits(contexts: DataFrame) -> bytes:
-    return filter_bits(contexts.select(F.col("context").alias("h")))
+def _bits(contexts: DataFrame) -> Bitmap:
+    return bitmap(contexts, "context")
 
 
 def _sum(keys: list[np.ndarray], counts: list[np.ndarray]):
@@ -115,7 +112,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 more = np.bincount(at, minlength=len(words))
                 more[: len(total)] += total
                 total = more
-                if len(words) > 1_000_000:
+                if len(words) * ENTRY_BYTES > MEMO_BYTES:
                     yield from out()
                     words, total = Words(), np.zeros(0, np.int64)
         if len(words):
@@ -124,7 +121,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def count_next(texts: DataFrame, levels: list[bytes], longer: bool) -> DataFrame:
+def count_next(texts: DataFrame, levels: list[Bitmap], longer: bool) -> DataFrame:
     """For the last level's contexts: key (hash of context and next word), context, parent
     (hash of the context's suffix and the word), suffix, n.  With ``longer`` also a row with
     null parent for each context one word longer: it as key, its suffix as context, n."""
@@ -148,7 +145,7 @@ def count_next(texts: DataFrame, levels: list[bytes], longer: bool) -> DataFrame
 
         for b in batches:
             for part in slices(b, "text"):
-                if len(words) > 1_000_000:
+                if len(words) * ENTRY_BYTES > MEMO_BYTES:
                     words = Words()
                 at, _ = words.stream(part.column("text").to_pylist())
                 word = words.hashes()[at]
@@ -194,7 +191,7 @@ def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, support: int
     root = int(np.array([_ROOT]).view(np.int64)[0])
     shorter = docs.sparkSession.createDataFrame([(root, total)], "context long, c long")
     below = counts.select("key", "n")
-    levels: list[bytes] = []
+    levels: list[Bitmap] = []
     candidates: list[DataFrame] = []
     grams: list[DataFrame] = []
     while len(levels) < depth and not frequent.isEmpty():

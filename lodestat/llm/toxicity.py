@@ -3,9 +3,10 @@
 A lexical transducer maps words to the classes insult, threat, target, negation and
 report; its insult entries are fixed seeds and words and stems (a prefix and any ending)
 that the labelled rows teach, each with a weight.  Over the classes of one clause a
-finite-state machine composes the readings: an insult or a threat, aimed at a target or
-not, negated or reported or not.  A text's score is a logistic function of the weights
-of its matched clauses; words outside a matched clause count nothing.
+bimachine composes small transducers with a scope each: a target is near, a negation stands
+shortly before, reported speech opens before or follows at once.  Its readings are an insult
+or a threat, aimed or not, negated or not, reported or not.  A text's score is a logistic
+function of the weights of its matched clauses; words outside a matched clause count nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ SEEDS = {
 }
 CLASSES = ("insult", "threat", "target", "negation", "report")
 SENTENCE = re.compile(rb"[.!?;\n]+")
-WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+#: Letters and digits, with apostrophes between them.
+WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+(?:'[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+)*")
+_APOSTROPHE = "\u2019".encode()
 STEMS = range(4, 9)
 SAMPLE_DOCS = 6000
 LEAST_DOCS = 3
@@ -37,22 +40,56 @@ LEAST_SHARE = 0.005
 PSEUDO = 1.0
 LEAST_LOG_ODDS = 3.0
 
-#: The clause machine: state -> class -> next state.  A state is what the clause has shown so
-#: far (bits); the arc of an insult or threat emits the reading that its state gives it.
 TARGET, NEGATED, REPORTED = 1, 2, 4
-ARCS = {"target": TARGET, "negation": NEGATED, "report": REPORTED}
 READINGS = [(kind, state) for kind in ("insult", "threat") for state in range(8)]
 
+#: Transducers over a clause's classes: what opens a scope, what ends it, for how many words it
+#: lasts (None: to the clause's end), and what an insult or threat inside it reads.  The first
+#: run from left to right, the second from right to left.
+FORWARD = (("target", None, 4, TARGET), ("negation", "report", 3, NEGATED), ("report", None, None, REPORTED))
+BACKWARD = (("target", None, 3, TARGET), ("report", None, 2, REPORTED))
 
-def clause_readings(classes: list[str]) -> list[tuple[str, int]]:
-    """Composes the machine over a clause: the reading of each insult or threat.
 
-    Target, negation and report may come before or after the insult ("you idiot", "idiot
-    that you are"), so the state is that of the whole clause."""
-    state = 0
-    for c in classes:
-        state |= ARCS.get(c, 0)
-    return [(c, state) for c in classes if c in ("insult", "threat")]
+class Machine:
+    """The product of some transducers, its table filled as states are met."""
+
+    def __init__(self, transducers):
+        self.transducers = transducers
+        self.start = (0,) * len(transducers)
+        self.next: dict[tuple, dict] = {}
+
+    def _step(self, state: tuple[int, ...], symbol: str | None) -> tuple[tuple[int, ...], int]:
+        """The next state, and the reading that the state gives a word."""
+        out, reading = [], 0
+        for left, (opens, ends, reach, mark) in zip(state, self.transducers, strict=True):
+            reading |= mark if left else 0
+            if symbol == opens:
+                out.append(1 if reach is None else reach)
+            elif symbol is not None and symbol == ends:
+                out.append(0)
+            else:
+                out.append(left if reach is None else max(left - 1, 0))
+        return tuple(out), reading
+
+    def run(self, classes) -> list[int]:
+        """The reading at each place."""
+        state, out = self.start, []
+        for c in classes:
+            table = self.next.setdefault(state, {})
+            if c not in table:
+                table[c] = self._step(state, c)
+            state, reading = table[c]
+            out.append(reading)
+        return out
+
+
+_FORWARD, _BACKWARD = Machine(FORWARD), Machine(BACKWARD)
+
+
+def clause_readings(classes: list[str | None]) -> list[tuple[str, int]]:
+    """The reading of each insult or threat of a clause; None stands for any other word."""
+    before, after = _FORWARD.run(classes), _BACKWARD.run(classes[::-1])[::-1]
+    return [(c, before[i] | after[i]) for i, c in enumerate(classes) if c in ("insult", "threat")]
 
 
 class Lexicon:
@@ -74,6 +111,18 @@ class Lexicon:
         return self.known[word]
 
 
+def words_of(raw: bytes, lexicon: Lexicon) -> list[bytes]:
+    """The words; one with an apostrophe is whole if the lexicon has it so, else its parts."""
+    out = []
+    for w in WORD.findall(raw):
+        out += [w] if b"'" not in w or w in lexicon.words else w.split(b"'")
+    return out
+
+
+def lowered(text: str) -> bytes:
+    return text.encode().translate(LOWER).replace(_APOSTROPHE, b"'")
+
+
 def seed_words() -> dict[bytes, tuple[str, float]]:
     return {w.encode(): (c, 1.0) for c in CLASSES for w in SEEDS[c].split()}
 
@@ -82,14 +131,14 @@ def clauses(text: str, lexicon: Lexicon) -> list[tuple[list[tuple[str, int]], fl
     """The matched clauses: their readings and the weight of their insults and threats.
 
     Clauses end at . ! ? ; or a line's end."""
-    raw = text.encode().translate(LOWER)
-    if not any((e := lexicon(w)) and e[0] in ("insult", "threat") for w in set(WORD.findall(raw))):
+    raw = lowered(text)
+    if not any((e := lexicon(w)) and e[0] in ("insult", "threat") for w in set(words_of(raw, lexicon))):
         return []
     out = []
     for clause in SENTENCE.split(raw):
-        entries = [e for w in WORD.findall(clause) if (e := lexicon(w))]
-        if readings := clause_readings([c for c, _ in entries]):
-            out.append((readings, sum(x for c, x in entries if c in ("insult", "threat"))))
+        entries = [lexicon(w) for w in words_of(clause, lexicon)]
+        if readings := clause_readings([e and e[0] for e in entries]):
+            out.append((readings, sum(e[1] for e in entries if e and e[0] in ("insult", "threat"))))
     return out
 
 
@@ -143,10 +192,10 @@ def train(sample: DataFrame) -> dict:
     def count(batches):
         from collections import Counter, defaultdict
 
-        seen = defaultdict(Counter)
+        seen, seeds = defaultdict(Counter), Lexicon(seed_words(), {})
         for b in batches:
             for t, y, k in zip(*(b.column(c).to_pylist() for c in ("text", "y", "fold")), strict=True):
-                words = set(WORD.findall(t.encode().translate(LOWER)))
+                words = set(words_of(lowered(t), seeds))
                 seen[k, y].update({w + b"$" for w in words} | {w[:n] for w in words for n in STEMS if len(w) >= n})
         for (k, y), entries in seen.items():
             names = list(entries)
@@ -188,17 +237,25 @@ def _entries(names: list[bytes], n: np.ndarray, sizes: np.ndarray):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; more evidence never lowers a score."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    penalty = np.diag([ridge] * x.shape[1] + [1e-3])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T * (p * (1 - p)) @ z + penalty, z.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return np.maximum(w[:-1], 0), float(w[-1])
+    """Ridge logistic regression by Newton steps with weights of at least zero, so that more
+    evidence never lowers a score: what comes out negative is left out and the rest is fitted
+    again."""
+    used = list(range(x.shape[1]))
+    while True:
+        z = np.hstack([x[:, used], np.ones((len(x), 1))])
+        w = np.zeros(z.shape[1])
+        penalty = np.diag([ridge] * len(used) + [1e-3])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve(z.T * (p * (1 - p)) @ z + penalty, z.T @ (y - p) - penalty @ w)
+            w += step
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[:-1] >= 0).all():
+            out = np.zeros(x.shape[1])
+            out[used] = w[:-1]
+            return out, float(w[-1])
+        used = [c for c, v in zip(used, w[:-1], strict=True) if v >= 0]
 
 
 def score(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, text: str = "text", spans: bool = False) -> DataFrame:

@@ -178,10 +178,34 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
 
 
-def test_overlap_is_the_best_stretch():
-    doc, item = np.array([9, 1, 2, 3, 9, 5, 6, 8], np.uint64), np.array([1, 2, 3, 4, 5, 6, 7], np.uint64)
-    assert decontaminate.overlap(doc, item, 1, 0.5) == (1, 6, 5)
-    assert decontaminate.overlap(doc, item, 1, 0.9) == (1, 3, 3)
+def test_masks_hit_wherever_a_fifth_is_changed():
+    from itertools import combinations
+
+    masks = [(sum(1 << i for i, c in enumerate(m) if c == "1"), len(m)) for m in decontaminate.MASKS]
+    for n in range(13, 26):  # of a longer stretch, a half of at least 13 has four fifths too
+        changed = np.array([sum(1 << p for p in c) for c in combinations(range(n), n // 5)], np.int64)
+        hit = np.zeros(len(changed), bool)
+        for mask, span in masks:
+            for at in range(n - span + 1):
+                hit |= changed & (mask << at) == 0
+        assert hit.all(), n
+
+
+@pytest.mark.parametrize(("n", "changed"), [(13, (3, 9)), (13, (0, 12)), (15, (4, 7, 10)), (20, (4, 8, 11, 15)), (25, (4, 9, 14, 15, 20))])
+def test_short_overlaps_are_found(spark, n, changed):
+    item = [f"i{k}" for k in range(n)]
+    text = [f"x{k}" if k in changed else w for k, w in enumerate(item)]
+    docs = frame(spark, [(1, " ".join(["before"] * 9 + text + ["after"] * 9)), (2, " ".join(["before"] * 40))])
+    made = decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [tuple(r) for r in made] == [(1, 1, 9, n, n - len(changed))]
+
+
+def test_items_and_documents_of_any_length(spark):
+    words = [f"w{i}" for i in range(100_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[500:540]))], "item_id long, text string")
+    docs = frame(spark, [(1, "two words"), (2, " ".join(words[70_000:70_050])), (3, " ".join(["x"] * 5 + words + ["y"] * 5)), (4, " ".join(["z"] * 50_000))])
+    made = {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {(d, i) for d, i, *_ in made} == {(2, 1), (3, 1), (3, 2)} and all(5 * e >= 4 * n for *_, n, e in made)
 
 
 def test_longest_stretch_against_brute_force():
@@ -301,6 +325,47 @@ def test_toxicity_learns_words_and_stems(spark):
     assert 0 <= toxicity.score(docs.limit(1), nothing).first()["score"] < 0.3
 
 
+def test_composed_transducers_against_their_scopes():
+    from itertools import product
+
+    symbols = ("insult", "target", "negation", "report", None)
+    for n in range(1, 7):
+        for line in product(symbols, repeat=n):
+            want = []
+            for i, c in enumerate(line):
+                if c != "insult":
+                    continue
+                before = {k: [i - j for j in range(i) if line[j] == k] for k in symbols[1:4]}
+                negated = any(d <= 3 and not any(r < d for r in before["report"]) for d in before["negation"])
+                aimed = any(d <= 4 for d in before["target"]) or "target" in line[i + 1 : i + 4]
+                reported = bool(before["report"]) or "report" in line[i + 1 : i + 3]
+                want.append((c, toxicity.TARGET * aimed | toxicity.NEGATED * negated | toxicity.REPORTED * reported))
+            assert toxicity.clause_readings(list(line)) == want, line
+
+
+def test_apostrophes_belong_to_words():
+    lexicon = toxicity.Lexicon(toxicity.seed_words(), {})
+    read = lambda t: [r for c, _ in toxicity.clauses(t, lexicon) for r in c]
+    aimed = toxicity.TARGET
+    assert read("you aren't an idiot") == read("you aren\u2019t an idiot") == [("insult", aimed | toxicity.NEGATED)]
+    assert read("l'idiot") == [("insult", 0)] and read("you idiot you said not") == [("insult", aimed | toxicity.REPORTED)]
+
+
+def test_weights_are_fitted_again_without_negative_ones():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (400, 3)).astype(float)
+    y = (x[:, 0] - x[:, 1] + rng.normal(0, 0.3, 400) > 0.5).astype(float)
+    weights, bias = toxicity._logistic(x, y)
+    assert weights[1] == 0 and weights[0] > 1
+    again, least = toxicity._logistic(x[:, [0, 2]], y)
+    assert np.allclose(weights[[0, 2]], again) and np.isclose(bias, least)
+
+
+def test_words_are_letters_and_their_marks():
+    assert langid.words_of("½ ² ① 12 _") == [] and langid.words_of("हिन्दी भाषा x2y") == ["हिन्दी", "भाषा", "x", "y"]
+    assert langid.words_of("Don't É\u0301a") == ["don", "t", "é\u0301a"] and langid.words_of("\u0301") == []
+
+
 def test_clause_readings():
     lexicon = toxicity.Lexicon(toxicity.seed_words(), {})
     read = lambda t: [r for c, _ in toxicity.clauses(t, lexicon) for r in c]
