@@ -134,9 +134,9 @@ def test_ols_summary_against_spark_ml(spark):
     assert v["model"]["r2"] == pytest.approx(1 - (e ** 2).sum() / (pdf.y ** 2).sum(), rel=1e-9)
 
 
-def test_kde_windowed_rows_match_full_sum(spark):
-    # heavy tail: the bandwidth is small against the range, so each row meets
-    # only the grid points within the cut; sums must equal the full ones
+def test_kde_cells_match_full_sum(spark):
+    # heavy tail: the bandwidth is small against the range, so a cell meets only the
+    # grid points within the cut; sums must equal the full ones to a rounding of one row's kernel
     rng = np.random.default_rng(11)
     x = rng.lognormal(0, 3, 5000)
     h = len(x) ** -0.2 * x.std(ddof=1)
@@ -146,7 +146,10 @@ def test_kde_windowed_rows_match_full_sum(spark):
     grid = np.linspace(x.min(), x.max(), 200)
     dens = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
     assert len(k) == 200
-    assert np.allclose(k.density.to_numpy(), dens, rtol=1e-9, atol=1e-300)
+    assert np.allclose(k.density.to_numpy(), dens, rtol=1e-12, atol=1e-15 / h)
+    plan = DG.kde_curve(df, "v", by=["g"], grid=200, bins=30)._jdf.queryExecution().optimizedPlan().toString()
+    above_cells = plan[: plan.index("__cell")] if "__cell" in plan else plan
+    assert plan.count("Generate") == 2 and "Generate" in above_cells  # the grid and the cells, no rows
 
 
 def test_durbin_watson_groups_spanning_partitions(spark):
