@@ -12,10 +12,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import slices, written
 
@@ -163,26 +167,38 @@ def align(a: tuple, b: tuple) -> tuple:
     while tail < min(n, m) - lead and a[n - 1 - tail] == b[m - 1 - tail]:
         tail += 1
     x, y = a[lead : n - tail], b[lead : m - tail]
-    cost = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            cost[i][j] = max(cost[i + 1][j], cost[i][j + 1], 2 + cost[i + 1][j + 1] if unify(x[i], y[j]) is not None else 0)
-    out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        both = unify(x[i], y[j])
+    # an item whose first token the other side has not can have no partner
+    heads = [_head(v) for v in x], [_head(v) for v in y]
+    common = set(heads[0]) & set(heads[1])
+    own, other = ([i for i, h in enumerate(hs) if h in common] for hs in heads)
+    cost = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
+    for i in range(len(own) - 1, -1, -1):
+        u, row, below = x[own[i]], cost[i], cost[i + 1]
+        for j in range(len(other) - 1, -1, -1):
+            v = y[other[j]]
+            fits = u == v or not (type(u) is str and type(v) is str) and unify(u, v) is not None
+            row[j] = max(below[j], row[j + 1], 2 + below[j + 1] if fits else 0)
+    out, i, j, p, q = [], 0, 0, 0, 0
+    while i < len(own) and j < len(other):
+        both = unify(x[own[i]], y[other[j]])
         if both is not None and cost[i][j] == 2 + cost[i + 1][j + 1]:
+            out += [optional(z) for z in (*x[p : own[i]], *y[q : other[j]])]
             out.append(both)
-            i, j = i + 1, j + 1
+            p, q, i, j = own[i] + 1, other[j] + 1, i + 1, j + 1
         elif cost[i + 1][j] >= cost[i][j + 1]:
-            out.append(optional(x[i]))
             i += 1
         else:
-            out.append(optional(y[j]))
             j += 1
-    out += [optional(z) for z in (*x[i:], *y[j:])]
+    out += [optional(z) for z in (*x[p:], *y[q:])]
     return a[:lead] + tuple(_merge_optionals(out)) + a[n - tail :]
 
 
+def _head(item) -> str:
+    while type(item) is tuple:
+        item = item[1][0]
+    return item
+
+
 def optional(item):
     return item if type(item) is tuple and item[0] == "?" else ("?", (item,))
 
@@ -255,6 +271,19 @@ def is_main(token: str) -> bool:
     return by_name and name in ("div", "section", "td")
 
 
+def places(steps: list[int]) -> list[tuple[int, int]]:
+    """Two names of each slot: its step and which one of the step's texts it is on the page,
+    counted from the first (above zero) and from the last (below), as a repeated group
+    has one step for all its texts."""
+    many = Counter(steps)
+    seen: Counter = Counter()
+    out = []
+    for step in steps:
+        seen[step] += 1
+        out.append(((step << 24) + seen[step], -((step << 24) + many[step] + 1 - seen[step])))
+    return out
+
+
 class Matcher:
     """A wrapper as an automaton over tokens, with the role of each step.
 
@@ -314,8 +343,9 @@ class Matcher:
             out.append(state)
         return out[::-1]
 
-    def blocks(self, tokens: list[str], texts: list[list[str]]) -> list[str] | None:
-        """The main blocks of a page in page order, or None if it is not accepted."""
+    def blocks(self, tokens: list[str], texts: list[list[str]], template=frozenset()) -> list[str] | None:
+        """The main blocks of a page in page order, or None if it is not accepted.  On a page
+        without a marked main region the texts at places of ``template`` are none, if others are."""
         path = self.path(tokens)
         if path is None:
             return None
@@ -336,8 +366,11 @@ class Matcher:
             elif kind == ">" and any(s[0] == name for s in stack):
                 while stack.pop()[0] != name:
                     pass
-        found = (_SPACE.sub(" ", "".join(x)).strip() for x, (clear, region) in zip(texts, slots, strict=True) if clear and (region or not marked))
-        return [x for x in found if x]
+        steps = [step for step in path if self.roles[step][0] == "#"]
+        lines = [_SPACE.sub(" ", "".join(x)).strip() for x in texts]
+        found = [(x, at) for x, at, (clear, region) in zip(lines, places(steps), slots, strict=True) if x and clear and (region or not marked)]
+        data = found if marked or not template else [(x, at) for x, at in found if template.isdisjoint(at)]
+        return [x for x, _ in data or found]
 
 
 def _encode(wrapper) -> str:
@@ -353,19 +386,104 @@ def _decode(text: str):
     return tuples(json.loads(text))
 
 
+#: A slot is template if its text is the same on at least half of a host's pages without a
+#: marked main region, of which there are so many different ones.
+LEAST_PAGES, TEMPLATE_SHARE = 3, 0.5
+#: Bytes of token streams that a task holds before it passes them on.
+STREAM_BYTES = 8 << 20
+_PARTIAL = "host string, wrapper string, stream string, n long, low array<long>, high array<long>, pages array<long>"
+
+
+class _Slots:
+    """The texts in the slots of one host's token stream: least and greatest hash of each,
+    number of pages, and the hashes of the pages."""
+
+    def __init__(self, size: int):
+        self.n, self.low, self.high, self.pages = 0, np.full(size, 2**63 - 1), np.full(size, -(2**63)), set()
+
+    def add(self, page: str, texts: list[list[str]]):
+        import xxhash
+
+        h = np.array([xxhash.xxh64_intdigest(_SPACE.sub(" ", "".join(x)).strip()) for x in texts], np.uint64).view(np.int64)
+        self.n += 1
+        self.low, self.high = np.minimum(self.low, h), np.maximum(self.high, h)
+        self.pages.add(int(np.uint64(xxhash.xxh64_intdigest(page)).astype(np.int64)))
+
+
+def templates(partial: DataFrame, found: DataFrame) -> DataFrame:
+    """host and the places (see ``places``) of its wrapper whose text is template.  ``partial`` has the text slots
+    of the pages without a marked main region, stream by stream; a stream's path through
+    the wrapper says which step each slot is, so slots of different streams meet."""
+    own = partial.filter(F.col("stream").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("stream", "low"), F.lit(SALTS)))
+    many = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    laid = own.drop("wrapper").join(many, ["host", "salt"]).select("host", "wrapper", "stream", "n", "low", "high")
+
+    def steps(batches):
+        known: dict[str, Matcher] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                if r["wrapper"] not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[r["wrapper"]] = Matcher(_decode(r["wrapper"]))
+                path = known[r["wrapper"]].path(r["stream"].split("\x00"))
+                if path is None:
+                    continue
+                at = places([step for step in path if known[r["wrapper"]].roles[step][0] == "#"])
+                if at:
+                    both = [x for one in at for x in one]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["host"]] * len(both)), pa.array(both, pa.int64()), pa.array([r["n"]] * len(both), pa.int64()),
+                                                      pa.array(np.repeat(r["low"], 2)), pa.array(np.repeat(r["high"], 2))], names=["host", "place", "n", "low", "high"])
+
+    slots = laid.mapInArrow(steps, "host string, place long, n long, low long, high long").groupBy("host", "place").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low = high")
+    pages = own.select("host", F.explode("pages").alias("page")).distinct().groupBy("host").agg(F.count("*").alias("different"))
+    sizes = own.groupBy("host").agg(F.sum("n").alias("pages")).join(pages.filter(F.col("different") >= LEAST_PAGES), "host")
+    same = slots.join(sizes, "host").filter(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    return same.groupBy("host").agg(F.array_sort(F.collect_list("place")).alias("template"))
+
+
 def wrappers(pages: DataFrame, host: str = "host", page: str = "html") -> DataFrame:
-    """host and wrapper of every host.  Each task aligns distinct streams as it reads and
+    """host, wrapper and template (places whose text is the host's, not the page's; see
+    ``templates``) of every host.  Each task aligns distinct streams as it reads and
     sends on one partial wrapper for each host; partial wrappers are aligned in two more
     steps (host and salt, then host), so a host with a third of all pages is never in
     one task: what travels is one bounded expression for each task and host."""
 
+    arrow = to_arrow_schema(StructType.fromDDL(_PARTIAL))
+
     def read(batches):
         made: dict[str, tuple] = {}
         seen: set[tuple] = set()
+        slots: dict[tuple[str, str], _Slots] = {}
+        regions: dict[str, bool] = {}
+        held = 0
+
+        def passed_on():
+            names = list(slots)
+            columns = [[s[0] for s in names], [None] * len(names), [s[1] for s in names], [s.n for s in slots.values()], [s.low.tolist() for s in slots.values()],
+                       [s.high.tolist() for s in slots.values()], [list(s.pages) for s in slots.values()]]
+            slots.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, arrow, strict=True)], schema=arrow)
+
         for b in batches:
             for part in slices(b, page):
                 for h, p in zip(part.column(host).to_pylist(), part.column(page).to_pylist(), strict=True):
-                    tokens = shape(p)[0]
+                    tokens, texts = shape(p)
+                    new = [t for t in set(tokens) if t not in regions]
+                    regions.update((t, is_main(t)) for t in new)
+                    if not any(map(regions.__getitem__, tokens)):
+                        name = (h, "\x00".join(tokens))
+                        if name not in slots:
+                            slots[name] = _Slots(len(texts))
+                            held += len(name[1]) + 32 * len(texts)
+                        slots[name].add(p, texts)
+                        held += 40
+                        if held > STREAM_BYTES:
+                            yield from passed_on()
+                            held = 0
+                    if len(regions) > 100_000:
+                        regions.clear()
                     key = (h, fold(tuple(tokens)))
                     if key in seen:
                         continue
@@ -373,7 +491,9 @@ def wrappers(pages: DataFrame, host: str = "host", page: str = "html") -> DataFr
                         seen.clear()
                     seen.add(key)
                     made[h] = key[1] if h not in made else fold(align(made[h], key[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(map(_encode, made.values())), pa.string())], names=["host", "wrapper"])
+        yield from passed_on()
+        nothing = [pa.nulls(len(made), f.type) for f in list(arrow)[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(map(_encode, made.values())), pa.string()), *nothing], schema=arrow)
 
     def merge(batches):
         host, wrapper = None, None
@@ -386,17 +506,22 @@ def wrappers(pages: DataFrame, host: str = "host", page: str = "html") -> DataFr
         if wrapper is not None:
             yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([_encode(wrapper)])], names=["host", "wrapper"])
 
-    rows = pages.select(host, page).mapInArrow(read, "host string, wrapper string").distinct()
+    partial = written(pages.select(host, page).mapInArrow(read, _PARTIAL), "wrapper-parts")
+    rows = partial.filter(F.col("wrapper").isNotNull()).select("host", "wrapper").distinct()
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     part = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper").mapInArrow(merge, "host string, wrapper string")
-    return part.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, "host string, wrapper string")
+    found = written(part.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, "host string, wrapper string"), "wrappers")
+    return found.join(templates(partial, found), "host", "left")
 
 
 def main_text(pages: DataFrame, keep: dict[str, str] | None = None, page: str = "html", url: str = "url") -> DataFrame:
     """The columns of ``keep`` (page_id and url by default), text and n_chars (its code
     points): the blocks of main text, joined by a line feed, empty if there are none.
 
-    A null page is an empty one; pages without a host share the empty host.  Pages are
+    What the alignment of a host's pages shows decides for pages without a marked main
+    region: a slot whose text is the same on most of them is left out.
+
+    A null page is an empty one; repeated rows give repeated results, an empty table none; pages without a host share the empty host.  Pages are
     compressed before they are dealt out to their host's wrapper, and salted, since a
     host may have a third of them.  A page that its host's wrapper does not accept (an
     alignment that folds repetitions differently) is aligned with it once more."""
@@ -404,7 +529,7 @@ def main_text(pages: DataFrame, keep: dict[str, str] | None = None, page: str =
     rows = pages.select(*[F.col(f"`{c}`").alias(n) for n, c in keep.items()],
                         F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("__llm_host"),
                         F.coalesce(F.col(f"`{page}`").cast("string"), F.lit("")).alias("__llm_page"))
-    found = written(wrappers(rows, "__llm_host", "__llm_page"), "wrappers")
+    found = written(wrappers(rows, "__llm_host", "__llm_page"), "wrapper-slots")
     packed_schema = rows.drop("__llm_page").withColumn("__llm_packed", F.lit(b"")).schema
 
     def pack(batches):
@@ -418,9 +543,9 @@ def main_text(pages: DataFrame, keep: dict[str, str] | None = None, page: str =
 
     salt = F.pmod(F.xxhash64(*keep), F.lit(SALTS))
     packed = rows.mapInArrow(pack, packed_schema).withColumn("__llm_salt", salt)
-    many = found.select(F.col("host").alias("__llm_host"), "wrapper").withColumn("__llm_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = packed.join(many, ["__llm_host", "__llm_salt"]).select(*keep, "__llm_packed", "wrapper")
-    schema = joined.drop("__llm_packed", "wrapper").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
+    many = found.select(F.col("host").alias("__llm_host"), "wrapper", "template").withColumn("__llm_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = packed.join(many, ["__llm_host", "__llm_salt"]).select(*keep, "__llm_packed", F.col("wrapper").alias("__llm_wrapper"), F.col("template").alias("__llm_template"))
+    schema = joined.drop("__llm_packed", "__llm_wrapper", "__llm_template").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
 
     def extract(batches):
         import zstandard
@@ -429,13 +554,13 @@ def main_text(pages: DataFrame, keep: dict[str, str] | None = None, page: str =
         known: dict[str, Matcher] = {}
         for b in batches:
             out = []
-            for p, w in zip(b.column("__llm_packed").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
+            for p, w, t in zip(*(b.column(c).to_pylist() for c in ("__llm_packed", "__llm_wrapper", "__llm_template")), strict=True):
                 if w not in known:
                     if len(known) > 10_000:
                         known.clear()
                     known[w] = Matcher(_decode(w))
                 tokens, texts = shape(unpack(p).decode())
-                found = known[w].blocks(tokens, texts)
+                found = known[w].blocks(tokens, texts, frozenset(t or ()))
                 if found is None:
                     found = Matcher(align(_decode(w), tuple(tokens))).blocks(tokens, texts)
                 out.append("\n".join(found))

@@ -295,6 +295,60 @@ def test_layout_classes_are_no_boilerplate(spark):
     assert made == dict.fromkeys(range(7), "a") | {7: "a\nb"}
 
 
+def _plain(i, notice, extra=""):
+    return (i, f"http://plain.net/{i}", f"<html><body><div>{notice}</div><div>words of page {i}</div>{extra}<p>more of {i}</p></body></html>")
+
+
+def test_what_a_host_repeats_is_template(spark):
+    rows = [_plain(i, "Sign up now!", "<p>extra</p>" * (i % 3)) for i in range(8)]
+    rows += [(20 + i, f"http://one.net/{i}", rows[0][2]) for i in range(5)]  # copies of one page: nothing shows what is template
+    rows += [(30, "http://few.net/1", rows[0][2]), (31, "http://few.net/2", rows[1][2])]
+    made = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert made[i].split("\n")[0] == f"words of page {i}" and made[i].split("\n")[-1] == f"more of {i}" and "Sign" not in made[i]
+    assert all(made[i].startswith("Sign up now!\nwords of page 0") for i in range(20, 25)) and made[31].startswith("Sign up")
+    # each page by a wrapper of its own: without the host's alignment the notice stays
+    tokens, found = wrappers.shape(rows[0][2])
+    assert wrappers.Matcher(tuple(tokens)).blocks(tokens, found)[0] == "Sign up now!"
+
+
+def test_marked_regions_need_no_template(spark):
+    rows = [(i, f"http://m.net/{i}", f"<body><div>Sign up now!</div><article><p>Same start</p><p>page {i}</p></article></body>") for i in range(6)]
+    made = {r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert made == {f"Same start\npage {i}" for i in range(6)}
+
+
+def test_alignments_accept_both_sides():
+    from itertools import combinations, product
+
+    small = [list(s) for n in range(1, 5) for s in product(("<p", ">p", "#"), repeat=n)]
+    rng = np.random.default_rng(0)
+    for a, b in rng.integers(0, len(small), (1500, 2)).tolist():
+        w = wrappers.infer(wrappers.infer(None, small[a]), small[b])
+        for page in (small[a], small[b]):
+            assert wrappers.Matcher(w).path(page) is not None
+        if any(wrappers.fold(tuple(small[i])) != tuple(small[i]) for i in (a, b)):
+            continue
+        plain = wrappers.align(tuple(small[a]), tuple(small[b]))  # nothing to fold: the longest common part stays
+        common = max(len(x) for n in range(5) for x in {tuple(small[a][i] for i in k) for k in combinations(range(len(small[a])), n)}
+                     if _inside(x, small[b]))
+        assert sum(type(x) is str for x in plain) == common
+
+
+def _inside(x, y):
+    rest = iter(y)
+    return all(v in rest for v in x)
+
+
+def test_pages_of_own_class_names_align_quickly():
+    import time
+
+    page = lambda k: tuple(t for i in range(1500) for t in (f"<div c{k}x{i}", "#", ">div"))
+    start = time.process_time()
+    w = wrappers.align(page(1)[:1] + page(1), page(2))
+    assert time.process_time() - start < 8 and wrappers.Matcher(w).path(list(page(2))) is not None
+
+
 def test_wrapper_inference():
     one = "<div <ul <li # >li <li # >li >ul <p # >p >div".split()
     two = "<div <ul <li # >li >ul >div".split()
