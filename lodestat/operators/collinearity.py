@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from .linalg import SweptGram, vif_from_moments
+from .linalg import SweptGram
 from .gram import pairwise_correlation
 from .moments import collect_moments
+from .qr import ONE, factor, vifs
 
 
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -38,9 +39,9 @@ def high_corr_pairs(corr: DataFrame, threshold: float = C.CORR_THRESHOLD, absolu
 
 
 def vif_values(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """FEA8: one Gram aggregation, then k x k algebra on the driver."""
-    m = collect_moments(df, list(cols))[()]
-    return dict(zip(cols, vif_from_moments(m, list(cols))))
+    """FEA8: one factorisation of the rows, then k x k algebra on the driver."""
+    f = factor(df.withColumn(ONE, F.lit(1.0)), [*cols, ONE])
+    return dict(zip(cols, vifs(f, list(cols)), strict=True))
 
 
 def vif_table(spark: SparkSession, df: DataFrame, cols: Sequence[str]) -> DataFrame:

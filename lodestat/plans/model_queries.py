@@ -14,6 +14,7 @@ from ..operators import collinearity as CO
 from ..operators import crossval as CV
 from ..operators import features as FE
 from ..operators import metrics as MET
+from ..operators import qr as QR
 from ..operators import regression as RG
 from ..operators.moments import collect_moments
 from ..sources import fixtures as FX
@@ -410,13 +411,13 @@ def _no_intercept_sql() -> str:
 
 @register("no_intercept_ols", _no_intercept_sql())
 def q_no_intercept(spark, sf):
-    """REG3: OLS without intercept on all complete landing rows; (name, value)."""
-    m = collect_moments(P.clean_a(spark, sf), A_LOG_COLS)[()]
-    fit = RG.ols_no_intercept(m, list(C.A_LOG_BASE), C.A_TARGET)
-    ssr = fit.extra["yty"] - 2 * fit.coef @ fit.extra["xty"] + fit.coef @ fit.extra["gram"] @ fit.coef
-    rows = [(c, float(b)) for c, b in zip(fit.features, fit.coef)]
-    r2 = float(1 - ssr / fit.extra["yty"]) if fit.extra["yty"] > 0 else None
-    rows += [("r2_uncentred", r2), ("n", float(fit.n))]
+    """REG3: OLS without intercept on all complete landing rows, from their triangular
+    factor; (name, value)."""
+    f = QR.factor(P.clean_a(spark, sf), A_LOG_COLS)
+    coef, ssr, _ = f.regress(C.A_TARGET, C.A_LOG_BASE)
+    total = f.dot(C.A_TARGET, C.A_TARGET)
+    rows = [(c, float(b) if f.n else None) for c, b in zip(C.A_LOG_BASE, coef, strict=True)]
+    rows += [("r2_uncentred", 1 - ssr / total if total > 0 else None), ("n", float(f.n))]
     return spark.createDataFrame(rows, "name string, value double").select("name", _r("value"))
 
 
