@@ -56,3 +56,4 @@ B_TARGET = "target"
 B_FEATURES = ["n_lines", "avg_qty", "avg_disc", "avg_tax", "urgent"]
 # A segment is a union of disjoint "atoms" (values of the atom column).
 B_SEGMENTS = {"winter": ["winter"], "not_winter": ["not_winter"], "year": ["winter", "not_winter"]}
+SCATTER_EACH = 3                    # points of each cell of a bounded scatter chart

@@ -13,7 +13,8 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +60,11 @@ def bin_counts_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), bins: i
     spanning each group's ranges (same edge rule as ``histogram``).  Only
     non-empty cells are returned: (by..., bx, by_, count)."""
     by = list(by)
+    return _grid(df, x, y, by, bins).groupBy(*by, "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _grid(df: DataFrame, x: str, y: str, by: list[str], bins: int) -> DataFrame:
+    """The rows that have both values, with the cell (from 1) of their group's grid."""
     data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     stats = data.groupBy(*by).agg(F.min(x).alias("__xlo"), F.max(x).alias("__xhi"),
                                   F.min(y).alias("__ylo"), F.max(y).alias("__yhi"))
@@ -69,8 +75,46 @@ def bin_counts_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), bins: i
         i = F.least(F.floor((F.col(v) - F.col(lo)) / w * F.lit(bins)) + 1, F.lit(bins))
         return F.when(w > 0, i).otherwise(F.lit(1)).cast("bigint")
 
-    return joined.groupBy(*by, index(x, "__xlo", "__xhi").alias("bin_x"), index(y, "__ylo", "__yhi").alias("bin_y")) \
-        .agg(F.count(F.lit(1)).alias("count"))
+    return joined.withColumns({"bin_x": index(x, "__xlo", "__xhi"), "bin_y": index(y, "__ylo", "__yhi")})
+
+
+def scatter_sample(df: DataFrame, x: str, y: str, key: str, by: Sequence[str] = (), bins: int = C.HIST_BINS,
+                   k: int = C.SCATTER_EACH, seed: int = C.SPLIT_SEED) -> DataFrame:
+    """DIA2 / DIA8 / DIA9 for any number of rows: of each cell of the ``bins`` x ``bins`` grid
+    (see ``bin_counts_2d``) the ``k`` points of smallest (key hash, key), and the cell's number
+    of points.  Output (by..., bin_x, bin_y, count, key, x, y), at most bins^2 * k rows a group.
+
+    The sample is mergeable: a task keeps the ``k`` smallest of each cell that it meets and
+    passes on those, with its count, so only cells x k x tasks rows are shuffled."""
+    by = list(by)
+    cells = _grid(df, x, y, by, bins)
+    picked = cells.select(*[F.col(b).cast("string").alias(b) for b in by], "bin_x", "bin_y", X.key_hash([key], seed).alias("__h"),
+                          F.col(key).cast("bigint").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    names = picked.columns
+    cell, order = [*by, "bin_x", "bin_y"], ["__h", "key"]
+
+    def smallest(batches):
+        import pandas as pd
+
+        def trimmed(parts):
+            made = pd.concat(parts, ignore_index=True)
+            made["__n"] = made.groupby(cell, dropna=False)["__n"].transform("sum")
+            made = made.sort_values([*cell, *order], kind="stable").groupby(cell, dropna=False, sort=False).head(k)
+            made.loc[made.duplicated(cell), "__n"] = 0  # the cell's count stands on its first row
+            return made
+
+        held = None
+        for b in batches:
+            own = b.to_pandas().assign(__n=1)
+            held = trimmed([own] if held is None else [held, own])
+        if held is not None:
+            yield pa.RecordBatch.from_pandas(held[[*names, "__n"]], preserve_index=False)
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields), "__n bigint"])
+    some = picked.mapInArrow(smallest, schema)
+    per_cell = Window.partitionBy(*cell)
+    ranked = some.select("*", F.sum("__n").over(per_cell).alias("count"), F.row_number().over(per_cell.orderBy(*order)).alias("__r"))
+    return ranked.where(F.col("__r") <= k).select(*cell, "count", "key", "x", "y")
 
 
 KDE_CUT = 40.0   # bandwidths; exp(-0.5 * 40^2) underflows to 0.0

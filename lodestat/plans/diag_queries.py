@@ -108,6 +108,25 @@ def q_bins_2d(spark, sf):
     return DG.bin_counts_2d(train_residuals(spark, sf), "predicted", "residual", by=["segment"], bins=B)
 
 
+SCATTER_SQL = RES_SQL + f""",
+st AS (SELECT segment, min(predicted) AS xlo, max(predicted) AS xhi, min(e) AS ylo, max(e) AS yhi FROM res GROUP BY 1),
+cell AS (SELECT segment, key, predicted, e,
+       CAST(CASE WHEN xhi - xlo > 0 THEN least(floor((predicted - xlo) / (xhi - xlo) * {B}) + 1, {B}) ELSE 1 END AS BIGINT) AS bin_x,
+       CAST(CASE WHEN yhi - ylo > 0 THEN least(floor((e - ylo) / (yhi - ylo) * {B}) + 1, {B}) ELSE 1 END AS BIGINT) AS bin_y
+  FROM res JOIN st USING (segment)),
+rk AS (SELECT *, count(*) OVER (PARTITION BY segment, bin_x, bin_y) AS n,
+              row_number() OVER (PARTITION BY segment, bin_x, bin_y ORDER BY {O.key_hash_sql(['key'], C.SPLIT_SEED)}, key) AS i FROM cell)
+SELECT segment, bin_x, bin_y, n AS count, CAST(key AS BIGINT) AS key, {O.r('predicted')} AS x, {O.r('e')} AS y
+FROM rk WHERE i <= {C.SCATTER_EACH}"""
+
+
+@register("scatter_sample", SCATTER_SQL)
+def q_scatter_sample(spark, sf):
+    """DIA2 / DIA9 bounded: a few points of each cell of the residual chart, with its count."""
+    made = DG.scatter_sample(train_residuals(spark, sf), "predicted", "residual", "key", by=["segment"], bins=B)
+    return made.select("segment", "bin_x", "bin_y", "count", "key", _r("x"), _r("y"))
+
+
 G = C.KDE_GRID
 KDE_SQL = RES_SQL + f""",
 st AS (SELECT segment, count(*) AS n, stddev_samp(e) AS sd, min(e) AS lo, max(e) AS hi,

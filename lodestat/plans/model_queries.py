@@ -110,6 +110,12 @@ def q_heatmap_spring(spark, sf):
     return CO.correlation_long(_encoded_a(spark, sf), C.A_SPRING_FEATURES).select("col_i", "col_j", _r("corr"))
 
 
+@register("corr_heatmap_spring_all_months", O.on_orders(_corr_sql(C.D_SPRING_FEATURES)))
+def q_heatmap_spring_all_months(spark, sf):
+    """PRJ11 / DIA11: the six variables of the spring list on fixture D, which has all months."""
+    return CO.correlation_long(P.encode_a(P.clean_a(spark, sf, "D")), C.D_SPRING_FEATURES).select("col_i", "col_j", _r("corr"))
+
+
 @register("corr_heatmap_v2", _corr_sql(C.HEATMAP_V2, head="WITH " + O.FIXTURE_A, src="feat3"))
 def q_heatmap_v2(spark, sf):
     """DIA11 of the second analysis: five variables, food availability unscaled."""
@@ -268,14 +274,14 @@ def q_fold_counts(spark, sf):
 rk AS (SELECT atom, key, row_number() OVER (PARTITION BY atom ORDER BY {O.key_hash_sql(['key'], C.SPLIT_SEED)}, key) AS r,
               count(*) OVER (PARTITION BY atom) AS n FROM ordf),
 fz AS (SELECT *, n // {C.N_FOLDS} AS q, n - (n // {C.N_FOLDS}) * {C.N_FOLDS} AS rem FROM rk)
-SELECT atom, key, CAST(r AS BIGINT) AS split_rank, r <= ceil(n * {C.TEST_SIZE}) AS is_test,
+SELECT atom, key, r <= ceil(n * {C.TEST_SIZE}) AS is_test,
        CAST(CASE WHEN r <= rem * (q + 1) THEN (r - 1) // (q + 1) ELSE rem + (r - 1 - rem * (q + 1)) // q END AS INTEGER) AS fold
 FROM fz""")
 def q_exact_split(spark, sf):
-    """FEA5/FEA6 exact sizes through the distributed rank (RNK1)."""
+    """FEA5/FEA6 exact sizes: bounds by selection, rows labelled by comparison."""
     df = FX.order_frame(spark, sf).select("atom", "key")
     out = FE.exact_split(df, ["key"], C.SPLIT_SEED, C.TEST_SIZE, within=["atom"], k=C.N_FOLDS)
-    return out.select("atom", "key", "split_rank", "is_test", "fold")
+    return out.select("atom", "key", "is_test", "fold")
 
 
 # --- REG2 / REG6 / REG7 / ORD1-3 / DIA12 --------------------------------------------------------

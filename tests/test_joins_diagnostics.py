@@ -175,3 +175,22 @@ def test_bin_counts_2d_match_numpy(spark):
     for r in got.itertuples():
         grid[r.bin_x - 1, r.bin_y - 1] = r.count
     assert np.array_equal(grid, want)
+
+
+def test_scatter_sample_keeps_the_smallest_of_each_cell(spark):
+    from lodestat import config as C
+    from lodestat.functions import columns as X
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    pdf = pd.DataFrame({"g": np.where(np.arange(n) % 3 == 0, "a", "b"), "k": np.arange(n), "x": rng.normal(size=n), "y": rng.normal(size=n)})
+    pdf.loc[::50, "y"] = np.nan
+    pdf.loc[pdf.index % 2 == 0, ["x", "y"]] = 0.25           # half of the rows are one point
+    df = spark.createDataFrame(pdf).withColumn("y", F.when(~F.isnan("y"), F.col("y"))).repartition(6)
+    made = DG.scatter_sample(df, "x", "y", "k", by=["g"], bins=8, k=4).toPandas()
+    cells = DG._grid(df, "x", "y", ["g"], 8).withColumn("h", X.key_hash(["k"], C.SPLIT_SEED)).toPandas()
+    want = []
+    for (g, bx, by_), own in cells.groupby(["g", "bin_x", "bin_y"]):
+        want += [(g, bx, by_, len(own), key) for key in own.sort_values(["h", "k"]).k.head(4)]
+    assert sorted(made[["g", "bin_x", "bin_y", "count", "key"]].itertuples(index=False, name=None)) == sorted(want)
+    assert DG.scatter_sample(df.limit(0), "x", "y", "k", by=["g"]).count() == 0

@@ -1,5 +1,7 @@
 """Exact quantiles (radix selection) and the distributed global rank."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -68,6 +70,26 @@ def test_exact_split_sizes(spark):
     assert sizes == [21, 21, 21, 20, 20]         # first n mod k folds take one more
 
 
+def test_exact_split_against_a_sort(spark, monkeypatch):
+    from lodestat.operators import features as FE
+
+    # a hash of few values, so that bounds fall among keys that share one
+    monkeypatch.setattr(FE.X, "key_hash", lambda keys, seed: F.col(keys[0]) % 3)
+    rows = [(g, i, str(i % 7)) for g, n in (("a", 50), (None, 9), ("c", 1), ("d", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k bigint, t string").repartition(4)
+    made = exact_split(df, ["k", "t"], 1, 0.2, within=["g"], k=5)
+    got = {(r["g"], r["k"]): (r["is_test"], r["fold"]) for r in made.collect()}
+    for g in {r[0] for r in rows}:
+        own = sorted((r[1] % 3, r[1]) for r in rows if r[0] == g)
+        n = len(own)
+        for rank, (_, key) in enumerate(own):
+            fold = next(f for f in range(5) if rank < sum(n // 5 + (j < n % 5) for j in range(f + 1)))
+            assert got[g, key] == (rank < math.ceil(0.2 * n), fold)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Sort", "Aggregate", "Join", "Window"))  # rows are labelled where they are
+    assert exact_split(df.limit(0), ["k"], 1).count() == 0
+
+
 WIDE = [[1.0, 2.0, 3.0, np.inf], [-1.7e308, 0.0, 1.0, 1.7e308], [-np.inf, -np.inf, 5.0, np.inf, np.inf], [5e-324, -5e-324, 0.0, -0.0, 1e308],
         [np.inf] * 3, [-1.5, np.nan, 2.5, -np.inf]]
 
