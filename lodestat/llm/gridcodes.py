@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Remembered cells of a task, in bytes of their keys and entries.
 MEMO_BYTES = 32 << 20
@@ -212,7 +214,7 @@ def vector_codes(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     rows of the same label, null being one) and codebooks_sha256; see ``train`` and ``encode``.
     An empty table gives no rows."""
     books = train(rows, vec_id, vector)
-    made = encode(rows, books, {"vec_id": vec_id, "label": label}, vector)
+    made = written(encode(rows, books, {"vec_id": vec_id, "label": label}, vector), "vector-codes")
     sums = made.groupBy("label").agg(F.sum("error").alias("label_error"))
     # a label may be that of a third of all rows: its sum is copied, its rows are dealt out
     copies = sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
