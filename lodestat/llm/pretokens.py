@@ -116,29 +116,38 @@ class ChunkEncoder:
         return at
 
     def _learn(self):
-        index, pairs, plain, at = self.index, [], [], []
-        first = len(self.start)
-        edge: list[int] = []
+        index, first = self.index, len(self.start)
+        # words have no white space at their ends; others are encoded one by one
+        words, others, numbers, other_numbers, pairs, bad = [], [], [], [], [], []
         for n, key in enumerate(index.new, first):  # grows: the parts of a pair are keys too
             if type(key) is str:
+                if key.isalpha():
+                    words.append(key)
+                    numbers.append(n)
+                    continue
                 stem = key.rstrip(SIGNS)
                 if stem is not key and stem.isalpha():
                     pairs.append((n, index[stem], index[(key[len(stem) :],)]))
-                    edge.append(0)
+                    continue
+                if key and key.strip() is key:
+                    words.append(key)
+                    numbers.append(n)
                     continue
                 # an empty chunk is one of two spaces
-                edge.append(0 if key and key.strip() is key else (not key or key[0].isspace()) + 2 * key[-1:].isspace())
-            else:  # the start of a text has nothing before it
-                edge.append(2 * key[0][-1:].isspace())
-            plain.append(key)
-            at.append(n)
+                bad.append((n, (not key or key[0].isspace()) + 2 * key[-1:].isspace()))
+            elif key[0][-1:].isspace():  # the start of a text has nothing before it
+                bad.append((n, 2))
+            others.append(key)
+            other_numbers.append(n)
+        more = len(index.new)
         index.new.clear()
-        more = len(edge)
         grown = [np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.start, self.length, self.edge, self.uses)]
         self.start, self.length, self.edge, self.uses = grown
-        self.edge[first:] = edge
-        made, lengths, order = self._encoded(plain, self.edge[at])
-        at = np.array(at, np.int64)[order]
+        if bad:
+            at, edges = np.array(bad, np.int64).T
+            self.edge[at] = edges
+        made, lengths, size = self._encoded(words, others)
+        at = np.array(numbers + other_numbers, np.int64)
         self.start[at], self.length[at] = len(self.ids) + np.cumsum(lengths) - lengths, lengths
         self.ids = np.concatenate([self.ids, made])
         if pairs:
@@ -148,27 +157,30 @@ class ChunkEncoder:
             sizes = self.length[left] + self.length[right]
             self.start[own], self.length[own] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
             self.ids = np.concatenate([self.ids, joined])
-        self.held += more * ENTRY_BYTES + sum(len(k) if type(k) is str else len(k[0]) for k in plain) + 4 * len(made)
-
-    def _encoded(self, plain: list, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """The chunks' ids, one after another, each chunk's number of ids, and the chunks' order."""
-        ids, lengths, free = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
-        if self.sizes is not None:
-            # what starts with a space and ends without white space is cut off from what follows it
-            free = [i for i, (k, e) in enumerate(zip(plain, edge.tolist(), strict=True)) if not e and type(k) is str]
-            groups = [[plain[i] for i in free[j : j + JOINED]] for j in range(0, len(free), JOINED)]
+        self.held += more * ENTRY_BYTES + size + 4 * len(made)
+
+    def _encoded(self, words: list[str], others: list) -> tuple[np.ndarray, np.ndarray, int]:
+        """The ids of the words and then of the other chunks, one after another, each one's
+        number of ids, and their bytes."""
+        ids, lengths, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        lone = [k[0] if type(k) is tuple else " " + k for k in others]
+        if self.sizes is None:
+            lone = [" " + w for w in words] + lone
+        else:
+            # a word starts with a space and is cut off from what follows it
+            groups = [words[j : j + JOINED] for j in range(0, len(words), JOINED)]
             texts = [" " + " ".join(g) for g in groups]
             for group, text, made in zip(groups, texts, self.encode(texts), strict=True):
                 ids.append(np.array(made, np.uint32))
                 upto = np.cumsum(self.sizes[ids[-1]])
-                sizes = map(len, group) if text.isascii() else (len(k.encode()) for k in group)
-                ends = np.cumsum(np.fromiter(sizes, np.int64, len(group)) + 1)
+                each = map(len, group) if text.isascii() else (len(k.encode()) for k in group)
+                ends = np.cumsum(np.fromiter(each, np.int64, len(group)) + 1)
                 cut = np.searchsorted(upto, ends)
                 if cut[-1] >= len(upto) or (upto[cut] != ends).any():
                     raise ValueError("a token crosses two chunks")
                 lengths.append(np.diff(cut, prepend=-1))
-        lone = sorted(set(range(len(plain))).difference(free)) if free else list(range(len(plain)))
-        rest = self.encode([k[0] if type(k) is tuple else " " + k for k in map(plain.__getitem__, lone)])
+                size += int(ends[-1])
+        rest = self.encode(lone)
         lengths.append(np.fromiter(map(len, rest), np.int64, len(rest)))
         ids.append(np.fromiter(chain.from_iterable(rest), np.uint32, int(lengths[-1].sum())))
-        return np.concatenate(ids), np.concatenate(lengths), free + lone
+        return np.concatenate(ids), np.concatenate(lengths), size + sum(map(len, lone))
