@@ -4,7 +4,9 @@ The byte-level pattern (contractions, runs of letters, of digits and of other si
 each with an optional space before it, and white space) never lets a pre-token cross
 the place before a space that stands between two characters that are not white space.
 So a text may be cut there, each chunk encoded on its own, and each distinct chunk
-once.  For the same reason letters and the signs after them are encoded apart.
+once.  For the same reason letters and the signs after them are encoded apart, and a
+text may be cut before a newline that follows what is not white space, as long as the
+white space that it starts is cut nowhere else than at its last character.
 """
 
 from __future__ import annotations
@@ -13,22 +15,24 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SIGNS = ".,;:!?#%&*$|)\"'-+(=@"
 #: Bytes of remembered chunks and their ids; what one entry takes beside its text.
 MEMO_BYTES, ENTRY_BYTES = 48 << 20, 200
+#: Marks of a chunk: white space after the space before it, white space at its end, a newline
+#: alone, white space after the newline that it starts with (or an added token there or at its start).
+START, END, LONE, INSIDE = 1, 2, 4, 8
 #: Distinct chunks that are encoded as one text.
-JOINED = 2000
+JOINED = 200
 
 
 def chunks(text: str) -> list:
     """Pieces of the text that the pattern splits independently: a str stands for a space
     and that str, a tuple for the str in it as it is (the start of the text)."""
-    return _marked(CUT.split(text))
-
-
-def _marked(out: list) -> list:
+    out = CUT.split(text)
     if out[0]:
         out[0] = (out[0],)
     else:
@@ -36,6 +40,16 @@ def _marked(out: list) -> list:
     return out
 
 
+def _form(key) -> str:
+    """What a chunk's key stands for: one that starts with a newline has no space before it."""
+    return key[0] if type(key) is tuple else key if key.startswith("\n") else " " + key
+
+
+def _words(names: pa.StringArray) -> list[str]:
+    """The strings, none of which holds a space."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), " ")[0].as_py().split(" ")
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of the concatenated runs starts[i] .. starts[i] + lengths[i]."""
     ends = np.cumsum(lengths)
@@ -58,17 +72,20 @@ class ChunkEncoder:
     """Encodes texts chunk by chunk; ``encode`` maps a list of str to lists of ids.
 
     With ``sizes`` (the bytes of each id's token) many chunks are encoded as one text, and
-    its ids are dealt out by their bytes.  Chunks are kept between calls up to about
+    its ids are dealt out by their bytes.  ``added`` are strings that ``encode`` takes out of
+    a text before it splits the rest.  Chunks are kept between calls up to about
     ``limit`` bytes; beyond that only those that came again are kept on, the most frequent
     first and up to half of it, which costs time and never changes a result."""
 
-    def __init__(self, encode, sizes: np.ndarray | None = None, limit: int = MEMO_BYTES):
-        self.encode, self.sizes, self.limit = encode, sizes, limit
+    def __init__(self, encode, sizes: np.ndarray | None = None, limit: int = MEMO_BYTES, added: tuple[str, ...] = ()):
+        self.encode, self.sizes, self.limit, self.added = encode, sizes, limit, added
+        # an added token that starts with a letter may reach from letters into signs
+        self.plain = not any(t[0].isalpha() for t in added)
         self._clear()
 
     def _clear(self):
         self.index, self.held = _Index(), 0
-        # of each chunk: where its ids are, whether it starts (1) or ends (2) with white space, how often it came
+        # of each chunk: where its ids are, its marks, how often it came
         self.start, self.length, self.edge, self.uses = (np.zeros(0, t) for t in (np.int64, np.int64, np.int8, np.int64))
         self.ids = np.zeros(0, np.uint32)
 
@@ -87,57 +104,112 @@ class ChunkEncoder:
         self.start, self.length, self.edge, self.uses = np.cumsum(length) - length, length, edge, uses // 2
         self.held = int(bytes_of[order].sum())
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after another, and each text's number of ids."""
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (a list of str or an Arrow array, without nulls), one after
+        another, and each text's number of ids."""
         if self.held > self.limit:
             self._shrink()
-        # between two spaces; where one of them has white space beside it, the text is cut anew
-        parts = [_marked(t.split(" ")) if t else [] for t in texts]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = self._numbers(parts, sizes)
-        ends = np.cumsum(sizes)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # between two spaces or newlines; where that is beside more white space, the text is cut anew
+        at, sizes = self._parts(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " "))
         edge = self.edge[at]
-        edge[ends[sizes > 0] - 1] &= 1  # white space at a text's end has no space after it
         if edge.any():
-            again = np.unique(np.searchsorted(ends, np.flatnonzero(edge), side="right"))
-            for i in again.tolist():
-                parts[i] = chunks(texts[i])
-            sizes[again] = [len(parts[i]) for i in again.tolist()]
-            at = self._numbers(parts, sizes)
+            ends = np.cumsum(sizes)
+            last = ends[sizes > 0] - 1
+            edge[last] &= ~np.int8(END)  # white space at a text's end has no space after it
+            lone = edge & LONE > 0
+            lone[last] = False
+            bad = edge & (START | END) > 0
+            bad[:-1] |= lone[:-1] & (edge[1:] & (START | LONE | INSIDE) > 0)
+            again = np.unique(np.searchsorted(ends, np.flatnonzero(bad), side="right"))
+            if len(again):
+                own = [chunks(texts[i].as_py()) for i in again.tolist()]
+                found = self._numbers(list(chain.from_iterable(own)))
+                made = np.split(found, np.cumsum([len(x) for x in own])[:-1])
+                kept, upto = [], 0
+                for i, new in zip(again.tolist(), made, strict=True):
+                    kept += [at[upto : ends[i] - sizes[i]], new]
+                    upto, sizes[i] = ends[i], len(new)
+                at = np.concatenate([*kept, at[upto:]])
         self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.length[at]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         return self.ids[gather(self.start[at], lengths)], np.diff(upto[np.concatenate([[0], np.cumsum(sizes)])])
 
-    def _numbers(self, parts: list[list], sizes: np.ndarray) -> np.ndarray:
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+    def _parts(self, parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the parts of texts, with signs after letters apart, and each text's
+        number of them.  The first part of a text has nothing before it, and is none if it is
+        empty."""
+        offsets, flat = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+        offsets = offsets - offsets[0]
+        codes, names = flat.indices.to_numpy(), _words(flat.dictionary)
+        stems = pc.utf8_rtrim(flat.dictionary, SIGNS)
+        signs = pc.subtract(pc.binary_length(flat.dictionary), pc.binary_length(stems)).to_numpy()
+        rest = np.ones(len(codes), bool)
+        rest[offsets[:-1]] = False
+        used = np.bincount(codes[rest], minlength=len(names)) > 0
+        letters = used & self.plain & pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False)
+        numbers, after = np.zeros(len(names), np.int64), np.full(len(names), -1)
+        own = np.flatnonzero(used & ~letters)
+        numbers[own] = self._numbers([names[i] for i in own.tolist()])
+        if letters.any():
+            stems = stems.filter(pa.array(letters)).dictionary_encode()
+            numbers[letters] = self._numbers(_words(stems.dictionary), True)[stems.indices.to_numpy()]
+            own = np.flatnonzero(letters & (signs > 0))
+            after[own] = self._numbers([(names[i][-n:],) for i, n in zip(own.tolist(), signs[own].tolist(), strict=True)])
+        at, after = numbers[codes], after[codes]
+        starts = [names[i] for i in codes[offsets[:-1]].tolist()]
+        full = np.fromiter(map(bool, starts), bool, len(starts))
+        at[offsets[:-1][full]], after[offsets[:-1]] = self._numbers([(x,) for x in starts if x]), -1
+        many = 1 + (after >= 0)
+        many[offsets[:-1]] = full
+        ends = np.cumsum(many)
+        at = np.repeat(at, many)
+        at[ends[many == 2] - 1] = after[many == 2]
+        return at, np.diff(np.concatenate([[0], ends])[offsets])
+
+    def _numbers(self, keys: list, letters: bool = False) -> np.ndarray:
+        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
         if self.index.new:
-            self._learn()
+            self._learn(letters)
         return at
 
-    def _learn(self):
+    def _learn(self, letters: bool):
+        """Encodes the new chunks; with ``letters`` they all are a space and letters."""
         index, first = self.index, len(self.start)
         # words have no white space at their ends; others are encoded one by one
         words, others, numbers, other_numbers, pairs, bad = [], [], [], [], [], []
-        for n, key in enumerate(index.new, first):  # grows: the parts of a pair are keys too
+        if letters:
+            words, numbers = [" " + k for k in index.new], list(range(first, first + len(index.new)))
+        for n, key in enumerate(() if letters else index.new, first):  # grows: the parts of a pair are keys too
             if type(key) is str:
-                if key.isalpha():
-                    words.append(key)
-                    numbers.append(n)
-                    continue
+                glued = key.startswith("\n")
+                body = key[1:] if glued else key
+                inside = INSIDE * body.startswith(self.added)
+                if inside:
+                    bad.append((n, inside))
                 stem = key.rstrip(SIGNS)
-                if stem is not key and stem.isalpha():
-                    pairs.append((n, index[stem], index[(key[len(stem) :],)]))
+                if self.plain and (stem[1:] if glued else stem).isalpha():
+                    if stem is key:
+                        words.append(_form(key))
+                        numbers.append(n)
+                    else:
+                        pairs.append((n, index[stem], index[(key[len(stem) :],)]))
                     continue
-                if key and key.strip() is key:
-                    words.append(key)
+                if body and body.strip() is body:
+                    words.append(_form(key))
                     numbers.append(n)
                     continue
                 # an empty chunk is one of two spaces
-                bad.append((n, (not key or key[0].isspace()) + 2 * key[-1:].isspace()))
+                if not glued:
+                    bad.append((n, inside | START * (not key or key[0].isspace()) | END * key[-1:].isspace()))
+                else:
+                    bad.append((n, inside | INSIDE * body[0].isspace() | END * body[-1].isspace() if body else LONE))
             elif key[0][-1:].isspace():  # the start of a text has nothing before it
-                bad.append((n, 2))
-            others.append(key)
+                bad.append((n, END))
+            others.append(_form(key))
             other_numbers.append(n)
         more = len(index.new)
         index.new.clear()
@@ -159,28 +231,24 @@ class ChunkEncoder:
             self.ids = np.concatenate([self.ids, joined])
         self.held += more * ENTRY_BYTES + size + 4 * len(made)
 
-    def _encoded(self, words: list[str], others: list) -> tuple[np.ndarray, np.ndarray, int]:
+    def _encoded(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         """The ids of the words and then of the other chunks, one after another, each one's
         number of ids, and their bytes."""
         ids, lengths, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
-        lone = [k[0] if type(k) is tuple else " " + k for k in others]
         if self.sizes is None:
-            lone = [" " + w for w in words] + lone
-        else:
-            # a word starts with a space and is cut off from what follows it
-            groups = [words[j : j + JOINED] for j in range(0, len(words), JOINED)]
-            texts = [" " + " ".join(g) for g in groups]
-            for group, text, made in zip(groups, texts, self.encode(texts), strict=True):
-                ids.append(np.array(made, np.uint32))
-                upto = np.cumsum(self.sizes[ids[-1]])
-                each = map(len, group) if text.isascii() else (len(k.encode()) for k in group)
-                ends = np.cumsum(np.fromiter(each, np.int64, len(group)) + 1)
-                cut = np.searchsorted(upto, ends)
-                if cut[-1] >= len(upto) or (upto[cut] != ends).any():
-                    raise ValueError("a token crosses two chunks")
-                lengths.append(np.diff(cut, prepend=-1))
-                size += int(ends[-1])
-        rest = self.encode(lone)
+            others = words + others
+        elif words:
+            # a word starts with a space or a newline and is cut off from what follows it
+            made = self.encode(["".join(words[j : j + JOINED]) for j in range(0, len(words), JOINED)])
+            ids.append(np.fromiter(chain.from_iterable(made), np.uint32, sum(map(len, made))))
+            upto = np.cumsum(self.sizes[ids[-1]])
+            ends = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy(), dtype=np.int64)
+            cut = np.searchsorted(upto, ends)
+            if cut[-1] >= len(upto) or (upto[cut] != ends).any():
+                raise ValueError("a token crosses two chunks")
+            lengths.append(np.diff(cut, prepend=-1))
+            size = int(ends[-1])
+        rest = self.encode(others)
         lengths.append(np.fromiter(map(len, rest), np.int64, len(rest)))
         ids.append(np.fromiter(chain.from_iterable(rest), np.uint32, int(lengths[-1].sum())))
-        return np.concatenate(ids), np.concatenate(lengths), size + sum(map(len, lone))
+        return np.concatenate(ids), np.concatenate(lengths), size + sum(map(len, others))

@@ -26,7 +26,7 @@ from .pretokens import ChunkEncoder
 
 BLOCK_IDS = 65_536
 #: Bytes of chunks that a task remembers, and of text that it encodes at once.
-MEMO_BYTES, SLICE = 112 << 20, 2 << 20
+MEMO_BYTES, SLICE = 112 << 20, 4 << 20
 STORE = (
     "shard int, block int, first long, n_ids int, kind string, plane_bytes array<int>, "
     "docs array<struct<doc_id long, number long, part int, n_ids int, last boolean>>, planes array<binary>"
@@ -69,7 +69,7 @@ def library_encoder(spec: str, limit: int = MEMO_BYTES):
     added = tokenizer.get_added_tokens_decoder()
     if any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in added.values()):
         def whole(texts):
-            made = encode(texts)
+            made = encode(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
             return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
 
         return whole
@@ -77,7 +77,7 @@ def library_encoder(spec: str, limit: int = MEMO_BYTES):
     sizes = np.zeros(1 + max(tokenizer.get_vocab().values()), np.int64)
     for token, i in tokenizer.get_vocab().items():
         sizes[i] = len(added[i].content.encode()) if i in added else len(token)
-    return ChunkEncoder(encode, sizes, limit)
+    return ChunkEncoder(encode, sizes, limit, tuple(t.content for t in added.values()))
 
 
 class _Shard:
@@ -142,7 +142,7 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc
         encoder = worker_cache(("tokenizers", hash(held.value)), lambda: library_encoder(held.value))
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
-                ids, sizes = encoder(piece.column("text").to_pylist())
+                ids, sizes = encoder(piece.column("text"))
                 at, made = 0, []
                 for one, n in zip(piece.column("id").to_pylist(), sizes.tolist(), strict=True):
                     made += shard.add(one, np.append(ids[at : at + n], end_id).astype("<u4"))

@@ -224,3 +224,52 @@ def test_decoded_vector_has_the_error(spark):
     for r in gridcodes.encode(vectors(spark, rows), books, {"vec_id": "vec_id", "v": "embedding"}).collect():
         x = np.floor(1024 * np.array(r["v"], np.float64)).astype(np.int64)
         assert ((x - gridcodes.decode(bytes(r["codes"]), books)) ** 2).sum() == r["error"]
+
+
+def _library(extra=()):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for content in extra:
+        spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257 + len(spec["added_tokens"]), "content": content})
+    text = json.dumps(spec)
+    return text, Tokenizer.from_str(text)
+
+
+@pytest.mark.parametrize("extra", [(), ("Mr.", "word,")])
+def test_chunks_between_newlines_and_signs_encode_as_the_library_does(extra):
+    import random
+
+    from lodestat.llm.token_store import library_encoder
+
+    spec, library = _library(extra)
+    encode, rng = library_encoder(spec, 1 << 16), random.Random(5)
+    parts = ["a", "B", "é", "ß", "1", " ", " ", "  ", "\n", "\n", "\n\n", "\t", "\r\n", ".", ",", "'s", "...", "　", "\xa0", "\x1c", "\x85",
+             "word", "Mr", "Mr.", "<|endoftext|>", "\n ", " \n", " ", "٣"]
+    for _ in range(600):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(rng.randint(0, 6))]
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, sizes = encode(texts)
+        assert (ids.tolist(), sizes.tolist()) == ([i for w in want for i in w], [len(w) for w in want]), texts
+
+
+def test_words_beside_newlines_are_encoded_once():
+    from lodestat.llm.pretokens import ChunkEncoder
+    from lodestat.llm.token_store import library_encoder
+
+    spec, library = _library()
+    given = []
+
+    def counted(texts):
+        given.extend(texts)
+        return [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    words = [a + b for a in "abcdefgh" for b in "ijklmnop"]
+    text = "x " + " ".join(f"{a}.\n{b}" for a in words for b in words)   # 4096 pairs of 64 words
+    ids, _ = ChunkEncoder(counted, library_encoder(spec).sizes)([text])
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, given)) < 64 * 100
