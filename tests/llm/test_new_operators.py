@@ -273,3 +273,30 @@ def test_words_beside_newlines_are_encoded_once():
     ids, _ = ChunkEncoder(counted, library_encoder(spec).sizes)([text])
     assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
     assert sum(map(len, given)) < 64 * 100
+
+
+def test_a_row_counts_a_gram_and_the_context_that_it_makes(spark):
+    import random
+
+    import xxhash
+
+    from lodestat.llm import pst
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "b", "c", "D"], k=rng.randint(0, 30))) for _ in range(60)] + [None]
+    words = [pst.tokens(t) for t in texts]
+
+    def code(ws):
+        held = np.full(1, pst._ROOT)
+        for w in reversed(ws):
+            held = pst.mix(held, np.array([xxhash.xxh64_intdigest(w)], np.uint64))
+        return int(held.view(np.int64)[0])
+
+    ones = Counter(code(ws[i : i + 1]) for ws in words for i in range(len(ws) - 1))
+    twos = Counter(code(ws[i : i + 2]) for ws in words for i in range(len(ws) - 2))
+    level = pst._bits(spark.createDataFrame([(c,) for c in ones], "context long"))
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    made = pst.count_next(frame, [level], True).collect()
+    assert sum(r["n"] for r in made) == sum(len(ws) - 1 for ws in words)   # a row for each gram, and none beside them
+    assert {r["longer"]: r["n"] for r in made if r["longer"] is not None} == twos
+    assert {c: sum(r["n"] for r in made if r["context"] == c) for c in ones} == ones
