@@ -77,15 +77,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again: later jobs
     read files, and a lost executor costs no recomputation.  The files belong to the
-    session's checkpoint folder, whose owner clears it."""
+    session's checkpoint folder, whose owner clears it.  With ``by`` each value of that
+    column has a folder of its own, which ``dropped`` may delete."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame, by: str, value) -> None:
+    """Deletes the rows with this value from a frame ``written`` by that column."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.filter(F.col(by) == value).inputFiles()}:
+        if folder.endswith(f"/{by}={value}"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def worker_cache(key, build):
     """An object that stays for the life of a Python worker process, over its tasks."""
     held = sys.__dict__.setdefault("_lodestat_worker_cache", {})

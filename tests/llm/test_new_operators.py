@@ -340,3 +340,41 @@ def test_suffix_tree_scores_do_not_depend_on_blocks_and_rounds(spark):
     assert len(model["levels"]) > 1
     made = [sorted(map(str, pst.score(docs, model, block_bytes=size, rounds=rounds).collect())) for size, rounds in ((1 << 20, 1), (200, 2))]
     assert made[0] == made[1] and len(made[0]) == docs.count()
+
+
+def test_tasks_of_the_suffix_tree_get_small_batches_and_sums_leave_the_disk(spark, tmp_path):
+    """op4_suffix_tree (an executor's memory on 0.51 GB): a task got 10,000 texts in a batch."""
+    import os
+
+    import pyarrow as pa
+
+    from lodestat.llm import pst
+    from lodestat.llm.common import dropped
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([b.num_rows > 5000], pa.int32()), "n": pa.array([b.num_rows], pa.int64())})
+
+    made = pst._written(spark.range(9000).coalesce(1).selectExpr("repeat('word ', 200) AS text").mapInArrow(sizes, "kind int, n long"), "test-sizes", by="kind")
+    found = [r["n"] for r in made.collect()]
+    assert sum(found) == 9000 and max(found) <= 4096
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"   # as it was
+    kinds = pst._written(spark.range(30).selectExpr("CAST(id % 3 AS int) AS kind", "id"), "test-kinds", by="kind")
+    folders = {os.path.dirname(f.removeprefix("file://")) for f in kinds.inputFiles()}
+    dropped(kinds, "kind", 0)
+    assert sorted(os.path.basename(f) for f in folders if os.path.exists(f)) == ["kind=1", "kind=2"]
+    assert sorted(r["id"] for r in kinds.filter("kind = 2").collect()) == list(range(2, 30, 3))
+
+
+def test_orders_and_small_packs_are_exact():
+    from lodestat.llm import pst
+
+    rng = np.random.default_rng(1)
+    near = (rng.integers(0, 9, 5000, dtype=np.uint64) << np.uint64(40)) + rng.integers(0, 3, 5000, dtype=np.uint64)   # only lower bits differ
+    for keys in (np.zeros(0, np.uint64), np.full(7, 5, np.uint64), near, rng.integers(0, 1 << 64, 5000, dtype=np.uint64)):
+        order = pst._order(keys)
+        assert sorted(order.tolist()) == list(range(len(keys)))
+        assert keys[order].tolist() == sorted(keys.tolist())
+        assert pst._unpack_small(pst._pack_small(keys)).tolist() == keys.tolist()
+        assert pst._unpack_sorted(pst._pack_sorted(keys[order])).tolist() == sorted(keys.tolist())
+    assert len(pst._pack_small(np.ones(100, np.int64))) < 110
