@@ -353,7 +353,7 @@ def test_tasks_of_the_suffix_tree_get_small_batches_and_sums_leave_the_disk(spar
 
     def sizes(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([b.num_rows > 5000], pa.int32()), "n": pa.array([b.num_rows], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([int(b.num_rows > 5000)], pa.int32()), "n": pa.array([b.num_rows], pa.int64())})
 
     made = pst._written(spark.range(9000).coalesce(1).selectExpr("repeat('word ', 200) AS text").mapInArrow(sizes, "kind int, n long"), "test-sizes", by="kind")
     found = [r["n"] for r in made.collect()]
