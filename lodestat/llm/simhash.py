@@ -69,8 +69,9 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
     probes = table.select(F.col("fp").alias("a"), "key", F.explode(ball).alias("flip")).select("a", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
     near = (F.col("a") < F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= max_bits)
-    # a pair within one bit of both segments is found twice
-    return probes.join(table, "key").filter(near).select("a", F.col("fp").alias("b")).distinct()
+    # Spark sizes exploded rows by what they are exploded from, and would broadcast 33 probes
+    # for each entry; a pair within one bit of both segments is found twice
+    return probes.join(table.hint("merge"), "key").filter(near).select("a", F.col("fp").alias("b")).distinct()
 
 
 def groups(fps: DataFrame, doc_id: str = "doc_id", max_bits: int = 3) -> DataFrame:
@@ -82,12 +83,14 @@ def groups(fps: DataFrame, doc_id: str = "doc_id", max_bits: int = 3) -> DataFra
     by fingerprint, of which only linked ones have an entry."""
     distinct = fps.groupBy("fp").agg(F.min(doc_id).alias("least"))
     joined = components(links(distinct, max_bits), "a", "b")
-    of = joined.join(distinct, joined["node"] == distinct["fp"]).groupBy("root").agg(F.min("least").alias("least"))
+    # of rows read from files Spark knows the compressed size only, and would broadcast them all
+    of = joined.join(distinct.hint("merge"), joined["node"] == distinct["fp"]).groupBy("root").agg(F.min("least").alias("least"))
     linked = joined.join(of, "root").select(F.col("node").alias("fp"), F.col("least").alias("linked"))
     known = distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
     # one fingerprint may be that of a third of all documents: its rows are dealt out by a salt
+    # (Spark sizes the copies as one)
     copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return fps.withColumn("salt", F.pmod(F.xxhash64(*fps.columns), F.lit(SALTS))).join(copies, ["fp", "salt"]).drop("salt")
+    return fps.withColumn("salt", F.pmod(F.xxhash64(*fps.columns), F.lit(SALTS))).join(copies.hint("merge"), ["fp", "salt"]).drop("salt")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

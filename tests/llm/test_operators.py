@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestat.llm import bpe, covertree, decontaminate, langid, licenses, pst, simhash, token_store, toxicity, wrappers
+from lodestat.llm.common import written
 from lodestat.llm.components import components
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a b"), (4, "a b"), (None, "x  y  z　 "), (5, "don't 1234 !!\r\n  été 日本 😀"), (6, "ab" * 50_000), (7, "The cat, the cat; THE CAT.")]
@@ -165,6 +166,35 @@ def test_simhash_against_brute_force(spark):
     assert Counter((r["doc_id"], r["fp"], r["component_id"]) for r in made) == want
 
 
+def broadcast_rows(df) -> list[int]:
+    """Rows of each broadcast of a frame that has run."""
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        own = [node.metrics().apply("numOutputRows").value()] if node.nodeName() == "BroadcastExchange" else []
+        return own + [n for i in range(node.children().size()) for n in walk(node.children().apply(i))]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("near", [0, 10])
+def test_simhash_broadcasts_linked_fingerprints_at_most(spark, near):
+    # a broadcast of probes, copies or all fingerprints grows with the corpus, while Spark
+    # sizes it by what was exploded or by compressed files
+    own = [int(x) for x in np.random.default_rng(8).integers(-(2**63), 2**63, 300)]
+    rows = list(enumerate(own)) + [(300 + i, x ^ 5) for i, x in enumerate(own[:near])]
+    fps = written(spark.createDataFrame(rows, "doc_id long, fp long"), "test-fps")
+    links = simhash.links(fps)
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(min(x, x ^ 5), max(x, x ^ 5)) for x in own[:near]}
+    assert broadcast_rows(links) == []
+    groups = simhash.groups(fps)
+    made = {(r["doc_id"], r["fp"]): r["component_id"] for r in groups.collect()}
+    assert made == {(i, x): i % 300 for i, x in rows}
+    assert all(n <= 2 * near for n in broadcast_rows(groups))
+
+
 def test_decontamination_tolerates_substitutions(spark):
     words = [f"w{i}" for i in range(400)]
     item = words[100:140]
