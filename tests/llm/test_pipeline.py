@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from lodestat.llm import decontaminate, queries, simhash
+from test_operators import broadcast_rows
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,3 +59,15 @@ def test_language_stage_keeps_texts_in_three_languages(spark):
     rows += [(900, own["en"] * 5 + own["fr"] * 4 + own["de"] * 3, "en"), (901, "123", "en")]
     kept = {r[0] for r in P.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), SF).select("doc_id").collect()}
     assert kept == {r[0] for r in rows} - {901}
+
+
+def test_near_duplicate_stage_broadcasts_a_row_for_each_document_at_most(spark, monkeypatch):
+    seen, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links, *a: seen.append(links) or components(links, *a))
+    rows = [(i, " ".join(f"w{i % 120}x{j}" for j in range(30))) for i in range(200)]
+    docs = P.written(spark.createDataFrame(rows, "doc_id long, text string"), "test-documents")
+    made = P.near_duplicates(spark, docs, SF)
+    assert {r["doc_id"] for r in made.collect()} == set(range(120))
+    assert seen[0].collect() == []
+    for frame in (seen[0], made):
+        assert max(broadcast_rows(frame), default=0) <= len(rows)
